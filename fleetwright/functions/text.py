@@ -17,20 +17,16 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def escaped(json_text: Column) -> Column:
-    """Apply the escapes; these characters stand only inside strings, so replacing is exact."""
+    """Apply the escapes; these characters stand only inside strings, so replacing is exact.
+
+    Together with ``to_json`` of a variant, which keeps object fields sorted by name, this
+    gives the platform's canonical JSON text.
+    """
     for raw, escape in ESCAPES.items():
         json_text = F.replace(json_text, F.lit(raw), F.lit(escape))
     return json_text
 
 
-def canonical_json(variant: Column) -> Column:
-    """JSON text with sorted keys, no blanks and the platform's escapes.
-
-    A variant keeps object fields sorted by name, so writing one gives sorted keys.
-    """
-    return escaped(F.to_json(variant))
-
-
 def request_json(stream_class: Column, stream_id: Column, completed: Column) -> Column:
     """Spec of a backfill request as JSON; ``completed`` is left out when false."""
     return escaped(

@@ -6,10 +6,12 @@ type, so a missing field and a field of the wrong type stay apart.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.text import canonical_json, configuration_checksum
+from fleetwright.functions.text import configuration_checksum, escaped
 from fleetwright.vocabulary import BATCH_JOB, CRON_JOB, NEW, NO_BACKEND
 
 KEY = ["namespace", "name"]
@@ -31,95 +33,131 @@ BATCH_TEMPLATE = "$.spec.execution.streamingBackend.batch.jobTemplateRef"
 SCHEDULE = "$.spec.execution.streamingBackend.batch.schedule"
 
 
-def _part(path: str) -> Column:
-    return F.try_variant_get("_doc", path, "variant")
-
-
-def _text(path: str) -> Column:
-    return F.try_variant_get("_doc", path, "string")
-
-
-def _flag(path: str) -> Column:
-    return F.try_variant_get("_doc", path, "boolean")
-
-
-def _kind(path: str) -> Column:
-    """STRING, BOOLEAN, OBJECT, ...; VOID for a JSON null; null when the field is absent."""
-    return F.regexp_extract(F.schema_of_variant(_part(path)), "^[A-Z]+", 0)
-
-
-def _is(path: str, kind: str) -> Column:
-    return F.coalesce(_kind(path) == kind, F.lit(False))
-
-
-def _is_other(path: str, kind: str) -> Column:
+# Fields that are read as they stand, as (column, path, type).
+VALUES = [
+    ("layout", LAYOUT, "string"),
+    ("kind", "$.kind", "string"),
+    ("phase", "$.status.phase", "string"),
+    ("applied_hash", "$.status.configurationHash", "string"),
+    ("suspended_old", SUSPENDED_OLD, "boolean"),
+    ("suspended_new", SUSPENDED, "boolean"),
+    ("schedule", SCHEDULE, "string"),
+    *[
+        (f"{column}_{field}", f"{path}.{field}", "string")
+        for column, path in (
+            ("run_old", RUN_TEMPLATE_OLD),
+            ("capture", CAPTURE_TEMPLATE),
+            ("batch", BATCH_TEMPLATE),
+            ("backfill_old", BACKFILL_TEMPLATE_OLD),
+            ("backfill_v1", BACKFILL_TEMPLATE_V1),
+            ("backfill_v2", BACKFILL_TEMPLATE_V2),
+        )
+        for field in ("namespace", "name")
+    ],
+]
+
+# Fields whose JSON kind matters for validity.
+KINDS = {
+    "execution_is": EXECUTION,
+    "layout_is": LAYOUT,
+    "status_is": "$.status",
+    "phase_is": "$.status.phase",
+    "hash_is": "$.status.configurationHash",
+    "suspended_old_is": SUSPENDED_OLD,
+    "run_old_is": RUN_TEMPLATE_OLD,
+    "backfill_old_is": BACKFILL_TEMPLATE_OLD,
+    "suspended_new_is": SUSPENDED,
+    "streaming_is": STREAMING,
+    "capture_is": CAPTURE,
+    "capture_template_is": CAPTURE_TEMPLATE,
+    "batch_is": BATCH,
+    "batch_template_is": BATCH_TEMPLATE,
+    "schedule_is": SCHEDULE,
+    "backfill_v1_is": BACKFILL_TEMPLATE_V1,
+    "backfill_v2_is": BACKFILL_TEMPLATE_V2,
+}
+
+
+def _is(kind_column: str, kind: str) -> Column:
+    return F.coalesce(F.col(kind_column) == kind, F.lit(False))
+
+
+def _is_other(kind_column: str, kind: str) -> Column:
     """Present, but of another kind."""
-    return F.coalesce(_kind(path) != kind, F.lit(False))
+    return F.coalesce(F.col(kind_column) != kind, F.lit(False))
 
 
-def _misfit(path: str, kind: str) -> Column:
+def _misfit(kind_column: str, kind: str) -> Column:
     """As ``_is_other``, where a JSON null counts as absent."""
-    return F.coalesce(~_kind(path).isin(kind, "VOID"), F.lit(False))
-
-
-def _reference(path: str, suffix: str) -> list[Column]:
-    return [
-        F.coalesce(_text(path + ".namespace"), F.lit("")).alias(f"{suffix}_namespace"),
-        F.coalesce(_text(path + ".name"), F.lit("")).alias(f"{suffix}_name"),
-    ]
-
-
-def _layout() -> Column:
-    return F.coalesce(_text(LAYOUT), F.lit(""))
+    return F.coalesce(~F.col(kind_column).isin(kind, "VOID"), F.lit(False))
 
 
 def _reason() -> Column:
     """Why a document is rejected; the first failing rule wins, null if none fails."""
-    old = _layout() == ""
-    v1 = _layout() == "v1"
-    v2_capture = (_layout() == "v2") & _is(CAPTURE, "OBJECT")
-    spec_is_text = ~F.startswith(F.to_json(_part("$.spec")), F.lit("{"))
+    layout = F.coalesce("layout", F.lit(""))
+    old, v1 = layout == "", layout == "v1"
+    v2_capture = (layout == "v2") & _is("capture_is", "OBJECT")
     unreadable_layout = (
-        F.coalesce(spec_is_text, F.lit(False))
-        | _is_other(EXECUTION, "OBJECT")
-        | _is_other(LAYOUT, "STRING")
+        ~F.coalesce(F.startswith("spec_text", F.lit("{")), F.lit(True))
+        | _is_other("execution_is", "OBJECT")
+        | _is_other("layout_is", "STRING")
     )
     unreadable_execution = (
-        _misfit(SUSPENDED, "BOOLEAN")
-        | _misfit(STREAMING, "OBJECT")
-        | _misfit(CAPTURE, "OBJECT")
-        | _misfit(CAPTURE_TEMPLATE, "OBJECT")
-        | _misfit(BATCH, "OBJECT")
-        | _misfit(BATCH_TEMPLATE, "OBJECT")
-        | _misfit(SCHEDULE, "STRING")
+        _misfit("suspended_new_is", "BOOLEAN")
+        | _misfit("streaming_is", "OBJECT")
+        | _misfit("capture_is", "OBJECT")
+        | _misfit("capture_template_is", "OBJECT")
+        | _misfit("batch_is", "OBJECT")
+        | _misfit("batch_template_is", "OBJECT")
+        | _misfit("schedule_is", "STRING")
     )
     return (
-        F.when(F.col("_doc").isNull(), "document is not JSON")
+        F.when(~F.col("is_json"), "document is not JSON")
         .when(unreadable_layout, "layout is not readable")
-        .when(~_layout().isin("", "v1", "v2"), "layout is unknown")
+        .when(~layout.isin("", "v1", "v2"), "layout is unknown")
         .when(~old & unreadable_execution, "execution is not readable")
-        .when(
-            _is_other("$.status", "OBJECT") | _is_other("$.status.phase", "STRING"),
-            "phase is not readable",
-        )
-        .when(old & _kind(SUSPENDED_OLD).isNull(), "suspended is missing")
-        .when(old & _is_other(SUSPENDED_OLD, "BOOLEAN"), "suspended is not a boolean")
-        .when(_is_other("$.status.configurationHash", "STRING"), "configuration hash is not readable")
-        .when(old & _kind(RUN_TEMPLATE_OLD).isNull(), "job template is missing")
-        .when(old & _is_other(RUN_TEMPLATE_OLD, "OBJECT"), "job template is not an object")
-        .when(old & _kind(BACKFILL_TEMPLATE_OLD).isNull(), "backfill template is missing")
-        .when(old & _is_other(BACKFILL_TEMPLATE_OLD, "OBJECT"), "backfill template is not an object")
-        .when(v1 & _misfit(BACKFILL_TEMPLATE_V1, "OBJECT"), "backfill template is not an object")
-        .when(v1 & ~_is(BACKFILL_TEMPLATE_V1, "OBJECT"), "backfill template is missing")
-        .when(v2_capture & _misfit(BACKFILL_TEMPLATE_V2, "OBJECT"), "backfill template is not an object")
-        .when(v2_capture & ~_is(BACKFILL_TEMPLATE_V2, "OBJECT"), "backfill template is missing")
+        .when(_is_other("status_is", "OBJECT") | _is_other("phase_is", "STRING"), "phase is not readable")
+        .when(old & F.col("suspended_old_is").isNull(), "suspended is missing")
+        .when(old & _is_other("suspended_old_is", "BOOLEAN"), "suspended is not a boolean")
+        .when(_is_other("hash_is", "STRING"), "configuration hash is not readable")
+        .when(old & F.col("run_old_is").isNull(), "job template is missing")
+        .when(old & _is_other("run_old_is", "OBJECT"), "job template is not an object")
+        .when(old & F.col("backfill_old_is").isNull(), "backfill template is missing")
+        .when(old & _is_other("backfill_old_is", "OBJECT"), "backfill template is not an object")
+        .when(v1 & _misfit("backfill_v1_is", "OBJECT"), "backfill template is not an object")
+        .when(v1 & ~_is("backfill_v1_is", "OBJECT"), "backfill template is missing")
+        .when(v2_capture & _misfit("backfill_v2_is", "OBJECT"), "backfill template is not an object")
+        .when(v2_capture & ~_is("backfill_v2_is", "OBJECT"), "backfill template is missing")
     )
 
 
 def parsed_definitions(documents: DataFrame) -> DataFrame:
-    """Documents (``namespace``, ``name``, ``doc``) with the parsed ``_doc`` and a ``reason``."""
-    parsed = documents.select(*KEY, F.try_parse_json("doc").alias("_doc"))
-    return parsed.withColumn("reason", _reason())
+    """Documents (``namespace``, ``name``, ``doc``) with their fields, kinds and a ``reason``.
+
+    All fields come out of one ``inline`` so that each document is parsed once: a plain
+    projection would be merged into every later filter and parse again there.
+    """
+    document = F.col("_doc")
+
+    def part(path: str) -> Column:
+        return F.try_variant_get(document, path, "variant")
+
+    values = [F.try_variant_get(document, path, kind).alias(name) for name, path, kind in VALUES]
+    kinds = [
+        F.substring_index(F.schema_of_variant(part(path)), "<", 1).alias(name)
+        for name, path in KINDS.items()
+    ]
+    fields = F.struct(
+        document.isNotNull().alias("is_json"),
+        F.to_json(part("$.spec")).alias("spec_text"),
+        *values,
+        *kinds,
+    )
+    return (
+        documents.select(*KEY, F.try_parse_json("doc").alias("_doc"))
+        .select(*KEY, F.inline(F.array(fields)))
+        .withColumn("reason", _reason())
+    )
 
 
 def definitions_quarantine(documents: DataFrame) -> DataFrame:
@@ -130,9 +168,9 @@ def definitions_quarantine(documents: DataFrame) -> DataFrame:
 def backend_resolved() -> Column:
     """Scheduled batch wins over change capture; the old layout knows batch jobs only."""
     return (
-        F.when(_layout() == "", BATCH_JOB)
-        .when(_is(BATCH, "OBJECT"), CRON_JOB)
-        .when(_is(CAPTURE, "OBJECT"), BATCH_JOB)
+        F.when(F.coalesce("layout", F.lit("")) == "", BATCH_JOB)
+        .when(_is("batch_is", "OBJECT"), CRON_JOB)
+        .when(_is("capture_is", "OBJECT"), BATCH_JOB)
         .otherwise(NO_BACKEND)
     )
 
@@ -143,44 +181,41 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
     ``has_capture`` and ``has_batch`` tell which template references exist at all;
     ``schedule`` is null unless the backend is scheduled.
     """
-    old = _layout() == ""
+    layout = F.coalesce("layout", F.lit(""))
+    old = layout == ""
     backend = backend_resolved()
-    backfill_old, backfill_v1, backfill_v2 = (
-        _reference(path, "backfill_template")
-        for path in (BACKFILL_TEMPLATE_OLD, BACKFILL_TEMPLATE_V1, BACKFILL_TEMPLATE_V2)
-    )
-    run_old, run_capture = (_reference(p, "run_template") for p in (RUN_TEMPLATE_OLD, CAPTURE_TEMPLATE))
-    spec = canonical_json(_part("$.spec"))
+    spec = escaped(F.col("spec_text"))
+
+    def reference(template: str, by_layout: Callable[[str], Column]) -> list[Column]:
+        return [
+            F.coalesce(by_layout(field), F.lit("")).alias(f"{template}_template_{field}")
+            for field in ("namespace", "name")
+        ]
+
     return (
         parsed_definitions(documents)
         .filter("reason IS NULL")
         .select(
             *KEY,
-            _layout().alias("layout_version"),
-            F.coalesce(_text("$.kind"), F.lit("")).alias("kind"),
-            F.coalesce(_text("$.status.phase"), F.lit(NEW)).alias("phase"),
-            F.when(old, _flag(SUSPENDED_OLD))
-            .otherwise(F.coalesce(_flag(SUSPENDED), F.lit(False)))
+            layout.alias("layout_version"),
+            F.coalesce("kind", F.lit("")).alias("kind"),
+            F.coalesce("phase", F.lit(NEW)).alias("phase"),
+            F.when(old, F.col("suspended_old"))
+            .otherwise(F.coalesce("suspended_new", F.lit(False)))
             .alias("suspended"),
             backend.alias("backend"),
-            F.when(backend == CRON_JOB, F.coalesce(_text(SCHEDULE), F.lit(""))).alias("schedule"),
-            (~old & _is(CAPTURE, "OBJECT")).alias("has_capture"),
-            (~old & _is(BATCH, "OBJECT")).alias("has_batch"),
-            *[
-                F.when(old, a).otherwise(b).alias(n)
-                for a, b, n in zip(run_old, run_capture, ("run_template_namespace", "run_template_name"))
-            ],
-            *_reference(BATCH_TEMPLATE, "batch_template"),
-            *[
-                F.when(old, a).when(_layout() == "v1", b).otherwise(c).alias(n)
-                for a, b, c, n in zip(
-                    backfill_old,
-                    backfill_v1,
-                    backfill_v2,
-                    ("backfill_template_namespace", "backfill_template_name"),
-                )
-            ],
-            F.coalesce(_text("$.status.configurationHash"), F.lit("")).alias("applied_hash"),
+            F.when(backend == CRON_JOB, F.coalesce("schedule", F.lit(""))).alias("schedule"),
+            (~old & _is("capture_is", "OBJECT")).alias("has_capture"),
+            (~old & _is("batch_is", "OBJECT")).alias("has_batch"),
+            *reference("run", lambda f: F.when(old, F.col(f"run_old_{f}")).otherwise(F.col(f"capture_{f}"))),
+            *reference("batch", lambda f: F.col(f"batch_{f}")),
+            *reference(
+                "backfill",
+                lambda f: F.when(old, F.col(f"backfill_old_{f}"))
+                .when(layout == "v1", F.col(f"backfill_v1_{f}"))
+                .otherwise(F.col(f"backfill_v2_{f}")),
+            ),
+            F.coalesce("applied_hash", F.lit("")).alias("applied_hash"),
             spec.alias("spec_json"),
             configuration_checksum(spec).alias("current_hash"),
         )

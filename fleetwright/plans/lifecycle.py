@@ -1,15 +1,16 @@
 """One life-cycle decision per stream.
 
-The rules are an ordered list; the first one that holds decides. They become a single
-``when`` chain over a row that already has the stream's open request, job and previous
-backend, so the plan is three key joins and one projection.
+The rules are an ordered list; the first one that holds decides. A single ``when`` chain
+over a row that already has the stream's open request, job and previous backend finds the
+rule's number; action, next phase and event come from a rule table of fixed size, which is
+joined by that number. The plan is three key joins and one small broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwright.operators.definitions import KEY
@@ -114,22 +115,26 @@ RULES = [
 ]
 
 
-def _message(template: str) -> Column:
-    before, mark, after = template.partition("{}")
-    return F.concat(F.lit(before), F.col("name"), F.lit(after)) if mark else F.lit(template)
+UNMATCHED = Rule("unknown phase", "", "error", "", None, False)
 
 
-def _verdict(rule: Rule) -> Column:
-    kind, reason, message = rule.event or (None, None, None)
-    return F.struct(
-        F.lit(rule.name).alias("rule"),
-        F.lit(rule.action).alias("action"),
-        F.lit(rule.next_phase).alias("next_phase"),
-        F.lit(rule.on_backend).alias("on_backend"),
-        F.lit(kind).cast("string").alias("event_type"),
-        F.lit(reason).cast("string").alias("event_reason"),
-        (F.lit(None).cast("string") if message is None else _message(message)).alias("event_message"),
-    )
+def rule_table(spark: SparkSession) -> DataFrame:
+    """The rules as a table; its size is that of the list above."""
+    rows = [
+        F.struct(
+            F.lit(number).alias("rule_no"),
+            F.lit(rule.name).alias("rule"),
+            F.lit(rule.action).alias("rule_action"),
+            F.lit(rule.next_phase).alias("rule_phase"),
+            F.lit(rule.on_backend).alias("on_backend"),
+            *[
+                F.lit(rule.event[i] if rule.event else None).cast("string").alias(f"rule_{field}")
+                for i, field in enumerate(("event_type", "event_reason", "event_message"))
+            ],
+        )
+        for number, rule in enumerate([*RULES, UNMATCHED])
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 def stream_state(
@@ -142,51 +147,56 @@ def stream_state(
 
 def decide(state: DataFrame) -> DataFrame:
     """Apply the rules to rows of ``stream_state``."""
-    chain = F.when(F.expr(RULES[0].when), _verdict(RULES[0]))
-    for rule in RULES[1:]:
-        chain = chain.when(F.expr(rule.when), _verdict(rule))
-    unmatched = Rule("unknown phase", "", "error", "", None, False)
-    decided = state.withColumn("_v", chain.otherwise(_verdict(unmatched)))
+    number = F.when(F.expr(RULES[0].when), 0)
+    for i, rule in enumerate(RULES[1:], start=1):
+        number = number.when(F.expr(rule.when), i)
+    decided = state.withColumn("rule_no", number.otherwise(len(RULES))).join(
+        F.broadcast(rule_table(state.sparkSession)), "rule_no"
+    )
 
-    idle = F.col("_v.on_backend") & (F.col("backend") == NO_BACKEND)
+    idle = F.col("on_backend") & (F.col("backend") == NO_BACKEND)
     where = F.concat_ws("/", *KEY)
     error = (
         F.when(
-            F.col("_v.rule") == unmatched.name,
+            F.col("rule") == UNMATCHED.name,
             F.concat(F.lit("failed to reconcile Stream FSM for "), where,
                      F.lit(". Current state: phase="), F.col("phase")),
         )
         .when(
-            F.col("_v.action") == "error",
+            F.col("rule_action") == "error",
             F.concat(F.lit("failed to transit backend for stream "), where,
                      F.lit(": unknown backend "), F.col("backend"), F.lit(" for stream "), where),
         )
         .when(
-            idle & (F.col("_v.action") == "apply") & F.col("_v.event_reason").isNull(),
+            idle & (F.col("rule_action") == "apply") & F.col("rule_event_reason").isNull(),
             F.concat(F.lit("no backend to apply for stream "), where),
         )
     )
-    failed = error.isNotNull()
-    next_phase = F.when(failed | idle, F.col("phase")).otherwise(F.col("_v.next_phase"))
-    seen = idle | (next_phase != F.col("phase"))
+    failed = F.col("error").isNotNull()
+    seen = F.col("idle") | (F.col("next_phase") != F.col("phase"))
 
     def event(field: str, on_error: Column) -> Column:
-        return F.when(failed, on_error).when(seen, F.col(f"_v.{field}")).alias(field)
-
-    return decided.select(
-        *KEY,
-        "stream_class",
-        "phase",
-        F.col("_v.rule").alias("rule"),
-        F.when(failed, "error").when(idle, "none").otherwise(F.col("_v.action")).alias("action"),
-        next_phase.alias("next_phase"),
-        event("event_type", F.lit("Warning")),
-        event("event_reason", F.lit("StreamSuspended")),
-        event("event_message", F.concat(F.lit("Failed to reconcile the stream: "), error)),
-        F.when(F.col("_v.rule") == "backfilling, job completed", F.col("request_name")).alias(
-            "completed_request"
-        ),
-        error.alias("error"),
+        shown = F.replace(F.col(f"rule_{field}"), F.lit("{}"), F.col("name"))
+        return F.when(failed, on_error).when(seen, shown).alias(field)
+
+    return (
+        decided.withColumns({"idle": idle, "error": error})
+        .withColumn("next_phase", F.when(failed | F.col("idle"), F.col("phase")).otherwise(F.col("rule_phase")))
+        .select(
+            *KEY,
+            "stream_class",
+            "phase",
+            "rule",
+            F.when(failed, "error").when(F.col("idle"), "none").otherwise(F.col("rule_action")).alias("action"),
+            "next_phase",
+            event("event_type", F.lit("Warning")),
+            event("event_reason", F.lit("StreamSuspended")),
+            event("event_message", F.concat(F.lit("Failed to reconcile the stream: "), F.col("error"))),
+            F.when(F.col("rule") == "backfilling, job completed", F.col("request_name")).alias(
+                "completed_request"
+            ),
+            "error",
+        )
     )
 
 
