@@ -513,7 +513,7 @@ def plugin_source_files(spark, folder):
 def backfill_load(spark, folder):
     f = Fleet(spark, folder)
     asked = requests.open_requests(f.backfill_request)
-    loaded, _ = loads.backfill_load(spark, f.source, asked, new_folder(spark, "backfill"))
+    loaded, _ = loads.backfill_load(spark, f.source, asked, new_folder(spark, "backfill"), "1")
     return loaded
 
 
@@ -521,7 +521,7 @@ def backfill_load(spark, folder):
 def backfill_completed_requests(spark, folder):
     f = Fleet(spark, folder)
     asked = requests.open_requests(f.backfill_request)
-    _, completed = loads.backfill_load(spark, f.source, asked, new_folder(spark, "backfill"))
+    _, completed = loads.backfill_load(spark, f.source, asked, new_folder(spark, "backfill"), "1")
     return completed
 
 

@@ -58,6 +58,7 @@ VALUES = [
 
 # Fields whose JSON kind matters for validity.
 KINDS = {
+    "spec_is": "$.spec",
     "execution_is": EXECUTION,
     "layout_is": LAYOUT,
     "status_is": "$.status",
@@ -98,7 +99,7 @@ def _reason() -> Column:
     old, v1 = layout == "", layout == "v1"
     v2_capture = (layout == "v2") & _is("capture_is", "OBJECT")
     unreadable_layout = (
-        ~F.coalesce(F.startswith("spec_text", F.lit("{")), F.lit(True))
+        _is_other("spec_is", "OBJECT")
         | _is_other("execution_is", "OBJECT")
         | _is_other("layout_is", "STRING")
     )
@@ -149,7 +150,7 @@ def parsed_definitions(documents: DataFrame) -> DataFrame:
     ]
     fields = F.struct(
         document.isNotNull().alias("is_json"),
-        F.to_json(part("$.spec")).alias("spec_text"),
+        part("$.spec").alias("spec"),
         *values,
         *kinds,
     )
@@ -184,7 +185,7 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
     layout = F.coalesce("layout", F.lit(""))
     old = layout == ""
     backend = backend_resolved()
-    spec = escaped(F.col("spec_text"))
+    spec = escaped(F.to_json("spec"))
 
     def reference(template: str, by_layout: Callable[[str], Column]) -> list[Column]:
         return [

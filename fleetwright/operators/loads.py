@@ -1,8 +1,8 @@
 """The data jobs of a stream: backfill, scheduled reload, hand-off, gap fill.
 
 Source rows carry the stream's ``name``, an event time ``ts``, a unique ``event_id`` and
-payload columns. Targets are folders of parquet, one sub-folder per backfill id, so a run
-that is repeated after a failure overwrites its own output and nothing else.
+payload columns. Targets are folders of parquet, one sub-folder per load or run, so one that
+is repeated after a failure overwrites its own output and nothing else.
 """
 
 from __future__ import annotations
@@ -21,32 +21,20 @@ def backfill_rows(source: DataFrame, open_requests: DataFrame) -> DataFrame:
     return source.join(runs, "name", "inner")
 
 
-def write_backfill(rows: DataFrame, target: str) -> None:
-    """Overwrite the sub-folders of the backfill ids in ``rows``; others stay.
-
-    The rebalance hint gathers small backfills into few files and splits a stream that holds
-    a large part of all rows over many tasks.
-    """
-    (
-        rows.hint("rebalance", "backfill_id")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("backfill_id")
-        .parquet(target)
-    )
-
-
 def backfill_load(
-    spark: SparkSession, source: DataFrame, open_requests: DataFrame, target: str
+    spark: SparkSession, source: DataFrame, open_requests: DataFrame, target: str, load_id: str
 ) -> tuple[DataFrame, DataFrame]:
     """Run all open backfills; returns the loaded rows and the requests to mark completed.
 
-    A request is completed only once its rows are written.
+    A load owns one sub-folder, so repeating it after a failure overwrites its own rows only.
+    Rows are gathered by backfill id, so that readers of one id skip the other row groups;
+    the rebalance hint splits an id that holds a large part of all rows over many tasks. A
+    request is completed only once its rows are written.
     """
     rows = backfill_rows(source, open_requests)
-    write_backfill(rows, target)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    loaded = spark.read.schema(schema).parquet(target)
+    folder = f"{target.rstrip('/')}/load_id={load_id}"
+    rows.hint("rebalance", "backfill_id").sortWithinPartitions("backfill_id").write.mode("overwrite").parquet(folder)
+    loaded = spark.read.schema(rows.schema).parquet(folder)
     return loaded, open_requests.select("namespace", "request_name", F.lit(True).alias("completed"))
 
 

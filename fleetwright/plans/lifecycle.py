@@ -118,23 +118,29 @@ RULES = [
 UNMATCHED = Rule("unknown phase", "", "error", "", None, False)
 
 
+def _literal(value) -> str:
+    return "CAST(NULL AS STRING)" if value is None else repr(value).lower() if isinstance(value, bool) else f"'{value}'"
+
+
 def rule_table(spark: SparkSession) -> DataFrame:
     """The rules as a table; its size is that of the list above."""
     rows = [
-        F.struct(
-            F.lit(number).alias("rule_no"),
-            F.lit(rule.name).alias("rule"),
-            F.lit(rule.action).alias("rule_action"),
-            F.lit(rule.next_phase).alias("rule_phase"),
-            F.lit(rule.on_backend).alias("on_backend"),
-            *[
-                F.lit(rule.event[i] if rule.event else None).cast("string").alias(f"rule_{field}")
-                for i, field in enumerate(("event_type", "event_reason", "event_message"))
-            ],
+        f"({number}, "
+        + ", ".join(
+            _literal(v)
+            for v in (r.name, r.action, r.next_phase, r.on_backend, *(r.event or (None, None, None)))
         )
-        for number, rule in enumerate([*RULES, UNMATCHED])
+        + ")"
+        for number, r in enumerate([*RULES, UNMATCHED])
     ]
-    return spark.range(1).select(F.inline(F.array(*rows)))
+    columns = "rule_no, rule, rule_action, rule_phase, on_backend, rule_event_type, rule_event_reason, rule_event_message"
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS rules({columns})")
+
+
+def rule_number() -> Column:
+    """Number of the first rule that holds."""
+    cases = " ".join(f"WHEN {rule.when} THEN {number}" for number, rule in enumerate(RULES))
+    return F.expr(f"CASE {cases} ELSE {len(RULES)} END")
 
 
 def stream_state(
@@ -147,10 +153,7 @@ def stream_state(
 
 def decide(state: DataFrame) -> DataFrame:
     """Apply the rules to rows of ``stream_state``."""
-    number = F.when(F.expr(RULES[0].when), 0)
-    for i, rule in enumerate(RULES[1:], start=1):
-        number = number.when(F.expr(rule.when), i)
-    decided = state.withColumn("rule_no", number.otherwise(len(RULES))).join(
+    decided = state.withColumn("rule_no", rule_number()).join(
         F.broadcast(rule_table(state.sparkSession)), "rule_no"
     )
 

@@ -24,7 +24,7 @@ def source_stream(
     file_format: str,
     path: str,
     schema: StructType | str,
-    max_bytes_per_trigger: str | None = None,
+    max_bytes_per_trigger: int | None = None,
 ) -> DataFrame:
     """New files below ``path`` as a stream; ``max_bytes_per_trigger`` bounds a micro-batch."""
     reader = spark.readStream.format(_checked(file_format)).schema(schema)
