@@ -80,12 +80,7 @@ class Fleet:
     def bare_runs(self) -> DataFrame:
         """Runs before any step, with their request columns."""
         asked = requests.stream_open_request(self.stream_run, self.backfill_request)
-        text = F.lit(None).cast("string")
-        return (
-            parameters.with_request_columns(asked)
-            .withColumns({"run_name": text, "run_namespace": text})
-            .transform(parameters.start)
-        )
+        return parameters.with_request_columns(asked)
 
     @property
     def source(self) -> DataFrame:
@@ -424,61 +419,56 @@ def run_parameter_errors(spark, folder):
     return parameters.errors(Fleet(spark, folder).built_runs)
 
 
+def _built(spark, folder, *steps) -> DataFrame:
+    return parameters.build(Fleet(spark, folder).bare_runs, steps)
+
+
 @query
 def run_key(spark, folder):
-    return parameters.run_key(Fleet(spark, folder).bare_runs).select(*KEY, "run_name", "run_namespace", "error")
+    return _built(spark, folder, parameters.run_key()).select(*KEY, "run_name", "run_namespace", "error")
 
 
 @query
 def stream_metadata_variables(spark, folder):
-    return parameters.variables(Fleet(spark, folder).bare_runs.transform(parameters.stream_metadata()))
+    return parameters.variables(_built(spark, folder, parameters.stream_metadata()))
 
 
 @query
 def spec_variable(spark, folder):
-    return parameters.variables(
-        Fleet(spark, folder).bare_runs.transform(parameters.stream_context("spec", "spec_json"))
-    )
+    return parameters.variables(_built(spark, folder, parameters.stream_context("spec", "spec_json")))
 
 
 @query
 def backfill_flag(spark, folder):
     asked = F.col("override_json").isNotNull()
-    return parameters.variables(Fleet(spark, folder).bare_runs.transform(parameters.backfill_flag(asked)))
+    return parameters.variables(_built(spark, folder, parameters.backfill_flag(asked)))
 
 
 @query
 def static_backfill_id(spark, folder):
     asked = F.col("override_json").isNotNull()
-    return parameters.variables(
-        Fleet(spark, folder).bare_runs.transform(parameters.static_backfill_id("request_name", asked))
-    )
+    return parameters.variables(_built(spark, folder, parameters.static_backfill_id("request_name", asked)))
 
 
 @query
 def dynamic_backfill_id(spark, folder):
-    return parameters.variables(
-        Fleet(spark, folder).bare_runs.transform(
-            parameters.dynamic_backfill_id(F.col("backend") == CRON_JOB)
-        )
-    )
+    cron = F.col("backend") == CRON_JOB
+    return parameters.variables(_built(spark, folder, parameters.dynamic_backfill_id(cron)))
 
 
 @query
 def request_part(spark, folder):
-    return parameters.variables(Fleet(spark, folder).bare_runs.transform(parameters.request_part))
+    return parameters.variables(_built(spark, folder, *parameters.request_part()))
 
 
 @query
 def checksum_annotation(spark, folder):
-    return parameters.entries(
-        Fleet(spark, folder).bare_runs.transform(parameters.checksum_annotation), "annotations"
-    )
+    return parameters.entries(_built(spark, folder, parameters.checksum_annotation()), "annotations")
 
 
 @query
 def owner_reference(spark, folder):
-    return parameters.owners(Fleet(spark, folder).bare_runs.transform(parameters.owner_reference))
+    return parameters.owners(_built(spark, folder, parameters.owner_reference()))
 
 
 @query

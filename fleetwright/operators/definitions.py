@@ -6,13 +6,11 @@ type, so a missing field and a field of the wrong type stay apart.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.text import configuration_checksum, escaped
-from fleetwright.vocabulary import BATCH_JOB, CRON_JOB, NEW, NO_BACKEND
+from fleetwright.vocabulary import BATCH_JOB, CRON_JOB, NO_BACKEND
 
 KEY = ["namespace", "name"]
 
@@ -33,29 +31,6 @@ BATCH_TEMPLATE = "$.spec.execution.streamingBackend.batch.jobTemplateRef"
 SCHEDULE = "$.spec.execution.streamingBackend.batch.schedule"
 
 
-# Fields that are read as they stand, as (column, path, type).
-VALUES = [
-    ("layout", LAYOUT, "string"),
-    ("kind", "$.kind", "string"),
-    ("phase", "$.status.phase", "string"),
-    ("applied_hash", "$.status.configurationHash", "string"),
-    ("suspended_old", SUSPENDED_OLD, "boolean"),
-    ("suspended_new", SUSPENDED, "boolean"),
-    ("schedule", SCHEDULE, "string"),
-    *[
-        (f"{column}_{field}", f"{path}.{field}", "string")
-        for column, path in (
-            ("run_old", RUN_TEMPLATE_OLD),
-            ("capture", CAPTURE_TEMPLATE),
-            ("batch", BATCH_TEMPLATE),
-            ("backfill_old", BACKFILL_TEMPLATE_OLD),
-            ("backfill_v1", BACKFILL_TEMPLATE_V1),
-            ("backfill_v2", BACKFILL_TEMPLATE_V2),
-        )
-        for field in ("namespace", "name")
-    ],
-]
-
 # Fields whose JSON kind matters for validity.
 KINDS = {
     "spec_is": "$.spec",
@@ -95,7 +70,7 @@ def _misfit(kind_column: str, kind: str) -> Column:
 
 def _reason() -> Column:
     """Why a document is rejected; the first failing rule wins, null if none fails."""
-    layout = F.coalesce("layout", F.lit(""))
+    layout = F.col("layout")
     old, v1 = layout == "", layout == "v1"
     v2_capture = (layout == "v2") & _is("capture_is", "OBJECT")
     unreadable_layout = (
@@ -113,7 +88,7 @@ def _reason() -> Column:
         | _misfit("schedule_is", "STRING")
     )
     return (
-        F.when(~F.col("is_json"), "document is not JSON")
+        F.when(F.col("doc").isNull(), "document is not JSON")
         .when(unreadable_layout, "layout is not readable")
         .when(~layout.isin("", "v1", "v2"), "layout is unknown")
         .when(~old & unreadable_execution, "execution is not readable")
@@ -133,25 +108,20 @@ def _reason() -> Column:
 
 
 def parsed_definitions(documents: DataFrame) -> DataFrame:
-    """Documents (``namespace``, ``name``, ``doc``) with their fields, kinds and a ``reason``.
+    """Parsed documents (``namespace``, ``name``, ``doc``) with field kinds and a ``reason``.
 
-    All fields come out of one ``inline`` so that each document is parsed once: a plain
-    projection would be merged into every later filter and parse again there.
+    The parsed document and the kinds come out of one ``inline``, so that each document is
+    parsed once: a plain projection would be merged into every later filter and parse again
+    there. Values are read afterwards, only where they are used.
     """
     document = F.col("_doc")
-
-    def part(path: str) -> Column:
-        return F.try_variant_get(document, path, "variant")
-
-    values = [F.try_variant_get(document, path, kind).alias(name) for name, path, kind in VALUES]
     kinds = [
-        F.substring_index(F.schema_of_variant(part(path)), "<", 1).alias(name)
+        F.substring_index(F.schema_of_variant(F.try_variant_get(document, path, "variant")), "<", 1).alias(name)
         for name, path in KINDS.items()
     ]
     fields = F.struct(
-        document.isNotNull().alias("is_json"),
-        part("$.spec").alias("spec"),
-        *values,
+        document.alias("doc"),
+        F.coalesce(F.try_variant_get(document, LAYOUT, "string"), F.lit("")).alias("layout"),
         *kinds,
     )
     return (
@@ -169,7 +139,7 @@ def definitions_quarantine(documents: DataFrame) -> DataFrame:
 def backend_resolved() -> Column:
     """Scheduled batch wins over change capture; the old layout knows batch jobs only."""
     return (
-        F.when(F.coalesce("layout", F.lit("")) == "", BATCH_JOB)
+        F.when(F.col("layout") == "", BATCH_JOB)
         .when(_is("batch_is", "OBJECT"), CRON_JOB)
         .when(_is("capture_is", "OBJECT"), BATCH_JOB)
         .otherwise(NO_BACKEND)
@@ -182,16 +152,28 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
     ``has_capture`` and ``has_batch`` tell which template references exist at all;
     ``schedule`` is null unless the backend is scheduled.
     """
-    layout = F.coalesce("layout", F.lit(""))
+    layout = F.col("layout")
     old = layout == ""
     backend = backend_resolved()
-    spec = escaped(F.to_json("spec"))
+    spec = escaped(F.to_json(F.try_variant_get("doc", "$.spec", "variant")))
+
+    def text(path: str) -> Column:
+        return F.coalesce(F.try_variant_get("doc", path, "string"), F.lit(""))
+
+    def flag(path: str) -> Column:
+        return F.coalesce(F.try_variant_get("doc", path, "boolean"), F.lit(False))
+
+    def reference(template: str, paths: dict[str, str]) -> list[Column]:
+        """Namespace and name of a template that each layout keeps elsewhere."""
+
+        def of_layout(field: str) -> Column:
+            (first, path), *others = paths.items()
+            value = F.when(layout == first, text(f"{path}.{field}"))
+            for version, path in others:
+                value = value.when(layout == version, text(f"{path}.{field}"))
+            return F.coalesce(value, F.lit(""))
 
-    def reference(template: str, by_layout: Callable[[str], Column]) -> list[Column]:
-        return [
-            F.coalesce(by_layout(field), F.lit("")).alias(f"{template}_template_{field}")
-            for field in ("namespace", "name")
-        ]
+        return [of_layout(field).alias(f"{template}_template_{field}") for field in ("namespace", "name")]
 
     return (
         parsed_definitions(documents)
@@ -199,27 +181,22 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
         .select(
             *KEY,
             layout.alias("layout_version"),
-            F.coalesce("kind", F.lit("")).alias("kind"),
-            F.coalesce("phase", F.lit(NEW)).alias("phase"),
-            F.when(old, F.col("suspended_old"))
-            .otherwise(F.coalesce("suspended_new", F.lit(False)))
-            .alias("suspended"),
+            text("$.kind").alias("kind"),
+            text("$.status.phase").alias("phase"),
+            F.when(old, flag(SUSPENDED_OLD)).otherwise(flag(SUSPENDED)).alias("suspended"),
             backend.alias("backend"),
-            F.when(backend == CRON_JOB, F.coalesce("schedule", F.lit(""))).alias("schedule"),
+            F.when(backend == CRON_JOB, text(SCHEDULE)).alias("schedule"),
             (~old & _is("capture_is", "OBJECT")).alias("has_capture"),
             (~old & _is("batch_is", "OBJECT")).alias("has_batch"),
-            *reference("run", lambda f: F.when(old, F.col(f"run_old_{f}")).otherwise(F.col(f"capture_{f}"))),
-            *reference("batch", lambda f: F.col(f"batch_{f}")),
+            *reference("run", {"": RUN_TEMPLATE_OLD, "v1": CAPTURE_TEMPLATE, "v2": CAPTURE_TEMPLATE}),
+            *reference("batch", {"v1": BATCH_TEMPLATE, "v2": BATCH_TEMPLATE}),
             *reference(
-                "backfill",
-                lambda f: F.when(old, F.col(f"backfill_old_{f}"))
-                .when(layout == "v1", F.col(f"backfill_v1_{f}"))
-                .otherwise(F.col(f"backfill_v2_{f}")),
+                "backfill", {"": BACKFILL_TEMPLATE_OLD, "v1": BACKFILL_TEMPLATE_V1, "v2": BACKFILL_TEMPLATE_V2}
             ),
-            F.coalesce("applied_hash", F.lit("")).alias("applied_hash"),
+            text("$.status.configurationHash").alias("applied_hash"),
             spec.alias("spec_json"),
-            configuration_checksum(spec).alias("current_hash"),
         )
+        .withColumn("current_hash", configuration_checksum(F.col("spec_json")))
     )
 
 

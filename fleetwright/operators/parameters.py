@@ -1,24 +1,20 @@
 """Parameters of a run: variables, labels, annotations and owners.
 
-Each step is a ``DataFrame -> DataFrame`` function for ``DataFrame.transform``. A step
-that fails puts its text into ``error``; later steps leave such a row as it is. Rows carry
-``containers``, ``labels``, ``annotations``, ``owner_references`` and ``error``.
+Each step says what it changes; ``build`` applies a list of steps in order, in one pass
+over a row. The first step that fails stops the chain: its text goes into ``error`` and the
+row stays as it was. Rows carry ``containers``, ``labels``, ``annotations`` and
+``owner_references``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Sequence
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.environment import (
-    append_variable,
-    has_variable,
-    put,
-    set_source,
-    set_value,
-)
+from fleetwright.functions.environment import Variable, has_variable, put, set_variables
 from fleetwright.functions.text import configuration_checksum, request_json
 from fleetwright.operators.definitions import KEY
 from fleetwright.vocabulary import (
@@ -33,121 +29,129 @@ from fleetwright.vocabulary import (
     VARIABLE_PREFIX,
 )
 
-Step = Callable[[DataFrame], DataFrame]
-
 
-def _step(df: DataFrame, changes: dict[str, Column], fails: Column | None = None, only: Column | None = None):
-    """Apply ``changes`` to rows without an error (and where ``only`` holds); then note new errors."""
-    applies = F.col("error").isNull()
-    if only is not None:
-        applies = applies & only
-    error = F.col("error") if fails is None else F.when(applies, fails).otherwise(F.col("error"))
-    done = applies if fails is None else applies & fails.isNull()
-    return df.withColumns(
-        {c: F.when(done, value).otherwise(F.col(c)) for c, value in changes.items()} | {"error": error}
+@dataclass(frozen=True)
+class Step:
+    """What one step changes on a run. ``only`` restricts it to some rows."""
+
+    columns: dict[str, Column] = field(default_factory=dict)
+    variables: tuple[Variable, ...] = ()
+    labels: dict[str, Column] = field(default_factory=dict)
+    annotations: dict[str, Column] = field(default_factory=dict)
+    owner: Column | None = None
+    error: Column | None = None
+    only: Column | None = None
+
+    def where(self, value: Column) -> Column:
+        return value if self.only is None else F.when(self.only, value)
+
+
+def _latest(steps: Sequence[Step], part: str) -> dict[str, Column]:
+    """Entries of all steps by key; where several steps set a key, the last that holds wins."""
+    entries: dict[str, Column] = {}
+    for step in steps:
+        for key, value in getattr(step, part).items():
+            value = step.where(value)
+            entries[key] = F.coalesce(value, entries[key]) if key in entries else value
+    return entries
+
+
+def build(runs: DataFrame, steps: Sequence[Step]) -> DataFrame:
+    """Runs after all steps."""
+    errors = [s.where(s.error) for s in steps if s.error is not None]
+    variables = [
+        replace(v, only=s.only) if s.only is not None else v for s in steps for v in s.variables
+    ]
+    owners = [s.where(s.owner) for s in steps if s.owner is not None]
+    changes = {name: value for s in steps for name, value in s.columns.items()}
+    if variables:
+        changes["containers"] = set_variables(F.col("containers"), variables)
+    for part in ("labels", "annotations"):
+        entries = _latest(steps, part)
+        if entries:
+            changes[part] = put(F.col(part), entries)
+    if owners:
+        changes["owner_references"] = F.concat("owner_references", F.array_compact(F.array(*owners)))
+    checked = runs.withColumn("error", F.coalesce(*errors) if errors else F.lit(None).cast("string"))
+    valid = F.col("error").isNull()
+    return checked.withColumns(
+        {
+            name: F.when(valid, value).otherwise(F.col(name)) if name in runs.columns else F.when(valid, value)
+            for name, value in changes.items()
+        }
     )
 
 
-def start(runs: DataFrame) -> DataFrame:
-    return runs.withColumn("error", F.lit(None).cast("string"))
-
-
-def run_key(df: DataFrame) -> DataFrame:
+def run_key() -> Step:
     """Take name and namespace from the stream; neither may be empty."""
-    fails = F.when(F.col("name") == "", "job name is empty").when(F.col("namespace") == "", "namespace is empty")
-    return _step(df, {"run_name": F.col("name"), "run_namespace": F.col("namespace")}, fails)
+    error = F.when(F.col("name") == "", "job name is empty").when(
+        F.col("namespace") == "", "namespace is empty"
+    )
+    return Step(columns={"run_name": F.col("name"), "run_namespace": F.col("namespace")}, error=error)
 
 
 def stream_metadata(prefix: str = LABEL_PREFIX) -> Step:
     """Stream id and kind as variables, which must not be taken yet, and as labels."""
-
-    def step(df: DataFrame) -> DataFrame:
-        taken = "environment variable {} already present"
-        fails = (
-            F.when(F.col("name") == "", "stream id is empty")
-            .when(F.col("kind") == "", "stream kind is empty")
-            .when(has_variable(F.col("containers"), STREAM_ID), taken.format(STREAM_ID))
-            .when(has_variable(F.col("containers"), STREAM_KIND), taken.format(STREAM_KIND))
-        )
-        variables = append_variable(F.col("containers"), STREAM_ID, F.col("name"))
-        variables = append_variable(variables, STREAM_KIND, F.col("kind"))
-        labels = put(F.col("labels"), f"{prefix}/stream-id", F.col("name"))
-        labels = put(labels, f"{prefix}/stream-kind", F.col("kind"))
-        return _step(df, {"containers": variables, "labels": labels}, fails)
-
-    return step
+    taken = "environment variable {} already present"
+    error = (
+        F.when(F.col("name") == "", "stream id is empty")
+        .when(F.col("kind") == "", "stream kind is empty")
+        .when(has_variable(F.col("containers"), STREAM_ID), taken.format(STREAM_ID))
+        .when(has_variable(F.col("containers"), STREAM_KIND), taken.format(STREAM_KIND))
+    )
+    return Step(
+        variables=(
+            Variable(STREAM_ID, F.col("name"), always_new=True),
+            Variable(STREAM_KIND, F.col("kind"), always_new=True),
+        ),
+        labels={f"{prefix}/stream-id": F.col("name"), f"{prefix}/stream-kind": F.col("kind")},
+        error=error,
+    )
 
 
 def stream_context(key: str, json_column: str, only: Column | None = None) -> Step:
     """A JSON text as variable; a second one of the same name is simply added."""
-    name = VARIABLE_PREFIX + key.upper()
+    value = F.coalesce(json_column, F.lit(""))
+    return Step(variables=(Variable(VARIABLE_PREFIX + key.upper(), value, always_new=True),), only=only)
 
-    def step(df: DataFrame) -> DataFrame:
-        value = F.coalesce(json_column, F.lit(""))
-        return _step(df, {"containers": append_variable(F.col("containers"), name, value)}, only=only)
 
-    return step
-
-
-def owner_reference(df: DataFrame) -> DataFrame:
+def owner_reference() -> Step:
     """Add the stream as controlling owner; owners already there stay."""
-    owner = F.struct(
-        F.col("api_version"), F.col("kind"), F.col("name"), F.col("uid"), F.lit(True).alias("controller")
+    return Step(
+        owner=F.struct("api_version", "kind", "name", "uid", F.lit(True).alias("controller"))
     )
-    return _step(df, {"owner_references": F.concat("owner_references", F.array(owner))})
 
 
 def backfill_flag(flag: Column, only: Column | None = None, prefix: str = LABEL_PREFIX) -> Step:
     """Whether the run is a backfill, as variable and as label."""
     text = flag.cast("string")
-
-    def step(df: DataFrame) -> DataFrame:
-        return _step(
-            df,
-            {
-                "containers": set_value(F.col("containers"), BACKFILL, text),
-                "labels": put(F.col("labels"), f"{prefix}/backfilling", text),
-            },
-            only=only,
-        )
-
-    return step
+    return Step(variables=(Variable(BACKFILL, text),), labels={f"{prefix}/backfilling": text}, only=only)
 
 
 def static_backfill_id(value: str, only: Column | None = None) -> Step:
     """Backfill id given by the request's name."""
-
-    def step(df: DataFrame) -> DataFrame:
-        given = F.coalesce(value, F.lit(""))
-        return _step(df, {"containers": set_value(F.col("containers"), BACKFILL_ID, given)}, only=only)
-
-    return step
+    return Step(variables=(Variable(BACKFILL_ID, F.coalesce(value, F.lit(""))),), only=only)
 
 
 def dynamic_backfill_id(only: Column | None = None) -> Step:
     """Backfill id that each run takes from its own name."""
+    return Step(variables=(Variable(BACKFILL_ID, value_from=F.lit(RUN_ID_FIELD)),), only=only)
 
-    def step(df: DataFrame) -> DataFrame:
-        source = F.lit(RUN_ID_FIELD)
-        return _step(df, {"containers": set_source(F.col("containers"), BACKFILL_ID, source)}, only=only)
 
-    return step
+def request_part(prefix: str = LABEL_PREFIX) -> list[Step]:
+    """No request: no backfill. A request: its spec as OVERRIDE, the flag and its name as id."""
+    asked = F.col("override_json").isNotNull()
+    return [
+        stream_context("override", "override_json", only=asked),
+        backfill_flag(asked, prefix=prefix),
+        static_backfill_id("request_name", only=asked),
+    ]
 
 
-def checksum_annotation(df: DataFrame) -> DataFrame:
+def checksum_annotation() -> Step:
     """Checksum the run is made from; it must not be empty, other annotations stay."""
-    fails = F.when(F.coalesce("checksum", F.lit("")) == "", "configuration checksum is empty")
-    return _step(df, {"annotations": put(F.col("annotations"), CONFIGURATION_HASH, F.col("checksum"))}, fails)
-
-
-def request_part(df: DataFrame) -> DataFrame:
-    """No request: no backfill. A request: its spec as OVERRIDE, the flag and its name as id."""
-    asked = F.col("override_json").isNotNull()
-    return (
-        df.transform(stream_context("override", "override_json", only=asked))
-        .transform(backfill_flag(asked))
-        .transform(static_backfill_id("request_name", only=asked))
-    )
+    error = F.when(F.coalesce("checksum", F.lit("")) == "", "configuration checksum is empty")
+    return Step(annotations={CONFIGURATION_HASH: F.col("checksum")}, error=error)
 
 
 def with_request_columns(streams: DataFrame) -> DataFrame:
@@ -175,19 +179,18 @@ def run_parameters(streams: DataFrame, prefix: str = LABEL_PREFIX) -> DataFrame:
     the cron job, whose own annotation is the checksum without the placeholder.
     """
     cron = F.col("backend") == CRON_JOB
-    text = F.lit(None).cast("string")
-    built = (
-        with_request_columns(streams)
-        .withColumns({"run_name": text, "run_namespace": text})
-        .transform(start)
-        .transform(run_key)
-        .transform(stream_metadata(prefix))
-        .transform(stream_context("spec", "spec_json"))
-        .transform(owner_reference)
-        .transform(backfill_flag(F.lit(True), only=cron, prefix=prefix))
-        .transform(dynamic_backfill_id(only=cron))
-        .transform(request_part)
-        .transform(checksum_annotation)
+    built = build(
+        with_request_columns(streams),
+        [
+            run_key(),
+            stream_metadata(prefix),
+            stream_context("spec", "spec_json"),
+            owner_reference(),
+            backfill_flag(F.lit(True), only=cron, prefix=prefix),
+            dynamic_backfill_id(only=cron),
+            *request_part(prefix),
+            checksum_annotation(),
+        ],
     )
     nothing = F.create_map().cast("map<string,string>")
     own = F.create_map(F.lit(CONFIGURATION_HASH), F.md5("spec_json"))
@@ -204,9 +207,7 @@ def run_parameters(streams: DataFrame, prefix: str = LABEL_PREFIX) -> DataFrame:
 
 def variables(built: DataFrame) -> DataFrame:
     """One row per container and variable of runs without an error."""
-    containers = built.filter("error IS NULL").select(
-        *KEY, F.explode("containers").alias("c")
-    )
+    containers = built.filter("error IS NULL").select(*KEY, F.explode("containers").alias("c"))
     return containers.select(
         *KEY, F.col("c.name").alias("container"), F.posexplode("c.env").alias("position", "v")
     ).select(*KEY, "container", "position", F.col("v.name").alias("variable"), "v.value", "v.value_from")
@@ -222,8 +223,13 @@ def owners(built: DataFrame) -> DataFrame:
     return (
         built.filter("error IS NULL")
         .select(*KEY, F.posexplode("owner_references").alias("position", "o"))
-        .select(*KEY, "position", F.col("o.kind").alias("owner_kind"), F.col("o.name").alias("owner_name"),
-                F.col("o.controller").alias("controller"))
+        .select(
+            *KEY,
+            "position",
+            F.col("o.kind").alias("owner_kind"),
+            F.col("o.name").alias("owner_name"),
+            F.col("o.controller").alias("controller"),
+        )
     )
 
 

@@ -30,7 +30,7 @@ def env(df, container="c"):
 
 def test_metadata_goes_to_every_container(spark):
     df = run(spark, {"c": [("X", "1")], "d": []}, labels={"k": "v"})
-    out = p.stream_metadata()(p.start(df))
+    out = p.build(df, [p.stream_metadata()])
     added = [("STREAMCONTEXT__STREAM_ID", "s1", None), ("STREAMCONTEXT__STREAM_KIND", "K", None)]
     assert env(out) == [("X", "1", None), *added]
     assert env(out, "d") == added
@@ -42,56 +42,57 @@ def test_metadata_goes_to_every_container(spark):
     [({"name": ""}, "stream id is empty"), ({"kind": ""}, "stream kind is empty")],
 )
 def test_metadata_needs_id_and_kind(spark, changes, error):
-    assert p.stream_metadata()(p.start(run(spark, {"c": []}, **changes))).first().error == error
+    assert p.build(run(spark, {"c": []}, **changes), [p.stream_metadata()]).first().error == error
 
 
 @pytest.mark.parametrize("taken", ["STREAMCONTEXT__STREAM_ID", "STREAMCONTEXT__STREAM_KIND"])
 def test_metadata_must_not_be_taken(spark, taken):
-    out = p.stream_metadata()(p.start(run(spark, {"c": [], "d": [(taken, "x")]}))).first()
+    out = p.build(run(spark, {"c": [], "d": [(taken, "x")]}), [p.stream_metadata()]).first()
     assert out.error == f"environment variable {taken} already present"
     assert [len(c.env) for c in out.containers] == [0, 1]
 
 
 def test_no_containers_no_variables(spark):
-    assert p.stream_metadata()(p.start(run(spark, {}))).first().containers == []
+    assert p.build(run(spark, {}), [p.stream_metadata()]).first().containers == []
 
 
 def test_context_is_added_twice_without_check(spark):
-    df = p.start(run(spark, {"c": []}))
-    out = df.transform(p.stream_context("spec", "spec_json")).transform(p.stream_context("Spec", "spec_json"))
+    df = run(spark, {"c": []})
+    out = p.build(df, [p.stream_context("spec", "spec_json"), p.stream_context("Spec", "spec_json")])
     assert env(out) == [("STREAMCONTEXT__SPEC", '{"a":1}', None)] * 2
 
 
 def test_flag_overwrites_only_the_first_match(spark):
     name = "STREAMCONTEXT__BACKFILL"
-    df = p.start(run(spark, {"c": [(name, "x"), ("Y", "2"), (name, "y")], "d": []}))
-    out = p.backfill_flag(F.lit(True))(df)
+    df = run(spark, {"c": [(name, "x"), ("Y", "2"), (name, "y")], "d": []})
+    out = p.build(df, [p.backfill_flag(F.lit(True))])
     assert env(out) == [(name, "true", None), ("Y", "2", None), (name, "y", None)]
     assert env(out, "d") == [(name, "true", None)]
     assert out.first().labels == {"fleet/backfilling": "true"}
 
 
 def test_dynamic_then_static_id_keeps_the_source(spark):
-    df = p.start(run(spark, {"c": []}))
-    out = df.transform(p.dynamic_backfill_id()).transform(p.static_backfill_id("request_name"))
+    df = run(spark, {"c": []})
+    out = p.build(df, [p.dynamic_backfill_id(), p.static_backfill_id("request_name")])
     assert env(out) == [("STREAMCONTEXT__BACKFILL_ID", "", "metadata.labels['job-name']")]
 
 
 def test_static_id_updates(spark):
-    df = p.start(run(spark, {"c": [("STREAMCONTEXT__BACKFILL_ID", "old")]}, request="bf"))
-    assert env(p.static_backfill_id("request_name")(df)) == [("STREAMCONTEXT__BACKFILL_ID", "bf", None)]
+    df = run(spark, {"c": [("STREAMCONTEXT__BACKFILL_ID", "old")]}, request="bf")
+    assert env(p.build(df, [p.static_backfill_id("request_name")])) == [("STREAMCONTEXT__BACKFILL_ID", "bf", None)]
 
 
 def test_checksum_overwrites_and_keeps_others(spark):
-    df = p.start(run(spark, {}, annotations={"configuration-hash": "old", "k": "v"})).withColumn("checksum", F.lit("h"))
-    assert p.checksum_annotation(df).first().annotations == {"configuration-hash": "h", "k": "v"}
-    empty = p.checksum_annotation(df.withColumn("checksum", F.lit("")))
+    df = run(spark, {}, annotations={"configuration-hash": "old", "k": "v"}).withColumn("checksum", F.lit("h"))
+    step = [p.checksum_annotation()]
+    assert p.build(df, step).first().annotations == {"configuration-hash": "h", "k": "v"}
+    empty = p.build(df.withColumn("checksum", F.lit("")), step)
     assert empty.first().error == "configuration checksum is empty"
 
 
 def test_owner_is_appended(spark):
-    df = p.start(run(spark, {}, owners=[("v", "O", "o", "u0", False)]))
-    out = p.owner_reference(p.owner_reference(df)).first().owner_references
+    df = run(spark, {}, owners=[("v", "O", "o", "u0", False)])
+    out = p.build(df, [p.owner_reference(), p.owner_reference()]).first().owner_references
     assert [(o.kind, o.name, o.controller) for o in out] == [("O", "o", False), ("K", "s1", True), ("K", "s1", True)]
 
 
@@ -158,3 +159,39 @@ def test_override_wins_by_field(spark):
     )
     rows = {(r["name"], r.field): r.value for r in p.request_override(df).collect()}
     assert rows == {("a", "x"): "3", ("a", "y"): '{"z":2}', ("a", "w"): "t", ("b", "x"): "1"}
+
+
+STEPS = [
+    ("flag on", lambda: p.backfill_flag(F.lit(True), only=F.col("name") != "a")),
+    ("flag off", lambda: p.backfill_flag(F.lit(False), only=F.col("name") == "b")),
+    ("source", lambda: p.dynamic_backfill_id(only=F.col("name") != "c")),
+    ("id", lambda: p.static_backfill_id("request_name")),
+    ("context", lambda: p.stream_context("spec", "spec_json", only=F.col("name") == "a")),
+]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_pass_equals_step_by_step(spark, seed):
+    import random
+
+    order = [step for _, step in random.Random(seed).sample(STEPS, len(STEPS))]
+    preset = [("STREAMCONTEXT__BACKFILL_ID", "x"), ("Y", "1"), ("STREAMCONTEXT__BACKFILL_ID", "y")]
+    df = run(spark, {"c": preset, "d": [("STREAMCONTEXT__BACKFILL", "z")], "e": []}, name="a", request="r")
+    for name in "bc":
+        df = df.unionByName(
+            run(spark, {"c": preset, "d": [("STREAMCONTEXT__BACKFILL", "z")], "e": []}, name=name, request="r")
+        )
+    one_by_one = df
+    for step in order:
+        one_by_one = p.build(one_by_one.drop("error"), [step()])
+    at_once = p.build(df, [step() for step in order])
+
+    def result(frame):
+        return {r["name"]: (r.containers, r.labels) for r in frame.collect()}
+
+    assert result(at_once) == result(one_by_one)
+
+
+def test_set_and_added_names_must_differ(spark):
+    with pytest.raises(ValueError):
+        p.build(run(spark, {"c": []}), [p.stream_context("backfill", "spec_json"), p.backfill_flag(F.lit(True))])
