@@ -47,10 +47,13 @@ def scheduled_batch(
 
 
 def latest_run(spark: SparkSession, target: str) -> DataFrame:
-    """Rows of the newest run; run ids sort by time, older runs are pruned as partitions."""
+    """Rows of the newest run; run ids sort by time.
+
+    The newest id is one value of the partition column, found without reading rows; the
+    filter on it then prunes all older runs.
+    """
     runs = spark.read.option("basePath", target).parquet(target)
-    newest = runs.select(F.max("run_id").alias("run_id"))
-    return runs.join(newest, "run_id", "left_semi")
+    return runs.filter(F.col("run_id") == F.lit(runs.agg(F.max("run_id")).first()[0]))
 
 
 def handoff_rows(backfill: DataFrame, stream: DataFrame, overlap_start: Column, overlap_end: Column) -> DataFrame:
@@ -60,7 +63,7 @@ def handoff_rows(backfill: DataFrame, stream: DataFrame, overlap_start: Column,
     the rest passes without a shuffle.
     """
     rows = backfill.unionByName(stream)
-    seam = (F.col("ts") >= overlap_start) & (F.col("ts") < overlap_end)
+    seam = F.coalesce((F.col("ts") >= overlap_start) & (F.col("ts") < overlap_end), F.lit(False))
     return rows.filter(~seam).unionByName(rows.filter(seam).dropDuplicates(["event_id"]))
 
 

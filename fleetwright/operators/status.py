@@ -72,12 +72,3 @@ def latest_state(events: DataFrame, keys: Sequence[str] = ("name",)) -> DataFram
     """Newest phase per key."""
     return latest_per_key(events.select(*keys, "ts", "seq", "phase"), list(keys), ["ts", "seq"])
 
-
-def changed_status(wanted: DataFrame, current: DataFrame, keys: Sequence[str] = KEY) -> DataFrame:
-    """Rows of ``wanted`` whose phase is not the current one: what a status writer must write."""
-    now = current.select(*keys, F.col("phase").alias("_now"))
-    return (
-        wanted.join(now, list(keys), "left")
-        .filter(F.coalesce("_now", F.lit(NEW)) != F.col("phase"))
-        .drop("_now")
-    )

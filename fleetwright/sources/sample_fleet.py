@@ -223,29 +223,46 @@ FROM stream_def""",
 }
 
 
-def _needs(name: str, known: dict[str, str]) -> list[str]:
-    """Tables to define before ``name``, in order, and ``name`` itself."""
+def _needs(name: str) -> list[str]:
+    """Flat tables to define before ``name``, in order, and ``name`` itself."""
     found: list[str] = []
-    for word in re.findall(r"(?:FROM|JOIN)\s+(\w+)", known[name]):
-        if word in known:
-            found += [n for n in _needs(word, known) if n not in found]
+    for word in re.findall(r"(?:FROM|JOIN)\s+(\w+)", FLAT[name]):
+        if word in FLAT:
+            found += [n for n in _needs(word) if n not in found]
     return found + [name]
 
 
-def with_clause(names: list[str], tables: dict[str, str] = FLAT) -> str:
+def with_clause(names: list[str]) -> str:
     """``name AS (...)`` entries for the named tables and all they build on."""
     order: list[str] = []
     for name in names:
-        order += [n for n in _needs(name, tables) if n not in order]
-    return ",\n".join(f"{n} AS ({tables[n]}\n)" for n in order)
+        order += [n for n in _needs(name) if n not in order]
+    return ",\n".join(f"{n} AS ({FLAT[n]}\n)" for n in order)
+
+
+def _inlined(name: str, folder: str) -> str:
+    """The table's SQL with every table it names written out as a subquery.
+
+    Spark reuses an exchange between two uses of a subquery, but not of a WITH entry.
+    """
+    tables = FLAT | NESTED
+
+    def subquery(found: re.Match) -> str:
+        keyword, table, alias = found.groups()
+        if table in BASE:
+            text = f"SELECT * FROM parquet.`{folder}/{table}.parquet`"
+        elif table in tables:
+            text = _inlined(table, folder)
+        else:
+            return found.group(0)
+        return f"{keyword} ({text}) {alias or table}"
+
+    keywords = "ON|JOIN|WHERE|GROUP|LEFT|ORDER"
+    return re.sub(rf"\b(FROM|JOIN)\s+(\w+)(?:\s+(?!(?:{keywords})\b)(\w+))?", subquery, tables[name])
 
 
 def fleet_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One fleet table over the sample tables in ``folder``."""
     if name in BASE:
         return spark.read.parquet(f"{folder}/{name}.parquet")
-    tables = FLAT | NESTED
-    text = with_clause([name], tables)
-    base = [b for b in BASE if re.search(rf"\b(FROM|JOIN)\s+{b}\b", text)]
-    files = [f"{b} AS (SELECT * FROM parquet.`{folder}/{b}.parquet`)" for b in base]
-    return spark.sql(f"WITH {', '.join(files)},\n{text}\nSELECT * FROM {name}")
+    return spark.sql(_inlined(name, folder))

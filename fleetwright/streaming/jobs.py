@@ -12,7 +12,7 @@ from fleetwright.operators.classes import heartbeat_windows
 from fleetwright.operators.definitions import KEY
 from fleetwright.operators.feeds import coalesced_keys, relevant_run_events
 from fleetwright.operators.requests import open_request_events
-from fleetwright.operators.status import changed_status, phase_transitions
+from fleetwright.operators.status import phase_transitions
 from fleetwright.streaming.changes import ChangeTable
 from fleetwright.vocabulary import NEW
 
@@ -82,9 +82,8 @@ def status_sink(
     keys, order = list(table.keys), list(table.order)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        current = table.rows(before=batch_id)
-        newest = latest_per_key(_newer(batch, current, keys, order).drop("known_phase"), keys, order)
-        changed = changed_status(newest, current, keys)
+        newest = latest_per_key(_newer(batch, table.rows(before=batch_id), keys, order), keys, order)
+        changed = newest.filter(F.coalesce("known_phase", F.lit(NEW)) != F.col("phase"))
         table.write(batch_id, changed)
         if events:
             changed.select(*keys, *order, "phase").write.mode("overwrite").parquet(

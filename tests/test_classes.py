@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from fleetwright.operators import classes, feeds, listings, requests, runs, status
+from fleetwright.operators import classes, feeds, listings, requests, runs
 from fleetwright.plans.class_lifecycle import class_lifecycle_plan
 
 STATE = ("class_name string, phase string, deleted boolean, controller_running boolean, start_fails boolean, "
@@ -129,9 +129,3 @@ def test_template_without_containers(spark):
     )
     assert listings.template_listing(rows).first().image is None
 
-
-def test_changed_status_skips_equal_phases(spark):
-    schema = "namespace string, name string, phase string"
-    now = spark.createDataFrame([("n", "a", "Running"), ("n", "b", "Failed")], schema)
-    wanted = spark.createDataFrame([("n", "a", "Running"), ("n", "b", "Suspended"), ("n", "c", "Pending"), ("n", "d", "")], schema)
-    assert {r["name"] for r in status.changed_status(wanted, now).collect()} == {"b", "c"}

@@ -90,3 +90,16 @@ def test_latest_and_first(feed):
 def test_latest_combines_before_the_shuffle(feed):
     plan = latest_per_key(feed, ["name"], ["ts", "seq"])._jdf.queryExecution().executedPlan().toString()
     assert "partial_max_by" in plan
+
+
+def test_input_is_shuffled_once(spark, folder):
+    """Both windows over the slices read the same exchange."""
+    from checks.queries import QUERIES
+
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = QUERIES["phase_transitions"](spark, folder)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
