@@ -54,57 +54,52 @@ KINDS = {
 }
 
 
-def _is(kind_column: str, kind: str) -> Column:
-    return F.coalesce(F.col(kind_column) == kind, F.lit(False))
-
-
-def _is_other(kind_column: str, kind: str) -> Column:
-    """Present, but of another kind."""
-    return F.coalesce(F.col(kind_column) != kind, F.lit(False))
-
-
-def _misfit(kind_column: str, kind: str) -> Column:
-    """As ``_is_other``, where a JSON null counts as absent."""
-    return F.coalesce(~F.col(kind_column).isin(kind, "VOID"), F.lit(False))
+# Why a document is rejected, in order; the first condition that holds wins. An absent field
+# has a null kind, so that comparing it is never true; VOID is a JSON null.
+REJECTIONS = [
+    ("doc IS NULL", "document is not JSON"),
+    ("spec_is <> 'OBJECT' OR execution_is <> 'OBJECT' OR layout_is <> 'STRING'", "layout is not readable"),
+    ("layout NOT IN ('', 'v1', 'v2')", "layout is unknown"),
+    (
+        "layout <> '' AND (suspended_new_is NOT IN ('BOOLEAN', 'VOID') OR streaming_is NOT IN ('OBJECT', 'VOID')"
+        " OR capture_is NOT IN ('OBJECT', 'VOID') OR capture_template_is NOT IN ('OBJECT', 'VOID')"
+        " OR batch_is NOT IN ('OBJECT', 'VOID') OR batch_template_is NOT IN ('OBJECT', 'VOID')"
+        " OR schedule_is NOT IN ('STRING', 'VOID'))",
+        "execution is not readable",
+    ),
+    ("status_is <> 'OBJECT' OR phase_is <> 'STRING'", "phase is not readable"),
+    ("layout = '' AND suspended_old_is IS NULL", "suspended is missing"),
+    ("layout = '' AND suspended_old_is <> 'BOOLEAN'", "suspended is not a boolean"),
+    ("hash_is <> 'STRING'", "configuration hash is not readable"),
+    ("layout = '' AND run_old_is IS NULL", "job template is missing"),
+    ("layout = '' AND run_old_is <> 'OBJECT'", "job template is not an object"),
+    ("layout = '' AND backfill_old_is IS NULL", "backfill template is missing"),
+    ("layout = '' AND backfill_old_is <> 'OBJECT'", "backfill template is not an object"),
+    ("layout = 'v1' AND backfill_v1_is NOT IN ('OBJECT', 'VOID')", "backfill template is not an object"),
+    ("layout = 'v1' AND backfill_v1_is IS DISTINCT FROM 'OBJECT'", "backfill template is missing"),
+    (
+        "layout = 'v2' AND capture_is = 'OBJECT' AND backfill_v2_is NOT IN ('OBJECT', 'VOID')",
+        "backfill template is not an object",
+    ),
+    (
+        "layout = 'v2' AND capture_is = 'OBJECT' AND backfill_v2_is IS DISTINCT FROM 'OBJECT'",
+        "backfill template is missing",
+    ),
+]
+
+
+def _text(path: str, document: str = "doc") -> Column:
+    """Text at a path, empty if there is none."""
+    return F.expr(f"coalesce(try_variant_get({document}, '{path}', 'string'), '')")
+
+
+def _flag(path: str) -> Column:
+    return F.expr(f"coalesce(try_variant_get(doc, '{path}', 'boolean'), false)")
 
 
 def _reason() -> Column:
-    """Why a document is rejected; the first failing rule wins, null if none fails."""
-    layout = F.col("layout")
-    old, v1 = layout == "", layout == "v1"
-    v2_capture = (layout == "v2") & _is("capture_is", "OBJECT")
-    unreadable_layout = (
-        _is_other("spec_is", "OBJECT")
-        | _is_other("execution_is", "OBJECT")
-        | _is_other("layout_is", "STRING")
-    )
-    unreadable_execution = (
-        _misfit("suspended_new_is", "BOOLEAN")
-        | _misfit("streaming_is", "OBJECT")
-        | _misfit("capture_is", "OBJECT")
-        | _misfit("capture_template_is", "OBJECT")
-        | _misfit("batch_is", "OBJECT")
-        | _misfit("batch_template_is", "OBJECT")
-        | _misfit("schedule_is", "STRING")
-    )
-    return (
-        F.when(F.col("doc").isNull(), "document is not JSON")
-        .when(unreadable_layout, "layout is not readable")
-        .when(~layout.isin("", "v1", "v2"), "layout is unknown")
-        .when(~old & unreadable_execution, "execution is not readable")
-        .when(_is_other("status_is", "OBJECT") | _is_other("phase_is", "STRING"), "phase is not readable")
-        .when(old & F.col("suspended_old_is").isNull(), "suspended is missing")
-        .when(old & _is_other("suspended_old_is", "BOOLEAN"), "suspended is not a boolean")
-        .when(_is_other("hash_is", "STRING"), "configuration hash is not readable")
-        .when(old & F.col("run_old_is").isNull(), "job template is missing")
-        .when(old & _is_other("run_old_is", "OBJECT"), "job template is not an object")
-        .when(old & F.col("backfill_old_is").isNull(), "backfill template is missing")
-        .when(old & _is_other("backfill_old_is", "OBJECT"), "backfill template is not an object")
-        .when(v1 & _misfit("backfill_v1_is", "OBJECT"), "backfill template is not an object")
-        .when(v1 & ~_is("backfill_v1_is", "OBJECT"), "backfill template is missing")
-        .when(v2_capture & _misfit("backfill_v2_is", "OBJECT"), "backfill template is not an object")
-        .when(v2_capture & ~_is("backfill_v2_is", "OBJECT"), "backfill template is missing")
-    )
+    cases = " ".join(f"WHEN {condition} THEN '{reason}'" for condition, reason in REJECTIONS)
+    return F.expr(f"CASE {cases} END")
 
 
 def parsed_definitions(documents: DataFrame) -> DataFrame:
@@ -114,16 +109,11 @@ def parsed_definitions(documents: DataFrame) -> DataFrame:
     parsed once: a plain projection would be merged into every later filter and parse again
     there. Values are read afterwards, only where they are used.
     """
-    document = F.col("_doc")
     kinds = [
-        F.substring_index(F.schema_of_variant(F.try_variant_get(document, path, "variant")), "<", 1).alias(name)
+        F.expr(f"substring_index(schema_of_variant(try_variant_get(_doc, '{path}', 'variant')), '<', 1)").alias(name)
         for name, path in KINDS.items()
     ]
-    fields = F.struct(
-        document.alias("doc"),
-        F.coalesce(F.try_variant_get(document, LAYOUT, "string"), F.lit("")).alias("layout"),
-        *kinds,
-    )
+    fields = F.struct(F.col("_doc").alias("doc"), _text(LAYOUT, "_doc").alias("layout"), *kinds)
     return (
         documents.select(*KEY, F.try_parse_json("doc").alias("_doc"))
         .select(*KEY, F.inline(F.array(fields)))
@@ -140,8 +130,8 @@ def backend_resolved() -> Column:
     """Scheduled batch wins over change capture; the old layout knows batch jobs only."""
     return (
         F.when(F.col("layout") == "", BATCH_JOB)
-        .when(_is("batch_is", "OBJECT"), CRON_JOB)
-        .when(_is("capture_is", "OBJECT"), BATCH_JOB)
+        .when(F.col("batch_is") == "OBJECT", CRON_JOB)
+        .when(F.col("capture_is") == "OBJECT", BATCH_JOB)
         .otherwise(NO_BACKEND)
     )
 
@@ -157,20 +147,13 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
     backend = backend_resolved()
     spec = escaped(F.to_json(F.try_variant_get("doc", "$.spec", "variant")))
 
-    def text(path: str) -> Column:
-        return F.coalesce(F.try_variant_get("doc", path, "string"), F.lit(""))
-
-    def flag(path: str) -> Column:
-        return F.coalesce(F.try_variant_get("doc", path, "boolean"), F.lit(False))
-
     def reference(template: str, paths: dict[str, str]) -> list[Column]:
         """Namespace and name of a template that each layout keeps elsewhere."""
 
         def of_layout(field: str) -> Column:
-            (first, path), *others = paths.items()
-            value = F.when(layout == first, text(f"{path}.{field}"))
-            for version, path in others:
-                value = value.when(layout == version, text(f"{path}.{field}"))
+            value = F
+            for version, path in paths.items():
+                value = value.when(layout == version, _text(f"{path}.{field}"))
             return F.coalesce(value, F.lit(""))
 
         return [of_layout(field).alias(f"{template}_template_{field}") for field in ("namespace", "name")]
@@ -181,19 +164,19 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
         .select(
             *KEY,
             layout.alias("layout_version"),
-            text("$.kind").alias("kind"),
-            text("$.status.phase").alias("phase"),
-            F.when(old, flag(SUSPENDED_OLD)).otherwise(flag(SUSPENDED)).alias("suspended"),
+            _text("$.kind").alias("kind"),
+            _text("$.status.phase").alias("phase"),
+            F.when(old, _flag(SUSPENDED_OLD)).otherwise(_flag(SUSPENDED)).alias("suspended"),
             backend.alias("backend"),
-            F.when(backend == CRON_JOB, text(SCHEDULE)).alias("schedule"),
-            (~old & _is("capture_is", "OBJECT")).alias("has_capture"),
-            (~old & _is("batch_is", "OBJECT")).alias("has_batch"),
+            F.when(backend == CRON_JOB, _text(SCHEDULE)).alias("schedule"),
+            F.expr("layout <> '' AND capture_is <=> 'OBJECT'").alias("has_capture"),
+            F.expr("layout <> '' AND batch_is <=> 'OBJECT'").alias("has_batch"),
             *reference("run", {"": RUN_TEMPLATE_OLD, "v1": CAPTURE_TEMPLATE, "v2": CAPTURE_TEMPLATE}),
             *reference("batch", {"v1": BATCH_TEMPLATE, "v2": BATCH_TEMPLATE}),
             *reference(
                 "backfill", {"": BACKFILL_TEMPLATE_OLD, "v1": BACKFILL_TEMPLATE_V1, "v2": BACKFILL_TEMPLATE_V2}
             ),
-            text("$.status.configurationHash").alias("applied_hash"),
+            _text("$.status.configurationHash").alias("applied_hash"),
             spec.alias("spec_json"),
         )
         .withColumn("current_hash", configuration_checksum(F.col("spec_json")))
