@@ -612,7 +612,4 @@ oracle("backfill_handoff_rows", "", "SELECT * FROM source", SOURCE)
 oracle("gap_fill", "",
        """SELECT * FROM source WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'
 AND event_type <> 'click'""", SOURCE)
-oracle("restart_on_change", "",
-       """SELECT name, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER
-  (PARTITION BY name ORDER BY ts DESC, event_id DESC) AS n FROM source WHERE event_type = 'view') s WHERE n = 1""",
-       SOURCE)
+oracle("restart_on_change", "", LIVE.replace("'error'", "'purchase'"), SOURCE)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -669,13 +670,17 @@ def suspend_resume(spark, folder):
 
 @query
 def restart_on_change(spark, folder):
-    """The same feed under two configurations; the second starts anew in its own folder."""
+    """The same feed under two configurations, which differ in what marks a delete.
+
+    The second starts anew, with its own checkpoint and target.
+    """
     rows, place = Fleet(spark, folder).source, new_folder(spark, "restart")
     _land(rows, f"{place}/feed")
-    for checksum, kept in (("one", "click"), ("two", "view")):
+    for marker in ("error", "purchase"):
+        checksum = hashlib.md5(f'{{"deletedBy":"{marker}"}}'.encode()).hexdigest()
         stream = source_stream(spark, "parquet", f"{place}/feed", rows.schema)
-        wanted = stream.filter(F.col("event_type") == kept)
+        marked = stream.withColumn("deleted", F.col("event_type") == marker)
         last = jobs.restart_on_change(
-            spark, wanted, place, checksum, lambda path: jobs.change_capture(_captured(spark, rows, path))
+            spark, marked, place, checksum, lambda path: jobs.change_capture(_captured(spark, marked, path))
         )
-    return ChangeTable(spark, f"{last}/target", rows.schema, ["name"], ["ts", "event_id"]).rows()
+    return jobs.live(_captured(spark, marked, last), F.col("deleted")).drop("deleted")

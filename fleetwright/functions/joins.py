@@ -1,0 +1,15 @@
+"""Joining a large table with one that is usually small."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Mark ``df`` for broadcast after counting that it has at most ``max_rows`` rows.
+
+    Worth its extra pass only before a join with a much larger table, which is then not
+    shuffled at all. Beyond the bound the join stays a shuffle join, split where it is skewed.
+    """
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetwright.functions.joins import broadcast_if_small
 from fleetwright.functions.latest import latest_per_key
 
 
@@ -31,7 +32,7 @@ def backfill_load(
     the rebalance hint splits an id that holds a large part of all rows over many tasks. A
     request is completed only once its rows are written.
     """
-    rows = backfill_rows(source, open_requests)
+    rows = backfill_rows(source, broadcast_if_small(open_requests.select("name", "request_name")))
     folder = f"{target.rstrip('/')}/load_id={load_id}"
     rows.hint("rebalance", "backfill_id").sortWithinPartitions("backfill_id").write.mode("overwrite").parquet(folder)
     loaded = spark.read.schema(rows.schema).parquet(folder)

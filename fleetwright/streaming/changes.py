@@ -20,7 +20,7 @@ from fleetwright.functions.latest import latest_per_key
 
 @dataclass(frozen=True)
 class ChangeTable:
-    """``keys`` identify a row, ``order`` (unique per key) tells which of two is newer."""
+    """``keys`` (never null) identify a row, ``order`` (unique per key) tells which is newer."""
 
     spark: SparkSession
     path: str
@@ -32,8 +32,7 @@ class ChangeTable:
     def create(self) -> "ChangeTable":
         """Make empty first folders, so that readers always find the table."""
         empty = self.spark.createDataFrame([], self.schema)
-        for part in ("changes", "full"):
-            empty.write.mode("overwrite").parquet(f"{self.path}/{part}/batch_id=-1")
+        empty.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id=-1")
         self._mark_fold(-1)
         return self
 
@@ -47,19 +46,29 @@ class ChangeTable:
             marks = marks.filter(F.col("folded") < before)
         return marks.agg(F.max("folded")).first()[0]
 
-    def _folders(self, part: str) -> DataFrame:
+    def _changes(self) -> DataFrame:
         schema = StructType([*self.schema.fields, StructField("batch_id", LongType())])
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+        return self.spark.read.schema(schema).parquet(f"{self.path}/changes")
 
     def rows(self, before: int | None = None) -> DataFrame:
-        """Newest row per key, as of just before batch ``before`` (or now)."""
+        """Newest row per key, as of just before batch ``before`` (or now).
+
+        Rows of the full copy that no later change touches pass without being compared; while
+        the changed keys are few enough for Spark to broadcast, the copy is not shuffled.
+        """
         folded = self._last_fold(before)
-        base = self._folders("full").filter(F.col("batch_id") == folded)
-        changes = self._folders("changes").filter(F.col("batch_id") >= folded)
+        changes = self._changes().filter(F.col("batch_id") >= folded)
         if before is not None:
             changes = changes.filter(F.col("batch_id") < before)
-        both = base.unionByName(changes).drop("batch_id")
-        return latest_per_key(both, self.keys, self.order)
+        newest = latest_per_key(changes.drop("batch_id"), self.keys, self.order)
+        if folded < 0:
+            return newest
+        keys = list(self.keys)
+        full = self.spark.read.schema(self.schema).parquet(f"{self.path}/full/batch_id={folded}")
+        touched = full.join(newest.select(*keys), keys, "left_semi")
+        return full.join(newest.select(*keys), keys, "left_anti").unionByName(
+            latest_per_key(touched.unionByName(newest), self.keys, self.order)
+        )
 
     def write(self, batch_id: int, changed: DataFrame) -> None:
         """Store a batch's rows, newest per key; fold first when the batch is due for it.

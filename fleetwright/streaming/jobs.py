@@ -57,7 +57,8 @@ def track_phases(
 
     Rows older than the key's known state are stale and ignored. The batch itself is handled
     by the sliced window of ``phase_transitions``, so no key is bound to one task, and only
-    the state as of the batch's start is read, so a repeated batch gives the same output.
+    the state as of the batch's start is read, so a repeated batch gives the same output. Stale
+    rows need no check when the state is written: they never become a key's newest row.
     """
     keys, order = list(state.keys), list(state.order)
 
@@ -67,7 +68,7 @@ def track_phases(
         phase_transitions(before, keys, slice_seconds, start="known_phase").write.mode("overwrite").parquet(
             f"{log}/batch_id={batch_id}"
         )
-        state.write(batch_id, fresh)
+        state.write(batch_id, batch)
 
     return step
 
