@@ -31,27 +31,29 @@ BATCH_TEMPLATE = "$.spec.execution.streamingBackend.batch.jobTemplateRef"
 SCHEDULE = "$.spec.execution.streamingBackend.batch.schedule"
 
 
-# Fields whose JSON kind matters for validity.
-KINDS = {
+# Fields whose JSON kind matters for validity: those that should be objects, and the rest.
+OBJECT_KINDS = {
     "spec_is": "$.spec",
     "execution_is": EXECUTION,
-    "layout_is": LAYOUT,
     "status_is": "$.status",
-    "phase_is": "$.status.phase",
-    "hash_is": "$.status.configurationHash",
-    "suspended_old_is": SUSPENDED_OLD,
     "run_old_is": RUN_TEMPLATE_OLD,
     "backfill_old_is": BACKFILL_TEMPLATE_OLD,
-    "suspended_new_is": SUSPENDED,
     "streaming_is": STREAMING,
     "capture_is": CAPTURE,
     "capture_template_is": CAPTURE_TEMPLATE,
     "batch_is": BATCH,
     "batch_template_is": BATCH_TEMPLATE,
-    "schedule_is": SCHEDULE,
     "backfill_v1_is": BACKFILL_TEMPLATE_V1,
     "backfill_v2_is": BACKFILL_TEMPLATE_V2,
 }
+VALUE_KINDS = {
+    "layout_is": LAYOUT,
+    "phase_is": "$.status.phase",
+    "hash_is": "$.status.configurationHash",
+    "suspended_old_is": SUSPENDED_OLD,
+    "suspended_new_is": SUSPENDED,
+    "schedule_is": SCHEDULE,
+}
 
 
 # Why a document is rejected, in order; the first condition that holds wins. An absent field
@@ -97,6 +99,17 @@ def _flag(path: str) -> Column:
     return F.expr(f"coalesce(try_variant_get(doc, '{path}', 'boolean'), false)")
 
 
+def _kind(path: str) -> str:
+    """STRING, BOOLEAN, OBJECT, ...; VOID for a JSON null; null when the field is absent."""
+    return f"substring_index(schema_of_variant(try_variant_get(_doc, '{path}', 'variant')), '<', 1)"
+
+
+def _object_kind(path: str) -> str:
+    """As ``_kind``, without spelling out the schema of a large object."""
+    is_object = f"try_variant_get(_doc, '{path}', 'map<string,variant>') IS NOT NULL"
+    return f"CASE WHEN {is_object} THEN 'OBJECT' ELSE {_kind(path)} END"
+
+
 def _reason() -> Column:
     cases = " ".join(f"WHEN {condition} THEN '{reason}'" for condition, reason in REJECTIONS)
     return F.expr(f"CASE {cases} END")
@@ -109,11 +122,9 @@ def parsed_definitions(documents: DataFrame) -> DataFrame:
     parsed once: a plain projection would be merged into every later filter and parse again
     there. Values are read afterwards, only where they are used.
     """
-    kinds = [
-        F.expr(f"substring_index(schema_of_variant(try_variant_get(_doc, '{path}', 'variant')), '<', 1)").alias(name)
-        for name, path in KINDS.items()
-    ]
-    fields = F.struct(F.col("_doc").alias("doc"), _text(LAYOUT, "_doc").alias("layout"), *kinds)
+    objects = [F.expr(_object_kind(path)).alias(name) for name, path in OBJECT_KINDS.items()]
+    values = [F.expr(_kind(path)).alias(name) for name, path in VALUE_KINDS.items()]
+    fields = F.struct(F.col("_doc").alias("doc"), _text(LAYOUT, "_doc").alias("layout"), *objects, *values)
     return (
         documents.select(*KEY, F.try_parse_json("doc").alias("_doc"))
         .select(*KEY, F.inline(F.array(fields)))
@@ -151,10 +162,8 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
         """Namespace and name of a template that each layout keeps elsewhere."""
 
         def of_layout(field: str) -> Column:
-            value = F
-            for version, path in paths.items():
-                value = value.when(layout == version, _text(f"{path}.{field}"))
-            return F.coalesce(value, F.lit(""))
+            values = [F.when(layout == version, _text(f"{path}.{field}")) for version, path in paths.items()]
+            return F.coalesce(*values, F.lit(""))
 
         return [of_layout(field).alias(f"{template}_template_{field}") for field in ("namespace", "name")]
 
