@@ -462,8 +462,9 @@ RELEVANT = """kind IN ('Job', 'CronJob') AND (verb IN ('ADDED', 'DELETED')
 oracle("relevant_job_events", "watch_event",
        f"SELECT seq, kind, verb, namespace, owner_name FROM watch_event WHERE {RELEVANT}")
 oracle("event_to_owner", "job_event stream_def",
-       """SELECT e.namespace, d.name, e.seq, e.condition_type, e.condition_status, d.stream_class
-FROM job_event e JOIN stream_def d ON d.namespace = e.namespace AND d.name = e.owner_name WHERE e.controller""")
+       """SELECT e.namespace, d.name, d.api_group, d.kind, e.seq, e.condition_type, e.condition_status, d.stream_class
+FROM job_event e JOIN stream_def d ON d.namespace = e.namespace AND d.name = e.owner_name AND d.kind = e.owner_kind
+WHERE e.controller AND e.owner_api_version LIKE d.api_group || '/%'""")
 oracle("event_feed_filter", "watch_event stream_def stream_class",
        f"""SELECT e.namespace, d.name, e.seq, e.kind, e.verb, d.phase
 FROM (SELECT * FROM watch_event WHERE ({RELEVANT}) AND controller

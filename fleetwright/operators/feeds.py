@@ -36,14 +36,20 @@ def relevant_run_events(events: DataFrame) -> DataFrame:
 def controller_owner(events: DataFrame) -> DataFrame:
     """One row per event and controlling owner; other owners are dropped before the explode."""
     owners = F.filter("owner_references", lambda o: o["controller"])
+    version = F.col("_owner.api_version")
+    group = F.when(F.contains(version, F.lit("/")), F.substring_index(version, "/", 1)).otherwise("")
     return events.withColumn("_owner", F.explode(owners)).select(
-        *[c for c in events.columns if c != "owner_references"], F.col("_owner.name").alias("name")
+        *[c for c in events.columns if c != "owner_references"],
+        F.col("_owner.name").alias("name"),
+        F.col("_owner.kind").alias("kind"),
+        group.alias("api_group"),
     )
 
 
 def event_to_owner(events: DataFrame, streams: DataFrame) -> DataFrame:
-    """Events with their controlling stream, where it exists."""
-    return controller_owner(events).join(streams.select(*KEY, "stream_class"), KEY, "inner")
+    """Events with their controlling stream, where there is one of the owner's group and kind."""
+    owner = [*KEY, "api_group", "kind"]
+    return controller_owner(events).join(streams.select(*owner, "stream_class"), owner, "inner")
 
 
 def coalesced_keys(events: DataFrame) -> DataFrame:

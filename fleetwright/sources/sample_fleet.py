@@ -160,6 +160,9 @@ FROM events""",
     "job_event": """
 SELECT o_orderkey AS seq, 'ns-' || CAST(c_nationkey AS STRING) AS namespace,
   'stream-' || CAST(o_custkey + CASE WHEN o_orderkey % 50 = 0 THEN 100000000 ELSE 0 END AS STRING) AS owner_name,
+  CASE WHEN o_orderkey % 9 = 1 THEN 'Other' ELSE
+    upper(substr(c_mktsegment, 1, 1)) || lower(substr(c_mktsegment, 2)) || 'ChangeStream' END AS owner_kind,
+  CASE WHEN o_orderkey % 11 = 1 THEN 'v1' ELSE 'streams.example.org/v1' END AS owner_api_version,
   o_orderkey % 3 <> 0 AS controller, o_orderkey % 2 = 0 AS has_second_owner,
   CASE o_orderstatus WHEN 'F' THEN 'Failed' WHEN 'O' THEN 'Complete' ELSE 'Suspended' END AS condition_type,
   CASE WHEN o_orderkey % 10 = 0 THEN 'False' ELSE 'True' END AS condition_status
@@ -182,10 +185,11 @@ SELECT namespace, name,
 FROM cron_job""",
     "owned_event": """
 SELECT seq, namespace, condition_type, condition_status,
-  CASE WHEN has_second_owner
-    THEN array(named_struct('name', owner_name, 'controller', controller), named_struct('name', 'other', 'controller', false))
-    ELSE array(named_struct('name', owner_name, 'controller', controller)) END AS owner_references
-FROM job_event""",
+  CASE WHEN has_second_owner THEN array(owner, named_struct('api_version', 'v1', 'kind', 'Other', 'name', 'other',
+      'controller', false))
+    ELSE array(owner) END AS owner_references
+FROM (SELECT *, named_struct('api_version', owner_api_version, 'kind', owner_kind, 'name', owner_name,
+    'controller', controller) AS owner FROM job_event) e""",
     "class_registry_state": """
 SELECT *, CASE class_id % 3 WHEN 0 THEN CAST(array() AS ARRAY<STRING>) WHEN 1 THEN array('secretRef')
   ELSE array('secretRef', 'source') END AS secret_refs FROM stream_class""",

@@ -75,14 +75,29 @@ def test_run_event_predicate(spark, kind, verb, completed, failed, passes):
     assert (feeds.relevant_run_events(rows).count() == 1) == passes
 
 
+OWNED = ("seq int, namespace string, "
+         "owner_references array<struct<api_version:string,kind:string,name:string,controller:boolean>>")
+
+
 def test_only_controlling_owners(spark):
     rows = spark.createDataFrame(
-        [(1, "ns", [("a", True), ("b", False)]), (2, "ns", [("a", False)]), (3, "ns", [])],
-        "seq int, namespace string, owner_references array<struct<name:string,controller:boolean>>",
+        [(1, "ns", [("g/v1", "K", "a", True), ("g/v1", "K", "b", False)]), (2, "ns", [("g/v1", "K", "a", False)]),
+         (3, "ns", [])], OWNED,
     )
     assert [(r.seq, r["name"]) for r in feeds.controller_owner(rows).collect()] == [(1, "a")]
 
 
+def test_owner_must_be_of_the_streams_kind(spark):
+    streams = spark.createDataFrame(
+        [("ns", "a", "g", "K", "c"), ("other", "a", "g", "K", "c")],
+        "namespace string, name string, api_group string, kind string, stream_class string",
+    )
+    owners = [("g/v1", "K", "a"), ("g/v2", "K", "a"), ("h/v1", "K", "a"), ("v1", "K", "a"), ("g/v1", "L", "a"),
+              ("g/v1", "K", "b")]
+    rows = spark.createDataFrame([(i, "ns", [(*o, True)]) for i, o in enumerate(owners)], OWNED)
+    assert sorted(r.seq for r in feeds.event_to_owner(rows, streams).collect()) == [0, 1]
+
+
 def test_backfill_label_in_any_case(spark):
     rows = spark.createDataFrame([({"fleet/backfilling": v} if v else {"x": "y"},) for v in ("True", "true", "no", None)],
                                  "labels map<string,string>")

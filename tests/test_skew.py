@@ -61,9 +61,13 @@ def test_hot_join_is_split(small_partitions, source, asked):
 def test_hot_owner_is_split(spark, small_partitions, source, asked):
     events = source.select(
         "event_id", F.lit("ns").alias("namespace"),
-        F.array(F.struct(F.col("name"), F.lit(True).alias("controller"))).alias("owner_references"),
+        F.array(
+            F.struct(F.lit("g/v1").alias("api_version"), F.lit("K").alias("kind"), "name", F.lit(True).alias("controller"))
+        ).alias("owner_references"),
+    )
+    streams = asked.select(
+        "namespace", "name", F.lit("g").alias("api_group"), F.lit("K").alias("kind"), F.lit("c").alias("stream_class")
     )
-    streams = asked.select("namespace", "name", F.lit("c").alias("stream_class"))
     routed = event_to_owner(events, streams)
     assert "skew=true" in final_plan(routed)
     assert routed.count() == ROWS
