@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from fleetwright.functions.latest import latest_per_key
 from fleetwright.operators import (
     census,
     classes,
