@@ -20,7 +20,7 @@ from fleetwright.llm.texts import SPACE, gather, row_starts, span_hashes
 
 BYTE_BPE = "byte_bpe_50k.json"
 #: Pieces a worker remembers; then it starts anew. About 30 bytes each.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 #: Longer pieces are encoded each time.
 LONGEST = 64
 

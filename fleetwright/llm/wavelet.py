@@ -34,7 +34,7 @@ from fleetwright.llm.tokens import byte_bpe_path, piece_tokenizer
 
 MAGIC = b"FWWM0001"
 BLOCK = 1 << 16
-SHARD_IDS = 2_000_000
+SHARD_IDS = 1_000_000
 
 MANIFEST = "part int, shard int, name string, documents long, ids long"
 
