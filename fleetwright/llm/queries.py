@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetwright.llm import packing, wavelet
-from fleetwright.llm.shared import let_workers_import, settled
+from fleetwright.llm import packing, toxicity, wavelet, zstd_language
+from fleetwright.llm.shared import held_out, let_workers_import, settled
 from fleetwright.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_toxicity_nb_ngrams(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    model = toxicity.fit(docs, labels.filter(~held_out("doc_id", 5, 0)))
+    return toxicity.scored(docs, model).select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 @query
 def op6_hilbert_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents")).drop("ids")
@@ -34,3 +47,11 @@ def op7_wavelet_shards(spark: SparkSession, folder: str) -> DataFrame:
     files = new_folder(spark, "wavelet")
     manifest = settled(wavelet.write_corpus(table(spark, folder, "documents"), files), "wavelet-manifest")
     return wavelet.read_documents(spark, files, manifest)
+
+
+@query
+def op10_zstd_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    dictionaries = zstd_language.learned(docs.filter(~held_out("doc_id", 4, 2)))
+    found = zstd_language.identified(docs, dictionaries)
+    return found.withColumn("held_out", held_out("doc_id", 4, 2))

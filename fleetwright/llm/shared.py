@@ -7,7 +7,7 @@ import uuid
 
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,3 +63,8 @@ def bases(totals: DataFrame, part: str, amount: str) -> DataFrame:
     sums = totals.groupBy(part).agg(F.sum(amount).alias("_sum"))
     before = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     return sums.select(part, F.coalesce(F.sum("_sum").over(before), F.lit(0)).cast("long").alias("base"))
+
+
+def held_out(doc_id: str, parts: int, part: int) -> Column:
+    """Whether an id belongs to the part that nothing is learned from; a null one does not."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % parts == part, F.lit(False))
