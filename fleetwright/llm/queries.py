@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.llm import packing, toxicity, wavelet, zstd_language
+from fleetwright.llm import packing, simhash, toxicity, wavelet, zstd_language
 from fleetwright.llm.shared import held_out, let_workers_import, settled
 from fleetwright.session import new_folder
 
@@ -55,3 +55,8 @@ def op10_zstd_language(spark: SparkSession, folder: str) -> DataFrame:
     dictionaries = zstd_language.learned(docs.filter(~held_out("doc_id", 4, 2)))
     found = zstd_language.identified(docs, dictionaries)
     return found.withColumn("held_out", held_out("doc_id", 4, 2))
+
+
+@query
+def op8_simhash_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.classes(table(spark, folder, "documents"))
