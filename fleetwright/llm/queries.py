@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.llm import packing, simhash, toxicity, wavelet, zstd_language
+from fleetwright.llm import fertility, packing, simhash, toxicity, wavelet, zstd_language
 from fleetwright.llm.shared import held_out, let_workers_import, settled
 from fleetwright.session import new_folder
 
@@ -60,3 +60,8 @@ def op10_zstd_language(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op8_simhash_pigeonhole(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.classes(table(spark, folder, "documents"))
+
+
+@query
+def op4_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
+    return fertility.rules(table(spark, folder, "documents"))
