@@ -66,8 +66,9 @@ def row_starts(bounds: np.ndarray) -> np.ndarray:
     return bounds[:-1][bounds[:-1] < bounds[1:]]
 
 
-def words_of(data: np.ndarray, bounds: np.ndarray) -> Words:
-    inside = ~SPACE[data]
+def words_of(data: np.ndarray, bounds: np.ndarray, space: np.ndarray = SPACE) -> Words:
+    """Words between the bytes that ``space`` marks."""
+    inside = ~space[data]
     begin = inside.copy()
     begin[1:] &= ~inside[:-1]
     firsts = row_starts(bounds)
