@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.llm import decontamination, fertility, packing, simhash, toxicity, wavelet, zstd_language
+from fleetwright.llm import decontamination, fertility, packing, secrets, simhash, toxicity, wavelet, zstd_language
 from fleetwright.llm.shared import held_out, let_workers_import, settled
 from fleetwright.session import new_folder
 
@@ -70,3 +70,8 @@ def op4_tokenizer_fertility(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_rare_seed_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op9_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scanned(table(spark, folder, "documents"))
