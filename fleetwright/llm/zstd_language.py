@@ -45,13 +45,14 @@ def learned(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORD
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
     counts = known.groupBy("lang").count()
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.join(counts, "lang").filter(draw < per_language / F.col("count"))
+    # One row per language: sent along, so that texts are not moved.
+    sample = known.join(F.broadcast(counts), "lang").filter(draw < per_language / F.col("count"))
     tokens = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\s\p{Punct}]+")).alias("word"))
     frequent = tokens.filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
     top = frequent.withColumn("rank", rank).filter(F.col("rank") <= words)
     found: dict[str, list[str]] = {}
-    for row in top.join(counts, "lang").orderBy(F.desc("count"), "lang", F.desc("rank")).select("lang", "word").collect():
+    for row in top.join(F.broadcast(counts), "lang").orderBy(F.desc("count"), "lang", F.desc("rank")).select("lang", "word").collect():
         found.setdefault(row["lang"], []).append(row["word"])
     return {lang: (" " + " ".join(own) + " ").encode() for lang, own in found.items()}
 
