@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwright.llm import decontamination, fertility, packing, secrets, simhash, surrogates, toxicity, wavelet, zstd_language
+from fleetwright.llm import decontamination, fertility, packing, quotes, secrets, simhash, surrogates, toxicity, wavelet, zstd_language
 from fleetwright.llm.shared import held_out, let_workers_import, settled
 from fleetwright.session import new_folder
 
@@ -81,3 +81,8 @@ def op9_entropy_secrets(spark: SparkSession, folder: str) -> DataFrame:
 def op2_keyed_surrogates(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return surrogates.replaced(docs, key="sample tables")
+
+
+@query
+def op5_quotation_links(spark: SparkSession, folder: str) -> DataFrame:
+    return quotes.conversations(table(spark, folder, "conversations"))
