@@ -33,7 +33,7 @@ from fleetwright.llm.texts import mixed, text_slices
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 20
 FEATURES = 1 << 14
-PER_CLASS = 8_000
+PER_CLASS = 5_000
 ROUNDS = 100
 
 
