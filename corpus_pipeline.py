@@ -1,27 +1,59 @@
-"""Cleaning and packing the documents."""
+"""Cleaning and packing the documents: five stages, each over all that its predecessor kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetwright.llm import packing
+from fleetwright.llm import decontamination, packing, secrets, simhash, toxicity
 from fleetwright.llm.shared import let_workers_import, settled
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half; the classifier learns from the labelled ones among ``docs``."""
+    let_workers_import(spark)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.scored(docs, model, "_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    let_workers_import(spark)
+    return simhash.deduplicated(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without test items."""
+    let_workers_import(spark)
+    return decontamination.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced."""
+    return secrets.redacted(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences with their token ids."""
+    let_workers_import(spark)
     return packing.packed(docs)
 
 
-STAGES = [("packing", pack)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_benchmark_copies),
+    ("secret scans", hide_secrets),
+    ("packing", pack),
+]
+#: SQL has no classifier, tokenizer or alignment; tests/llm holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``, each written and read again."""
-    let_workers_import(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = settled(docs, f"pipeline-{name}")
+            docs = settled(docs, f"stage-{k}")
     return docs
