@@ -35,6 +35,7 @@ MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITMAP_BITS = 1 << 23
 WORD_BITS = 63
+LONGS = pa.list_(pa.int64())
 
 SEPARATOR = SPACE.copy()
 SEPARATOR[list(b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\'')] = True
@@ -62,8 +63,8 @@ def item_grams(items: DataFrame, n: int = SEED) -> DataFrame:
                             [
                                 row.column(0),
                                 row.column(1),
-                                pa.array([own.view(np.int64)], pa.list_(pa.int64())),
-                                pa.array([found], pa.list_(pa.int64())),
+                                pa.array([own.view(np.int64)], LONGS),
+                                pa.array([found], LONGS),
                             ],
                             names=["item", "item_id", "words", "grams"],
                         )
@@ -120,22 +121,22 @@ def passages(docs: DataFrame, packed: np.ndarray, margin: int, n: int = SEED) ->
                 owner = np.searchsorted(words.rows, at[hit], "right") - 1
                 new = np.ones(len(hit), bool)
                 new[1:] = (np.diff(owner) > 0) | (np.diff(at[hit]) > 2 * margin)
-                firsts = np.flatnonzero(new)
-                for first, last in zip(firsts, np.append(firsts[1:], len(hit)), strict=True):
-                    row = int(owner[first])
-                    start = max(int(at[hit[first]]) - margin, int(words.rows[row]))
-                    end = min(int(at[hit[last - 1]]) + n + margin, int(words.rows[row + 1]))
-                    whole = batch.slice(piece.first + row, 1)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            whole.column(0),
-                            whole.column(1),
-                            pa.array([start - int(words.rows[row])]),
-                            pa.array([hashes[start:end].view(np.int64)], pa.list_(pa.int64())),
-                            pa.array([np.unique(grams[hit[first:last]]).view(np.int64)], pa.list_(pa.int64())),
-                        ],
-                        names=["doc", "doc_id", "start", "words", "grams"],
-                    )
+                edges = np.append(np.flatnonzero(new), len(hit))
+                rows = owner[edges[:-1]]
+                starts = np.maximum(at[hit[edges[:-1]]] - margin, words.rows[rows])
+                ends = np.minimum(at[hit[edges[1:] - 1]] + n + margin, words.rows[rows + 1])
+                own = [np.unique(grams[hit[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                taken = pa.array(piece.first + rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(taken),
+                        batch.column(1).take(taken),
+                        pa.array(starts - words.rows[rows]),
+                        pa.array([hashes[a:b].view(np.int64) for a, b in zip(starts, ends, strict=True)], LONGS),
+                        pa.array([x.view(np.int64) for x in own], LONGS),
+                    ],
+                    names=["doc", "doc_id", "start", "words", "grams"],
+                )
 
     numbered = docs.select(F.monotonically_increasing_id().alias("doc"), F.col("doc_id").cast("long"), "text")
     return numbered.mapInArrow(cut, "doc long, doc_id long, start long, words array<long>, grams array<long>")
