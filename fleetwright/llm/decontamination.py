@@ -1,9 +1,10 @@
 """Benchmark passages in training documents: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are runs of characters other than white space and ASCII punctuation, A-Z lower-cased.
-All documents are counted for the n-grams of the test items; each item keeps as seeds the half
-of its distinct n-grams that the fewest documents have, so every item keeps some, however often
-it was copied. Documents with a seed give up the words around it, an item's length to either
+All documents are counted for the n-grams of the test items. Of an item's n-grams that occur at
+all, those in more than ``RARE`` times as many documents as the median one are common phrases;
+the rest are its seeds. So every item that occurs keeps at least half of them, however often
+it was copied, and exact copies do not drown the n-grams that edited ones still have. Documents with a seed give up the words around it, an item's length to either
 side; these passages are joined to items by seed, once per pair, and aligned locally by word:
 a match scores 2, a mismatch or gap costs 1. A pair counts if the best alignment scores at
 least ``MIN_SCORE`` of a perfect copy of the item.
@@ -25,12 +26,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from fleetwright.llm.shared import settled
 from fleetwright.llm.texts import LOWER, SPACE, Slice, gram_hashes, span_hashes, text_slices, words_of
 
 SEED = 5
+RARE = 4
 MIN_SCORE = 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITMAP_BITS = 1 << 23
@@ -175,10 +176,12 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SEED, min_score: fl
     grams = known.select("item", F.explode("grams").alias("gram"))
     longest = known.agg(F.max(F.size("words"))).first()[0] or 0
     counts = settled(document_counts(docs, bitmap(grams), n), "decontamination-counts")
-    rarity = Window.partitionBy("item").orderBy(F.coalesce("n_docs", F.lit(0)), "gram")
-    ranked = grams.join(counts, "gram", "left").withColumn("rank", F.row_number().over(rarity))
-    sizes = known.select("item", F.ceil(F.size("grams") / 2).alias("kept"))
-    seeds = settled(ranked.join(sizes, "item").filter("rank <= kept").select("item", "gram"), "decontamination-seeds")
+    occurring = settled(grams.join(counts, "gram"), "decontamination-grams")
+    usual = occurring.groupBy("item").agg(F.percentile_approx("n_docs", 0.5).alias("usual"))
+    seeds = settled(
+        occurring.join(usual, "item").filter(F.col("n_docs") <= RARE * F.col("usual")).select("item", "gram"),
+        "decontamination-seeds",
+    )
     found = passages(docs, bitmap(seeds), longest, n).withColumn("passage", F.monotonically_increasing_id())
     found = settled(found, "decontamination-passages")
     pairs = found.select("passage", F.explode("grams").alias("gram")).join(seeds, "gram").select("passage", "item").distinct()
