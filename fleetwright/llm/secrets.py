@@ -116,10 +116,11 @@ def best_entropy(run: Column, window: int = WINDOW) -> Column:
         return count * F.log2(F.greatest(count, F.lit(1)))
 
     codes = F.transform(F.split(run, ""), F.ascii)
+    size = F.least(F.length(run), F.lit(window))
+    # The size is carried along: taken from the string, it would be counted anew at every step.
     start = F.struct(
-        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best")
+        F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"), size.alias("size")
     )
-    size = F.least(F.length(run), F.lit(window))
 
     def slide(state: Column, code: Column, out: Column) -> Column:
         """``out`` is the code that leaves; -1 while the window fills, -2 when it is full for the first time."""
@@ -129,9 +130,9 @@ def best_entropy(run: Column, window: int = WINDOW) -> Column:
         change = term(come + 1) - term(come) + F.when(gone > 0, term(gone - 1) - term(gone)).otherwise(F.lit(0.0))
         total = state["sum"] + F.when(code == out, F.lit(0.0)).otherwise(change)
         moved = F.transform(counts, lambda n, k: n + (k == code).cast("int") - (k == out).cast("int"))
-        bits = F.log2(size) - total / size
+        bits = F.log2(state["size"]) - total / state["size"]
         best = F.when(out == -1, state["best"]).otherwise(F.greatest(state["best"], bits))
-        return F.struct(moved.alias("counts"), total.alias("sum"), best.alias("best"))
+        return F.struct(moved.alias("counts"), total.alias("sum"), best.alias("best"), state["size"].alias("size"))
 
     leaving = F.concat(F.array_repeat(F.lit(-1), size - 1), F.array(F.lit(-2)), codes)
     steps = F.zip_with(
