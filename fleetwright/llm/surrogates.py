@@ -35,7 +35,7 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
 #: Kind and pattern; where several could begin, the first counts.
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "person": rf"(?<![\p{{L}}\p{{N}}]){_TITLE}\s+{_NAME}(?:\s+{_NAME}){{0,2}}",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -45,6 +45,8 @@ PATTERNS = {
     "card": r"(?<!\d)\d(?:[ -]?\d){12,18}(?!\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: What every mention has: a digit, an at sign or a title. Cheap to look for in texts without any.
+SIGNS = rf"[0-9@]|(?=[MHFSгκ])(?:{TITLES['m']}|{TITLES['f']})\.?\s"
 
 SYLLABLES = {
     "latin": "ba be bo da de do fa fi ga go ha he ja jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te ti to va ve vi".split(),
@@ -192,7 +194,7 @@ def _rendered(kind: Column, raw: Column, value: Column) -> Column:
 def replaced(docs: DataFrame, key: str, count: str = "n_replaced") -> DataFrame:
     """``docs`` with personal data in ``text`` replaced, and the number of replaced mentions added as ``count``."""
     found = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    holds = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    holds = F.coalesce(F.col("text").rlike(SIGNS) & F.col("text").rlike(ANY), F.lit(False))
     digest = F.md5(F.col("text").cast("binary"))
     texts = docs.filter(holds).select(digest.alias("_key"), F.array_distinct(found).alias("mentions"))
     texts = texts.groupBy("_key").agg(F.first("mentions").alias("mentions"))
