@@ -365,9 +365,9 @@ ORDER BY namespace, name LIMIT 300""")
 oracle("phase_census", "stream_def",
        "SELECT stream_class, phase, count(*) AS streams FROM stream_def GROUP BY stream_class, phase")
 oracle("run_census", "run_observation",
-       """SELECT name, kind, is_backfill, state, count(*) AS runs FROM (
-  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY ts DESC, seq DESC) AS n FROM run_observation) o
-WHERE n = 1 GROUP BY name, kind, is_backfill, state""")
+       """SELECT namespace, name, kind, is_backfill, state, count(*) AS runs FROM (
+  SELECT *, row_number() OVER (PARTITION BY namespace, run_id ORDER BY ts DESC, seq DESC) AS n FROM run_observation) o
+WHERE n = 1 GROUP BY namespace, name, kind, is_backfill, state""")
 
 # Status
 
@@ -384,22 +384,23 @@ oracle("status_conditions", "stream_def backfill_request",
 FROM stream_def LEFT JOIN open_request USING (namespace, name) WHERE phase NOT IN ('', 'Unheard')""", OPEN)
 CHANGES = (
     "changes",
-    """SELECT name, ts, seq, from_phase, phase AS to_phase FROM (SELECT *, COALESCE(lag(phase) OVER
-  (PARTITION BY name ORDER BY ts, seq), '') AS from_phase FROM phase_event) e WHERE from_phase <> phase""",
+    """SELECT namespace, name, ts, seq, from_phase, phase AS to_phase FROM (SELECT *, COALESCE(lag(phase) OVER
+  (PARTITION BY namespace, name ORDER BY ts, seq), '') AS from_phase FROM phase_event) e WHERE from_phase <> phase""",
 )
 oracle("phase_transitions", "phase_event", "SELECT * FROM changes", CHANGES)
 oracle("stream_phase_tracker", "phase_event", "SELECT * FROM changes", CHANGES)
 oracle("time_in_phase", "phase_event",
-       """SELECT name, ts, seq, to_phase AS phase,
-  (epoch_us(lead(ts) OVER (PARTITION BY name ORDER BY ts, seq)) - epoch_us(ts)) // 1000 AS dwell_ms
+       """SELECT namespace, name, ts, seq, to_phase AS phase,
+  (epoch_us(lead(ts) OVER (PARTITION BY namespace, name ORDER BY ts, seq)) - epoch_us(ts)) // 1000 AS dwell_ms
 FROM changes""", CHANGES)
-NEWEST = "SELECT *, row_number() OVER (PARTITION BY name ORDER BY ts DESC, seq DESC) AS n FROM phase_event"
-oracle("latest_state", "phase_event", f"SELECT name, ts, seq, phase FROM ({NEWEST}) e WHERE n = 1")
-oracle("streaming_status_sink", "phase_event", f"SELECT name, phase FROM ({NEWEST}) e WHERE n = 1")
+NEWEST = "SELECT *, row_number() OVER (PARTITION BY namespace, name ORDER BY ts DESC, seq DESC) AS n FROM phase_event"
+oracle("latest_state", "phase_event", f"SELECT namespace, name, ts, seq, phase FROM ({NEWEST}) e WHERE n = 1")
+oracle("streaming_status_sink", "phase_event", f"SELECT namespace, name, phase FROM ({NEWEST}) e WHERE n = 1")
+oracle("status_under_disorder", "phase_event", f"SELECT namespace, name, ts, phase FROM ({NEWEST}) e WHERE n = 1")
 oracle("status_sink", "phase_event",
-       f"""SELECT name, ts, seq, phase, CAST(0 AS BIGINT) AS batch_id FROM early WHERE n = 1
-UNION ALL SELECT e.name, e.ts, e.seq, e.phase, CAST(1 AS BIGINT) FROM ({NEWEST}) e
-LEFT JOIN (SELECT * FROM early WHERE n = 1) b ON b.name = e.name
+       f"""SELECT namespace, name, ts, seq, phase, CAST(0 AS BIGINT) AS batch_id FROM early WHERE n = 1
+UNION ALL SELECT e.namespace, e.name, e.ts, e.seq, e.phase, CAST(1 AS BIGINT) FROM ({NEWEST}) e
+LEFT JOIN (SELECT * FROM early WHERE n = 1) b ON b.namespace = e.namespace AND b.name = e.name
 WHERE e.n = 1 AND (b.phase IS NULL OR b.phase <> e.phase)""",
        ("early", f"{NEWEST} WHERE ts < TIMESTAMP '2024-01-15 00:00:00'"))
 
@@ -436,20 +437,15 @@ oracle("class_registry", "class_feed",
 FROM class_feed) f WHERE n = 1 AND verb = 'ADD'""")
 oracle("heartbeat_counts", "class_feed",
        """SELECT f.kind, t.at AS reported_at, 1 AS value
-FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01 00:10:05', TIMESTAMP '2024-01-31 00:00:00',
-  INTERVAL 10 MINUTE)) AS at) t
+FROM (SELECT unnest(generate_series(date_trunc('second', min(ts)) + INTERVAL 35 SECOND, date_trunc('second', max(ts)),
+  INTERVAL 30 SECOND)) AS at FROM class_feed) t
 JOIN (SELECT kind, ts, verb, lead(ts) OVER (PARTITION BY kind ORDER BY ts, seq) AS until FROM class_feed) f
   ON f.ts <= t.at AND (f.until IS NULL OR f.until > t.at) WHERE f.verb = 'ADD'""")
-WINDOWS = (
-    "windows",
-    """SELECT kind, w AS window_start, w + INTERVAL 1 HOUR AS window_end, count(*) AS beats FROM (
-  SELECT kind, time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '2024-01-01 00:05:00') AS w FROM class_feed) f
-GROUP BY kind, w""",
-)
-oracle("heartbeat_windows", "class_feed", "SELECT * FROM windows", WINDOWS)
-oracle("streaming_heartbeats", "class_feed",
-       """SELECT * FROM windows
-WHERE window_end <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM class_feed)""", WINDOWS)
+for name in ("heartbeat_windows", "streaming_heartbeats"):
+    oracle(name, "class_feed",
+           """SELECT kind, w AS window_start, w + INTERVAL 30 SECOND AS window_end, count(*) AS beats FROM (
+  SELECT kind, time_bucket(INTERVAL 30 SECOND, ts, TIMESTAMP '2024-01-01 00:00:05') AS w FROM class_feed) f
+GROUP BY kind, w""")
 
 # Feeds
 
@@ -479,14 +475,14 @@ oracle("change_feed_rows", "watch_event", "SELECT seq, ts, kind, verb, owner_nam
 
 ASKED = (
     "asked",
-    """SELECT d.*, q.request_id, q.request_name AS open_name, q.request_class,
-  d.backend = 'CronJob' AS cron, d.backend = 'CronJob' OR q.request_name IS NOT NULL AS has_request,
-  CASE WHEN d.backend <> 'CronJob' THEN COALESCE(q.request_name, '') ELSE '' END AS id_value,
-  CASE WHEN d.backend = 'CronJob' THEN '{"streamClass":"","streamId":""}'
-    WHEN q.request_name IS NOT NULL
-    THEN '{"streamClass":"' || q.request_class || '","streamId":"' || d.name || '"}' END AS override_json,
-  c_custkey % 31 = 0 AS taken
-FROM stream_def d LEFT JOIN open_request q ON q.namespace = d.namespace AND q.name = d.name""",
+    """SELECT *, cron OR open_name IS NOT NULL AS has_request,
+  CASE WHEN NOT cron THEN COALESCE(open_name, '') ELSE '' END AS id_value,
+  CASE WHEN cron THEN '{"streamClass":"","streamId":""}'
+    WHEN open_name IS NOT NULL THEN '{"streamClass":"' || request_class || '","streamId":"' || name || '"}'
+    END AS override_json
+FROM (SELECT d.*, q.request_id, q.request_name AS open_name, q.request_class, c_custkey % 31 = 0 AS taken,
+    d.backend = 'CronJob' AND NOT (d.phase = 'Pending' AND q.request_name IS NOT NULL) AS cron
+  FROM stream_def d LEFT JOIN open_request q ON q.namespace = d.namespace AND q.name = d.name) s""",
 )
 # Variables a container starts with: position, container, name, value.
 PRESET = (
@@ -596,21 +592,21 @@ UNION ALL SELECT namespace, name, 'streamId', name FROM asked WHERE request_id I
 
 # Data jobs
 
-SOURCE = ("source", "SELECT 'stream-' || user_id AS name, event_id, ts, event_type, value FROM events")
-LIVE = """SELECT name, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER
-  (PARTITION BY name ORDER BY ts DESC, event_id DESC) AS n FROM source) s WHERE n = 1 AND event_type <> 'error'"""
-oracle("plugin_source_files", "",
+SOURCE = ("source", "SELECT * FROM source_row")
+LIVE = """SELECT namespace, name, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER
+  (PARTITION BY namespace, name ORDER BY ts DESC, event_id DESC) AS n FROM source) s WHERE n = 1 AND event_type <> 'error'"""
+oracle("plugin_source_files", "source_row",
        "SELECT source.*, format FROM source, (VALUES ('parquet'), ('json')) AS f(format)",
        SOURCE)
-oracle("backfill_load", "backfill_request",
-       "SELECT s.*, q.request_name AS backfill_id FROM source s JOIN open_request q ON q.name = s.name", OPEN, SOURCE)
+oracle("backfill_load", "source_row backfill_request",
+       "SELECT s.*, q.request_name AS backfill_id FROM source s JOIN open_request q ON q.namespace = s.namespace AND q.name = s.name", OPEN, SOURCE)
 oracle("backfill_completed_requests", "backfill_request",
        "SELECT namespace, request_name, TRUE AS completed FROM open_request", OPEN)
-oracle("scheduled_batch", "", "SELECT *, '20240131T000000' AS run_id FROM source", SOURCE)
+oracle("scheduled_batch", "source_row", "SELECT *, '20240131T000000' AS run_id FROM source", SOURCE)
 for name in ("backfill_handoff", "change_capture", "suspend_resume"):
-    oracle(name, "", LIVE, SOURCE)
-oracle("backfill_handoff_rows", "", "SELECT * FROM source", SOURCE)
-oracle("gap_fill", "",
+    oracle(name, "source_row", LIVE, SOURCE)
+oracle("backfill_handoff_rows", "source_row", "SELECT * FROM source", SOURCE)
+oracle("gap_fill", "source_row",
        """SELECT * FROM source WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'
 AND event_type <> 'click'""", SOURCE)
-oracle("restart_on_change", "", LIVE.replace("'error'", "'purchase'"), SOURCE)
+oracle("restart_on_change", "source_row", LIVE.replace("'error'", "'purchase'"), SOURCE)

@@ -84,13 +84,7 @@ class Fleet:
 
     @property
     def source(self) -> DataFrame:
-        return self.events.select(
-            F.concat(F.lit("stream-"), F.col("user_id").cast("string")).alias("name"),
-            "event_id",
-            "ts",
-            "event_type",
-            "value",
-        )
+        return self.source_row
 
 
 # Definitions
@@ -200,8 +194,7 @@ def configuration_drift(spark, folder):
 @query
 def orphan_runs(spark, folder):
     f = Fleet(spark, folder)
-    owned = f.stream_def.filter(F.col("phase") != "Unheard")
-    return runs.orphan_runs(owned, f.job_run, f.cron_run)
+    return runs.orphan_runs(f.remaining_stream, f.job_run, f.cron_run)
 
 
 @query
@@ -349,13 +342,12 @@ def class_registry(spark, folder):
 
 @query
 def heartbeat_counts(spark, folder):
-    feed = Fleet(spark, folder).class_feed
-    return classes.heartbeat_counts(feed, "2024-01-01 00:00:00", "2024-01-31 00:00:00", 600, 5)
+    return classes.heartbeat_counts(Fleet(spark, folder).class_feed)
 
 
 @query
 def heartbeat_windows(spark, folder):
-    return classes.heartbeat_windows(Fleet(spark, folder).class_feed, "1 hour", "5 minutes")
+    return classes.heartbeat_windows(Fleet(spark, folder).class_feed)
 
 
 # Feeds
@@ -452,8 +444,7 @@ def static_backfill_id(spark, folder):
 
 @query
 def dynamic_backfill_id(spark, folder):
-    cron = F.col("backend") == CRON_JOB
-    return parameters.variables(_built(spark, folder, parameters.dynamic_backfill_id(cron)))
+    return parameters.variables(_built(spark, folder, parameters.dynamic_backfill_id(F.col("scheduled"))))
 
 
 @query
@@ -521,7 +512,7 @@ def scheduled_batch(spark, folder):
     first = f.source.filter(F.col("ts") < F.lit(BACKFILL_END))
     loads.scheduled_batch(spark, first, target, "20240115T000000")
     loads.scheduled_batch(spark, f.source, target, "20240131T000000")
-    return loads.latest_run(spark, target)
+    return loads.latest_run(spark, target, f.source.schema)
 
 
 def _feeds(f: Fleet) -> tuple[DataFrame, DataFrame]:
@@ -533,7 +524,7 @@ def _feeds(f: Fleet) -> tuple[DataFrame, DataFrame]:
 
 @query
 def backfill_handoff(spark, folder):
-    return loads.backfill_handoff(*_feeds(Fleet(spark, folder)), ["name"], deleted())
+    return loads.backfill_handoff(*_feeds(Fleet(spark, folder)), KEY, deleted())
 
 
 @query
@@ -565,7 +556,7 @@ def _in_two_runs(spark, rows: DataFrame, place: str, step) -> None:
 
 
 def _status_table(spark, place: str, rows: DataFrame) -> ChangeTable:
-    return ChangeTable(spark, f"{place}/state", rows.schema, ["name"], ["ts", "seq"]).create()
+    return ChangeTable(spark, f"{place}/state", rows.schema, KEY, ["ts", "seq"]).create()
 
 
 @query
@@ -605,7 +596,7 @@ def stream_phase_tracker(spark, folder):
     rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "phases")
     state = _status_table(spark, place, rows)
     _in_two_runs(spark, rows, place, jobs.track_phases(state, f"{place}/log"))
-    schema = "name string, ts timestamp_ntz, seq long, from_phase string, to_phase string"
+    schema = "namespace string, name string, ts timestamp_ntz, seq long, from_phase string, to_phase string"
     return spark.read.schema(schema).parquet(f"{place}/log").drop("batch_id")
 
 
@@ -614,7 +605,7 @@ def streaming_status_sink(spark, folder):
     rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "status")
     table = _status_table(spark, place, rows)
     _in_two_runs(spark, rows, place, jobs.status_sink(table))
-    return table.rows().select("name", "phase")
+    return table.rows().select(*KEY, "phase")
 
 
 @query
@@ -625,7 +616,7 @@ def status_sink(spark, folder):
     step = jobs.status_sink(table, f"{place}/events")
     step(rows.filter(F.col("ts") < F.lit(BACKFILL_END)), 0)
     step(rows, 1)
-    schema = "name string, ts timestamp_ntz, seq long, phase string, batch_id long"
+    schema = "namespace string, name string, ts timestamp_ntz, seq long, phase string, batch_id long"
     return spark.read.schema(schema).parquet(f"{place}/events")
 
 
@@ -634,18 +625,26 @@ def streaming_heartbeats(spark, folder):
     feed, place = Fleet(spark, folder).class_feed, new_folder(spark, "beats")
     _land(feed, f"{place}/feed")
     stream = source_stream(spark, "parquet", f"{place}/feed", feed.schema)
-    beats = jobs.streaming_heartbeats(stream, "1 hour", "5 minutes", "10 minutes")
-    jobs.append_available(beats, f"{place}/checkpoint", f"{place}/out")
-    return (
-        spark.read.schema(beats.schema)
-        .parquet(f"{place}/out")
-        .withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-        .withColumn("window_end", F.col("window_end").cast("timestamp_ntz"))
-    )
+    jobs.run_available(stream, f"{place}/checkpoint", jobs.count_heartbeats(f"{place}/out"))
+    return jobs.counted_heartbeats(spark, f"{place}/out")
+
+
+@query
+def status_under_disorder(spark, folder):
+    """The feed in five batches that are not in order of time, one of them repeated, with folds in between."""
+    rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "disorder")
+    table = ChangeTable(spark, f"{place}/state", rows.schema, KEY, ["ts", "seq"], fold_every=2).create()
+    step = jobs.status_sink(table)
+    for batch_id, part in enumerate((3, 0, 4, 1, 2)):
+        batch = rows.filter(F.col("seq") % 5 == part)
+        step(batch, batch_id)
+        if batch_id == 2:
+            step(batch, batch_id)
+    return table.rows().select(*KEY, "ts", "phase")
 
 
 def _captured(spark, rows: DataFrame, place: str) -> ChangeTable:
-    return ChangeTable(spark, f"{place}/target", rows.schema, ["name"], ["ts", "event_id"]).create()
+    return ChangeTable(spark, f"{place}/target", rows.schema, KEY, ["ts", "event_id"]).create()
 
 
 @query

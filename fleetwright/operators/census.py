@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.latest import latest_per_key
+from fleetwright.operators.definitions import KEY
 
 
 def phase_census(streams: DataFrame) -> DataFrame:
@@ -13,13 +14,13 @@ def phase_census(streams: DataFrame) -> DataFrame:
 
 
 def run_census(observations: DataFrame) -> DataFrame:
-    """Runs per stream by kind, backfill flag and last seen state."""
+    """Runs per stream by kind, backfill flag and last seen state. Run ids are unique in their namespace."""
     last = latest_per_key(
-        observations.select("run_id", "name", "ts", "seq", "kind", "is_backfill", "state"),
-        ["run_id"],
+        observations.select("run_id", *KEY, "ts", "seq", "kind", "is_backfill", "state"),
+        ["namespace", "run_id"],
         ["ts", "seq"],
     )
-    return last.groupBy("name", "kind", "is_backfill", "state").agg(F.count(F.lit(1)).alias("runs"))
+    return last.groupBy(*KEY, "kind", "is_backfill", "state").agg(F.count(F.lit(1)).alias("runs"))
 
 
 def event_reason_counts(events: DataFrame) -> DataFrame:

@@ -80,15 +80,25 @@ def class_registry(feed: DataFrame) -> DataFrame:
     )
 
 
+def feed_range(feed: DataFrame) -> tuple[str, str]:
+    """First and last full second of a feed: two values, whatever its size."""
+    ends = feed.agg(F.min("ts"), F.max("ts"))
+    ends = ends.select(*(F.date_format(F.date_trunc("second", c), "yyyy-MM-dd HH:mm:ss") for c in ends.columns))
+    return tuple(ends.first())
+
+
 def heartbeat_counts(
-    feed: DataFrame, start: str, until: str, interval_seconds: int = 30, delay_seconds: int = 5
+    feed: DataFrame, start: str | None = None, until: str | None = None, interval_seconds: int = 30, delay_seconds: int = 5
 ) -> DataFrame:
-    """One count of 1 per live class and report tick in (start, until].
+    """One count of 1 per live class and report tick in (start, until], by default the feed's own range.
 
     Ticks fall at start + delay + n * interval, n >= 1. Only the last word per class before
     each tick matters, so the feed is first reduced (map-side) to that; the window below it
     then sees at most one row per class and tick.
     """
+    if start is None or until is None:
+        first, last = feed_range(feed)
+        start, until = start or first, until or last
     origin = F.lit(start).cast("timestamp").cast("long") + delay_seconds
     final = F.floor((F.lit(until).cast("timestamp").cast("long") - origin) / interval_seconds)
     age = F.col("ts").cast("timestamp").cast("double") - origin

@@ -60,7 +60,10 @@ VALUE_KINDS = {
 # has a null kind, so that comparing it is never true; VOID is a JSON null.
 REJECTIONS = [
     ("doc IS NULL", "document is not JSON"),
-    ("spec_is <> 'OBJECT' OR execution_is <> 'OBJECT' OR layout_is <> 'STRING'", "layout is not readable"),
+    (
+        "spec_is NOT IN ('OBJECT', 'VOID') OR execution_is NOT IN ('OBJECT', 'VOID') OR layout_is <> 'STRING'",
+        "layout is not readable",
+    ),
     ("layout NOT IN ('', 'v1', 'v2')", "layout is unknown"),
     (
         "layout <> '' AND (suspended_new_is NOT IN ('BOOLEAN', 'VOID') OR streaming_is NOT IN ('OBJECT', 'VOID')"
@@ -69,7 +72,7 @@ REJECTIONS = [
         " OR schedule_is NOT IN ('STRING', 'VOID'))",
         "execution is not readable",
     ),
-    ("status_is <> 'OBJECT' OR phase_is <> 'STRING'", "phase is not readable"),
+    ("status_is NOT IN ('OBJECT', 'VOID') OR phase_is <> 'STRING'", "phase is not readable"),
     ("layout = '' AND suspended_old_is IS NULL", "suspended is missing"),
     ("layout = '' AND suspended_old_is <> 'BOOLEAN'", "suspended is not a boolean"),
     ("hash_is <> 'STRING'", "configuration hash is not readable"),

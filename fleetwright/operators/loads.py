@@ -1,6 +1,6 @@
 """The data jobs of a stream: backfill, scheduled reload, hand-off, gap fill.
 
-Source rows carry the stream's ``name``, an event time ``ts``, a unique ``event_id`` and
+Source rows carry the stream's ``namespace`` and ``name``, an event time ``ts``, a unique ``event_id`` and
 payload columns. Targets are folders of parquet, one sub-folder per load or run, so one that
 is repeated after a failure overwrites its own output and nothing else.
 """
@@ -11,15 +11,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from fleetwright.functions.joins import broadcast_if_small
 from fleetwright.functions.latest import latest_per_key
+from fleetwright.operators.definitions import KEY
 
 
 def backfill_rows(source: DataFrame, open_requests: DataFrame) -> DataFrame:
-    """All source rows of streams with an open request, tagged with the request as backfill id."""
-    runs = open_requests.select("name", F.col("request_name").alias("backfill_id"))
-    return source.join(runs, "name", "inner")
+    """All source rows of streams with an open request, tagged with the request as backfill id.
+
+    Spark picks the join by the requests' real size, and splits a stream that holds many rows.
+    """
+    runs = open_requests.select(*KEY, F.col("request_name").alias("backfill_id"))
+    return source.join(runs, KEY, "inner")
 
 
 def backfill_load(
@@ -27,34 +31,43 @@ def backfill_load(
 ) -> tuple[DataFrame, DataFrame]:
     """Run all open backfills; returns the loaded rows and the requests to mark completed.
 
-    A load owns one sub-folder, so repeating it after a failure overwrites its own rows only.
-    Rows are gathered by backfill id, so that readers of one id skip the other row groups;
-    the rebalance hint splits an id that holds a large part of all rows over many tasks. A
-    request is completed only once its rows are written.
+    A load first writes down the requests it answers; its rows and the completed requests both
+    come from that list, so one that is opened meanwhile stays open. A load owns one sub-folder
+    of ``rows`` and ``requests``, so repeating it after a failure overwrites its own only. Rows are
+    gathered by backfill id, so that readers of one id skip the other row groups; the rebalance
+    hint splits an id that holds a large part of all rows over many tasks.
     """
-    rows = backfill_rows(source, broadcast_if_small(open_requests.select("name", "request_name")))
-    folder = f"{target.rstrip('/')}/load_id={load_id}"
+    root = target.rstrip("/")
+    asked = open_requests.select(*KEY, "request_name")
+    asked.write.mode("overwrite").parquet(f"{root}/requests/load_id={load_id}")
+    asked = spark.read.schema(asked.schema).parquet(f"{root}/requests/load_id={load_id}")
+    rows = backfill_rows(source, asked)
+    folder = f"{root}/rows/load_id={load_id}"
     rows.hint("rebalance", "backfill_id").sortWithinPartitions("backfill_id").write.mode("overwrite").parquet(folder)
     loaded = spark.read.schema(rows.schema).parquet(folder)
-    return loaded, open_requests.select("namespace", "request_name", F.lit(True).alias("completed"))
+    return loaded, asked.select("namespace", "request_name", F.lit(True).alias("completed"))
 
 
-def scheduled_batch(
-    spark: SparkSession, source: DataFrame, target: str, run_id: str
-) -> DataFrame:
-    """One scheduled full reload under its own id; returns the run's rows."""
-    source.write.mode("overwrite").parquet(f"{target.rstrip('/')}/run_id={run_id}")
-    return spark.read.schema(source.schema).parquet(f"{target.rstrip('/')}/run_id={run_id}")
+def scheduled_batch(spark: SparkSession, source: DataFrame, target: str, run_id: str) -> DataFrame:
+    """One scheduled full reload under its own id; returns the run's rows.
+
+    The run counts once its mark is written, after its rows.
+    """
+    root = target.rstrip("/")
+    source.write.mode("overwrite").parquet(f"{root}/rows/run_id={run_id}")
+    mark = spark.range(1).select(F.lit(run_id).alias("run"))
+    mark.write.mode("overwrite").parquet(f"{root}/runs/of={run_id}")
+    return spark.read.schema(source.schema).parquet(f"{root}/rows/run_id={run_id}")
 
 
-def latest_run(spark: SparkSession, target: str) -> DataFrame:
-    """Rows of the newest run; run ids sort by time.
+def latest_run(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """Rows of the newest finished run, with its ``run_id``; run ids sort by time as texts.
 
-    The newest id is one value of the partition column, found without reading rows; the
-    filter on it then prunes all older runs.
+    Only the marks and that run's own folder are opened. A newest run without rows gives none.
     """
-    runs = spark.read.option("basePath", target).parquet(target)
-    return runs.filter(F.col("run_id") == F.lit(runs.agg(F.max("run_id")).first()[0]))
+    root = target.rstrip("/")
+    newest = spark.read.schema("run string").parquet(f"{root}/runs").agg(F.max("run")).first()[0]
+    return spark.read.schema(schema).parquet(f"{root}/rows/run_id={newest}").withColumn("run_id", F.lit(newest))
 
 
 def handoff_rows(backfill: DataFrame, stream: DataFrame, overlap_start: Column, overlap_end: Column) -> DataFrame:
@@ -69,8 +82,8 @@ def handoff_rows(backfill: DataFrame, stream: DataFrame, overlap_start: Column,
 
 
 def live_rows(rows: DataFrame, keys: Sequence[str], deleted: Column) -> DataFrame:
-    """Newest row per key, without keys whose newest row is a delete."""
-    return latest_per_key(rows, list(keys), ["ts", "event_id"]).filter(~deleted)
+    """Newest row per key, without keys whose newest row is a delete; a null mark is none."""
+    return latest_per_key(rows, list(keys), ["ts", "event_id"]).filter(~F.coalesce(deleted, F.lit(False)))
 
 
 def backfill_handoff(

@@ -23,6 +23,7 @@ from fleetwright.vocabulary import (
     CONFIGURATION_HASH,
     CRON_JOB,
     LABEL_PREFIX,
+    PENDING,
     RUN_ID_FIELD,
     STREAM_ID,
     STREAM_KIND,
@@ -154,12 +155,18 @@ def checksum_annotation() -> Step:
     return Step(annotations={CONFIGURATION_HASH: F.col("checksum")}, error=error)
 
 
+def scheduled_run() -> Column:
+    """Whether the run to be built is a scheduled one; a pending stream answers its open request by a batch job."""
+    return (F.col("backend") == CRON_JOB) & ~((F.col("phase") == PENDING) & F.col("request_name").isNotNull())
+
+
 def with_request_columns(streams: DataFrame) -> DataFrame:
-    """Add ``override_json``, ``request_name`` and ``checksum`` of the run to be built.
+    """Add ``scheduled``, ``override_json``, ``request_name`` and ``checksum`` of the run to be built.
 
-    Scheduled streams are always built with an empty placeholder request.
+    Scheduled runs are always built with an empty placeholder request.
     """
-    cron = F.col("backend") == CRON_JOB
+    streams = streams.withColumn("scheduled", scheduled_run())
+    cron = F.col("scheduled")
     asked = cron | F.col("request_name").isNotNull()
     spec = request_json(
         F.when(~cron, F.col("request_class")), F.when(~cron, F.col("name")), F.lit(False)
@@ -178,7 +185,7 @@ def run_parameters(streams: DataFrame, prefix: str = LABEL_PREFIX) -> DataFrame:
     Scheduled runs lose their labels in the end: only the inner part of the job goes into
     the cron job, whose own annotation is the checksum without the placeholder.
     """
-    cron = F.col("backend") == CRON_JOB
+    cron = F.col("scheduled")
     built = build(
         with_request_columns(streams),
         [

@@ -97,9 +97,9 @@ def orphan_runs(streams: DataFrame, jobs: DataFrame, cron_jobs: DataFrame) -> Da
     One left join answers both; a backfill job of a scheduled stream is still a wrong kind.
     """
     runs = runs_by_kind(jobs, cron_jobs).select(*KEY, "run_kind")
-    joined = runs.join(streams.select(*KEY, "backend"), KEY, "left")
-    reason = F.when(F.col("backend").isNull(), "stream is gone").when(
-        F.col("backend") != F.col("run_kind"), "backend has changed"
+    joined = runs.join(streams.select(*KEY, "backend", F.lit(True).alias("_stream")), KEY, "left")
+    reason = F.when(F.col("_stream").isNull(), "stream is gone").when(
+        ~F.col("backend").eqNullSafe(F.col("run_kind")), "backend has changed"
     )
     return joined.select(*KEY, "run_kind", reason.alias("reason")).filter("reason IS NOT NULL")
 

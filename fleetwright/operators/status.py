@@ -39,7 +39,7 @@ def status_conditions(streams: DataFrame) -> DataFrame:
 
 
 def phase_transitions(
-    events: DataFrame, keys: Sequence[str] = ("name",), slice_seconds: int = 3600, start: str | None = None
+    events: DataFrame, keys: Sequence[str] = tuple(KEY), slice_seconds: int = 3600, start: str | None = None
 ) -> DataFrame:
     """Changes of phase per key; repeats of the same phase are suppressed.
 
@@ -56,7 +56,7 @@ def phase_transitions(
 
 
 def time_in_phase(
-    events: DataFrame, keys: Sequence[str] = ("name",), slice_seconds: int = 3600
+    events: DataFrame, keys: Sequence[str] = tuple(KEY), slice_seconds: int = 3600
 ) -> DataFrame:
     """Milliseconds from each change of phase to the next; null while a phase lasts."""
     keys = list(keys)
@@ -68,7 +68,7 @@ def time_in_phase(
     )
 
 
-def latest_state(events: DataFrame, keys: Sequence[str] = ("name",)) -> DataFrame:
+def latest_state(events: DataFrame, keys: Sequence[str] = tuple(KEY)) -> DataFrame:
     """Newest phase per key."""
     return latest_per_key(events.select(*keys, "ts", "seq", "phase"), list(keys), ["ts", "seq"])
 

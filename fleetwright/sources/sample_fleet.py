@@ -90,7 +90,7 @@ SELECT 'tmpl-' || CAST(p_partkey AS STRING) AS template_name,
   CASE WHEN p_size % 4 = 0 THEN NULL ELSE CAST(p_size % 4 AS STRING) END AS cpu_limit
 FROM part WHERE p_partkey % 6 <> 5""",
     "phase_event": """
-SELECT 'stream-' || CAST(user_id AS STRING) AS name, event_id AS seq, ts,
+SELECT 'ns-' || CAST(event_id % 2 AS STRING) AS namespace, 'stream-' || CAST(user_id AS STRING) AS name, event_id AS seq, ts,
   CASE event_type WHEN 'signup' THEN 'Pending' WHEN 'view' THEN 'Backfilling' WHEN 'click' THEN 'Running'
     WHEN 'purchase' THEN 'Suspended' ELSE 'Failed' END AS phase
 FROM events""",
@@ -151,8 +151,16 @@ FROM events JOIN customer ON c_custkey = user_id""",
 SELECT event_id AS seq, ts, 'Kind' || CAST(user_id % 5 AS STRING) || 'Stream' AS kind,
   CASE WHEN event_type = 'error' THEN 'REMOVE' ELSE 'ADD' END AS verb, event_type AS phase
 FROM events""",
+    "source_row": """
+SELECT CASE WHEN event_id % 7 = 0 THEN 'ns-other' ELSE COALESCE('ns-' || CAST(c_nationkey AS STRING), 'ns-none') END
+    AS namespace,
+  'stream-' || CAST(user_id AS STRING) AS name, event_id, ts, event_type, value
+FROM events LEFT JOIN customer ON c_custkey = user_id""",
+    "remaining_stream": """
+SELECT * FROM stream_def WHERE phase <> 'Unheard'""",
     "run_observation": """
 SELECT 'run-' || CAST(user_id AS STRING) || '-' || CAST(event_id % 4 AS STRING) AS run_id,
+  'ns-' || CAST(user_id % 3 + event_id % 2 AS STRING) AS namespace,
   'stream-' || CAST(user_id AS STRING) AS name, event_id AS seq, ts, event_id % 4 = 0 AS is_backfill,
   CASE WHEN event_id % 8 < 6 THEN 'Job' ELSE 'CronJob' END AS kind,
   CASE event_type WHEN 'purchase' THEN 'Complete' WHEN 'error' THEN 'Failed' ELSE 'Active' END AS state

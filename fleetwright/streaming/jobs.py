@@ -41,55 +41,57 @@ def append_available(stream: DataFrame, checkpoint: str, target: str) -> None:
     query.awaitTermination()
 
 
-def _newer(batch: DataFrame, known: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of the batch that are newer than what is known of their key, with the known phase."""
-    seen = known.select(
-        *keys, F.struct(*order).alias("_seen"), F.col("phase").alias("known_phase")
-    )
+def _with_known(batch: DataFrame, known: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The batch with what is known of each row's key: its phase, and whether the row is ``fresh``, that is newer."""
+    seen = known.select(*keys, F.struct(*order).alias("_seen"), F.col("phase").alias("known_phase"))
     fresh = F.col("_seen").isNull() | (F.struct(*order) > F.col("_seen"))
-    return batch.join(seen, list(keys), "left").filter(fresh).drop("_seen")
+    return batch.join(seen, list(keys), "left").withColumn("fresh", fresh).drop("_seen")
 
 
 def track_phases(
-    state: ChangeTable, log: str, slice_seconds: int = 3600
+    state: ChangeTable, log: str, stale: str | None = None, slice_seconds: int = 3600
 ) -> Callable[[DataFrame, int], None]:
-    """Per-batch step that logs each change of phase once, whatever the order of arrival.
-
-    Rows older than the key's known state are stale and ignored. The batch itself is handled
-    by the sliced window of ``phase_transitions``, so no key is bound to one task, and only
-    the state as of the batch's start is read, so a repeated batch gives the same output. Stale
-    rows need no check when the state is written: they never become a key's newest row.
+    """Per-batch step that logs each change of phase once, whatever the order of arrival in the batch.
+
+    A row that is older than what earlier batches know of its key cannot be put between
+    transitions that are logged already; it goes to ``stale`` (default: ``log`` + "-stale"). The
+    batch itself is handled by the sliced window of ``phase_transitions``, so no key is bound to
+    one task, and only the state as of the batch's start is read, of the batch's own keys, so a
+    repeated batch gives the same output. Stale rows need no check when the state is written:
+    they never become a key's newest row.
     """
     keys, order = list(state.keys), list(state.order)
+    late = stale or f"{log}-stale"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        fresh = _newer(batch, state.rows(before=batch_id), keys, order)
-        before = fresh.withColumn("known_phase", F.coalesce("known_phase", F.lit(NEW)))
+        seen = _with_known(batch, state.rows(before=batch_id, of=batch), keys, order).persist()
+        before = seen.filter("fresh").withColumn("known_phase", F.coalesce("known_phase", F.lit(NEW)))
         phase_transitions(before, keys, slice_seconds, start="known_phase").write.mode("overwrite").parquet(
             f"{log}/batch_id={batch_id}"
         )
+        seen.filter("NOT fresh").select(*batch.columns).write.mode("overwrite").parquet(f"{late}/batch_id={batch_id}")
+        seen.unpersist()
         state.write(batch_id, batch)
 
     return step
 
 
-def status_sink(
-    table: ChangeTable, events: str | None = None
-) -> Callable[[DataFrame, int], None]:
+def status_sink(table: ChangeTable, events: str | None = None) -> Callable[[DataFrame, int], None]:
     """Per-batch step that keeps the latest status per key.
 
-    A row whose phase is what the table already holds is not written and raises no event.
+    The table always takes over the newest row's time, so that a later row that is older still
+    changes nothing; an event is raised only where the phase changes.
     """
     keys, order = list(table.keys), list(table.order)
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        newest = latest_per_key(_newer(batch, table.rows(before=batch_id), keys, order), keys, order)
-        changed = newest.filter(F.coalesce("known_phase", F.lit(NEW)) != F.col("phase"))
-        table.write(batch_id, changed)
+        seen = _with_known(batch, table.rows(before=batch_id, of=batch), keys, order).filter("fresh")
+        newest = latest_per_key(seen.drop("fresh"), keys, order).persist()
         if events:
-            changed.select(*keys, *order, "phase").write.mode("overwrite").parquet(
-                f"{events}/batch_id={batch_id}"
-            )
+            changed = newest.filter(F.coalesce("known_phase", F.lit(NEW)) != F.col("phase"))
+            changed.select(*keys, *order, "phase").write.mode("overwrite").parquet(f"{events}/batch_id={batch_id}")
+        table.write(batch_id, newest)
+        newest.unpersist()
 
     return step
 
@@ -101,8 +103,8 @@ def change_capture(target: ChangeTable) -> Callable[[DataFrame, int], None]:
 
 
 def live(target: ChangeTable, deleted: Column) -> DataFrame:
-    """Target rows that are not deleted."""
-    return target.rows().filter(~deleted)
+    """Target rows that are not deleted; a null mark is none."""
+    return target.rows().filter(~F.coalesce(deleted, F.lit(False)))
 
 
 def coalesce_keys(work: str) -> Callable[[DataFrame, int], None]:
@@ -125,13 +127,25 @@ def routed_events(feed: DataFrame, streams: DataFrame, classes: DataFrame) -> Da
     return both.withColumnRenamed("owner_name", "name").join(streams.select(*KEY, "phase"), KEY, "inner")
 
 
-def streaming_heartbeats(
-    feed: DataFrame, interval: str = "30 seconds", delay: str = "5 seconds", lateness: str = "10 minutes"
-) -> DataFrame:
-    """Feed rows per class and report interval, each window given out once it is closed."""
-    return heartbeat_windows(
-        feed.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness), interval, delay
-    )
+def count_heartbeats(
+    target: str, interval: str = "30 seconds", delay: str = "5 seconds"
+) -> Callable[[DataFrame, int], None]:
+    """Per-batch step that writes the batch's own counts per class and report interval.
+
+    Counts add up, so nothing waits for a window to close and no row comes too late.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        heartbeat_windows(batch, interval, delay).write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
+
+    return step
+
+
+def counted_heartbeats(spark: SparkSession, target: str) -> DataFrame:
+    """Feed rows per class and report interval, over all batches so far."""
+    schema = "kind string, window_start timestamp_ntz, window_end timestamp_ntz, beats long"
+    parts = spark.read.schema(schema).parquet(target)
+    return parts.groupBy("kind", "window_start", "window_end").agg(F.sum("beats").alias("beats"))
 
 
 def restart_on_change(

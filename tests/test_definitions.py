@@ -40,7 +40,7 @@ BAD = {
     "document is not JSON": ['{"spec":', ""],
     "layout is not readable": [
         {"spec": "text"}, {"spec": {"execution": 1}}, {"spec": {"execution": {"layoutVersion": 1}}},
-        {"spec": {"execution": {"layoutVersion": None}}}, {"spec": None},
+        {"spec": {"execution": {"layoutVersion": None}}},
     ],
     "layout is unknown": [{"spec": {"execution": {"layoutVersion": "v3"}}}],
     "execution is not readable": [
@@ -49,7 +49,7 @@ BAD = {
         {"spec": changed(CRON, "execution.streamingBackend.batch.schedule", 5)},
     ],
     "phase is not readable": [{"spec": OLD, "status": {"phase": 3}}, {"spec": V1, "status": "Running"}],
-    "suspended is missing": [{"spec": changed(OLD, "suspended", drop=True)}, {}, {"spec": {}}],
+    "suspended is missing": [{"spec": changed(OLD, "suspended", drop=True)}, {}, {"spec": {}}, {"spec": None}],
     "suspended is not a boolean": [{"spec": changed(OLD, "suspended", "true")}],
     "configuration hash is not readable": [{"spec": OLD, "status": {"configurationHash": {}}}],
     "job template is missing": [{"spec": changed(OLD, "jobTemplateRef", drop=True)}],
@@ -95,6 +95,18 @@ def test_rejected_with_first_reason(spark):
     assert definitions_normalized(frame).count() == 0
 
 
+def test_null_parents_count_as_absent(spark):
+    docs = {
+        "status": {"spec": OLD, "status": None},
+        "execution": {"spec": {**OLD, "execution": None}},
+        "neither": {"spec": OLD},
+    }
+    frame = documents(spark, docs)
+    assert definitions_quarantine(frame).count() == 0
+    rows = {(r["layout_version"], r["phase"], r["suspended"]) for r in definitions_normalized(frame).collect()}
+    assert rows == {("", "", True)}
+
+
 def test_layouts_come_to_one_schema(good):
     rows = {r["name"]: r for r in definitions_normalized(good).collect()}
     assert len(rows) == 8

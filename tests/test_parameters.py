@@ -8,7 +8,7 @@ from fleetwright.operators import parameters as p
 
 ENV = "array<struct<name:string,value:string,value_from:string>>"
 SCHEMA = (
-    f"namespace string, name string, kind string, api_version string, uid string, backend string, spec_json string, "
+    f"namespace string, name string, kind string, api_version string, uid string, backend string, phase string, spec_json string, "
     f"containers array<struct<name:string,env:{ENV}>>, labels map<string,string>, annotations map<string,string>, "
     "owner_references array<struct<api_version:string,kind:string,name:string,uid:string,controller:boolean>>, "
     "request_name string, request_class string"
@@ -16,9 +16,9 @@ SCHEMA = (
 
 
 def run(spark, containers, name="s1", namespace="ns", kind="K", backend="BatchJobBackend", request=None, labels=None,
-        annotations=None, owners=()):
+        annotations=None, owners=(), phase="Running"):
     env = [(c, [(v[0], v[1], None) for v in variables]) for c, variables in containers.items()]
-    row = (namespace, name, kind, "g/v1", "u1", backend, '{"a":1}', env, labels or {}, annotations or {},
+    row = (namespace, name, kind, "g/v1", "u1", backend, phase, '{"a":1}', env, labels or {}, annotations or {},
            list(owners), request, "cls" if request else None)
     return spark.createDataFrame([row], SCHEMA)
 
@@ -195,3 +195,18 @@ def test_one_pass_equals_step_by_step(spark, seed):
 def test_set_and_added_names_must_differ(spark):
     with pytest.raises(ValueError):
         p.build(run(spark, {"c": []}), [p.stream_context("backfill", "spec_json"), p.backfill_flag(F.lit(True))])
+
+
+def test_pending_scheduled_stream_answers_its_request(spark):
+    """It runs as a batch job with the real request; otherwise the scheduled run has the placeholder."""
+    built = {}
+    for phase in ("Pending", "Scheduled"):
+        df = run(spark, {"c": []}, backend="CronJob", request="bf-1", labels={"k": "v"}, phase=phase)
+        built[phase] = p.run_parameters(df)
+    asked = {n: v for n, v, _ in env(built["Pending"])}
+    assert asked["STREAMCONTEXT__BACKFILL_ID"] == "bf-1" and '"streamId":"s1"' in asked["STREAMCONTEXT__OVERRIDE"]
+    assert built["Pending"].first().labels["k"] == "v"
+    placeholder = {n: v for n, v, _ in env(built["Scheduled"])}
+    assert '"streamId":""' in placeholder["STREAMCONTEXT__OVERRIDE"] and built["Scheduled"].first().labels == {}
+    hashes = [b.first().annotations["configuration-hash"] for b in built.values()]
+    assert hashes[0] != hashes[1]

@@ -34,7 +34,9 @@ def small_partitions(spark):
 def source(spark):
     """Two thirds of the rows belong to one stream."""
     hot = F.when(F.col("id") % 3 != 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 50).cast("string")))
-    return spark.range(0, ROWS, 1, 8).select(hot.alias("name"), F.col("id").alias("event_id"))
+    return spark.range(0, ROWS, 1, 8).select(
+        F.lit("ns").alias("namespace"), hot.alias("name"), F.col("id").alias("event_id")
+    )
 
 
 @pytest.fixture
@@ -60,7 +62,7 @@ def test_hot_join_is_split(small_partitions, source, asked):
 
 def test_hot_owner_is_split(spark, small_partitions, source, asked):
     events = source.select(
-        "event_id", F.lit("ns").alias("namespace"),
+        "event_id", "namespace",
         F.array(
             F.struct(F.lit("g/v1").alias("api_version"), F.lit("K").alias("kind"), "name", F.lit(True).alias("controller"))
         ).alias("owner_references"),
@@ -79,7 +81,7 @@ def test_hot_backfill_is_written_by_many_tasks(spark, small_partitions, source,
     assert loaded.count() == ROWS
     files = loaded.filter("backfill_id = 'bf-hot'").select(F.input_file_name()).distinct().count()
     assert files > 1
-    assert len(glob.glob(f"{target}/load_id=1/*.parquet")) < 60
+    assert len(glob.glob(f"{target}/rows/load_id=1/*.parquet")) < 60
 
 
 def test_repeated_load_gives_the_same_rows(spark, source, asked):

@@ -1,12 +1,22 @@
 """Streaming jobs: many batches, disorder, repeats, folding."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetwright.operators.feeds import coalesced_keys, merged_feed
-from fleetwright.operators.loads import gap_fill, handoff_rows, latest_run, scheduled_batch
+from fleetwright.operators.definitions import KEY
+from fleetwright.operators.loads import (
+    backfill_load,
+    backfill_rows,
+    gap_fill,
+    handoff_rows,
+    latest_run,
+    live_rows,
+    scheduled_batch,
+)
 from fleetwright.operators.status import latest_state, phase_transitions
 from fleetwright.session import new_folder
 from fleetwright.sources.files import source_stream, source_table
@@ -14,18 +24,18 @@ from fleetwright.sources.sample_fleet import fleet_table
 from fleetwright.streaming import jobs
 from fleetwright.streaming.changes import ChangeTable
 
-SCHEMA = "name string, ts timestamp_ntz, seq long, phase string"
+SCHEMA = "namespace string, name string, ts timestamp_ntz, seq long, phase string"
 
 
 @pytest.fixture(scope="module")
 def feed(spark, folder):
-    return fleet_table(spark, folder, "phase_event").select("name", "ts", "seq", "phase").cache()
+    return fleet_table(spark, folder, "phase_event").select(*KEY, "ts", "seq", "phase").cache()
 
 
 def table(spark, fold_every=20):
     place = new_folder(spark, "test")
     schema = spark.createDataFrame([], SCHEMA).schema
-    return ChangeTable(spark, f"{place}/state", schema, ["name"], ["ts", "seq"], fold_every).create(), place
+    return ChangeTable(spark, f"{place}/state", schema, KEY, ["ts", "seq"], fold_every).create(), place
 
 
 def parts(feed, count):
@@ -39,7 +49,7 @@ def rows(frame, *columns):
     return sorted(map(tuple, frame.select(*columns).collect()))
 
 
-LOG = ("name", "ts", "seq", "from_phase", "to_phase")
+LOG = ("namespace", "name", "ts", "seq", "from_phase", "to_phase")
 
 
 def test_tracker_over_many_batches_equals_batch(spark, feed):
@@ -48,7 +58,7 @@ def test_tracker_over_many_batches_equals_batch(spark, feed):
     for batch_id, part in enumerate(parts(feed, 5)):
         step(part, batch_id)
     assert rows(spark.read.parquet(f"{place}/log"), *LOG) == rows(phase_transitions(feed), *LOG)
-    assert rows(state.rows(), "name", "seq", "phase") == rows(latest_state(feed), "name", "seq", "phase")
+    assert rows(state.rows(), *KEY, "seq", "phase") == rows(latest_state(feed), *KEY, "seq", "phase")
 
 
 def test_repeated_batch_changes_nothing(spark, feed):
@@ -62,15 +72,17 @@ def test_repeated_batch_changes_nothing(spark, feed):
     assert rows(spark.read.parquet(f"{place}/log"), *LOG) == rows(phase_transitions(feed), *LOG)
 
 
-def test_stale_rows_are_ignored(spark, feed):
+def test_stale_rows_change_nothing_and_are_kept_aside(spark, feed):
     state, place = table(spark)
     step = jobs.track_phases(state, f"{place}/log")
     first, second = parts(feed, 2)
     step(second, 0)
-    before = rows(state.rows(), "name", "seq", "phase")
-    names = second.select("name").distinct()
-    step(first.join(names, "name", "left_semi"), 1)
-    assert rows(state.rows(), "name", "seq", "phase") == before
+    before = rows(state.rows(), *KEY, "seq", "phase")
+    names = second.select(*KEY).distinct()
+    late = first.join(names, KEY, "left_semi")
+    step(late, 1)
+    assert rows(spark.read.parquet(f"{place}/log-stale"), *KEY, "seq") == rows(late, *KEY, "seq")
+    assert rows(state.rows(), *KEY, "seq", "phase") == before
     assert rows(spark.read.parquet(f"{place}/log"), *LOG) == rows(phase_transitions(second), *LOG)
 
 
@@ -80,7 +92,7 @@ def test_status_sink_writes_only_changes(spark):
 
     def batch(*items):
         return spark.sql(
-            "SELECT name, CAST(ts AS TIMESTAMP_NTZ) AS ts, CAST(seq AS BIGINT) AS seq, phase FROM VALUES "
+            "SELECT 'n' AS namespace, name, CAST(ts AS TIMESTAMP_NTZ) AS ts, CAST(seq AS BIGINT) AS seq, phase FROM VALUES "
             + ", ".join(f"('{n}', '2024-01-0{d}', {d}, '{p}')" for n, d, p in items) + " AS t(name, ts, seq, phase)"
         )
 
@@ -91,6 +103,54 @@ def test_status_sink_writes_only_changes(spark):
     assert rows(state.rows(), "name", "phase") == [("a", "Failed"), ("b", "Suspended"), ("c", "Pending")]
 
 
+def status(spark, *items):
+    return spark.sql(
+        "SELECT 'n' AS namespace, 'a' AS name, CAST(ts AS TIMESTAMP_NTZ) AS ts, CAST(seq AS BIGINT) AS seq, phase FROM VALUES "
+        + ", ".join(f"('2024-01-{d:02d}', {d}, '{p}')" for d, p in items) + " AS t(ts, seq, phase)"
+    )
+
+
+def test_unchanged_status_still_moves_on(spark):
+    """Running on day 1 and 10; a failure of day 5 that comes afterwards is old news."""
+    state, place = table(spark)
+    step = jobs.status_sink(state, f"{place}/events")
+    for batch_id, (day, phase) in enumerate([(1, "Running"), (10, "Running"), (5, "Failed")]):
+        step(status(spark, (day, phase)), batch_id)
+    assert rows(state.rows(), "seq", "phase") == [(10, "Running")]
+    assert rows(spark.read.parquet(f"{place}/events"), "batch_id", "phase") == [(0, "Running")]
+
+
+def test_repeated_fold_batch_keeps_the_copy(spark, feed):
+    """The fold's changes may be gone when its batch is repeated."""
+    target, _ = table(spark, fold_every=2)
+    pieces = parts(feed, 3)
+    for batch_id, piece in enumerate(pieces):
+        target.write(batch_id, piece)
+    for batch_id in (0, 1):
+        feed.filter("false").select(*feed.columns, F.lit(0).alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(
+            f"{target.path}/changes/batch_id={batch_id}"
+        )
+    target.write(2, pieces[2])
+    assert rows(target.rows(), *KEY, "seq") == rows(latest_state(feed), *KEY, "seq")
+
+
+def test_only_the_batch_s_buckets_are_opened(spark, feed):
+    target, _ = table(spark)
+    target.write(0, feed)
+    one = feed.limit(1)
+    known = target.rows(of=one)
+    assert known.count() == 1
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*isnotnull\(bucket", plan)
+
+
+def test_null_delete_mark_is_no_delete(spark):
+    state, _ = table(spark)
+    state.write(0, status(spark, (1, "Running")))
+    assert jobs.live(state, F.lit(None).cast("boolean")).count() == 1
+    assert live_rows(status(spark, (1, "x")).withColumnRenamed("seq", "event_id"), KEY, F.lit(None).cast("boolean")).count() == 1
+
+
 def test_change_table_in_any_order_with_folds(spark, feed):
     target, _ = table(spark, fold_every=2)
     pieces = parts(feed, 6)
@@ -98,9 +158,9 @@ def test_change_table_in_any_order_with_folds(spark, feed):
     random.shuffle(pieces)
     for batch_id, piece in enumerate(pieces):
         jobs.change_capture(target)(piece, batch_id)
-    assert rows(target.rows(), "name", "seq", "phase") == rows(latest_state(feed), "name", "seq", "phase")
+    assert rows(target.rows(), *KEY, "seq", "phase") == rows(latest_state(feed), *KEY, "seq", "phase")
     early = pieces[0].unionByName(pieces[1]).unionByName(pieces[2])
-    assert rows(target.rows(before=3), "name", "seq") == rows(latest_state(early), "name", "seq")
+    assert rows(target.rows(before=3), *KEY, "seq") == rows(latest_state(early), *KEY, "seq")
 
 
 def test_half_written_fold_is_not_read(spark, feed):
@@ -108,7 +168,7 @@ def test_half_written_fold_is_not_read(spark, feed):
     for batch_id, piece in enumerate(parts(feed, 3)):
         target.write(batch_id, piece)
     feed.filter("false").write.parquet(f"{target.path}/full/batch_id=2")
-    assert rows(target.rows(), "name", "seq") == rows(latest_state(feed), "name", "seq")
+    assert rows(target.rows(), *KEY, "seq") == rows(latest_state(feed), *KEY, "seq")
 
 
 def test_stop_and_go_on(spark, feed):
@@ -119,7 +179,7 @@ def test_stop_and_go_on(spark, feed):
         whole = whole.unionByName(part)
         stream = source_stream(spark, "parquet", f"{place}/feed", feed.schema)
         jobs.run_available(stream, f"{place}/checkpoint", jobs.change_capture(target))
-        assert rows(target.rows(), "name", "seq") == rows(latest_state(whole), "name", "seq")
+        assert rows(target.rows(), *KEY, "seq") == rows(latest_state(whole), *KEY, "seq")
 
 
 def test_restart_keeps_or_leaves_the_checkpoint(spark, feed):
@@ -171,7 +231,7 @@ def test_coalesced_keys(spark):
 
 def source(spark, *days):
     return spark.sql(
-        "SELECT 's' AS name, CAST(id AS BIGINT) AS event_id, CAST(concat('2024-01-', lpad(id, 2, '0')) AS TIMESTAMP_NTZ) AS ts "
+        "SELECT 'n' AS namespace, 's' AS name, CAST(id AS BIGINT) AS event_id, CAST(concat('2024-01-', lpad(id, 2, '0')) AS TIMESTAMP_NTZ) AS ts "
         f"FROM VALUES {', '.join(f'({d})' for d in days)} AS t(id)"
     )
 
@@ -190,7 +250,32 @@ def test_gap_fill(spark):
 
 def test_latest_scheduled_run_wins(spark):
     _, place = table(spark)
-    scheduled_batch(spark, source(spark, 1, 2), f"{place}/target", "1")
-    scheduled_batch(spark, source(spark, 2, 3), f"{place}/target", "2")
-    scheduled_batch(spark, source(spark, 2, 3, 4), f"{place}/target", "2")
-    assert rows(latest_run(spark, f"{place}/target"), "event_id") == [(2,), (3,), (4,)]
+    target, schema = f"{place}/target", source(spark, 1).schema
+    scheduled_batch(spark, source(spark, 1, 2), target, "01")
+    scheduled_batch(spark, source(spark, 2, 3), target, "02")
+    scheduled_batch(spark, source(spark, 2, 3, 4), target, "02")
+    assert rows(latest_run(spark, target, schema), "event_id", "run_id") == [(2, "02"), (3, "02"), (4, "02")]
+    assert all("run_id=02" in f for f in latest_run(spark, target, schema).inputFiles())
+    scheduled_batch(spark, source(spark, 1).filter("false"), target, "03")
+    assert latest_run(spark, target, schema).count() == 0
+    # Rows without a mark are of a run that did not finish.
+    source(spark, 9).write.parquet(f"{target}/rows/run_id=04")
+    assert latest_run(spark, target, schema).count() == 0
+
+
+def test_request_opened_during_a_load_stays_open(spark):
+    _, place = table(spark)
+    asked = f"{place}/asked"
+    spark.createDataFrame([("n", "s", "bf-1")], "namespace string, name string, request_name string").write.parquet(asked)
+    spark.read.parquet(asked).createOrReplaceTempView("asked_now")
+    loaded, completed = backfill_load(spark, source(spark, 1, 2), spark.read.parquet(asked), f"{place}/load", "1")
+    spark.createDataFrame([("n", "t", "bf-2")], "namespace string, name string, request_name string").write.mode("append").parquet(asked)
+    spark.catalog.refreshByPath(asked)
+    assert rows(completed, "request_name") == [("bf-1",)] and loaded.count() == 2
+
+
+def test_backfill_keeps_namespaces_apart(spark):
+    other = source(spark, 3).withColumn("namespace", F.lit("m"))
+    asked = spark.createDataFrame([("n", "s", "bf-n"), ("m", "s", "bf-m")], "namespace string, name string, request_name string")
+    found = backfill_rows(source(spark, 1, 2).unionByName(other), asked)
+    assert rows(found, "event_id", "backfill_id") == [(1, "bf-n"), (2, "bf-n"), (3, "bf-m")]
