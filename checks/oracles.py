@@ -592,6 +592,47 @@ UNION ALL SELECT namespace, name, 'streamId', name FROM asked WHERE request_id I
 
 # Data jobs
 
+# Runs from templates: as above, with containers that start empty.
+
+BUILT_ASKED = (
+    "asked",
+    f"""SELECT a.* EXCLUDE (c_custkey, taken), 1 AS c_custkey, FALSE AS taken, t.image, t.template_name
+FROM ({ASKED[1]}) a JOIN resolved r ON r.namespace = a.namespace AND r.name = a.name
+JOIN job_template t ON t.namespace = r.template_namespace AND t.template_name = r.template_name""",
+)
+NO_PRESET = (
+    "preset",
+    "SELECT namespace, name, 'main' AS container, 0 AS place, '' AS variable, '' AS value FROM asked WHERE FALSE",
+)
+BUILT_TABLES = "stream_def raw_definition backfill_request job_template"
+oracle("built_runs", BUILT_TABLES,
+       _variables(
+           _added(10, "STREAMCONTEXT__STREAM_ID", "name"),
+           _added(11, "STREAMCONTEXT__STREAM_KIND", "kind"),
+           _added(12, "STREAMCONTEXT__SPEC", "spec_json"),
+           _added("CASE WHEN cron THEN 14 ELSE 17 END", "STREAMCONTEXT__BACKFILL_ID", "id_value",
+                  "has_request", f"CASE WHEN cron THEN {JOB_NAME} END"),
+           _added(15, "STREAMCONTEXT__OVERRIDE", "override_json", "has_request"),
+           flag="a.has_request",
+       ).replace("{flag_place}", "CASE WHEN cron THEN 13 ELSE 16 END"),
+       *DEFINITIONS, OPEN, RESOLVED, BUILT_ASKED, NO_PRESET)
+oracle("built_run_images", BUILT_TABLES + " stream_class",
+       """SELECT a.namespace, a.name, c.container,
+  CASE c.container WHEN 'main' THEN a.image ELSE 'registry.example.org/sidecar:1' END AS image,
+  CASE k.class_id % 3 WHEN 0 THEN '' WHEN 1 THEN COALESCE(json_extract_string(n.spec_json, '$.secretRef.name'), '')
+    ELSE concat_ws(',', json_extract_string(n.spec_json, '$.secretRef.name'),
+      json_extract_string(n.spec_json, '$.source.name')) END AS secret_names
+FROM asked a JOIN normalized n ON n.namespace = a.namespace AND n.name = a.name
+JOIN stream_class k ON k.stream_class = a.stream_class, (VALUES ('main'), ('sidecar')) AS c(container)""",
+       *DEFINITIONS, OPEN, RESOLVED, BUILT_ASKED)
+# The platform's event.
+oracle("failed_runs", "raw_definition backfill_request job_template",
+       """SELECT namespace, name, 'Warning' AS event_type, 'FailedCreateJob' AS event_reason,
+  'failed to create job: failed to get template (' || template_namespace || '/' || template_name || ')' AS message
+FROM resolved r WHERE template_name IS NOT NULL AND NOT EXISTS (
+  SELECT 1 FROM job_template t WHERE t.namespace = r.template_namespace AND t.template_name = r.template_name)""",
+       *DEFINITIONS, OPEN, RESOLVED)
+
 SOURCE = ("source", "SELECT * FROM source_row")
 LIVE = """SELECT namespace, name, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER
   (PARTITION BY namespace, name ORDER BY ts DESC, event_id DESC) AS n FROM source) s WHERE n = 1 AND event_type <> 'error'"""

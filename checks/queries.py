@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetwright.operators import (
+    assembly,
     census,
     classes,
     definitions,
@@ -473,6 +474,33 @@ def request_override(spark, folder):
     return parameters.request_override(asked.withColumn("override_json", override))
 
 
+def _assembled(f: Fleet) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    specs = definitions.definitions_normalized(f.raw_definition).select(*KEY, "spec_json")
+    classed = f.stream_def.select(*KEY, "stream_class").join(specs, KEY)
+    return (
+        requests.stream_open_request(f.stream_def, f.backfill_request),
+        definitions.template_ref_resolved(f.definitions_with_request),
+        f.template_record,
+        classes.secret_ref_fields(f.class_registry_state, classed),
+    )
+
+
+@query
+def built_runs(spark, folder):
+    return parameters.variables(assembly.assembled_runs(*_assembled(Fleet(spark, folder))))
+
+
+@query
+def built_run_images(spark, folder):
+    return assembly.run_images(assembly.assembled_runs(*_assembled(Fleet(spark, folder))))
+
+
+@query
+def failed_runs(spark, folder):
+    _, resolved, templates, _ = _assembled(Fleet(spark, folder))
+    return assembly.failed_runs(resolved, templates)
+
+
 # Data jobs
 
 

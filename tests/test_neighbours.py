@@ -62,7 +62,7 @@ def expected_changes():
 
 @pytest.mark.parametrize("seconds", [60, 3600])
 def test_transitions(feed, seconds):
-    assert sorted(map(tuple, phase_transitions(feed, slice_seconds=seconds).collect())) == sorted(expected_changes())
+    assert sorted(map(tuple, phase_transitions(feed, ["name"], seconds).collect())) == sorted(expected_changes())
 
 
 def test_dwell(feed):
@@ -71,12 +71,12 @@ def test_dwell(feed):
     for a, b in zip(changes, [*changes[1:], None]):
         same = b and a[0] == b[0]
         expected[a[2]] = int((b[1] - a[1]).total_seconds() * 1000) if same else None
-    assert {r.seq: r.dwell_ms for r in time_in_phase(feed).collect()} == expected
+    assert {r.seq: r.dwell_ms for r in time_in_phase(feed, ["name"]).collect()} == expected
 
 
 def test_hot_key_is_spread(spark, feed):
     """The first window is partitioned by key and slice, so no task holds the whole hot key."""
-    plan = phase_transitions(feed)._jdf.queryExecution().executedPlan().toString()
+    plan = phase_transitions(feed, ["name"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(name" in plan and "_slice" in plan
 
 
