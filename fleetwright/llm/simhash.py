@@ -261,6 +261,9 @@ def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     again = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     key = F.col("doc_id").cast("long").alias("_key")
     kept = docs.withColumn("_key", key).join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
+    if again.isEmpty():
+        return kept.select(*docs.columns)
+    # Several rows of one id are copies of each other only if the table repeats ids; they need another pass.
     again = again.withColumnRenamed("doc_id", "_key")
     repeated = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
     return kept.join(again, "_key", "left_anti").unionByName(repeated).select(*docs.columns)
