@@ -583,6 +583,22 @@ oracle("configuration_checksums", RUN_TABLES,
   CASE WHEN q.request_name IS NULL THEN md5(d.spec_json) ELSE lower(hex(md5(d.spec_json))) || ':'
     || lower(hex(md5('{"streamClass":"' || q.request_class || '","streamId":"' || d.name || '"}'))) END AS checksum
 FROM stream_def d LEFT JOIN open_request q USING (namespace, name)""", OPEN)
+oracle("status_rows", RUN_TABLES + " phase_event",
+       f"""SELECT d.namespace, d.name, d.phase, CASE WHEN d.open_name IS NULL THEN md5(d.spec_json) ELSE
+    lower(hex(md5(d.spec_json))) || ':'
+    || lower(hex(md5('{{"streamClass":"' || d.request_class || '","streamId":"' || d.name || '"}}'))) END AS configuration_hash,
+  CASE WHEN d.phase IN ('Pending', 'Suspended') THEN 'Warning' WHEN d.phase = 'Failed' THEN 'Error'
+    WHEN d.phase NOT IN ('', 'Unheard') THEN 'Ready' END AS type,
+  CASE WHEN d.phase NOT IN ('', 'Unheard') THEN 'Stream' || d.phase END AS reason,
+  CASE d.phase WHEN 'Pending' THEN 'The stream is pending and will start soon'
+    WHEN 'Backfilling' THEN 'The stream is currently backfilling data, request ID: ' || COALESCE(d.open_name, '')
+    WHEN 'Running' THEN 'The stream is currently running.' WHEN 'Suspended' THEN 'The stream is suspended.'
+    WHEN 'Failed' THEN 'The stream has failed.'
+    WHEN 'Scheduled' THEN 'The stream is scheduled to run at the specified time.' END AS message,
+  c.ts AS condition_since
+FROM asked d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY namespace, name ORDER BY ts DESC, seq DESC) AS n
+  FROM changes) c ON c.n = 1 AND c.namespace = d.namespace AND c.name = d.name AND c.to_phase = d.phase""",
+       OPEN, ASKED, CHANGES)
 oracle("request_override", RUN_TABLES,
        """SELECT namespace, name, field, value FROM (SELECT namespace, name, 'source' AS field,
   json_extract_string(spec_json, '$.source') AS value FROM asked

@@ -293,6 +293,13 @@ def status_conditions(spark, folder):
     return status.status_conditions(requests.stream_open_request(f.stream_def, f.backfill_request))
 
 
+@query
+def status_rows(spark, folder):
+    f = Fleet(spark, folder)
+    asked = requests.stream_open_request(f.stream_def, f.backfill_request)
+    return status.status_rows(asked, status.phase_transitions(f.phase_event))
+
+
 @query
 def phase_transitions(spark, folder):
     return status.phase_transitions(Fleet(spark, folder).phase_event)

@@ -4,40 +4,63 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.functions.latest import latest_per_key
 from fleetwright.functions.neighbours import time_slice, with_next, with_previous
+from fleetwright.functions.text import configuration_checksum, request_json
 from fleetwright.operators.definitions import KEY
 from fleetwright.vocabulary import BACKFILLING, CONDITIONS, NEW
 
 
-def status_conditions(streams: DataFrame) -> DataFrame:
-    """The condition each phase stands for; new streams have none.
-
-    ``streams`` carries ``request_name``, which a backfilling stream's message ends with.
-    """
-    chain = None
+def condition() -> Column:
+    """The condition a row's phase stands for, null for new streams."""
+    chain = F.lit(None)
     for phase, (kind, reason, message) in CONDITIONS.items():
         text = F.lit(message)
         if phase == BACKFILLING:
             text = F.concat(text, F.coalesce("request_name", F.lit("")))
-        condition = F.struct(
+        of_phase = F.struct(
             F.lit(kind).alias("type"),
             F.lit("True").alias("status"),
             F.lit(reason).alias("reason"),
             text.alias("message"),
         )
-        matches = F.col("phase") == phase
-        chain = F.when(matches, condition) if chain is None else chain.when(matches, condition)
+        chain = F.when(F.col("phase") == phase, of_phase).otherwise(chain)
+    return chain
+
+
+def status_conditions(streams: DataFrame) -> DataFrame:
+    """The condition each phase stands for; new streams have none.
+
+    ``streams`` carries ``request_name``, which a backfilling stream's message ends with.
+    """
     return (
         streams.filter(F.col("phase").isin(*CONDITIONS))
-        .withColumn("_c", chain)
+        .withColumn("_c", condition())
         .select(*KEY, "phase", "_c.*")
     )
 
 
+def status_rows(streams: DataFrame, transitions: DataFrame) -> DataFrame:
+    """What is written as a stream's status: phase, checksum of configuration and open request, and condition.
+
+    The condition holds since the newest of the key's ``transitions``, if it led to this phase.
+    """
+    request = F.when(
+        F.col("request_name").isNotNull(), request_json(F.col("request_class"), F.col("name"), F.lit(False))
+    )
+    newest = latest_per_key(transitions.select(*KEY, "ts", "seq", "to_phase"), KEY, ["ts", "seq"])
+    since = newest.select(*KEY, F.col("to_phase").alias("phase"), F.col("ts").alias("condition_since"))
+    rows = streams.withColumn("_c", condition()).withColumn(
+        "configuration_hash", configuration_checksum(F.col("spec_json"), request)
+    )
+    return rows.join(since, [*KEY, "phase"], "left").select(
+        *KEY, "phase", "configuration_hash", "_c.type", "_c.reason", "_c.message", "condition_since"
+    )
+
+
 def phase_transitions(
     events: DataFrame, keys: Sequence[str] = tuple(KEY), slice_seconds: int = 3600, start: str | None = None
 ) -> DataFrame:
