@@ -17,7 +17,8 @@ join what it found connected. Equal fingerprints count once from the start.
 
 Cases: null or empty text has fingerprint zero, which links like any other; fewer than four
 words make one shingle; equal rows share a class; rows with null doc_id belong to the class of
-their fingerprint but never name it (a class of only such rows has a null name); an empty
+their fingerprint but never name it (a class of only such rows has a null name); rows that share
+a doc_id are one document to ``deduplicated``; an empty
 table gives no rows; other columns are ignored or, by ``deduplicated``, kept.
 """
 
