@@ -3,11 +3,12 @@
 Words are runs of characters other than white space and ASCII punctuation, A-Z lower-cased.
 All documents are counted for the n-grams of the test items. Of an item's n-grams that occur at
 all, those in more than ``RARE`` times as many documents as the median one are common phrases;
-the rest are its seeds. So every item that occurs keeps at least half of them, however often
-it was copied, and exact copies do not drown the n-grams that edited ones still have. Documents with a seed give up the words around it, an item's length to either
-side; these passages are joined to items by seed, once per pair, and aligned locally by word:
-a match scores 2, a mismatch or gap costs 1. A pair counts if the best alignment scores at
-least ``MIN_SCORE`` of a perfect copy of the item.
+the rest are its seeds. So every item that occurs keeps at least half of them, however often it
+was copied, and exact copies do not drown the n-grams that edited ones still have. Documents
+with a seed give up the words around it, an item's length to either side; these passages are
+joined to items by seed, once per pair, and aligned locally by word: a match scores 2, a
+mismatch or gap costs 1. A pair counts if the best alignment scores at least ``MIN_SCORE`` of a
+perfect copy of the item.
 
 Which n-grams matter is told to the tasks by a bitmap of fixed size over their hashes; hits by
 chance fall out of the join. So what is sent along does not grow with either table, documents

@@ -48,14 +48,21 @@ ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every mention has: a digit, an at sign or a title. Cheap to look for in texts without any.
 SIGNS = rf"[0-9@]|(?=[MHFSгκ])(?:{TITLES['m']}|{TITLES['f']})\.?\s"
 
-SYLLABLES = {
-    "latin": "ba be bo da de do fa fi ga go ha he ja jo ka ke la le li lo ma me mi mo na ne ni no pa pe ra re ri ro sa se ta te ti to va ve vi".split(),
-    "cyrillic": "ба бе бо да де до га го ка ке ла ле ли ло ма ме ми мо на не ни но па пе ра ре ри ро са се та те ти то ва ве ви".split(),
-    "greek": "βα βε βο δα δε δο γα γο κα κε λα λε λι λο μα με μι μο να νε νι νο πα πε ρα ρε ρι ρο σα σε τα τε τι το".split(),
-}
+_CONSONANTS = {"latin": "bdfghjklmnprstv", "cyrillic": "бдгклмнпрств", "greek": "βδγκλμνπρστ"}
+_VOWELS = {"latin": "aeio", "cyrillic": "аеио", "greek": "αειο"}
+SYLLABLES = {s: [c + v for c in _CONSONANTS[s] for v in _VOWELS[s]] for s in _CONSONANTS}
+#: Endings of given names by gender, and of family names.
 ENDINGS = {
-    "latin": {"m": ["n", "rd", "l", "s"], "f": ["lia", "nna", "ra", "lla"], "family": ["son", "mann", "ler", "dez", "rin", "ley"]},
-    "cyrillic": {"m": ["н", "р", "л", "й"], "f": ["лия", "нна", "ра", "лла"], "family": ["ков", "нов", "рин", "ленко"]},
+    "latin": {
+        "m": ["n", "rd", "l", "s"],
+        "f": ["lia", "nna", "ra", "lla"],
+        "family": ["son", "mann", "ler", "dez", "rin", "ley"],
+    },
+    "cyrillic": {
+        "m": ["н", "р", "л", "й"],
+        "f": ["лия", "нна", "ра", "лла"],
+        "family": ["ков", "нов", "рин", "ленко"],
+    },
     "greek": {"m": ["ς", "νος", "ρης"], "f": ["νη", "ρα", "λία"], "family": ["δης", "πουλος", "κης"]},
 }
 ROUNDS = 30
