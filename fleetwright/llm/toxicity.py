@@ -32,7 +32,7 @@ from fleetwright.llm.texts import mixed, text_slices
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 20
-FEATURES = 1 << 14
+FEATURES = 1 << 12
 PER_CLASS = 5_000
 ROUNDS = 100
 
