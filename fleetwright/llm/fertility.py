@@ -6,16 +6,18 @@ token in each of two vocabularies (a piece vocabulary with byte fallback and a b
 one), the share of byte-fallback tokens, and the entropy of the text's token distribution.
 Each measure has a band per language, or per script where the language is unknown: its median
 over all such texts that pass the base rules, plus or minus ``WIDTH`` times the distance
-between the quartiles. Entropy grows with length, so its bands are also per half power of two of the
-token count. A text outside a band is rejected. Too few tokens of an unusual kind matter, not
+between the quartiles. Of a language with fewer than ``FEWEST`` such texts those of its script
+count, or else all. Entropy grows with length, so its bands are also per half power of two of the
+token count; a length with fewer than ``FEWEST`` texts takes in the nearest lengths, their entropies
+moved along the kind's slope. So every text has a bound for every measure. A text outside a band is rejected. Too few tokens of an unusual kind matter, not
 unusual luck: byte share has only an upper band, entropy only a lower one.
 
 Words are encoded once per worker and remembered, up to a fixed number. Bands take one small
 row per (language, length); they are joined with the measures, not with the texts.
 
 Cases: null and empty texts have zero words, fail the base rules and have null measures; a
-null language falls back to the script; a band learned from fewer than ``FEWEST`` texts
-rejects nothing; equal rows get equal verdicts; an empty table gives no rows; other columns
+null language falls back to the script; in a table with fewer than ``FEWEST`` good texts these
+few make the bands; equal rows get equal verdicts; an empty table gives no rows; other columns
 are ignored.
 """
 
@@ -30,6 +32,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fleetwright.llm.shared import settled
 from fleetwright.llm.texts import SPACE, Slice, gather, gram_hashes, mixed, span_hashes, text_slices, words_of
@@ -202,43 +205,80 @@ def _scripts(piece: Slice) -> list[str]:
 
 
 def judged(rows: DataFrame, width: float = WIDTH) -> DataFrame:
-    """``measured`` rows with base_failed and kept. The rows must be settled: they are read twice."""
+    """``measured`` rows with base_failed and kept. The rows must be settled: they are read several times."""
     failed = (F.col("n_words") < FEWEST_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kind = F.coalesce(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"))
-    rows = rows.withColumn("base_failed", failed).withColumn("kind", kind)
+    kinds = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("script:"), "script"), F.lit("all")))
+    rows = rows.withColumn("base_failed", failed).withColumn("kinds", kinds)
     rows = rows.withColumn("length", F.floor(2 * F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     good = rows.filter(~F.col("base_failed"))
+    each = good.select(F.explode("kinds").alias("kind"), "length", *MEASURES)
 
-    def band(measure: str) -> list:
-        q = F.percentile_approx(measure, [0.25, 0.5, 0.75], 10_000)
+    def band(measure: str, value=None) -> list:
+        q = F.percentile_approx(measure if value is None else value, [0.25, 0.5, 0.75], 10_000)
         half = F.greatest(width * (q[2] - q[0]), NARROWEST * q[1])
         return [(q[1] - half).alias(f"{measure}_low"), (q[1] + half).alias(f"{measure}_high")]
 
-    by_kind = good.groupBy("kind").agg(
+    by_kind = each.groupBy("kind").agg(
         F.count("*").alias("n_kind"), *(b for m in ("piece_chars", "byte_chars", "fallback_share") for b in band(m))
     )
-    by_length = good.groupBy("kind", "length").agg(F.count("*").alias("n_length"), *band("entropy"))
+    by_kind = settled(by_kind.filter((F.col("n_kind") >= FEWEST) | (F.col("kind") == "all")), "fertility-bands")
+    # The first of a text's kinds that has enough texts, by the few combinations that occur.
+    chosen = good.select("kinds").distinct().select("kinds", F.posexplode("kinds").alias("level", "kind"))
+    chosen = chosen.join(F.broadcast(by_kind.select("kind")), "kind").groupBy("kinds").agg(F.min_by("kind", "level").alias("kind"))
+    chosen = settled(chosen, "fertility-kinds")
+    pools = _pools(each.join(F.broadcast(chosen.select("kind").distinct()), "kind", "left_semi"))
+    adjusted = F.col("entropy") + F.col("slope") * (F.col("target") - F.col("length"))
+    by_length = (
+        each.join(F.broadcast(pools), ["kind", "length"])
+        .groupBy("kind", F.col("target").alias("length"))
+        .agg(*band("entropy", adjusted))
+    )
 
-    def within(measure: str, count: str, low: bool = True, high: bool = True):
+    def within(measure: str, low: bool = True, high: bool = True):
         test = F.lit(True)
         if low:
             test &= F.col(measure) >= F.col(f"{measure}_low")
         if high:
             test &= F.col(measure) <= F.col(f"{measure}_high")
-        return F.coalesce(F.col(count) < FEWEST, F.lit(True)) | test
+        return test
 
     inside = (
-        within("piece_chars", "n_kind")
-        & within("byte_chars", "n_kind")
-        & within("fallback_share", "n_kind", low=False)
-        & within("entropy", "n_length", high=False)
+        within("piece_chars") & within("byte_chars") & within("fallback_share", low=False) & within("entropy", high=False)
+    )
+    joined = (
+        rows.join(F.broadcast(chosen), "kinds", "left")
+        .join(F.broadcast(by_kind), "kind", "left")
+        .join(F.broadcast(by_length), ["kind", "length"], "left")
     )
-    joined = rows.join(F.broadcast(by_kind), "kind", "left").join(F.broadcast(by_length), ["kind", "length"], "left")
     return joined.select(
         "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), *MEASURES
     )
 
 
+def _pools(each: DataFrame) -> DataFrame:
+    """(kind, length, target, slope): the lengths whose texts make up the entropy band of length ``target``.
+
+    A length with enough texts stands for itself; another takes in its neighbours, the nearest first, until there
+    are enough or the kind has no more. ``slope`` is by how much entropy grows from one length to the next: a
+    line through the medians of the kind's lengths that have enough texts, or else through all its texts.
+    """
+    n_texts = F.count("*").alias("n")
+    median = F.percentile_approx("entropy", 0.5, 10_000).alias("median")
+    bins = settled(each.groupBy("kind", "length").agg(n_texts, median), "fertility-lengths")
+    filled = bins.filter(F.col("n") >= FEWEST).groupBy("kind").agg(F.regr_slope("median", "length").alias("of_medians"))
+    slopes = each.groupBy("kind").agg(F.regr_slope("entropy", "length").alias("of_texts")).join(filled, "kind", "left")
+    # More tokens do not lower the entropy of a text of the same kind.
+    slope = F.greatest(F.coalesce("of_medians", "of_texts", F.lit(0.0)), F.lit(0.0))
+    near = bins.select("kind", F.col("length").alias("target")).join(bins, "kind")
+    near = near.withColumn("away", F.abs(F.col("length") - F.col("target")))
+    # A kind has at most some sixty lengths.
+    so_far = F.coalesce(
+        F.sum("n").over(Window.partitionBy("kind", "target").orderBy("away").rangeBetween(Window.unboundedPreceding, -1)), F.lit(0)
+    )
+    pools = near.withColumn("so_far", so_far).filter(F.col("so_far") < FEWEST)
+    return pools.join(slopes, "kind").select("kind", "length", "target", slope.alias("slope"))
+
+
 def rules(docs: DataFrame, pieces: str | None = None, byte_level: str | None = None, width: float = WIDTH) -> DataFrame:
     """Base counts, measures and verdict of every row of ``docs``."""
     return judged(settled(measured(docs, pieces, byte_level), "fertility"), width)

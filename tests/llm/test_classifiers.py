@@ -131,3 +131,28 @@ def test_band_of_a_rare_language_rejects_nothing(spark):
     rows = settled(fertility.measured(spark.createDataFrame(
         [(1, "xx", " ".join(f"w{k}q" for k in range(60)))], "doc_id long, lang string, text string")), "test")
     assert fertility.judged(rows).first()["kept"]
+
+
+def judged_rows(spark, rows):
+    """Verdicts of (doc_id, lang, script, n_tokens, piece_chars, entropy), whatever else is as usual."""
+    measured = spark.createDataFrame(
+        [(k, lang, script, n, 4 * n, 0, 0, 0, n, chars, chars, 0.01, bits) for k, lang, script, n, chars, bits in rows],
+        "doc_id long, lang string, script string, "
+        + ", ".join([f"{c} long" for c in [*fertility.COUNTS, "n_tokens"]] + [f"{m} double" for m in fertility.MEASURES]),
+    )
+    return {r["doc_id"]: r["kept"] for r in fertility.judged(settled(measured, "test")).collect()}
+
+
+def test_thin_lengths_and_rare_languages_have_bounds(spark):
+    rows = [(k, "en", "latin", 2 ** (6 + k % 4), 4 + k % 5 / 100, 5 + k % 4 * 0.8 + k % 7 / 100) for k in range(400)]
+    # A few long and very long texts, and texts of a language and of a script that hardly occur.
+    rows += [(1000, "en", "latin", 2**12, 4.0, 9.7), (1001, "en", "latin", 2**12, 4.0, 5.5), (1002, "en", "latin", 2**14, 4.0, 6.0)]
+    rows += [(2000, "xx", "latin", 2**8, 4.0, 6.6), (2001, "xx", "latin", 2**8, 4.0, 2.0), (2002, "xx", "latin", 2**8, 0.5, 6.6)]
+    rows += [(3000, None, "four-byte", 2**8, 4.0, 6.6), (3001, None, "four-byte", 2**8, 0.5, 6.6)]
+    # Short ones are not held to the entropy of longer ones.
+    rows += [(4000, "en", "latin", 2**5 + 20, 4.0, 4.7)]
+    kept = judged_rows(spark, rows)
+    assert all(kept[k] for k in range(400))
+    assert {k: v for k, v in kept.items() if k >= 1000} == {
+        1000: True, 1001: False, 1002: False, 2000: True, 2001: False, 2002: False, 3000: True, 3001: False, 4000: True
+    }
