@@ -1,16 +1,18 @@
 """Quotation linking with column functions: conversations in reply order, without their quotes.
 
 A line's quote level is the number of ``>`` at its front. Quoted lines, and the lines that
-every message says itself, are normalised (case, white space) and hashed line by line, so that
-a passage is found however it was cut; the lines of a level that come from one message are one
-quoted passage. A quoted line belongs to the first message of its own
-conversation that said it, or else to the first one in all conversations, if that stands
-before the quoting message in the order (conv_id, turn). A message replies to the message
-that most of its level-1 lines belong to, the latest on a tie; deeper levels are linked too,
-but do not decide. Attribution lines ("On ... wrote:") right before a quote are dropped with it.
+every message says itself, are normalised (case, white space) and hashed; quoted lines of one
+level in a row are a passage. A passage belongs to the first message of its own conversation
+that said all its lines in a row, or else to the first one in all conversations, if that stands
+before the quoting message in the order (conv_id, turn). The lines of a passage that no message
+said as a whole are looked for one by one in the same way, so that it is found however it was
+cut. A message replies to the message that most of its level-1 lines belong to, the latest on a
+tie; what n messages say counts one nth. Deeper levels are linked too, but do not decide.
+Attribution lines ("On ... wrote:") right before a quote are dropped with it.
 
 Only the first message per hash, and per hash and conversation, takes part in the joins, so a
-line that everyone says or quotes gives one row per quoted line, never pairs. Reply links go
+line or passage that everyone says or quotes gives one row per quoted one, never pairs. Of what
+messages say, only stretches that begin like a quoted passage and are as long are hashed. Reply links go
 back in order, so they form trees; roots and depths are found by doubling. A tree belongs to
 its root's conversation and is read by depth, then by (conv_id, turn); a message without a
 link is a root. Ranks come from range-sorted parts and the parts' sizes, so a conversation may
@@ -32,6 +34,8 @@ from fleetwright.llm.shared import bases, settled
 
 KEY = ["conv_id", "turn"]
 QUOTE = r"^[ \t]*(>[> \t]*)"
+#: Vote of a line that one message says. A whole number, so that sums do not depend on their order.
+WHOLE = 1 << 40
 ATTRIBUTION = r"(?i)^\s*(?:on|am|le|el)\b.*(?:wrote|schrieb|écrit|escribió)\s*:\s*$"
 
 
@@ -53,31 +57,40 @@ def _normal(text: Column) -> Column:
     return F.when(plain.rlike(r"[\p{L}\p{N}]"), plain)
 
 
-def quoted_lines(lines: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, hash): a row per quoted line."""
-    found = lines.select(*KEY, F.explode(F.filter("lines", lambda x: x["level"] > 0)).alias("line"))
-    found = found.withColumn("normal", _normal(F.col("line.text"))).filter("normal IS NOT NULL")
-    return found.select(*KEY, F.col("line.level").alias("level"), F.xxhash64("normal").alias("hash"))
+def with_hashes(messages: DataFrame) -> DataFrame:
+    """(row, conv_id, turn, own, passages): hashes of the lines that each message says itself, in order, and its
+    quoted passages (level, hashes): lines of one level in a row. Blank lines do not count."""
 
+    def hashed(line: Column) -> Column:
+        return F.struct(line["level"].alias("level"), F.xxhash64(line["normal"]).alias("hash"))
 
-def own_lines(lines: DataFrame) -> DataFrame:
-    """(conv_id, turn, hash): lines that messages say themselves."""
-    said = lines.select(*KEY, F.explode(F.filter("lines", lambda x: x["level"] == 0)).alias("line"))
-    said = said.withColumn("normal", _normal(F.col("line.text"))).filter("normal IS NOT NULL")
-    return said.select(*KEY, F.xxhash64("normal").alias("hash"))
+    found = with_lines(messages).select(
+        *KEY,
+        F.transform("lines", lambda x: F.struct(x["level"].alias("level"), _normal(x["text"]).alias("normal"))).alias("lines"),
+    )
+    found = found.select(
+        *KEY, F.transform(F.filter("lines", lambda x: x["normal"].isNotNull()), hashed).alias("lines")
+    ).filter(F.size("lines") > 0)
+    starts = """filter(sequence(0, size(lines) - 1), k -> k = 0 OR lines[k].level <> lines[greatest(k - 1, 0)].level)"""
+    runs = """transform(starts, (at, k) -> named_struct('level', lines[at].level, 'hashes',
+        transform(slice(lines, at + 1, coalesce(get(starts, k + 1), size(lines)) - at), x -> x.hash)))"""
+    return found.withColumn("starts", F.expr(starts)).select(
+        F.monotonically_increasing_id().alias("row"),
+        *KEY,
+        F.expr("transform(filter(lines, x -> x.level = 0), x -> x.hash)").alias("own"),
+        F.filter(F.expr(runs), lambda x: x["level"] > 0).alias("passages"),
+    )
 
 
-def quote_links(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, level, from_conv, from_turn, n_lines): the passages of each message by their source."""
-    lines = with_lines(messages.select(*KEY, "text").filter("conv_id IS NOT NULL AND turn IS NOT NULL"))
-    quotes = settled(quoted_lines(lines), "quotes")
-    wanted = quotes.select("hash").distinct()
-    said = own_lines(lines).join(wanted, "hash", "left_semi")
-    here = settled(said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here")), "quote-origins")
-    first = here.groupBy("hash").agg(F.min(F.struct("conv_id", "here")).alias("first"))
+def _sourced(quotes: DataFrame, here: DataFrame) -> DataFrame:
+    """``quotes`` with the ``source`` of ``hash``, or null, and ``share``: WHOLE over the number of messages that say it.
+
+    ``here`` has the first turn and the number of messages per hash and conversation.
+    """
+    first = here.groupBy("hash").agg(F.min(F.struct("conv_id", "here")).alias("first"), F.sum("n_here").alias("n_all"))
     before = F.col("here") < F.col("turn")
     elsewhere = F.col("first") < F.struct(F.col("conv_id"), F.col("turn").alias("here"))
-    linked = (
+    return (
         quotes.join(here, ["hash", "conv_id"], "left")
         .join(first, "hash", "left")
         .withColumn(
@@ -86,16 +99,56 @@ def quote_links(messages: DataFrame) -> DataFrame:
                 elsewhere, F.struct(F.col("first.conv_id").alias("conv_id"), F.col("first.here").alias("turn"))
             ),
         )
-        .filter("source IS NOT NULL")
+        .withColumn("share", F.expr(f"{WHOLE} div IF(here < turn, n_here, n_all)"))
+        .drop("here", "n_here", "first", "n_all")
+    )
+
+
+def _first_said(said: DataFrame) -> DataFrame:
+    return said.groupBy("hash", "conv_id").agg(F.min("turn").alias("here"), F.count("*").alias("n_here"))
+
+
+def weighed_links(messages: DataFrame) -> DataFrame:
+    """``quote_links`` with ``weight``: lines by their share."""
+    hashed = settled(
+        with_hashes(messages.select(*KEY, "text").filter("conv_id IS NOT NULL AND turn IS NOT NULL")), "quote-hashes"
+    )
+    quoted = hashed.select(*KEY, F.explode("passages").alias("passage")).select(
+        *KEY, "passage.level", "passage.hashes", F.size("passage.hashes").alias("n")
     )
-    return linked.groupBy(*KEY, "level", "source").agg(F.count("*").alias("n_lines")).select(
-        *KEY, "level", F.col("source.conv_id").alias("from_conv"), F.col("source.turn").alias("from_turn"), "n_lines"
+    passages = settled(quoted.withColumn("hash", F.xxhash64("hashes", "n")), "quotes")
+    # Windows that may be a passage begin with its first line and are as long.
+    sizes = F.collect_set(F.when(F.col("n") > 1, F.col("n"))).alias("sizes")
+    begun = passages.filter("n > 1").groupBy(F.element_at("hashes", 1).alias("hash")).agg(sizes)
+    wanted = passages.select(F.explode("hashes").alias("hash")).distinct().join(begun, "hash", "left")
+    said = hashed.select("row", *KEY, F.posexplode("own").alias("at", "hash")).join(wanted, "hash")
+    said = settled(said, "quote-said")
+    begins = said.filter("sizes IS NOT NULL").groupBy("row").agg(F.collect_list(F.struct("at", "sizes")).alias("begins"))
+    windows = """array_distinct(flatten(transform(begins, b -> transform(
+        filter(b.sizes, n -> b.at + n <= size(own)), n -> xxhash64(slice(own, b.at + 1, n), n)))))"""
+    whole = hashed.select("row", *KEY, "own").join(begins, "row").select(*KEY, F.explode(F.expr(windows)).alias("hash"))
+    whole = whole.join(passages.filter("n > 1").select("hash").distinct(), "hash", "left_semi")
+    found = settled(_sourced(passages, settled(_first_said(whole), "quote-wholes")), "quote-passages")
+    lines = found.filter("source IS NULL").select(*KEY, "level", F.explode("hashes").alias("hash"), F.lit(1).alias("n"))
+    once = said.select("row", *KEY, "hash").distinct()
+    lines = _sourced(lines, settled(_first_said(once), "quote-origins"))
+    columns = [*KEY, "level", "source", "n", "share"]
+    linked = found.select(*columns).unionByName(lines.select(*columns)).filter("source IS NOT NULL")
+    return linked.groupBy(*KEY, "level", "source").agg(
+        F.sum("n").alias("n_lines"), F.sum(F.col("n") * F.col("share")).alias("weight")
+    ).select(
+        *KEY, "level", F.col("source.conv_id").alias("from_conv"), F.col("source.turn").alias("from_turn"), "n_lines", "weight"
     )
 
 
+def quote_links(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, level, from_conv, from_turn, n_lines): the passages of each message by their source."""
+    return weighed_links(messages).drop("weight")
+
+
 def reply_links(links: DataFrame) -> DataFrame:
-    """(conv_id, turn, to_conv, to_turn): the message that most level-1 lines come from."""
-    votes = links.filter("level = 1").groupBy(*KEY, "from_conv", "from_turn").agg(F.sum("n_lines").alias("n"))
+    """(conv_id, turn, to_conv, to_turn): the message with the most weight of level-1 lines."""
+    votes = links.filter("level = 1").groupBy(*KEY, "from_conv", "from_turn").agg(F.sum("weight").alias("n"))
     best = votes.groupBy(*KEY).agg(F.max(F.struct("n", "from_conv", "from_turn")).alias("best"))
     return best.select(*KEY, F.col("best.from_conv").alias("to_conv"), F.col("best.from_turn").alias("to_turn"))
 
@@ -145,7 +198,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     rows = messages.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text"
     )
-    links = settled(quote_links(rows), "quote-links")
+    links = settled(weighed_links(rows), "quote-links")
     replies = settled(reply_links(links), "reply-links")
     trees = reply_trees(replies)
     placed = (

@@ -180,6 +180,26 @@ def test_a_line_that_all_quote_gives_no_pairs(spark):
     assert {(r["reply_conv"], r["reply_turn"]) for r in found if r["conv_id"] == 7 and r["turn"]} == {(7, 0)}
 
 
+def test_repeated_lines_do_not_outvote_the_passage(spark):
+    rows = [
+        (1, 0, "Hi\nBest\nAnn\nA"),
+        (1, 1, "Something else"),
+        (1, 2, "Hi\nBest\nAnn\nB"),
+        (1, 3, "> Hi\n> Best\n>\n> Ann\n> B\nfine"),
+        (1, 4, "> Best\n> Ann\n> B\nfine too"),
+        (1, 5, "> Hi\n> Ann\n> [cut]\n> and something new\n> B\nok"),
+        (1, 6, "> Hi\n> Best\n> Ann\n> A\nthe first"),
+        (2, 0, "> Ann\n> B\nfrom the other one"),
+    ]
+    messages = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows], "conv_id long, turn long, role string, text string")
+    found = {(r["conv_id"], r["turn"]): (r["reply_conv"], r["reply_turn"]) for r in quotes.conversations(messages).collect()}
+    assert {k: v for k, v in found.items() if v[0] is not None} == {
+        (1, 3): (1, 2), (1, 4): (1, 2), (1, 5): (1, 2), (1, 6): (1, 0), (2, 0): (1, 2)
+    }
+    links = {tuple(r) for r in quotes.quote_links(messages).filter("turn IN (3, 4, 6)").collect()}
+    assert links == {(1, 3, 1, 1, 2, 4), (1, 4, 1, 1, 2, 3), (1, 6, 1, 1, 0, 4)}
+
+
 def test_a_long_chain_of_replies(spark):
     rows = [(1, 0, "user", "line 0")] + [(1, t, "user", f"> line {t - 1}\nline {t}") for t in range(1, 70)]
     found = quotes.conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
