@@ -84,6 +84,24 @@ def test_no_python_on_the_executors(spark, folder, name):
     assert not re.search("Python|Pandas|Arrow", plan_of(QUERIES[name](spark, folder)))
 
 
+def test_secrets_of_digits_letters_and_beside_allowed_words(spark):
+    key = "q7Zk2Lw9Xv4Tb8Rn3Md6Hs1Pc5"
+    texts = {
+        "pin 60417392858104739265 end": ["60417392858104739265"],
+        "key qzkwvxjtbrnmdhspcfgy end": ["qzkwvxjtbrnmdhspcfgy"],
+        f"export example-{key} end": [f"example-{key}"],
+        f"id your_key_0123456789_{key}/ end": [f"your_key_0123456789_{key}/"],
+        "on 2024-01-15/2024-02-29 and 20240101120000000000 end": [],
+        "the internationalization of example_placeholder_token_changeme end": [],
+        "abcdefghijklmnopqrstuvwxyz0123456789 see /usr/local/share/documentation/html end": [],
+        "550e8400-e29b-41d4-a716-446655440000 end": [],
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.scanned(docs).collect()}
+    for k, (text, runs) in enumerate(texts.items()):
+        assert found[k] == ",".join(f"entropy:{text.index(r)}:{text.index(r) + len(r)}" for r in runs)
+
+
 PERSONAL = [
     "Ask Mr. John Smith or Mrs Anna-Maria Smith. Mr Smith, JOHN.DOE@Mail.Example.com and john.doe@mail.example.com",
     "Call +1 (988) 555-2485, pay 4111 1111 1111 1111 or 4111111111111111; from 10.0.0.1. SSN 123-45-6789",
