@@ -1,8 +1,9 @@
 """Surrogates for personal data, with column functions only.
 
 Detected: email and IP addresses, phone, card, social-security and account numbers, and
-persons named with a title. A person's name is taken word by word, so that a later "Mr Smith"
-stays the same person as "Mr John Smith". Each entity (kind, normalised value) draws a keyed
+persons named with a title. A person's name is taken word by word, so that a later "Mr Smith" or
+"Mr John" stays the same person as "Mr John Smith"; whether a word is a given or a family name, which
+only decides the ending of its surrogate, is settled once by all its mentions. Each entity (kind, normalised value) draws a keyed
 digest that picks its surrogate: letters for letters and digits for digits in the same shape
 (top-level domains, leading digits and country codes stay, card numbers get a valid check
 digit), IP addresses for IP addresses, and names spelled from syllables of the same script
@@ -88,7 +89,8 @@ def _parts(mention: Column) -> Column:
 
     def of_name(token: Column, k: Column) -> Column:
         stays = (k == 0) | token.rlike(r"^\s")
-        role = F.when(k == F.size(tokens) - 1, F.lit("family")).otherwise(gender)
+        # A name of one word says nothing of its role.
+        role = F.when(F.size(tokens) == 3, F.lit("sole")).when(k == F.size(tokens) - 1, F.lit("family")).otherwise(gender)
         return part(
             F.when(~stays, F.concat_ws(":", F.lit("name"), role, _script(token))), F.lower(token), token
         )
@@ -98,6 +100,25 @@ def _parts(mention: Column) -> Column:
     return F.when(kind == "person", F.transform(tokens, of_name)).otherwise(F.array(part(kind, norm, mention)))
 
 
+def _space(kind: Column) -> Column:
+    """What a value is known by besides its text: the kind, for names without the role."""
+    return F.regexp_replace(kind, "^name:[a-z]+:", "name:")
+
+
+def _entities(parts: DataFrame) -> DataFrame:
+    """(kind, norm) of distinct entities; a name word has the role of most of its mentions, or else is a family name."""
+    role = F.get(F.split("kind", ":"), F.lit(1))
+    n_family, n_m, n_f = (F.coalesce(F.sum((role == r).cast("int")), F.lit(0)) for r in ("family", "m", "f"))
+    named = parts.filter("kind IS NOT NULL").groupBy(_space(F.col("kind")).alias("space"), "norm")
+    settled_role = F.when(n_family >= n_m + n_f, "family").when(n_m >= n_f, "m").otherwise("f")
+    return named.agg(settled_role.alias("role")).select(
+        F.when(F.col("space").startswith("name:"), F.regexp_replace("space", "^name:", F.concat(F.lit("name:"), "role", F.lit(":"))))
+        .otherwise(F.col("space"))
+        .alias("kind"),
+        "norm",
+    )
+
+
 def _byte(digest: Column, k: Column) -> Column:
     return F.conv(F.substring(digest, (k % 64) * 2 + 1, F.lit(2)), 16, 10).cast("int")
 
@@ -150,21 +171,26 @@ def _with_check_digit(number: Column) -> Column:
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, norm, value) of distinct entities (kind, norm), no two values of a kind alike and none an entity."""
+    """(kind, norm, value) of distinct entities (kind, norm), no two values of a kind alike and none an entity.
+    Names of one script are one kind here."""
     entities = settled(entities.distinct(), "surrogate-entities")
-    taken = entities.select("kind", F.col("norm").alias("value"))
+    taken = entities.select(_space(F.col("kind")).alias("space"), F.col("norm").alias("value"))
     done, pending = None, entities
     for attempt in range(ROUNDS):
         drawn = settled(
             pending.withColumn("digest", _digest(key, attempt)).select(
-                "kind", "norm", _surrogate(F.col("kind"), F.col("norm"), F.col("digest")).alias("value")
+                "kind",
+                "norm",
+                _surrogate(F.col("kind"), F.col("norm"), F.col("digest")).alias("value"),
+                _space(F.col("kind")).alias("space"),
             ),
             "surrogate-draws",
         )
-        free = drawn.join(taken, ["kind", "value"], "left_anti")
+        free = drawn.join(taken, ["space", "value"], "left_anti")
         if done is not None:
-            free = free.join(done.select("kind", "value"), ["kind", "value"], "left_anti")
-        won = settled(free.groupBy("kind", "value").agg(F.min("norm").alias("norm")), "surrogate-map")
+            free = free.join(done.select("space", "value"), ["space", "value"], "left_anti")
+        won = free.groupBy("space", "value").agg(F.min(F.struct("norm", "kind")).alias("first"))
+        won = settled(won.select("space", "value", "first.norm", "first.kind"), "surrogate-map")
         done = won if done is None else done.unionByName(won)
         pending = drawn.join(won, ["kind", "norm"], "left_anti").select("kind", "norm")
         if pending.isEmpty():
@@ -212,8 +238,8 @@ def replaced(docs: DataFrame, key: str, count: str = "n_replaced") -> DataFrame:
         ),
         "surrogate-mentions",
     )
-    table = surrogates(parts.filter("kind IS NOT NULL").select("kind", "norm"), key)
-    spelled = parts.join(table, ["kind", "norm"], "left").withColumn(
+    table = surrogates(_entities(parts), key).select(_space(F.col("kind")).alias("space"), "norm", "value")
+    spelled = parts.withColumn("space", _space(F.col("kind"))).join(table, ["space", "norm"], "left").withColumn(
         "new", _rendered(F.col("kind"), F.col("raw"), F.col("value"))
     )
     whole = spelled.groupBy("_key", "mention").agg(F.array_sort(F.collect_list(F.struct("k", "new"))).alias("parts"))

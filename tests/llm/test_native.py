@@ -137,6 +137,19 @@ def test_surrogates_keep_kind_format_and_person(replaced):
     assert replaced[9]["text"] == first and replaced[3]["text"] == "nothing here" and replaced[4]["text"] is None
 
 
+def test_a_name_word_has_one_surrogate_wherever_it_stands(spark):
+    texts = ["Mr John Smith and Mr John; Mrs Smith Miller.", "Señor Juan García López and Señor García, Señor López."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, second = (r["text"] for r in surrogates.replaced(docs, "key").orderBy("doc_id").collect())
+    john, smith, john2, smith2, miller = re.fullmatch(r"Mr (\w+) (\w+) and Mr (\w+); Mrs (\w+) (\w+)\.", first).groups()
+    assert john == john2 and smith == smith2
+    juan, garcia, lopez, garcia2, lopez2 = re.fullmatch(
+        r"Señor (\w+) (\w+) (\w+) and Señor (\w+), Señor (\w+)\.", second
+    ).groups()
+    assert garcia == garcia2 and lopez == lopez2
+    assert len({john, smith, miller, juan, garcia, lopez}) == 6
+
+
 def test_surrogates_stay_distinct(spark):
     """Each of 60 two-digit values of a small format must get one of its own."""
     entities = spark.createDataFrame([("social", f"{k:02d}") for k in range(20, 50)], "kind string, norm string")
