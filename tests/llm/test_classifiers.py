@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from fleetwright.llm import fertility, toxicity, zstd_language
+from fleetwright.llm import fertility, quality, toxicity, zstd_language
 from fleetwright.llm.queries import QUERIES
 from fleetwright.llm.shared import settled
 
@@ -156,3 +156,69 @@ def test_thin_lengths_and_rare_languages_have_bounds(spark):
     assert {k: v for k, v in kept.items() if k >= 1000} == {
         1000: True, 1001: False, 1002: False, 2000: True, 2001: False, 2002: False, 3000: True, 3001: False, 4000: True
     }
+
+
+def test_quality_is_learned(spark):
+    found = QUERIES["op12_indexed_quality"](spark, LARGE).toPandas().set_index("doc_id")
+    labels = spark.read.parquet(f"{LARGE}/labels.parquet").toPandas().set_index("doc_id").quality
+    assert len(found) == 10_000 and found.score.between(0, 1).all()
+    assert ((found.score >= 0.7).astype(int) == found.predicted).all()
+    held = found.join(labels, how="inner").query("held_out")
+    assert held[held.quality == 1].predicted.mean() > 0.99
+    assert held[held.quality == 0].predicted.mean() < 0.05
+    # Probabilities are calibrated: of what scores about p, about p is good.
+    assert abs(held.score.mean() - held.quality.mean()) < 0.02
+    assert ((held.score - held.quality) ** 2).mean() < 0.02
+
+
+def test_quality_contexts_equal_plain_counts(spark):
+    texts = ["the cat, the dog 12!!", None, "", "one", "x " * 500, "the the\nthe"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    seen, sums = quality.contexts(docs)
+    places, signs = quality.index_vectors()
+    plain_seen, plain_sums = np.zeros_like(seen), np.zeros_like(sums)
+    for text in texts:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        words, rows = quality.bucketed_words(data, np.array([0, len(data)]))
+        assert len(words) == len(re.findall(r"[A-Za-z]+|\d+|([^\w\s])\1*", text or "")) == rows[1]
+        for i, w in enumerate(words):
+            plain_seen[w] += 1
+            for j in range(max(i - 2, 0), min(i + 3, len(words))):
+                if j != i:
+                    plain_sums[w, places[words[j]]] += signs[words[j]]
+    assert (seen == plain_seen).all() and (sums == plain_sums).all()
+    vectors = quality.word_vectors(seen, sums)
+    assert np.allclose(np.linalg.norm(vectors, axis=1), 1, atol=1e-5)
+    pools = np.concatenate([p for _, p in quality.row_pools(pa.array(texts), vectors)])
+    words, _ = quality.bucketed_words(np.frombuffer(texts[0].encode(), np.uint8), np.array([0, len(texts[0])]))
+    steps = np.abs(vectors[words[1:]] - vectors[words[:-1]]).mean(axis=0)
+    assert np.allclose(pools[0, : quality.DIMENSIONS], vectors[words].mean(axis=0), atol=1e-5)
+    assert np.allclose(pools[0, quality.DIMENSIONS : 2 * quality.DIMENSIONS], steps, atol=1e-5)
+    assert not pools[1].any() and not pools[4, quality.DIMENSIONS :].any()
+
+
+def test_quality_temperature_and_network():
+    rng = np.random.default_rng(1)
+    inputs = rng.normal(size=(600, 4))
+    kinds = ((inputs[:, 0] * inputs[:, 1]) > 0).astype(float)
+    layers = quality.trained(inputs, kinds)
+    # One layer would get about half of these right.
+    assert ((quality.margins(inputs, layers) > 0) == kinds).mean() > 0.85
+    margins = rng.normal(0, 4, 4000)
+    drawn = (rng.random(4000) < 1 / (1 + np.exp(-margins / 3))).astype(float)
+    assert 2.5 < quality.best_temperature(margins, drawn) < 3.6
+    assert quality.best_temperature(margins, np.ones(4000)) == 1.0
+
+
+def test_quality_odd_rows(spark, odd_docs, no_docs):
+    labels = spark.createDataFrame([(5, 0), (6, 1), (6, 0), (7, 0), (4, 1), (99, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    model = quality.fit(odd_docs, labels)
+    found = quality.scored(odd_docs, model)
+    assert found.columns == [*(c for c in odd_docs.columns if c != "score"), "score"]
+    scores = {r["doc_id"]: r["score"] for r in found.collect()}
+    assert found.count() == 10 and scores[1] == scores[2] == scores[3] and all(0 <= x <= 1 for x in scores.values())
+    assert quality.scored(no_docs, model).count() == 0
+    nothing = quality.fit(no_docs, labels.filter("false"))
+    assert quality.scored(odd_docs, nothing).filter("score < 0.5").count() == 10
+    unlabelled = quality.fit(odd_docs, labels.filter("doc_id = 99"))
+    assert quality.scored(odd_docs, unlabelled).filter("score > 0.5").count() == 10
