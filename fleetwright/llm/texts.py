@@ -11,6 +11,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -21,9 +22,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 64, 256, dtype=np.uint64)
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_KEYS = np.random.default_rng(7).integers(1, 1 << 64, 2, dtype=np.uint64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 64
 
 
 class Slice(NamedTuple):
@@ -89,15 +90,29 @@ def mixed(values: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, the same for equal bytes wherever they stand."""
-    while len(_powers[0]) <= len(data):
-        size = np.uint64(len(_powers[0]))
-        for k, base in enumerate((_BASE, _BASE_INVERSE)):
-            _powers[k] = np.concatenate([_powers[k], _powers[k] * np.uint64(pow(int(base), int(size), 1 << 64))])
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUES[data] * _powers[0][: len(data)], out=sums[1:])
-    lengths = (ends - starts).astype(np.uint64)
-    return mixed((sums[ends] - sums[starts]) * _powers[1][starts] + lengths)
+    """64-bit hashes of byte spans, the same for equal bytes wherever they stand.
+
+    A span is taken eight bytes at a time, the last ones filled up with zeros; each eight go into the
+    state by a bijection that is scrambled before the next, so spans that differ meet by chance only.
+    """
+    lengths = ends - starts
+    state = mixed(lengths.astype(np.uint64) ^ _KEYS[0])
+    if not len(data):
+        return state
+    # Eight bytes from each place on, as one number.
+    eight = np.ndarray(len(data), "<u8", np.append(data, np.zeros(7, np.uint8)), strides=(1,))
+    active, at = np.flatnonzero((lengths > 0) & (lengths <= LONG_SPAN)), 0
+    while len(active):
+        left = lengths[active] - at
+        chunk = eight[starts[active] + at]
+        short = left < 8
+        chunk[short] &= (np.uint64(1) << (left[short] * 8).astype(np.uint64)) - np.uint64(1)
+        state[active] = mixed((state[active] ^ chunk) * _BASE + _KEYS[1])
+        active, at = active[left > 8], at + 8
+    seed = int(_KEYS[0])
+    for k in np.flatnonzero(lengths > LONG_SPAN).tolist():
+        state[k] = xxhash.xxh64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return state
 
 
 def gram_hashes(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,9 @@
 
 Byte-level BPE encodes words one by one: no token crosses the edge from other characters to
 white space, or from a letter to an ASCII sign other than the apostrophe. So a text's ids are
-those of its pieces between such edges. Texts repeat most pieces; each worker encodes a piece
-once and remembers it, up to a fixed number.
+those of its pieces between such edges. A text that holds one of the vocabulary's added tokens, such as
+an end-of-text mark, goes to the library as a whole, which finds them as it does in any text. Texts
+repeat most pieces; each worker encodes a piece once and remembers it, up to a fixed number.
 """
 
 from __future__ import annotations
@@ -90,7 +91,6 @@ class PieceTokenizer:
         with open(path, encoding="utf-8") as file:
             content = file.read()
         self.library = Tokenizer.from_str(content)
-        self.library.encode_special_tokens = True
         spec = json.loads(content)
         splits = spec["pre_tokenizer"] or {}
         if splits.get("type") != "ByteLevel" or spec["normalizer"] or splits.get("add_prefix_space"):
@@ -98,6 +98,7 @@ class PieceTokenizer:
         self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
         self.model = self.library.model
+        self.added = [t.content.encode() for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.letters = byte_letters()
         self.memory, self.remembered = Memory(self.dtype), remembered
 
@@ -131,7 +132,7 @@ class PieceTokenizer:
     def _pieces(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where pieces begin, and for each byte the number of bytes before it that aren't of letters.
 
-        Texts that may hold white space outside ASCII are pieces as a whole.
+        Texts that hold added tokens, or may hold white space outside ASCII, are pieces as a whole.
         """
         space, letter = SPACE[data], LETTER[data]
         lead, after = data[:-1], data[1:]
@@ -147,11 +148,25 @@ class PieceTokenizer:
             | (lead == 0xE2) & ((after == 0x80) | (after == 0x81))
             | (lead == 0xE3) & (after == 0x80)
         )
-        for row in np.unique(np.searchsorted(bounds, np.flatnonzero(wide), "right") - 1):
+        added = self._added_rows(data, bounds)
+        for row in added:
+            # An added token may be a word; the whole text is none.
+            letter[bounds[row] : bounds[row + 1]] = False
+        for row in np.union1d(np.searchsorted(bounds, np.flatnonzero(wide), "right") - 1, added):
             begin[bounds[row] : bounds[row + 1]] = False
         begin[row_starts(bounds)] = True
         return np.flatnonzero(begin), np.concatenate([[0], np.cumsum(~letter, dtype=np.int64)])
 
+    def _added_rows(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Rows that hold the text of an added token, perhaps across their edges."""
+        content, places = data.tobytes(), []
+        for token in self.added:
+            at = content.find(token)
+            while at >= 0:
+                places.append(at)
+                at = content.find(token, at + 1)
+        return np.unique(np.searchsorted(bounds, places, "right") - 1).astype(np.int64)
+
     def _encoded(self, data, starts, ends, other) -> tuple[np.ndarray, np.ndarray]:
         """Ids of new pieces and their counts. A word, with or without one space before it, goes to
         the vocabulary's model at once; other pieces are split by the library first."""

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from fleetwright.llm import packing, wavelet
 from fleetwright.llm.queries import QUERIES
@@ -20,6 +21,8 @@ TEXTS = st.lists(
     max_size=8,
 )
 TOKENIZER = PieceTokenizer(byte_bpe_path(), remembered=50)
+#: The library as anyone loads it.
+LIBRARY = Tokenizer.from_file(byte_bpe_path())
 
 
 def clean(texts):
@@ -27,7 +30,7 @@ def clean(texts):
 
 
 def library_ids(texts):
-    return [x.ids for x in TOKENIZER.library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return [x.ids for x in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def crc(ids):
@@ -55,6 +58,37 @@ def test_equal_spans_hash_alike_wherever_they_stand():
     assert grams[0] == grams[2] and grams[1] != grams[0] and at.tolist() == [0, 1, 2, 3, 4]
 
 
+def test_different_spans_hash_differently():
+    # Two words that every polynomial modulo a power of two takes for one.
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate({97: 98, 98: 97})
+    words = [word[:n] for n in (1024, 2048)] + [word[:n].translate({97: 98, 98: 97}) for n in (1024, 2048)]
+    # And words that differ only in zeros, at an edge of eight bytes, or in length.
+    words += ["x" * n for n in range(1, 140)] + ["x" * n + "\0" for n in range(140)] + [f"{k:08d}{j:08d}" for k in range(40) for j in range(40)]
+    assert len(set(words)) == len(words)
+    data = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    assert len(set(span_hashes(data, ends - [len(w) for w in words], ends).tolist())) == len(words)
+    for k in (0, 2):
+        own = np.frombuffer((words[k] + " " + words[2 - k]).encode(), np.uint8)
+        assert TOKENIZER.encode(own, np.array([0, len(own)]))[0].tolist() == library_ids([own.tobytes().decode()])[0]
+
+
+def test_added_tokens_are_the_library_s():
+    mark = "<|endoftext|>"
+    texts = [mark, f"a{mark}b", f" {mark} ", f"{mark}{mark}\n", mark[:-1], f"word {mark}\u3000x", None, f"é{mark}", "<|end" + mark, "plain"]
+    for size in (1, 20, 1000):
+        found = []
+        for piece in text_slices(pa.array(texts), size):
+            ids, counts = TOKENIZER.encode(piece.data, piece.bounds)
+            found += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert found == library_ids(texts)
+    assert sum(50256 in x for x in library_ids(texts)) == 7
+    # A mark that only two texts together spell is none.
+    assert TOKENIZER.encode(np.frombuffer(mark.encode(), np.uint8), np.array([0, 5, 13]))[0].tolist() == sum(library_ids([mark[:5], mark[5:]]), [])
+
+
 @settings(max_examples=300, deadline=None)
 @given(TEXTS, st.integers(1, 60))
 def test_ids_are_the_library_s(texts, size):
