@@ -18,7 +18,7 @@ join what it found connected. Equal fingerprints count once from the start.
 Cases: null or empty text has fingerprint zero, which links like any other; fewer than four
 words make one shingle; equal rows share a class; rows with null doc_id belong to the class of
 their fingerprint but never name it (a class of only such rows has a null name); rows that share
-a doc_id are one document to ``deduplicated``; an empty
+a doc_id but not their text are different documents; an empty
 table gives no rows; other columns are ignored or, by ``deduplicated``, kept.
 """
 
@@ -32,7 +32,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwright.llm.components import components
@@ -82,17 +82,21 @@ def slice_fingerprints(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return prints
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, *others: Column) -> DataFrame:
+    """(doc_id, fp): the fingerprint as a signed long; and ``others``, which are longs."""
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [slice_fingerprints(x.data, x.bounds) for x in text_slices(batch.column(1))]
             prints = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        fingerprint, "doc_id long, fp long"
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(prints.view(np.int64)), *batch.columns[2:]],
+                names=["doc_id", "fp", *batch.schema.names[2:]],
+            )
+
+    columns = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *others)
+    return columns.mapInArrow(
+        fingerprint, ", ".join(["doc_id long", "fp long", *(f"{c} long" for c in columns.columns[2:])])
     )
 
 
@@ -239,9 +243,8 @@ def joined(prints: np.ndarray, distance: int) -> np.ndarray:
     return values.view(np.int64)[places]
 
 
-def classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row."""
-    rows = settled(fingerprints(docs), "simhash-rows")
+def rooted(rows: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """``rows`` (doc_id, fp, others) with the ``root`` of their class, a fingerprint, and the class's smallest doc_id."""
     prints = settled(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-prints")
     groups = chosen_groups(*bit_counts(prints), distance)
     roots = components(links(prints.select("fp"), groups, distance))
@@ -249,22 +252,41 @@ def classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     names = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = named.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").select(
+    by_print = named.select("fp", "root").join(names, "root").select("fp", "root", "component_id")
+    return rows.join(by_print, "fp")
+
+
+def classes(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row."""
+    rows = settled(fingerprints(docs), "simhash-rows")
+    return rooted(rows, distance).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def deduplicated(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each class: the one with the smallest doc_id. Rows without an id stay."""
-    found = settled(classes(docs, distance), "simhash-classes")
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    again = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
-    key = F.col("doc_id").cast("long").alias("_key")
-    kept = docs.withColumn("_key", key).join(gone.withColumnRenamed("doc_id", "_key"), "_key", "left_anti")
+    """``docs`` with one row of each class: the one with the smallest doc_id, a row without one only if there is no other.
+
+    Rows are told apart by doc_id and the text's hash, so rows that share an id but not their text
+    are different documents. Of rows that share both, the one that is smallest as JSON stays.
+    """
+    key = [F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash")]
+    rows = settled(fingerprints(docs, F.xxhash64("text").alias("hash")), "simhash-rows")
+    found = rooted(rows, distance).groupBy("root", "doc_id", "hash").agg(F.count("*").alias("n"))
+    found = settled(found.withColumn("order", F.struct(F.col("doc_id").isNull(), "doc_id", "hash")), "simhash-classes")
+    first = found.groupBy("root").agg(F.min("order").alias("first"))
+    gone = found.join(first, "root").filter("order <> first").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
+
+    def same(left: DataFrame, right: DataFrame):
+        return left["_id"].eqNullSafe(right["_id"]) & (left["_hash"] == right["_hash"])
+
+    keyed = docs.select("*", *key)
+    kept = keyed.join(gone, same(keyed, gone), "left_anti")
+    again = found.filter("n > 1").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"))
     if again.isEmpty():
         return kept.select(*docs.columns)
-    # Several rows of one id are copies of each other only if the table repeats ids; they need another pass.
-    again = again.withColumnRenamed("doc_id", "_key")
-    repeated = kept.join(again, "_key", "left_semi").dropDuplicates(["_key"])
-    return kept.join(again, "_key", "left_anti").unionByName(repeated).select(*docs.columns)
+    # Only rows that stand in the table several times need another pass.
+    whole = F.struct(*docs.columns)
+    repeated = kept.join(again, same(kept, again), "left_semi").groupBy("_id", "_hash")
+    repeated = repeated.agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    return kept.join(again, same(kept, again), "left_anti").select(*docs.columns).unionByName(repeated)

@@ -63,6 +63,18 @@ def test_one_row_of_each_class_stays(odd_docs):
     assert sorted((r["doc_id"] or 0 for r in kept.collect())) == [0, 1, 4, 5, 7, 8]
 
 
+def test_no_text_is_lost_where_rows_share_an_id(spark):
+    a, b, c = (" ".join(random.Random(x).choices("lorem ipsum dolor sit amet elit sed".split(), k=40)) for x in "abc")
+    rows = [(1, a, "x"), (5, b, "y"), (5, a, "x"), (5, c, "x"), (7, c, "x"), (7, c, "x"), (8, None, "x"), (None, "", "y")]
+    rows += [(None, "no id", "z"), (None, "no id", "y")] + [(2, "often said", "x")] * 30
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    kept = sorted((str(r[0]), str(r[1])) for r in simhash.deduplicated(docs).collect())
+    wanted = [(1, a), (2, "often said"), (5, b), (5, c), (8, None), (None, "no id")]
+    assert kept == sorted((str(i), str(t)) for i, t in wanted)
+    assert {r["lang"] for r in simhash.deduplicated(docs).filter("text = 'no id'").collect()} == {"y"}
+    assert simhash.deduplicated(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("total", [10, 10_000, 10**7, 10**9])
 def test_thresholds_leave_no_pair_out(total):
     random.seed(total)
