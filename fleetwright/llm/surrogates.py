@@ -11,7 +11,8 @@ with an ending of the title's gender.
 
 A surrogate may not equal any entity found in the corpus nor another's surrogate. Of those that
 meet, the smallest keeps it and the others draw again with the next number, until none is
-left: different entities stay different, and equal ones equal, over all documents.
+left: different entities stay different, and equal ones equal, over all documents. Where a format has
+too few values, those still left after every third draw get one more character or syllable.
 
 Cases: null text stays null; texts without entities pass unchanged and are not moved; equal
 texts are worked out once, by their digest, so any number of copies gets the same result; an
@@ -21,6 +22,8 @@ empty table gives no rows; all columns of ``docs`` are kept.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,7 +69,8 @@ ENDINGS = {
     },
     "greek": {"m": ["ς", "νος", "ρης"], "f": ["νη", "ρα", "λία"], "family": ["δης", "πουλος", "κης"]},
 }
-ROUNDS = 30
+#: Draws of one width; what is then left draws from a wider format.
+DRAWS = 3
 
 
 def _script(word: Column) -> Column:
@@ -129,8 +133,8 @@ def _digest(key: str, attempt: int) -> Column:
     return F.sha2(F.concat(F.lit(key), inner).cast("binary"), 512)
 
 
-def _surrogate(kind: Column, norm: Column, digest: Column) -> Column:
-    """Normalised surrogate of an entity."""
+def _surrogate(kind: Column, norm: Column, digest: Column, wider: int = 0) -> Column:
+    """Normalised surrogate of an entity, ``wider`` characters or syllables longer than its format."""
     # A long value needs more than 64 bytes; its later blocks draw their own.
     drawn = lambda k: (_byte(digest, k) + F.floor(k / 64).cast("int") * 7).cast("int")
 
@@ -147,11 +151,18 @@ def _surrogate(kind: Column, norm: Column, digest: Column) -> Column:
 
     shape = F.array_join(F.transform(F.split(norm, ""), shaped), "")
     octets = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: (_byte(digest, k) % 254 + 1).cast("string"))
-    value = F.when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", _with_check_digit(shape)).otherwise(shape)
+    more = [_byte(digest, F.lit(40 + k)) for k in range(min(wider, 20))]
+    letters, digits = (F.concat(F.lit(""), *(F.char(F.lit(first) + b % size) for b in more)) for first, size in ((97, 26), (48, 10)))
+    value = (
+        F.when(kind == "ip", F.array_join(octets, "."))
+        .when(kind == "card", _with_check_digit(F.concat(shape, digits)))
+        .when(kind == "email", F.concat(letters, shape))
+        .otherwise(F.concat(shape, digits))
+    )
     for script, syllables in SYLLABLES.items():
         pool = F.array(*map(F.lit, syllables))
         body = F.transform(
-            F.sequence(F.lit(0), F.lit(1) + _byte(digest, F.lit(60)) % 2), lambda k: pool[_byte(digest, k) % len(syllables)]
+            F.sequence(F.lit(0), F.lit(1 + wider) + _byte(digest, F.lit(60)) % 2), lambda k: pool[_byte(digest, k) % len(syllables)]
         )
         for role, endings in ENDINGS[script].items():
             ending = F.array(*map(F.lit, endings))[_byte(digest, F.lit(61)) % len(endings)]
@@ -176,12 +187,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     entities = settled(entities.distinct(), "surrogate-entities")
     taken = entities.select(_space(F.col("kind")).alias("space"), F.col("norm").alias("value"))
     done, pending = None, entities
-    for attempt in range(ROUNDS):
+    for attempt in count():
         drawn = settled(
             pending.withColumn("digest", _digest(key, attempt)).select(
                 "kind",
                 "norm",
-                _surrogate(F.col("kind"), F.col("norm"), F.col("digest")).alias("value"),
+                _surrogate(F.col("kind"), F.col("norm"), F.col("digest"), attempt // DRAWS).alias("value"),
                 _space(F.col("kind")).alias("space"),
             ),
             "surrogate-draws",
@@ -195,7 +206,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         pending = drawn.join(won, ["kind", "norm"], "left_anti").select("kind", "norm")
         if pending.isEmpty():
             return done.select("kind", "norm", "value")
-    raise ValueError(f"after {ROUNDS} draws some entities still share a surrogate: their format has too few values")
 
 
 def _rendered(kind: Column, raw: Column, value: Column) -> Column:
@@ -203,10 +213,12 @@ def _rendered(kind: Column, raw: Column, value: Column) -> Column:
     capital = F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1 << 20))
     name = F.when(raw == F.upper(raw), F.upper(value)).when(raw == F.lower(raw), value).otherwise(capital)
     signs = F.regexp_replace(value, "[^A-Za-z0-9]", "")
-    # Each letter or digit of the mention gives way to the next one of the surrogate.
+    # Each letter or digit of the mention gives way to the next one of the surrogate; what a wider one has more goes
+    # before an address and behind a number.
+    more = F.when(kind == "email", F.length(signs) - F.length(F.regexp_replace(raw, "[^A-Za-z0-9]", ""))).otherwise(0)
     filled = F.aggregate(
         F.split(raw, ""),
-        F.struct(F.lit(0).alias("k"), F.lit("").alias("out")),
+        F.struct(more.alias("k"), F.substring(signs, F.lit(1), more).alias("out")),
         lambda s, c: F.when(
             c.rlike("[A-Za-z0-9]"),
             F.struct(
@@ -219,7 +231,7 @@ def _rendered(kind: Column, raw: Column, value: Column) -> Column:
                 ).alias("out"),
             ),
         ).otherwise(F.struct(s["k"].alias("k"), F.concat(s["out"], c).alias("out"))),
-        lambda s: s["out"],
+        lambda s: F.concat(s["out"], F.substring(signs, s["k"] + 1, F.lit(1 << 20))),
     )
     return F.when(kind.isNull(), raw).when(kind.startswith("name:"), name).when(kind == "ip", value).otherwise(filled)
 

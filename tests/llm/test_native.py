@@ -160,6 +160,16 @@ def test_surrogates_stay_distinct(spark):
     assert sorted(again) == sorted(found)
 
 
+def test_formats_with_few_values_grow(spark):
+    # Of such addresses there are 676; all but as many surrogates have to be longer.
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    addresses = [f"{a}@{b}.xx" for a in letters for b in letters]
+    docs = spark.createDataFrame([(k, f"to {x} now") for k, x in enumerate(addresses)], "doc_id long, text string")
+    found = {r["doc_id"]: r["text"] for r in surrogates.replaced(docs, "key").collect()}
+    values = {re.fullmatch(r"to ([a-z]+@[a-z]+\.xx) now", t)[1] for t in found.values()}
+    assert len(found) == len(values) == 676 and not values & set(addresses)
+
+
 def test_surrogates_query_leaves_nothing(spark):
     pattern = re.compile(r"\S+@\S+\.com|\(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\b\d+\.\d+\.\d+\.\d+\b")
     folder = "/root/testdata/sf0.01"
