@@ -389,6 +389,7 @@ CHANGES = (
 )
 oracle("phase_transitions", "phase_event", "SELECT * FROM changes", CHANGES)
 oracle("stream_phase_tracker", "phase_event", "SELECT * FROM changes", CHANGES)
+oracle("phase_log_under_disorder", "phase_event", "SELECT * FROM changes", CHANGES)
 oracle("time_in_phase", "phase_event",
        """SELECT namespace, name, ts, seq, to_phase AS phase,
   (epoch_us(lead(ts) OVER (PARTITION BY namespace, name ORDER BY ts, seq)) - epoch_us(ts)) // 1000 AS dwell_ms
@@ -466,6 +467,13 @@ oracle("event_feed_filter", "watch_event stream_def stream_class",
 FROM (SELECT * FROM watch_event WHERE ({RELEVANT}) AND controller
   OR kind = 'BackfillRequest' AND verb IN ('ADDED', 'DELETED') AND NOT completed) e
 JOIN stream_def d ON d.namespace = e.namespace AND d.name = e.owner_name""")
+oracle("events_of_changing_streams", "watch_event stream_def stream_class",
+       f"""SELECT e.namespace, d.name, e.seq, e.kind, e.verb, d.phase,
+  CAST(CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 0 ELSE 1 END AS BIGINT) AS batch_id
+FROM (SELECT * FROM watch_event WHERE ({RELEVANT}) AND controller
+  OR kind = 'BackfillRequest' AND verb IN ('ADDED', 'DELETED') AND NOT completed) e
+JOIN stream_def d ON d.namespace = e.namespace AND d.name = e.owner_name
+WHERE ts >= TIMESTAMP '2024-01-15 00:00:00' OR c_custkey % 2 = 0""")
 oracle("keyed_coalescing", "watch_event",
        """SELECT DISTINCT namespace, owner_name AS name,
   CAST(CASE WHEN ts < TIMESTAMP '2024-01-15 00:00:00' THEN 0 ELSE 1 END AS BIGINT) AS batch_id FROM watch_event""")
@@ -583,11 +591,11 @@ oracle("configuration_checksums", RUN_TABLES,
   CASE WHEN q.request_name IS NULL THEN md5(d.spec_json) ELSE lower(hex(md5(d.spec_json))) || ':'
     || lower(hex(md5('{"streamClass":"' || q.request_class || '","streamId":"' || d.name || '"}'))) END AS checksum
 FROM stream_def d LEFT JOIN open_request q USING (namespace, name)""", OPEN)
-oracle("status_rows", RUN_TABLES + " phase_event",
-       f"""SELECT d.namespace, d.name, d.phase, CASE WHEN d.open_name IS NULL THEN md5(d.spec_json) ELSE
+STATUS_HASH = """CASE WHEN d.open_name IS NULL THEN md5(d.spec_json) ELSE
     lower(hex(md5(d.spec_json))) || ':'
-    || lower(hex(md5('{{"streamClass":"' || d.request_class || '","streamId":"' || d.name || '"}}'))) END AS configuration_hash,
-  CASE WHEN d.phase IN ('Pending', 'Suspended') THEN 'Warning' WHEN d.phase = 'Failed' THEN 'Error'
+    || lower(hex(md5('{"streamClass":"' || d.request_class || '","streamId":"' || d.name || '"}'))) END"""
+# The platform's conditions.
+STATUS_CONDITION = """  CASE WHEN d.phase IN ('Pending', 'Suspended') THEN 'Warning' WHEN d.phase = 'Failed' THEN 'Error'
     WHEN d.phase NOT IN ('', 'Unheard') THEN 'Ready' END AS type,
   CASE WHEN d.phase NOT IN ('', 'Unheard') THEN 'Stream' || d.phase END AS reason,
   CASE d.phase WHEN 'Pending' THEN 'The stream is pending and will start soon'
@@ -595,10 +603,19 @@ oracle("status_rows", RUN_TABLES + " phase_event",
     WHEN 'Running' THEN 'The stream is currently running.' WHEN 'Suspended' THEN 'The stream is suspended.'
     WHEN 'Failed' THEN 'The stream has failed.'
     WHEN 'Scheduled' THEN 'The stream is scheduled to run at the specified time.' END AS message,
-  c.ts AS condition_since
+"""
+oracle("status_rows", RUN_TABLES + " phase_event",
+       f"""SELECT d.namespace, d.name, d.phase, {STATUS_HASH} AS configuration_hash,
+{STATUS_CONDITION}  c.ts AS condition_since
 FROM asked d LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY namespace, name ORDER BY ts DESC, seq DESC) AS n
   FROM changes) c ON c.n = 1 AND c.namespace = d.namespace AND c.name = d.name AND c.to_phase = d.phase""",
        OPEN, ASKED, CHANGES)
+oracle("streaming_status_rows", RUN_TABLES + " phase_event",
+       f"""SELECT namespace, name, ts, seq, phase, {STATUS_HASH} AS configuration_hash,
+{STATUS_CONDITION.rstrip().rstrip(",")}
+FROM (SELECT a.* EXCLUDE (phase), e.ts, e.seq, e.phase,
+    row_number() OVER (PARTITION BY a.namespace, a.name ORDER BY e.ts DESC, e.seq DESC) AS n
+  FROM asked a JOIN phase_event e ON e.name = a.name) d WHERE n = 1""", OPEN, ASKED)
 oracle("request_override", RUN_TABLES,
        """SELECT namespace, name, field, value FROM (SELECT namespace, name, 'source' AS field,
   json_extract_string(spec_json, '$.source') AS value FROM asked
@@ -667,3 +684,37 @@ oracle("gap_fill", "source_row",
        """SELECT * FROM source WHERE ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00'
 AND event_type <> 'click'""", SOURCE)
 oracle("restart_on_change", "source_row", LIVE.replace("'error'", "'purchase'"), SOURCE)
+
+oracle("handoff_by_stream", "source_row", "SELECT * FROM source", SOURCE)
+oracle("resumable_backfill", "source_row", "SELECT * FROM source", SOURCE)
+oracle("backfill_chunks", "source_row",
+       """SELECT chunk, CAST(sum(n) AS BIGINT) AS rows, arg_min(namespace, place) AS namespace, arg_min(name, place) AS name,
+  arg_min(slice, place) AS slice
+FROM (SELECT *, row_number() OVER (ORDER BY namespace, name, slice) AS place,
+    CAST((COALESCE(sum(n) OVER (ORDER BY namespace, name, slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+      // 300 AS BIGINT) AS chunk
+  FROM (SELECT namespace, name, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS slice, count(*) AS n FROM source
+    GROUP BY namespace, name, slice) c) r GROUP BY chunk""", SOURCE)
+GONE = ("""(event_id % 501 = 5 OR ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-10 06:00:00'
+  AND event_type <> 'click')""")
+oracle("gap_ranges", "source_row",
+       f"""SELECT namespace, name, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS range_start, count(*) AS source_rows,
+  count(*) FILTER (NOT {GONE}) + count(*) FILTER (event_id % 901 = 1) AS target_rows
+FROM source GROUP BY namespace, name, range_start
+HAVING bool_or({GONE} OR event_id % 777 = 9 OR event_id % 901 = 1)""", SOURCE)
+oracle("gap_rows", "source_row",
+       f"""SELECT *, CASE WHEN {GONE} THEN 'missing' ELSE 'different' END AS reason FROM source
+WHERE {GONE} OR event_id % 777 = 9""", SOURCE)
+oracle("scheduled_runs_allowed", "planned_run",
+       """SELECT * FROM (WITH RECURSIVE runs AS (
+  SELECT *, CASE WHEN ends_at IS NOT NULL THEN greatest(starts_at, ends_at) END AS over_at,
+    row_number() OVER (PARTITION BY namespace, name ORDER BY starts_at, run_id) AS n
+  FROM planned_run WHERE starts_at IS NOT NULL),
+following AS MATERIALIZED (SELECT r.namespace, r.name, r.n, min(s.n) AS m FROM runs r JOIN runs s
+  ON s.namespace = r.namespace AND s.name = r.name AND s.n > r.n AND s.starts_at >= r.over_at
+  GROUP BY r.namespace, r.name, r.n),
+chain AS (SELECT DISTINCT namespace, name, CAST(1 AS BIGINT) AS n FROM runs
+  UNION ALL SELECT c.namespace, c.name, f.m FROM chain c JOIN following f
+    ON f.namespace = c.namespace AND f.name = c.name AND f.n = c.n)
+SELECT r.namespace, r.name, r.run_id, c.n IS NOT NULL AS allowed FROM runs r
+LEFT JOIN chain c ON c.namespace = r.namespace AND c.name = r.name AND c.n = r.n) t""")

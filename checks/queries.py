@@ -11,15 +11,18 @@ from pyspark.sql.types import StructType
 
 from fleetwright.operators import (
     assembly,
+    backfills,
     census,
     classes,
     definitions,
     feeds,
+    gaps,
     listings,
     loads,
     parameters,
     requests,
     runs,
+    schedules,
     status,
 )
 from fleetwright.plans import class_lifecycle, lifecycle
@@ -27,7 +30,7 @@ from fleetwright.session import new_folder
 from fleetwright.sources.files import change_feed, source_stream, source_table
 from fleetwright.sources.sample_fleet import fleet_table
 from fleetwright.streaming import jobs
-from fleetwright.streaming.changes import ChangeTable
+from fleetwright.streaming.changes import newest_rows
 from fleetwright.vocabulary import BATCH_JOB, CRON_JOB, NO_BACKEND
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -575,6 +578,65 @@ def gap_fill(spark, folder):
     return loads.gap_fill(f.source, f.source.filter(~hole), *GAP)
 
 
+@query
+def scheduled_runs_allowed(spark, folder):
+    """Which planned runs start where a stream's runs must not overlap; one stream has a third of them."""
+    planned = fleet_table(spark, folder, "planned_run")
+    return schedules.runs_allowed(planned).select(*KEY, "run_id", "allowed")
+
+
+def _holed(f: Fleet) -> DataFrame:
+    """The source with rows missing, rows changed and rows too many."""
+    gone = (F.col("ts") >= "2024-01-10") & (F.col("ts") < "2024-01-10 06:00:00") & (F.col("event_type") != "click")
+    kept = f.source.filter(~(gone | (F.col("event_id") % 501 == 5)))
+    value = F.when(F.col("event_id") % 777 == 9, F.col("value") + 1).otherwise(F.col("value"))
+    extra = f.source.filter("event_id % 901 = 1").withColumn("event_id", F.col("event_id") + 1_000_000_000)
+    return kept.withColumn("value", value).unionByName(extra)
+
+
+@query
+def gap_ranges(spark, folder):
+    """Hours in which a target differs from its source, found from weeks to days to hours."""
+    f = Fleet(spark, folder)
+    return gaps.gap_ranges(f.source, _holed(f))
+
+
+@query
+def gap_rows(spark, folder):
+    f = Fleet(spark, folder)
+    target = _holed(f)
+    return gaps.missing_rows(f.source, target, gaps.gap_ranges(f.source, target))
+
+
+@query
+def backfill_chunks(spark, folder):
+    return backfills.chunks(Fleet(spark, folder).source, 300).drop("next")
+
+
+@query
+def resumable_backfill(spark, folder):
+    """A load that is stopped after three chunks and cut off in the fourth, and then resumed."""
+    source, place = Fleet(spark, folder).source, new_folder(spark, "resumable")
+    backfills.plan_backfill(spark, source, place, rows_per_chunk=source.count() // 8 + 1)
+    load = backfills.resume_backfill(spark, source, place)
+    done = [next(load) for _ in range(3)]
+    source.filter("event_id % 2 = 0").write.parquet(f"{place}/rows/chunk={done[-1] + 1}/attempt=cut-off")
+    for _ in backfills.resume_backfill(spark, source, place):
+        pass
+    return backfills.backfilled_rows(spark, place, source.schema)
+
+
+@query
+def handoff_by_stream(spark, folder):
+    """Each stream has its own days on which its backfill finished and its changes began."""
+    source = Fleet(spark, folder).source
+    number = F.expr("CAST(substr(name, 8) AS INT)")
+    finished_at = F.lit("2024-01-15").cast("timestamp_ntz") + F.make_dt_interval(number % 5)
+    began_at = F.lit("2024-01-12").cast("timestamp_ntz") + F.make_dt_interval(number % 3)
+    finished = source.select(*KEY, finished_at.alias("finished_at")).distinct()
+    return loads.handoff_by_stream(source.filter(F.col("ts") < finished_at), source.filter(F.col("ts") >= began_at), finished)
+
+
 # Streams
 
 
@@ -582,16 +644,20 @@ def _land(rows: DataFrame, feed: str) -> None:
     rows.write.mode("append").parquet(feed)
 
 
-def _in_two_runs(spark, rows: DataFrame, place: str, step) -> None:
-    """Land the rows in two parts by time; run once after each, on one checkpoint."""
+def _in_two_runs(spark, rows: DataFrame, place: str, run) -> None:
+    """Land the rows in two parts by time; ``run(stream, checkpoint)`` after each, on one checkpoint."""
     feed = f"{place}/feed"
     for part in (F.col("ts") < F.lit(BACKFILL_END), F.col("ts") >= F.lit(BACKFILL_END)):
         _land(rows.filter(part), feed)
-        jobs.run_available(source_stream(spark, "parquet", feed, rows.schema), f"{place}/checkpoint", step)
+        run(source_stream(spark, "parquet", feed, rows.schema), f"{place}/checkpoint")
 
 
-def _status_table(spark, place: str, rows: DataFrame) -> ChangeTable:
-    return ChangeTable(spark, f"{place}/state", rows.schema, KEY, ["ts", "seq"]).create()
+def _shuffled(spark, rows: DataFrame, place: str, run) -> None:
+    """Five batches that are not in order of time, each by a new start on one checkpoint."""
+    feed = f"{place}/feed"
+    for part in (3, 0, 4, 1, 2):
+        _land(rows.filter(F.col("seq") % 5 == part), feed)
+        run(source_stream(spark, "parquet", feed, rows.schema), f"{place}/checkpoint")
 
 
 @query
@@ -617,11 +683,30 @@ def event_feed_filter(spark, folder):
     return spark.read.schema(routed.schema).parquet(f"{place}/out")
 
 
+@query
+def events_of_changing_streams(spark, folder):
+    """Odd streams are defined between the two batches; their earlier events concern nobody."""
+    f, place = Fleet(spark, folder), new_folder(spark, "changing")
+    events = f.watch_event
+    f.stream_def.filter("c_custkey % 2 = 0").write.parquet(f"{place}/streams")
+    step = jobs.route_events(
+        lambda: spark.read.schema(f.stream_def.schema).parquet(f"{place}/streams"), lambda: f.stream_class, f"{place}/out"
+    )
+    for k, part in enumerate((F.col("ts") < F.lit(BACKFILL_END), F.col("ts") >= F.lit(BACKFILL_END))):
+        _land(events.filter(part), f"{place}/feed")
+        if k:
+            f.stream_def.filter("c_custkey % 2 = 1").write.mode("append").parquet(f"{place}/streams")
+        jobs.run_available(source_stream(spark, "parquet", f"{place}/feed", events.schema), f"{place}/checkpoint", step)
+    schema = "namespace string, name string, seq long, kind string, verb string, phase string, batch_id long"
+    return spark.read.schema(schema).parquet(f"{place}/out")
+
+
 @query
 def keyed_coalescing(spark, folder):
     events, place = Fleet(spark, folder).watch_event, new_folder(spark, "work")
     rows = events.withColumnRenamed("owner_name", "name")
-    _in_two_runs(spark, rows, place, jobs.coalesce_keys(f"{place}/work"))
+    step = jobs.coalesce_keys(f"{place}/work")
+    _in_two_runs(spark, rows, place, lambda stream, checkpoint: jobs.run_available(stream, checkpoint, step))
     schema = "namespace string, name string, batch_id long"
     return spark.read.schema(schema).parquet(f"{place}/work")
 
@@ -629,30 +714,53 @@ def keyed_coalescing(spark, folder):
 @query
 def stream_phase_tracker(spark, folder):
     rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "phases")
-    state = _status_table(spark, place, rows)
-    _in_two_runs(spark, rows, place, jobs.track_phases(state, f"{place}/log"))
-    schema = "namespace string, name string, ts timestamp_ntz, seq long, from_phase string, to_phase string"
-    return spark.read.schema(schema).parquet(f"{place}/log").drop("batch_id")
+    step = jobs.track_phases(spark, place)
+    _in_two_runs(spark, rows, place, lambda stream, checkpoint: jobs.run_available(stream, checkpoint, step))
+    return jobs.phase_log(spark, place)
+
+
+@query
+def phase_log_under_disorder(spark, folder):
+    """Five batches out of order: the log takes back what later rows prove wrong."""
+    rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "late-phases")
+    step = jobs.track_phases(spark, place)
+    _shuffled(spark, rows, place, lambda stream, checkpoint: jobs.run_available(stream, checkpoint, step))
+    return jobs.phase_log(spark, place)
 
 
 @query
 def streaming_status_sink(spark, folder):
     rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "status")
-    table = _status_table(spark, place, rows)
-    _in_two_runs(spark, rows, place, jobs.status_sink(table))
-    return table.rows().select(*KEY, "phase")
+    _in_two_runs(spark, rows, place, lambda stream, checkpoint: jobs.status_sink(stream, checkpoint, f"{place}/status"))
+    return newest_rows(spark, f"{place}/status", rows.schema, KEY).select(*KEY, "phase")
 
 
 @query
 def status_sink(spark, folder):
-    """Two batches of wanted status; the second writes and reports only real changes."""
+    """Two batches of wanted status, the second with all rows of the first; events are real changes only."""
     rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "status")
-    table = _status_table(spark, place, rows)
-    step = jobs.status_sink(table, f"{place}/events")
-    step(rows.filter(F.col("ts") < F.lit(BACKFILL_END)), 0)
-    step(rows, 1)
-    schema = "namespace string, name string, ts timestamp_ntz, seq long, phase string, batch_id long"
-    return spark.read.schema(schema).parquet(f"{place}/events")
+    for batch in (rows.filter(F.col("ts") < F.lit(BACKFILL_END)), rows):
+        _land(batch, f"{place}/feed")
+        stream = source_stream(spark, "parquet", f"{place}/feed", rows.schema)
+        jobs.status_sink(stream, f"{place}/checkpoint", f"{place}/status")
+    return jobs.status_events(spark, f"{place}/status", rows.schema)
+
+
+@query
+def streaming_status_rows(spark, folder):
+    """Phase, configuration checksum and condition of each stream's newest event, written together."""
+    f, place = Fleet(spark, folder), new_folder(spark, "status-rows")
+    asked = requests.stream_open_request(f.stream_def, f.backfill_request)
+    defined = asked.select(*KEY, "spec_json", "request_name", "request_class")
+    rows = f.phase_event.drop("namespace").join(defined, "name")
+
+    def run(stream, checkpoint):
+        written = status.with_status(stream).drop("spec_json", "request_name", "request_class")
+        jobs.status_sink(written, checkpoint, f"{place}/status")
+
+    _shuffled(spark, rows, place, run)
+    schema = status.with_status(rows).drop("spec_json", "request_name", "request_class").schema
+    return newest_rows(spark, f"{place}/status", schema, KEY)
 
 
 @query
@@ -666,39 +774,27 @@ def streaming_heartbeats(spark, folder):
 
 @query
 def status_under_disorder(spark, folder):
-    """The feed in five batches that are not in order of time, one of them repeated, with folds in between."""
+    """The feed in five batches that are not in order of time, with a restart in between."""
     rows, place = Fleet(spark, folder).phase_event, new_folder(spark, "disorder")
-    table = ChangeTable(spark, f"{place}/state", rows.schema, KEY, ["ts", "seq"], fold_every=2).create()
-    step = jobs.status_sink(table)
-    for batch_id, part in enumerate((3, 0, 4, 1, 2)):
-        batch = rows.filter(F.col("seq") % 5 == part)
-        step(batch, batch_id)
-        if batch_id == 2:
-            step(batch, batch_id)
-    return table.rows().select(*KEY, "ts", "phase")
-
-
-def _captured(spark, rows: DataFrame, place: str) -> ChangeTable:
-    return ChangeTable(spark, f"{place}/target", rows.schema, KEY, ["ts", "event_id"]).create()
+    _shuffled(spark, rows, place, lambda stream, checkpoint: jobs.status_sink(stream, checkpoint, f"{place}/status"))
+    return newest_rows(spark, f"{place}/status", rows.schema, KEY).select(*KEY, "ts", "phase")
 
 
 @query
 def change_capture(spark, folder):
     rows, place = Fleet(spark, folder).source, new_folder(spark, "capture")
-    target = _captured(spark, rows, place)
     _land(rows, f"{place}/feed")
     stream = source_stream(spark, "parquet", f"{place}/feed", rows.schema)
-    jobs.run_available(stream, f"{place}/checkpoint", jobs.change_capture(target))
-    return jobs.live(target, deleted())
+    jobs.change_capture(stream, f"{place}/checkpoint", f"{place}/target")
+    return jobs.live(spark, f"{place}/target", rows.schema, deleted())
 
 
 @query
 def suspend_resume(spark, folder):
     """Stopped after the first half, resumed on the same checkpoint: as one full run."""
     rows, place = Fleet(spark, folder).source, new_folder(spark, "resume")
-    target = _captured(spark, rows, place)
-    _in_two_runs(spark, rows, place, jobs.change_capture(target))
-    return jobs.live(target, deleted())
+    _in_two_runs(spark, rows, place, lambda stream, checkpoint: jobs.change_capture(stream, checkpoint, f"{place}/target"))
+    return jobs.live(spark, f"{place}/target", rows.schema, deleted())
 
 
 @query
@@ -713,7 +809,5 @@ def restart_on_change(spark, folder):
         checksum = hashlib.md5(f'{{"deletedBy":"{marker}"}}'.encode()).hexdigest()
         stream = source_stream(spark, "parquet", f"{place}/feed", rows.schema)
         marked = stream.withColumn("deleted", F.col("event_type") == marker)
-        last = jobs.restart_on_change(
-            spark, marked, place, checksum, lambda path: jobs.change_capture(_captured(spark, marked, path))
-        )
-    return jobs.live(_captured(spark, marked, last), F.col("deleted")).drop("deleted")
+        last = jobs.restart_on_change(place, checksum, lambda checkpoint, target: jobs.change_capture(marked, checkpoint, target))
+    return jobs.live(spark, last, marked.schema, F.col("deleted")).drop("deleted")

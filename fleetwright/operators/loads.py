@@ -7,6 +7,7 @@ is repeated after a failure overwrites its own output and nothing else.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,26 +49,39 @@ def backfill_load(
     return loaded, asked.select("namespace", "request_name", F.lit(True).alias("completed"))
 
 
+RUN = "run string, attempt string, finished_at timestamp"
+
+
 def scheduled_batch(spark: SparkSession, source: DataFrame, target: str, run_id: str) -> DataFrame:
     """One scheduled full reload under its own id; returns the run's rows.
 
-    The run counts once its mark is written, after its rows.
+    The run counts once its mark is written, after its rows. A repeat writes an attempt of its own, so
+    what readers of the earlier one have open stays whole.
     """
-    root = target.rstrip("/")
-    source.write.mode("overwrite").parquet(f"{root}/rows/run_id={run_id}")
-    mark = spark.range(1).select(F.lit(run_id).alias("run"))
-    mark.write.mode("overwrite").parquet(f"{root}/runs/of={run_id}")
-    return spark.read.schema(source.schema).parquet(f"{root}/rows/run_id={run_id}")
+    root, attempt = target.rstrip("/"), uuid.uuid4().hex
+    folder = f"{root}/rows/run_id={run_id}/attempt={attempt}"
+    spark.createDataFrame([], RUN).write.mode("overwrite").parquet(f"{root}/runs/none")
+    source.write.parquet(folder)
+    mark = spark.range(1).select(
+        F.lit(run_id).alias("run"), F.lit(attempt).alias("attempt"), F.current_timestamp().alias("finished_at")
+    )
+    mark.write.parquet(f"{root}/runs/{run_id}-{attempt}")
+    return spark.read.schema(source.schema).parquet(folder)
 
 
 def latest_run(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
     """Rows of the newest finished run, with its ``run_id``; run ids sort by time as texts.
 
-    Only the marks and that run's own folder are opened. A newest run without rows gives none.
+    Only the marks and that run's own folder are opened. A newest run without rows gives none, and so
+    does a target of which a run was begun but none has finished.
     """
     root = target.rstrip("/")
-    newest = spark.read.schema("run string").parquet(f"{root}/runs").agg(F.max("run")).first()[0]
-    return spark.read.schema(schema).parquet(f"{root}/rows/run_id={newest}").withColumn("run_id", F.lit(newest))
+    marks = spark.read.schema(RUN).option("recursiveFileLookup", "true").parquet(f"{root}/runs")
+    newest = marks.agg(F.max(F.struct("run", "finished_at", "attempt")).alias("newest")).first()["newest"]
+    if newest is None:
+        return spark.createDataFrame([], schema).withColumn("run_id", F.lit(""))
+    rows = spark.read.schema(schema).parquet(f"{root}/rows/run_id={newest['run']}/attempt={newest['attempt']}")
+    return rows.withColumn("run_id", F.lit(newest["run"]))
 
 
 def handoff_rows(backfill: DataFrame, stream: DataFrame, overlap_start: Column, overlap_end: Column) -> DataFrame:
@@ -81,6 +95,29 @@ def handoff_rows(backfill: DataFrame, stream: DataFrame, overlap_start: Column,
     return rows.filter(~seam).unionByName(rows.filter(seam).dropDuplicates(["event_id"]))
 
 
+def seams(backfill: DataFrame, stream: DataFrame, finished: DataFrame) -> DataFrame:
+    """(namespace, name, seam_start, seam_end): per stream, the time that both its feeds may hold.
+
+    It begins with the stream's first change row and ends when its backfill ``finished`` (finished_at).
+    """
+    first = stream.groupBy(*KEY).agg(F.min("ts").alias("seam_start"))
+    return first.join(finished.groupBy(*KEY).agg(F.max("finished_at").alias("seam_end")), KEY)
+
+
+def handoff_by_stream(backfill: DataFrame, stream: DataFrame, finished: DataFrame) -> DataFrame:
+    """Union of both feeds without loss and without a row twice, each stream with its own seam.
+
+    A stream without a change row or without a finished backfill has no seam, so its rows pass as they
+    are. Seams are one row per stream; only rows within their stream's seam are compared.
+    """
+    own = seams(backfill, stream, finished)
+    rows = backfill.unionByName(stream).join(own, KEY, "left")
+    shared = F.coalesce((F.col("ts") >= F.col("seam_start")) & (F.col("ts") < F.col("seam_end")), F.lit(False))
+    rows = rows.withColumn("_shared", shared).drop("seam_start", "seam_end")
+    apart, both = rows.filter("NOT _shared").drop("_shared"), rows.filter("_shared").drop("_shared")
+    return apart.unionByName(both.dropDuplicates([*KEY, "event_id"]))
+
+
 def live_rows(rows: DataFrame, keys: Sequence[str], deleted: Column) -> DataFrame:
     """Newest row per key, without keys whose newest row is a delete; a null mark is none."""
     return latest_per_key(rows, list(keys), ["ts", "event_id"]).filter(~F.coalesce(deleted, F.lit(False)))

@@ -43,21 +43,29 @@ def status_conditions(streams: DataFrame) -> DataFrame:
     )
 
 
-def status_rows(streams: DataFrame, transitions: DataFrame) -> DataFrame:
-    """What is written as a stream's status: phase, checksum of configuration and open request, and condition.
+def with_status(rows: DataFrame) -> DataFrame:
+    """``rows`` with the checksum of configuration and open request, and the condition of their phase.
 
-    The condition holds since the newest of the key's ``transitions``, if it led to this phase.
+    They need ``name``, ``phase``, ``spec_json``, ``request_name`` and ``request_class``.
     """
     request = F.when(
         F.col("request_name").isNotNull(), request_json(F.col("request_class"), F.col("name"), F.lit(False))
     )
+    found = condition()
+    return rows.withColumn("configuration_hash", configuration_checksum(F.col("spec_json"), request)).withColumns(
+        {field: found[field] for field in ("type", "reason", "message")}
+    )
+
+
+def status_rows(streams: DataFrame, transitions: DataFrame) -> DataFrame:
+    """What is written as a stream's status: phase, checksum of configuration and open request, and condition.
+
+    The condition holds since the newest of the key's ``transitions``, if it led to this phase.
+    """
     newest = latest_per_key(transitions.select(*KEY, "ts", "seq", "to_phase"), KEY, ["ts", "seq"])
     since = newest.select(*KEY, F.col("to_phase").alias("phase"), F.col("ts").alias("condition_since"))
-    rows = streams.withColumn("_c", condition()).withColumn(
-        "configuration_hash", configuration_checksum(F.col("spec_json"), request)
-    )
-    return rows.join(since, [*KEY, "phase"], "left").select(
-        *KEY, "phase", "configuration_hash", "_c.type", "_c.reason", "_c.message", "condition_since"
+    return with_status(streams).join(since, [*KEY, "phase"], "left").select(
+        *KEY, "phase", "configuration_hash", "type", "reason", "message", "condition_since"
     )
 
 

@@ -156,6 +156,14 @@ SELECT CASE WHEN event_id % 7 = 0 THEN 'ns-other' ELSE COALESCE('ns-' || CAST(c_
     AS namespace,
   'stream-' || CAST(user_id AS STRING) AS name, event_id, ts, event_type, value
 FROM events LEFT JOIN customer ON c_custkey = user_id""",
+    "planned_run": """
+SELECT o_orderkey AS run_id,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'ns-hot' ELSE 'ns-' || CAST(o_custkey % 5 AS STRING) END AS namespace,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'stream-hot' ELSE 'stream-' || CAST(o_custkey % 40 AS STRING) END AS name,
+  CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE o_orderdate END AS starts_at,
+  CASE WHEN o_orderkey % 997 = 1 AND o_orderkey % 3 <> 0 THEN NULL WHEN o_orderkey % 13 = 0 THEN o_orderdate
+    ELSE o_orderdate + INTERVAL '1' DAY * CAST(o_orderkey % 17 - 2 AS INT) END AS ends_at
+FROM orders""",
     "remaining_stream": """
 SELECT * FROM stream_def WHERE phase <> 'Unheard'""",
     "run_observation": """

@@ -1,106 +1,69 @@
-"""A keyed table made of per-batch change folders.
-
-There is no MERGE in plain parquet. A micro-batch writes only its own changed rows, into a
-folder named by the batch, so writing costs what the batch costs and a repeated batch
-replaces its own folder. Reading takes the newest row per key. From time to time a batch
-folds everything before it into a full copy, and readers start from the newest copy; change
-folders before it may then be removed.
-
-Rows lie in a fixed number of bucket folders by their key's hash, so that a batch that asks for
-the state of its own keys opens only their buckets.
+"""Newest row per key, kept in Spark's streaming state.
+
+The state is one streaming aggregation (``max_by`` of the whole row) in update mode: it combines
+before the shuffle, is checkpointed by Spark and gives each batch's touched keys with their newest
+row. A batch writes those to a folder of its own and overwrites only that, so a repeated batch
+changes nothing. A reader takes each key's row of the last batch that has one, by one aggregation over
+the folders. Their compaction is left to a table format or a retention job: a copy of the newest rows
+under a later batch number may take the place of all before it. For many keys choose RocksDB
+(``spark.sql.streaming.stateStore.providerClass``).
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
+from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from fleetwright.functions.latest import latest_per_key
 
 
-@dataclass(frozen=True)
-class ChangeTable:
-    """``keys`` (never null) identify a row, ``order`` (unique per key) tells which is newer."""
-
-    spark: SparkSession
-    path: str
-    schema: StructType
-    keys: Sequence[str]
-    order: Sequence[str]
-    fold_every: int = 20
-    buckets: int = 16
-
-    def create(self) -> "ChangeTable":
-        """Make empty first folders, so that readers always find the table."""
-        empty = self.spark.createDataFrame([], self.schema)
-        self._store(empty, f"{self.path}/changes/batch_id=-1")
-        self._mark_fold(-1)
-        return self
-
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
-
-    def _store(self, rows: DataFrame, folder: str) -> None:
-        """Write by bucket; the hint gives each bucket to as many tasks as its size asks for."""
-        rows = rows.withColumn("bucket", self._bucket()).hint("rebalance", "bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(folder)
-
-    def _mark_fold(self, batch_id: int) -> None:
-        mark = self.spark.range(1).select(F.lit(batch_id).cast("long").alias("folded"))
-        mark.write.mode("overwrite").parquet(f"{self.path}/folds/at={batch_id}")
-
-    def _last_fold(self, before: int | None) -> int:
-        """Newest fold that holds nothing of batch ``before`` or later: a fold at N holds all before N."""
-        marks = self.spark.read.schema("folded long").parquet(f"{self.path}/folds")
-        if before is not None:
-            marks = marks.filter(F.col("folded") <= before)
-        return marks.agg(F.max("folded")).first()[0]
-
-    def _stored(self, folder: str, *partitions: StructField) -> DataFrame:
-        schema = StructType([*self.schema.fields, StructField("bucket", IntegerType()), *partitions])
-        return self.spark.read.schema(schema).parquet(folder)
-
-    def rows(self, before: int | None = None, of: DataFrame | None = None) -> DataFrame:
-        """Newest row per key, as of just before batch ``before`` (or now); with ``of``, for its keys only.
-
-        Rows of the full copy that no later change touches pass without being compared; while
-        the changed keys are few enough for Spark to broadcast, the copy is not shuffled.
-        """
-        keys, folded = list(self.keys), self._last_fold(before)
-        changes = self._stored(f"{self.path}/changes", StructField("batch_id", LongType()))
-        changes = changes.filter(F.col("batch_id") >= folded).filter("batch_id >= 0")
-        if before is not None:
-            changes = changes.filter(F.col("batch_id") < before)
-        full = None if folded < 0 else self._stored(f"{self.path}/full/batch_id={folded}")
-        if of is not None:
-            asked = of.select(*keys).distinct()
-            # At most one number per bucket comes to the driver; the scans then open only these folders.
-            numbers = [r[0] for r in asked.select(self._bucket()).distinct().collect()]
-            changes = changes.filter(F.col("bucket").isin(numbers)).join(asked, keys, "left_semi")
-            full = full and full.filter(F.col("bucket").isin(numbers)).join(asked, keys, "left_semi")
-        newest = latest_per_key(changes.select(*self.schema.names), self.keys, self.order)
-        if full is None:
-            return newest
-        full = full.select(*self.schema.names)
-        touched = full.join(newest.select(*keys), keys, "left_semi")
-        return full.join(newest.select(*keys), keys, "left_anti").unionByName(
-            latest_per_key(touched.unionByName(newest), self.keys, self.order)
-        )
-
-    def write(self, batch_id: int, changed: DataFrame) -> None:
-        """Store a batch's rows, newest per key; fold first when the batch is due for it.
-
-        A fold counts only once its mark is written, so a half-written copy is never read. A
-        repeated batch whose fold is marked leaves the copy alone: readers may be in it, and the
-        changes it was made from may be gone.
-        """
-        due = self.fold_every and batch_id > 0 and batch_id % self.fold_every == 0
-        if due and self._last_fold(batch_id) < batch_id:
-            self._store(self.rows(before=batch_id), f"{self.path}/full/batch_id={batch_id}")
-            self._mark_fold(batch_id)
-        newest = latest_per_key(changed.select(*self.schema.names), self.keys, self.order)
-        self._store(newest, f"{self.path}/changes/batch_id={batch_id}")
+def run_available(
+    stream: DataFrame, checkpoint: str, per_batch: Callable[[DataFrame, int], None], mode: str = "append"
+) -> None:
+    """Process what is there and stop; the next call with the same checkpoint goes on from there."""
+    query = (
+        stream.writeStream.foreachBatch(per_batch)
+        .outputMode(mode)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+
+
+def keep_newest(stream: DataFrame, keys: Sequence[str], order: Sequence[str], checkpoint: str, target: str) -> None:
+    """Take over what is there: the row with the largest ``order`` (unique per key), whatever the order of arrival."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{target}/batch_id=-1")
+    run_available(
+        latest_per_key(stream, keys, order),
+        checkpoint,
+        lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}"),
+        "update",
+    )
+
+
+def stored_rows(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The newest row of each key as of each batch that had rows of the key, with ``batch_id``."""
+    rows = spark.read.schema(schema).parquet(target)
+    return rows.withColumn("batch_id", F.col("batch_id").cast("long"))
+
+
+def newest_rows(spark: SparkSession, target: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """Newest row of each key over all batches."""
+    return latest_per_key(stored_rows(spark, target, schema), list(keys), ["batch_id"]).select(*schema.names)
+
+
+def stored_changes(
+    spark: SparkSession, target: str, schema: StructType, keys: Sequence[str], column: str, start: str
+) -> DataFrame:
+    """Stored rows whose ``column`` differs from the key's row before, which is ``start`` at first.
+
+    A batch stores one row per key, so even the busiest key has no more rows here than there were batches.
+    """
+    before = F.lag(column).over(W.partitionBy(*keys).orderBy("batch_id"))
+    rows = stored_rows(spark, target, schema).withColumn("_before", F.coalesce(before, F.lit(start)))
+    return rows.filter(~F.col("_before").eqNullSafe(F.col(column))).drop("_before")

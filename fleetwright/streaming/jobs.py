@@ -2,32 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
-from fleetwright.functions.latest import latest_per_key
+from fleetwright.functions.neighbours import time_slice
 from fleetwright.operators.classes import heartbeat_windows
 from fleetwright.operators.definitions import KEY
 from fleetwright.operators.feeds import coalesced_keys, relevant_run_events
 from fleetwright.operators.requests import open_request_events
-from fleetwright.operators.status import phase_transitions
-from fleetwright.streaming.changes import ChangeTable
+from fleetwright.streaming.changes import keep_newest, newest_rows, run_available, stored_changes
 from fleetwright.vocabulary import NEW
 
 
-def run_available(stream: DataFrame, checkpoint: str, per_batch: Callable[[DataFrame, int], None]) -> None:
-    """Process what is there and stop; the next call with the same checkpoint goes on from there."""
-    query = (
-        stream.writeStream.foreachBatch(per_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-
-
 def append_available(stream: DataFrame, checkpoint: str, target: str) -> None:
     """As ``run_available``, appending the rows to parquet files exactly once."""
     query = (
@@ -41,70 +31,119 @@ def append_available(stream: DataFrame, checkpoint: str, target: str) -> None:
     query.awaitTermination()
 
 
-def _with_known(batch: DataFrame, known: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """The batch with what is known of each row's key: its phase, and whether the row is ``fresh``, that is newer."""
-    seen = known.select(*keys, F.struct(*order).alias("_seen"), F.col("phase").alias("known_phase"))
-    fresh = F.col("_seen").isNull() | (F.struct(*order) > F.col("_seen"))
-    return batch.join(seen, list(keys), "left").withColumn("fresh", fresh).drop("_seen")
+ORDER = ["ts", "seq"]
+PHASES = "namespace string, name string, ts timestamp_ntz, seq long, phase string, slice long"
+PHASE_LOG = "namespace string, name string, ts timestamp_ntz, seq long, from_phase string, to_phase string, sign int"
 
 
-def track_phases(
-    state: ChangeTable, log: str, stale: str | None = None, slice_seconds: int = 3600
-) -> Callable[[DataFrame, int], None]:
-    """Per-batch step that logs each change of phase once, whatever the order of arrival in the batch.
-
-    A row that is older than what earlier batches know of its key cannot be put between
-    transitions that are logged already; it goes to ``stale`` (default: ``log`` + "-stale"). The
-    batch itself is handled by the sliced window of ``phase_transitions``, so no key is bound to
-    one task, and only the state as of the batch's start is read, of the batch's own keys, so a
-    repeated batch gives the same output. Stale rows need no check when the state is written:
-    they never become a key's newest row.
+def track_phases(spark: SparkSession, place: str, slice_seconds: int = 3600) -> Callable[[DataFrame, int], None]:
+    """Per-batch step that logs changes of phase, and takes back what a late row proves wrong.
+
+    The log has rows with ``sign`` 1 for a transition and -1 for one that is withdrawn: a row that
+    comes late changes what it and its next neighbour follow. A batch looks only at the rows of its own
+    keys and time slices, and at the first and last rows of these keys' other slices, so neither
+    the whole history nor a hot key is ever in one task. Rows that are known already change nothing.
+    A batch reads what earlier batches wrote and overwrites its own folders only, so a repeat gives
+    the same.
     """
-    keys, order = list(state.keys), list(state.order)
-    late = stale or f"{log}-stale"
+    for part, schema in (("history/batch_id=-1/edge=true", PHASES), ("log/batch_id=-1", PHASE_LOG)):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{place}/{part}")
+    row = [*KEY, *ORDER]
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        seen = _with_known(batch, state.rows(before=batch_id, of=batch), keys, order).persist()
-        before = seen.filter("fresh").withColumn("known_phase", F.coalesce("known_phase", F.lit(NEW)))
-        phase_transitions(before, keys, slice_seconds, start="known_phase").write.mode("overwrite").parquet(
-            f"{log}/batch_id={batch_id}"
+        came = batch.select(*row, "phase").distinct().withColumn("slice", time_slice("ts", slice_seconds)).persist()
+        touched = came.select(*KEY, "slice").distinct()
+        low, high = came.agg(F.min("slice"), F.max("slice")).first()
+        earlier = spark.read.schema(PHASES).parquet(f"{place}/history").filter(F.col("batch_id") < batch_id)
+        inside = earlier.filter(F.col("slice").between(low, high)).join(touched, [*KEY, "slice"], "left_semi")
+        outside = earlier.filter("edge = 'true'").join(touched.select(*KEY).distinct(), KEY, "left_semi")
+        outside = outside.join(touched, [*KEY, "slice"], "left_anti")
+        known = inside.unionByName(outside).select(*came.columns, F.lit(False).alias("fresh"))
+        rows = known.unionByName(came.withColumn("fresh", F.lit(True)))
+        # A row that is known and came again stays a known one.
+        rows = rows.groupBy(*row, "slice").agg(F.min("phase").alias("phase"), F.min("fresh").alias("fresh")).persist()
+        log = _followed(rows).select(*row, F.col("phase").alias("to_phase"), F.explode(_corrections()).alias("change"))
+        log = log.select(*row, "change.from_phase", "to_phase", "change.sign").filter("from_phase <> to_phase")
+        log.write.mode("overwrite").parquet(f"{place}/log/batch_id={batch_id}")
+        place_in_slice, slice_rows = F.struct(*ORDER), W.partitionBy(*KEY, "slice")
+        ends = (F.min(place_in_slice).over(slice_rows), F.max(place_in_slice).over(slice_rows))
+        stored = rows.filter("fresh").withColumn("edge", place_in_slice.isin(*ends)).drop("fresh")
+        stored.sortWithinPartitions("edge", "slice", *row).write.mode("overwrite").partitionBy("edge").parquet(
+            f"{place}/history/batch_id={batch_id}"
         )
-        seen.filter("NOT fresh").select(*batch.columns).write.mode("overwrite").parquet(f"{late}/batch_id={batch_id}")
-        seen.unpersist()
-        state.write(batch_id, batch)
+        rows.unpersist()
+        came.unpersist()
 
     return step
 
 
-def status_sink(table: ChangeTable, events: str | None = None) -> Callable[[DataFrame, int], None]:
-    """Per-batch step that keeps the latest status per key.
+def _followed(rows: DataFrame) -> DataFrame:
+    """Each row with the row before it (``now``: phase, fresh), and ``old``, the phase of the last known one before.
 
-    The table always takes over the newest row's time, so that a later row that is older still
-    changes nothing; an event is raised only where the phase changes.
+    As in ``neighbours``: windows within slices first, and one over a key's open slice ends only.
     """
-    keys, order = list(table.keys), list(table.order)
+    within, across = W.partitionBy(*KEY, "slice").orderBy(*ORDER), W.partitionBy(*KEY).orderBy(*ORDER)
+    before, known = F.struct("phase", "fresh"), F.when(~F.col("fresh"), F.col("phase"))
+    until = (W.unboundedPreceding, -1)
+    sliced = rows.select(
+        "*",
+        F.lag(before).over(within).alias("now"),
+        F.last(known, ignorenulls=True).over(within.rowsBetween(*until)).alias("old"),
+        F.when(F.lead("seq").over(within).isNull(), F.last(known, ignorenulls=True).over(within)).alias("_last_known"),
+        F.lead("seq").over(within).isNull().alias("_is_last"),
+    ).withColumn("_open", F.col("now").isNull() | (F.col("old").isNull() & ~F.col("fresh")))
+    ends = sliced.filter("_open OR _is_last").withColumns(
+        {
+            "now": F.coalesce("now", F.lag(before).over(across)),
+            "old": F.coalesce("old", F.last("_last_known", ignorenulls=True).over(across.rowsBetween(*until))),
+        }
+    )
+    found = sliced.filter("NOT _open").unionByName(ends.filter("_open"))
+    return found.drop("_open", "_is_last", "_last_known")
 
-    def step(batch: DataFrame, batch_id: int) -> None:
-        seen = _with_known(batch, table.rows(before=batch_id, of=batch), keys, order).filter("fresh")
-        newest = latest_per_key(seen.drop("fresh"), keys, order).persist()
-        if events:
-            changed = newest.filter(F.coalesce("known_phase", F.lit(NEW)) != F.col("phase"))
-            changed.select(*keys, *order, "phase").write.mode("overwrite").parquet(f"{events}/batch_id={batch_id}")
-        table.write(batch_id, newest)
-        newest.unpersist()
 
-    return step
+def _corrections() -> Column:
+    """What a row of ``_followed`` adds to the log: (from_phase, sign); null for known rows that follow known ones."""
+
+    def change(phase: str, sign: int) -> Column:
+        return F.struct(F.coalesce(phase, F.lit(NEW)).alias("from_phase"), F.lit(sign).alias("sign"))
+
+    moved = F.col("now.fresh") & ~F.coalesce("now.phase", F.lit(NEW)).eqNullSafe(F.coalesce("old", F.lit(NEW)))
+    return F.when(F.col("fresh"), F.array(change("now.phase", 1))).when(
+        moved, F.array(change("old", -1), change("now.phase", 1))
+    )
+
+
+def phase_log(spark: SparkSession, place: str) -> DataFrame:
+    """Transitions that hold: those logged, without those withdrawn."""
+    log = spark.read.schema(PHASE_LOG).parquet(f"{place}/log")
+    held = log.groupBy(*KEY, *ORDER, "from_phase", "to_phase").agg(F.sum("sign").alias("held"))
+    return held.filter("held > 0").drop("held")
+
+
+def status_sink(stream: DataFrame, checkpoint: str, target: str) -> None:
+    """Keep the newest status row of each stream; all of a row's columns are written together.
+
+    The sink takes over the newest row's time even where the phase is unchanged, so that a later row
+    that is older still changes nothing.
+    """
+    keep_newest(stream, KEY, ORDER, checkpoint, target)
+
 
+def status_events(spark: SparkSession, target: str, schema: StructType) -> DataFrame:
+    """The rows of ``status_sink`` that an event is raised for: those that change the phase."""
+    return stored_changes(spark, target, schema, KEY, "phase", NEW)
 
-def change_capture(target: ChangeTable) -> Callable[[DataFrame, int], None]:
-    """Per-batch step that keeps the newest row per key; deletes stay as marks, so that older
-    rows that come late cannot bring a key back."""
-    return lambda batch, batch_id: target.write(batch_id, batch)
 
+def change_capture(stream: DataFrame, checkpoint: str, target: str) -> None:
+    """Keep the newest row per key; deletes stay as marks, so that older rows that come late cannot
+    bring a key back."""
+    keep_newest(stream, KEY, ["ts", "event_id"], checkpoint, target)
 
-def live(target: ChangeTable, deleted: Column) -> DataFrame:
+
+def live(spark: SparkSession, target: str, schema: StructType, deleted: Column) -> DataFrame:
     """Target rows that are not deleted; a null mark is none."""
-    return target.rows().filter(~F.coalesce(deleted, F.lit(False)))
+    return newest_rows(spark, target, schema, KEY).filter(~F.coalesce(deleted, F.lit(False)))
 
 
 def coalesce_keys(work: str) -> Callable[[DataFrame, int], None]:
@@ -127,6 +166,19 @@ def routed_events(feed: DataFrame, streams: DataFrame, classes: DataFrame) -> Da
     return both.withColumnRenamed("owner_name", "name").join(streams.select(*KEY, "phase"), KEY, "inner")
 
 
+def route_events(
+    streams: Callable[[], DataFrame], classes: Callable[[], DataFrame], target: str
+) -> Callable[[DataFrame, int], None]:
+    """Per-batch step that writes the routed events of a batch, by the definitions as of that batch.
+
+    ``streams`` and ``classes`` read their tables anew, so a stream that is defined while the query
+    runs gets its events from the next batch on.
+    """
+    return lambda batch, batch_id: routed_events(batch, streams(), classes()).write.mode("overwrite").parquet(
+        f"{target}/batch_id={batch_id}"
+    )
+
+
 def count_heartbeats(
     target: str, interval: str = "30 seconds", delay: str = "5 seconds"
 ) -> Callable[[DataFrame, int], None]:
@@ -148,18 +200,11 @@ def counted_heartbeats(spark: SparkSession, target: str) -> DataFrame:
     return parts.groupBy("kind", "window_start", "window_end").agg(F.sum("beats").alias("beats"))
 
 
-def restart_on_change(
-    spark: SparkSession,
-    stream: DataFrame,
-    root: str,
-    checksum: str,
-    per_checksum: Callable[[str], Callable[[DataFrame, int], None]],
-) -> str:
-    """Run under a checkpoint named by the configuration's checksum.
+def restart_on_change(root: str, checksum: str, run: Callable[[str, str], None]) -> str:
+    """Run under a checkpoint and a target named by the configuration's checksum: ``run(checkpoint, target)``.
 
-    The same configuration goes on where it stopped; a changed one starts anew, with its own
-    checkpoint and target. Returns the folder of this configuration.
+    The same configuration goes on where it stopped; a changed one starts anew. Returns the target.
     """
     folder = f"{root.rstrip('/')}/{checksum}"
-    run_available(stream, f"{folder}/checkpoint", per_checksum(folder))
-    return folder
+    run(f"{folder}/checkpoint", f"{folder}/target")
+    return f"{folder}/target"

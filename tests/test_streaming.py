@@ -1,7 +1,6 @@
-"""Streaming jobs: many batches, disorder, repeats, folding."""
+"""Streaming jobs: many batches, disorder, repeats, restarts."""
 
 import random
-import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,12 +16,12 @@ from fleetwright.operators.loads import (
     live_rows,
     scheduled_batch,
 )
-from fleetwright.operators.status import latest_state, phase_transitions
+from fleetwright.operators.status import latest_state, phase_transitions, with_status
 from fleetwright.session import new_folder
 from fleetwright.sources.files import source_stream, source_table
 from fleetwright.sources.sample_fleet import fleet_table
 from fleetwright.streaming import jobs
-from fleetwright.streaming.changes import ChangeTable
+from fleetwright.streaming.changes import newest_rows, run_available, stored_rows
 
 SCHEMA = "namespace string, name string, ts timestamp_ntz, seq long, phase string"
 
@@ -32,10 +31,14 @@ def feed(spark, folder):
     return fleet_table(spark, folder, "phase_event").select(*KEY, "ts", "seq", "phase").cache()
 
 
-def table(spark, fold_every=20):
-    place = new_folder(spark, "test")
-    schema = spark.createDataFrame([], SCHEMA).schema
-    return ChangeTable(spark, f"{place}/state", schema, KEY, ["ts", "seq"], fold_every).create(), place
+def kept(spark, frames, sink=jobs.status_sink):
+    """Newest rows, the place and the schema after each frame has been landed and taken over by a new start."""
+    place, schema = new_folder(spark, "test"), frames[0].schema
+    for frame in frames:
+        frame.write.mode("append").parquet(f"{place}/feed")
+        stream = source_stream(spark, "parquet", f"{place}/feed", schema)
+        sink(stream, f"{place}/checkpoint", f"{place}/target")
+    return newest_rows(spark, f"{place}/target", schema, KEY), place, schema
 
 
 def parts(feed, count):
@@ -52,55 +55,63 @@ def rows(frame, *columns):
 LOG = ("namespace", "name", "ts", "seq", "from_phase", "to_phase")
 
 
+def tracked(spark, frames, slice_seconds=3600, repeat=()):
+    """The log after each frame as a batch; those numbered in ``repeat`` twice."""
+    place = new_folder(spark, "test")
+    step = jobs.track_phases(spark, place, slice_seconds)
+    for batch_id, frame in enumerate(frames):
+        for _ in range(1 + (batch_id in repeat)):
+            step(frame, batch_id)
+    return jobs.phase_log(spark, place), place
+
+
 def test_tracker_over_many_batches_equals_batch(spark, feed):
-    state, place = table(spark, fold_every=2)
-    step = jobs.track_phases(state, f"{place}/log")
-    for batch_id, part in enumerate(parts(feed, 5)):
-        step(part, batch_id)
-    assert rows(spark.read.parquet(f"{place}/log"), *LOG) == rows(phase_transitions(feed), *LOG)
-    assert rows(state.rows(), *KEY, "seq", "phase") == rows(latest_state(feed), *KEY, "seq", "phase")
-
-
-def test_repeated_batch_changes_nothing(spark, feed):
-    state, place = table(spark)
-    step = jobs.track_phases(state, f"{place}/log")
-    first, second, third = parts(feed, 3)
-    step(first, 0)
-    step(second, 1)
-    step(second, 1)
-    step(third, 2)
-    assert rows(spark.read.parquet(f"{place}/log"), *LOG) == rows(phase_transitions(feed), *LOG)
-
-
-def test_stale_rows_change_nothing_and_are_kept_aside(spark, feed):
-    state, place = table(spark)
-    step = jobs.track_phases(state, f"{place}/log")
-    first, second = parts(feed, 2)
-    step(second, 0)
-    before = rows(state.rows(), *KEY, "seq", "phase")
-    names = second.select(*KEY).distinct()
-    late = first.join(names, KEY, "left_semi")
-    step(late, 1)
-    assert rows(spark.read.parquet(f"{place}/log-stale"), *KEY, "seq") == rows(late, *KEY, "seq")
-    assert rows(state.rows(), *KEY, "seq", "phase") == before
-    assert rows(spark.read.parquet(f"{place}/log"), *LOG) == rows(phase_transitions(second), *LOG)
-
-
-def test_status_sink_writes_only_changes(spark):
-    state, place = table(spark)
-    step = jobs.status_sink(state, f"{place}/events")
+    log, place = tracked(spark, parts(feed, 3), repeat=(1,))
+    assert rows(log, *LOG) == rows(phase_transitions(feed), *LOG)
+    assert spark.read.schema(jobs.PHASE_LOG).parquet(f"{place}/log").filter("sign < 0").count() == 0
+
+
+@pytest.mark.parametrize("seed, slice_seconds", [(1, 3600), (2, 10 * 86_400)])
+def test_late_rows_correct_the_log(spark, feed, seed, slice_seconds):
+    """Any order of arrival; the third batch also brings rows again that are known already."""
+    draw = random.Random(seed)
+    cut = F.pmod(F.hash("seq", F.lit(seed)), F.lit(4))
+    order = draw.sample(range(4), 4)
+    frames = [feed.filter(cut == k) for k in order]
+    frames[2] = frames[2].unionByName(frames[0])
+    log, place = tracked(spark, frames, slice_seconds, repeat=(2,))
+    assert rows(log, *LOG) == rows(phase_transitions(feed), *LOG)
+    # Something had to be taken back.
+    assert spark.read.schema(jobs.PHASE_LOG).parquet(f"{place}/log").filter("sign < 0").count() > 0
+
 
+def test_a_late_row_between_two_of_one_phase(spark):
+    frames = [status(spark, (1, "Running"), (9, "Running")), status(spark, (5, "Failed")), status(spark, (5, "Failed"), (7, "Failed"))]
+    log, place = tracked(spark, frames)
+    assert rows(log, "seq", "from_phase", "to_phase") == [(1, "", "Running"), (5, "Running", "Failed"), (9, "Failed", "Running")]
+    written = spark.read.schema(jobs.PHASE_LOG).parquet(f"{place}/log")
+    assert rows(written, "batch_id", "seq", "from_phase", "sign") == [(0, 1, "", 1), (1, 5, "Running", 1), (1, 9, "Failed", 1)]
+
+
+def test_a_late_first_row_takes_back_the_first_transition(spark):
+    log, place = tracked(spark, [status(spark, (5, "Failed")), status(spark, (1, "Failed"))])
+    assert rows(log, "seq", "from_phase", "to_phase") == [(1, "", "Failed")]
+    written = spark.read.schema(jobs.PHASE_LOG).parquet(f"{place}/log").filter("batch_id = 1")
+    assert rows(written, "seq", "from_phase", "sign") == [(1, "", 1), (5, "", -1)]
+
+
+def test_status_sink_raises_events_for_changes_only(spark):
     def batch(*items):
         return spark.sql(
             "SELECT 'n' AS namespace, name, CAST(ts AS TIMESTAMP_NTZ) AS ts, CAST(seq AS BIGINT) AS seq, phase FROM VALUES "
             + ", ".join(f"('{n}', '2024-01-0{d}', {d}, '{p}')" for n, d, p in items) + " AS t(name, ts, seq, phase)"
         )
 
-    step(batch(("a", 1, "Running"), ("a", 2, "Failed"), ("b", 1, "Running")), 0)
-    step(batch(("a", 3, "Failed"), ("b", 3, "Suspended"), ("c", 3, "Pending")), 1)
-    events = rows(spark.read.parquet(f"{place}/events"), "batch_id", "name", "phase")
-    assert events == [(0, "a", "Failed"), (0, "b", "Running"), (1, "b", "Suspended"), (1, "c", "Pending")]
-    assert rows(state.rows(), "name", "phase") == [("a", "Failed"), ("b", "Suspended"), ("c", "Pending")]
+    first = batch(("a", 1, "Running"), ("a", 2, "Failed"), ("b", 1, "Running"))
+    newest, place, schema = kept(spark, [first, batch(("a", 3, "Failed"), ("b", 3, "Suspended"), ("c", 3, "Pending"))])
+    events = jobs.status_events(spark, f"{place}/target", schema)
+    assert rows(events, "batch_id", "name", "phase") == [(0, "a", "Failed"), (0, "b", "Running"), (1, "b", "Suspended"), (1, "c", "Pending")]
+    assert rows(newest, "name", "phase") == [("a", "Failed"), ("b", "Suspended"), ("c", "Pending")]
 
 
 def status(spark, *items):
@@ -112,97 +123,90 @@ def status(spark, *items):
 
 def test_unchanged_status_still_moves_on(spark):
     """Running on day 1 and 10; a failure of day 5 that comes afterwards is old news."""
-    state, place = table(spark)
-    step = jobs.status_sink(state, f"{place}/events")
-    for batch_id, (day, phase) in enumerate([(1, "Running"), (10, "Running"), (5, "Failed")]):
-        step(status(spark, (day, phase)), batch_id)
-    assert rows(state.rows(), "seq", "phase") == [(10, "Running")]
-    assert rows(spark.read.parquet(f"{place}/events"), "batch_id", "phase") == [(0, "Running")]
-
-
-def test_repeated_fold_batch_keeps_the_copy(spark, feed):
-    """The fold's changes may be gone when its batch is repeated."""
-    target, _ = table(spark, fold_every=2)
-    pieces = parts(feed, 3)
-    for batch_id, piece in enumerate(pieces):
-        target.write(batch_id, piece)
-    for batch_id in (0, 1):
-        feed.filter("false").select(*feed.columns, F.lit(0).alias("bucket")).write.mode("overwrite").partitionBy("bucket").parquet(
-            f"{target.path}/changes/batch_id={batch_id}"
-        )
-    target.write(2, pieces[2])
-    assert rows(target.rows(), *KEY, "seq") == rows(latest_state(feed), *KEY, "seq")
-
-
-def test_only_the_batch_s_buckets_are_opened(spark, feed):
-    target, _ = table(spark)
-    target.write(0, feed)
-    one = feed.limit(1)
-    known = target.rows(of=one)
-    assert known.count() == 1
-    plan = known._jdf.queryExecution().executedPlan().toString()
-    assert re.search(r"PartitionFilters: \[[^]]*isnotnull\(bucket", plan)
+    frames = [status(spark, (day, phase)) for day, phase in [(1, "Running"), (10, "Running"), (5, "Failed")]]
+    newest, place, schema = kept(spark, frames)
+    assert rows(newest, "seq", "phase") == [(10, "Running")]
+    assert rows(jobs.status_events(spark, f"{place}/target", schema), "batch_id", "phase") == [(0, "Running")]
+
+
+def test_all_columns_of_a_status_are_written_together(spark):
+    frames = [
+        status(spark, (d, p)).selectExpr("*", f"'{spec}' AS spec_json", f"CAST({name} AS STRING) AS request_name", "'k' AS request_class")
+        for d, p, spec, name in [(2, "Backfilling", "{}", "'bf-1'"), (1, "Failed", "{1}", "NULL"), (3, "Running", "{2}", "NULL")]
+    ]
+    written = lambda s, c, t: jobs.status_sink(with_status(s), c, t)
+    for n, wanted in ((2, ("Ready", "StreamBackfilling")), (3, ("Ready", "StreamRunning"))):
+        _, place, _ = kept(spark, frames[:n], written)
+        schema = with_status(frames[0]).schema
+        found = newest_rows(spark, f"{place}/target", schema, KEY).collect()
+        assert [(r["type"], r["reason"]) for r in found] == [wanted]
+        expected = with_status(frames[0 if n == 2 else 2]).collect()
+        assert found == expected and (n == 3 or "bf-1" in found[0]["message"])
 
 
 def test_null_delete_mark_is_no_delete(spark):
-    state, _ = table(spark)
-    state.write(0, status(spark, (1, "Running")))
-    assert jobs.live(state, F.lit(None).cast("boolean")).count() == 1
+    _, place, schema = kept(spark, [status(spark, (1, "Running"))])
+    assert jobs.live(spark, f"{place}/target", schema, F.lit(None).cast("boolean")).count() == 1
     assert live_rows(status(spark, (1, "x")).withColumnRenamed("seq", "event_id"), KEY, F.lit(None).cast("boolean")).count() == 1
 
 
-def test_change_table_in_any_order_with_folds(spark, feed):
-    target, _ = table(spark, fold_every=2)
-    pieces = parts(feed, 6)
-    random.seed(3)
-    random.shuffle(pieces)
+def test_newest_rows_in_any_order_of_arrival(spark, feed):
+    pieces = parts(feed, 4)
+    random.Random(3).shuffle(pieces)
+    newest, place, schema = kept(spark, pieces)
+    assert rows(newest, *KEY, "seq", "phase") == rows(latest_state(feed), *KEY, "seq", "phase")
+    # A batch stores its own keys only, one row each.
     for batch_id, piece in enumerate(pieces):
-        jobs.change_capture(target)(piece, batch_id)
-    assert rows(target.rows(), *KEY, "seq", "phase") == rows(latest_state(feed), *KEY, "seq", "phase")
-    early = pieces[0].unionByName(pieces[1]).unionByName(pieces[2])
-    assert rows(target.rows(before=3), *KEY, "seq") == rows(latest_state(early), *KEY, "seq")
-
-
-def test_half_written_fold_is_not_read(spark, feed):
-    target, _ = table(spark, fold_every=0)
-    for batch_id, piece in enumerate(parts(feed, 3)):
-        target.write(batch_id, piece)
-    feed.filter("false").write.parquet(f"{target.path}/full/batch_id=2")
-    assert rows(target.rows(), *KEY, "seq") == rows(latest_state(feed), *KEY, "seq")
-
-
-def test_stop_and_go_on(spark, feed):
-    target, place = table(spark)
-    whole = spark.createDataFrame([], feed.schema)
-    for part in parts(feed, 3):
-        part.write.mode("append").parquet(f"{place}/feed")
-        whole = whole.unionByName(part)
-        stream = source_stream(spark, "parquet", f"{place}/feed", feed.schema)
-        jobs.run_available(stream, f"{place}/checkpoint", jobs.change_capture(target))
-        assert rows(target.rows(), *KEY, "seq") == rows(latest_state(whole), *KEY, "seq")
+        stored = stored_rows(spark, f"{place}/target", schema).filter(F.col("batch_id") == batch_id)
+        assert rows(stored, *KEY) == rows(piece.select(*KEY).distinct(), *KEY)
+
+
+def test_a_hot_key_is_combined_before_the_shuffle(spark):
+    """All rows of one key: each task sends one row on, so the state's task reads as many rows as there were tasks."""
+    hot = spark.range(0, 20_000, 1, 8).selectExpr(
+        "'n' AS namespace", "'hot' AS name", "timestamp_seconds(id) AS ts", "id AS event_id", "'x' AS event_type"
+    )
+    newest, _, _ = kept(spark, [hot], jobs.change_capture)
+    assert rows(newest, "event_id") == [(19_999,)]
+
+
+def test_streams_defined_while_the_query_runs(spark):
+    place = new_folder(spark, "test")
+    events = spark.createDataFrame(
+        [(k, "Job", "ADDED", "n", f"s{k % 2}", True, False, False, "c") for k in range(4)],
+        "seq long, kind string, verb string, namespace string, owner_name string, controller boolean, completed boolean, "
+        "failed boolean, stream_class string",
+    )
+    streams = spark.createDataFrame([("n", "s0", "Running")], "namespace string, name string, phase string")
+    streams.write.parquet(f"{place}/streams")
+    classes = spark.createDataFrame([("c",)], "stream_class string")
+    step = jobs.route_events(lambda: spark.read.schema(streams.schema).parquet(f"{place}/streams"), lambda: classes, f"{place}/out")
+    for half in (events.filter("seq < 2"), events.filter("seq >= 2")):
+        half.write.mode("append").parquet(f"{place}/feed")
+        run_available(source_stream(spark, "parquet", f"{place}/feed", events.schema), f"{place}/checkpoint", step)
+        streams.withColumn("name", F.lit("s1")).write.mode("overwrite").option("partitionOverwriteMode", "static").parquet(f"{place}/added")
+        spark.read.schema(streams.schema).parquet(f"{place}/added").write.mode("append").parquet(f"{place}/streams")
+    assert rows(spark.read.parquet(f"{place}/out"), "seq", "name") == [(0, "s0"), (2, "s0"), (3, "s1")]
 
 
 def test_restart_keeps_or_leaves_the_checkpoint(spark, feed):
-    _, place = table(spark)
+    place = new_folder(spark, "test")
     feed.write.parquet(f"{place}/feed")
     seen = []
 
     def run(checksum):
         stream = source_stream(spark, "parquet", f"{place}/feed", feed.schema)
-        jobs.restart_on_change(
-            spark, stream, f"{place}/runs", checksum, lambda path: lambda batch, i: seen.append((checksum, batch.count()))
-        )
+        count = lambda batch, i: seen.append((checksum, batch.count()))
+        return jobs.restart_on_change(f"{place}/runs", checksum, lambda checkpoint, target: run_available(stream, checkpoint, count))
 
     total = feed.count()
-    run("one")
-    run("one")
-    run("two")
+    assert run("one") == run("one") != run("two")
     assert seen == [("one", total), ("two", total)]
 
 
 @pytest.mark.parametrize("file_format", ["parquet", "json"])
 def test_sources_as_table_and_stream(spark, feed, file_format):
-    _, place = table(spark)
+    place = new_folder(spark, "test")
     feed.write.format(file_format).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").save(f"{place}/in")
     assert rows(source_table(spark, file_format, f"{place}/in", feed.schema), *feed.columns) == rows(feed, *feed.columns)
     stream = source_stream(spark, file_format, f"{place}/in", feed.schema, 1_000_000)
@@ -249,7 +253,7 @@ def test_gap_fill(spark):
 
 
 def test_latest_scheduled_run_wins(spark):
-    _, place = table(spark)
+    place = new_folder(spark, "test")
     target, schema = f"{place}/target", source(spark, 1).schema
     scheduled_batch(spark, source(spark, 1, 2), target, "01")
     scheduled_batch(spark, source(spark, 2, 3), target, "02")
@@ -264,7 +268,7 @@ def test_latest_scheduled_run_wins(spark):
 
 
 def test_request_opened_during_a_load_stays_open(spark):
-    _, place = table(spark)
+    place = new_folder(spark, "test")
     asked = f"{place}/asked"
     spark.createDataFrame([("n", "s", "bf-1")], "namespace string, name string, request_name string").write.parquet(asked)
     spark.read.parquet(asked).createOrReplaceTempView("asked_now")
