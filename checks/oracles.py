@@ -718,3 +718,12 @@ chain AS (SELECT DISTINCT namespace, name, CAST(1 AS BIGINT) AS n FROM runs
     ON f.namespace = c.namespace AND f.name = c.name AND f.n = c.n)
 SELECT r.namespace, r.name, r.run_id, c.n IS NOT NULL AS allowed FROM runs r
 LEFT JOIN chain c ON c.namespace = r.namespace AND c.name = r.name AND c.n = r.n) t""")
+# Numbers as the platform spells them.
+oracle("configuration_number_texts", "numbered_definition",
+       """SELECT namespace, name, spec_json, md5(spec_json) AS checksum FROM (SELECT namespace, name,
+  '{"backfillJobTemplateRef":{"name":"b"},"jobTemplateRef":{"name":"t"},"limit":' || CASE c_custkey % 14
+    WHEN 0 THEN '1000' WHEN 1 THEN '1e+21' WHEN 2 THEN '1e-7' WHEN 3 THEN '12345678901234567000' WHEN 4 THEN '1'
+    WHEN 5 THEN '-0.5' WHEN 6 THEN '0.000001' WHEN 7 THEN '1234567890123456789' WHEN 8 THEN '2.5e-10' WHEN 9 THEN '12345600'
+    WHEN 10 THEN '100000000000000000000' WHEN 11 THEN '0' WHEN 12 THEN '"1e3"'
+    ELSE CAST(c_custkey AS VARCHAR) || '.25' END || ',"note":"5e3, 2.50","suspended":true}' AS spec_json
+  FROM numbered_definition) s""")

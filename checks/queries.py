@@ -578,6 +578,13 @@ def gap_fill(spark, folder):
     return loads.gap_fill(f.source, f.source.filter(~hole), *GAP)
 
 
+@query
+def configuration_number_texts(spark, folder):
+    """Specs with numbers as the platform spells them, whose checksums are compared with those of runs."""
+    found = definitions.definitions_normalized(fleet_table(spark, folder, "numbered_definition"))
+    return found.select(*KEY, "spec_json", F.md5("spec_json").alias("checksum"))
+
+
 @query
 def scheduled_runs_allowed(spark, folder):
     """Which planned runs start where a stream's runs must not overlap; one stream has a third of them."""

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwright.functions.text import configuration_checksum, escaped
+from fleetwright.functions.text import canonical_numbers, configuration_checksum, escaped
 from fleetwright.vocabulary import BATCH_JOB, CRON_JOB, NO_BACKEND
 
 KEY = ["namespace", "name"]
@@ -159,7 +159,7 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
     layout = F.col("layout")
     old = layout == ""
     backend = backend_resolved()
-    spec = escaped(F.to_json(F.try_variant_get("doc", "$.spec", "variant")))
+    spec = escaped(canonical_numbers(F.to_json(F.try_variant_get("doc", "$.spec", "variant"))))
 
     def reference(template: str, paths: dict[str, str]) -> list[Column]:
         """Namespace and name of a template that each layout keeps elsewhere."""

@@ -135,6 +135,14 @@ SELECT c.c_custkey, c.c_nationkey, d.namespace, d.name, d.kind, d.phase, c.c_cus
   '{"name":"tmpl-' || CAST(c.c_custkey + 1 AS STRING) || '","namespace":"ns-'
     || CAST((c.c_custkey + 1) % 25 AS STRING) || '"}' AS backfill_ref
 FROM customer c JOIN stream_def d ON d.c_custkey = c.c_custkey) parts) docs""",
+    "numbered_definition": """
+SELECT c_custkey, 'ns-' || CAST(c_nationkey AS STRING) AS namespace, 'stream-' || CAST(c_custkey AS STRING) AS name,
+  '{"spec":{"suspended":true,"limit":' || CASE c_custkey % 14 WHEN 0 THEN '1e3' WHEN 1 THEN '1e21' WHEN 2 THEN '1e-7'
+    WHEN 3 THEN '12345678901234567890' WHEN 4 THEN '1.0' WHEN 5 THEN '-0.50' WHEN 6 THEN '0.000001'
+    WHEN 7 THEN '1234567890123456789' WHEN 8 THEN '2.50E-10' WHEN 9 THEN '123.456e5' WHEN 10 THEN '1e20' WHEN 11 THEN '0.0'
+    WHEN 12 THEN '"1e3"' ELSE CAST(c_custkey AS STRING) || '.25' END
+  || ',"jobTemplateRef":{"name":"t"},"note":"5e3, 2.50","backfillJobTemplateRef":{"name":"b"}}}' AS doc
+FROM customer""",
     "watch_event": """
 SELECT event_id AS seq, ts, 'ns-' || CAST(c_nationkey AS STRING) AS namespace,
   'stream-' || CAST(user_id AS STRING) AS owner_name,

@@ -4,7 +4,9 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from fleetwright.functions.text import spelled_number
 from fleetwright.operators.definitions import (
     definitions_normalized,
     definitions_quarantine,
@@ -157,3 +159,29 @@ def test_checksum_is_of_sorted_escaped_json(spark):
 def test_checksum_changes_with_the_destination(spark):
     frame = documents(spark, {n: {"spec": {**OLD, "destination": n}} for n in ("a", "b")})
     assert definitions_normalized(frame).select("current_hash").distinct().count() == 2
+
+
+# JSON numbers and how the platform spells them.
+NUMBERS = {
+    "1e3": "1000", "1E+2": "100", "1e21": "1e+21", "1.5e300": "1.5e+300", "1e20": "100000000000000000000", "1e-7": "1e-7",
+    "2.50e-10": "2.5e-10", "3.0e-5": "0.00003", "0.000001": "0.000001", "12345678901234567890": "12345678901234567000",
+    "9223372036854775807": "9223372036854775807", "9223372036854775808": "9223372036854776000", "-0.50": "-0.5",
+    "1.0": "1", "0.0": "0", "0.1": "0.1", "123.456e5": "12345600", "-7": "-7", "1.7976931348623157e308": "1.7976931348623157e+308",
+}
+
+
+def test_numbers_are_spelled_as_by_the_platform(spark):
+    frame = spark.createDataFrame([(k,) for k in NUMBERS], "text string")
+    found = frame.select("text", spelled_number(F.col("text")).alias("spelled")).collect()
+    assert {r["text"]: r["spelled"] for r in found} == NUMBERS
+
+
+def test_checksum_of_a_spec_with_numbers(spark):
+    strings = {"s": 'quoted \\" 1.50 \\\\', "1e3": "<1e3>"}
+    for number, spelled in NUMBERS.items():
+        spec = json.dumps({**OLD, **strings})[:-1] + f', "n": [{number}, {{"m": {number}}}]}}'
+        frame = spark.createDataFrame([("n", "a", f'{{"spec": {spec}}}')], "namespace string, name string, doc string")
+        row = definitions_normalized(frame).first()
+        assert row["spec_json"].count(f'"n":[{spelled},{{"m":{spelled}}}]') == 1
+        plain = json.dumps({**OLD, **strings}, sort_keys=True, separators=(",", ":")).replace("<", "\\u003c").replace(">", "\\u003e")
+        assert row["spec_json"].replace(f'"n":[{spelled},{{"m":{spelled}}}],', "") == plain
