@@ -10,6 +10,7 @@ import pytest
 import corpus_pipeline
 from fleetwright.llm import quotes, secrets, surrogates
 from fleetwright.llm.queries import ORACLES, QUERIES
+from fleetwright.session import new_folder
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -278,3 +279,26 @@ def test_pipeline_stages(spark):
 def test_registered_names(spark):
     assert sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) and len(QUERIES) == 10
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_pipeline_on_odd_and_repeated_rows(spark, odd_docs):
+    place = new_folder(spark, "odd-tables")
+    odd_docs.unionByName(odd_docs.filter("doc_id IN (4, 7)")).write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([(4, 1, 0), (5, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    items = [(1, None), (2, ""), (3, "the same words stand here twice over")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    pieces = corpus_pipeline.run(spark, place).collect()
+    # Nulls and blanks are one class (1), 5 and 6 hold the item; a repeated row stays once.
+    assert {r["doc_id"] for r in pieces} == {None, 1, 4, 7, 8}
+    for doc_id in (1, 4, 7, 8):
+        own = sorted((r["start"], r["length"], r["doc_tokens"]) for r in pieces if r["doc_id"] == doc_id)
+        assert sum(n for _, n, _ in own) == own[0][2] and own[0][0] == 0
+        assert all(a + n == b for (a, n, _), (b, _, _) in zip(own, own[1:], strict=False))
+
+
+def test_pipeline_without_documents(spark, no_docs):
+    place = new_folder(spark, "no-tables")
+    no_docs.write.parquet(f"{place}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, place).count() == 0
