@@ -1,4 +1,12 @@
-"""Cleaning and packing the documents: five stages, each over all that its predecessor kept."""
+"""Cleaning and packing the documents: five stages, each over all that its predecessor kept.
+
+Cases: null and empty texts pass the first stage unless the prior rejects them, and are near copies of each other, so one
+of them stays and is packed as its end mark; very long texts are treated whole; of repeated rows, and of rows
+whose texts are near copies, the one with the smallest doc_id stays; rows that share an id but not their text are
+different documents to the near-copy stage, while a benchmark passage takes all rows of its id along; a row
+without an id stays if no row with one is a near copy; without labels no document is rejected as toxic, without test items
+none as contaminated; no documents give no pieces; other columns are kept up to the last stage.
+"""
 
 from __future__ import annotations
 
