@@ -309,6 +309,15 @@ FROM planned""",
 PLANNING = (OPEN, STATE, CASED, PLANNED, PLAN)
 FLEET = "stream_def backfill_request job cron_job"
 oracle("lifecycle_plan", FLEET, "SELECT * FROM plan", *PLANNING)
+oracle("apply_outcomes", FLEET,
+       """SELECT namespace, name, rule, run_kind, outcome, outcome = 'create' AND run_kind = 'BatchJobBackend' AND suspended
+    AS unsuspends, CASE WHEN outcome = 'error' THEN phase ELSE next_phase END AS reached_phase
+FROM (SELECT a.*, CASE WHEN r.name IS NULL THEN 'create' WHEN r.run_hash IS NULL THEN 'error'
+    WHEN r.run_hash = a.spec_hash THEN 'keep' ELSE 'recreate' END AS outcome
+  FROM (SELECT p.namespace, p.name, p.phase, p.rule, p.next_phase, d.suspended, md5(d.spec_json) AS spec_hash,
+      CASE WHEN p.next_phase = 'Backfilling' THEN 'BatchJobBackend' ELSE d.backend END AS run_kind
+    FROM plan p JOIN stream_def d ON d.namespace = p.namespace AND d.name = p.name WHERE p.action = 'apply') a
+  LEFT JOIN run r ON r.namespace = a.namespace AND r.name = a.name AND r.run_kind = a.run_kind) o""", *PLANNING, RUN)
 oracle("lifecycle_plan_summary", FLEET,
        "SELECT rule, action, next_phase, count(*) AS streams FROM plan GROUP BY ALL", *PLANNING)
 oracle("lifecycle_events", FLEET,

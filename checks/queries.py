@@ -222,6 +222,12 @@ def lifecycle_plan(spark, folder):
     return lifecycle.lifecycle_plan(*Fleet(spark, folder).state)
 
 
+@query
+def apply_outcomes(spark, folder):
+    f = Fleet(spark, folder)
+    return lifecycle.apply_outcomes(lifecycle.lifecycle_plan(*f.state), f.hashed_streams, f.job_run, f.cron_run)
+
+
 @query
 def lifecycle_plan_summary(spark, folder):
     plan = lifecycle.lifecycle_plan(*Fleet(spark, folder).state)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetwright.operators.definitions import KEY
 from fleetwright.operators.requests import stream_open_request
-from fleetwright.operators.runs import previous_backend, stream_job
+from fleetwright.operators.runs import previous_backend, runs_by_kind, stream_job
 from fleetwright.vocabulary import (
     BACKFILLING,
     BATCH_JOB,
@@ -210,6 +210,37 @@ def lifecycle_plan(
     return decide(stream_state(streams, requests, jobs, cron_jobs))
 
 
+def apply_outcomes(plan: DataFrame, streams: DataFrame, jobs: DataFrame, cron_jobs: DataFrame) -> DataFrame:
+    """What each step that applies a stream does to its run: create, keep, recreate, or an error.
+
+    A step towards a backfill applies a job whatever the stream's backend. Creating a job sets a suspended stream
+    going again (``unsuspends``); recreating one, or creating a cron job, does not. A run without its
+    configuration's checksum stops the step, and the phase stays. ``streams`` carries ``current_hash``.
+    """
+    runs = runs_by_kind(jobs, cron_jobs).withColumn("_run", F.lit(True))
+    of_backfill = F.col("next_phase") == BACKFILLING
+    applied = plan.filter("action = 'apply'").select(*KEY, "phase", "rule", "next_phase")
+    wanted = applied.join(streams.select(*KEY, "backend", "suspended", "current_hash"), KEY).withColumn(
+        "run_kind", F.when(of_backfill, BATCH_JOB).otherwise(F.col("backend"))
+    )
+    outcome = (
+        F.when(F.col("_run").isNull(), "create")
+        .when(F.col("run_hash").isNull(), "error")
+        .when(F.col("run_hash") == F.col("current_hash"), "keep")
+        .otherwise("recreate")
+    )
+    found = wanted.join(runs, [*KEY, "run_kind"], "left").withColumn("outcome", outcome)
+    created = (F.col("outcome") == "create") & (F.col("run_kind") == BATCH_JOB)
+    return found.select(
+        *KEY,
+        "rule",
+        "run_kind",
+        "outcome",
+        (created & F.col("suspended")).alias("unsuspends"),
+        F.when(F.col("outcome") == "error", F.col("phase")).otherwise(F.col("next_phase")).alias("reached_phase"),
+    )
+
+
 def lifecycle_events(plan: DataFrame) -> DataFrame:
     """Events of a plan; steps that leave the phase as it is stay silent."""
     return plan.filter("event_reason IS NOT NULL").select(

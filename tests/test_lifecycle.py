@@ -2,7 +2,7 @@
 
 import pytest
 
-from fleetwright.plans.lifecycle import lifecycle_events, lifecycle_plan
+from fleetwright.plans.lifecycle import apply_outcomes, lifecycle_events, lifecycle_plan
 
 STREAM = "namespace string, name string, stream_class string, phase string, suspended boolean, backend string, layout_version string"
 REQUEST = "namespace string, stream_id string, request_id long, request_name string, stream_class string, completed boolean"
@@ -110,3 +110,28 @@ def test_old_layout_never_changes_backend(spark):
         spark.createDataFrame([("ns", "a", {})], CRON),
     ).first()
     assert (row.action, row.next_phase) == ("apply", "Running")
+
+
+def test_apply_outcomes(spark):
+    """Each step that applies, with no run, one of the same, of another and of no configuration."""
+    applied = [("new", "Pending", "Running", "BatchJobBackend"), ("cron", "Pending", "Scheduled", "CronJob"),
+               ("redo", "Pending", "Backfilling", "CronJob")]
+    hashes = {"none": None, "same": "h", "other": "x", "lost": None}
+    plan = [("n", f"{a} {h}", p, a, "apply", q) for a, p, q, _ in applied for h in hashes] + [("n", "idle", "Failed", "r", "remove", "Failed")]
+    streams = [("n", f"{a} {h}", b, True, "h") for a, _, _, b in applied for h in hashes]
+    runs = {k: [("n", f"{a} {h}", {} if v is None else {"configuration-hash": v}) for a, _, _, b in applied for h, v in hashes.items()
+                if h != "none" and (b if a != "redo" else "BatchJobBackend") == k] for k in ("BatchJobBackend", "CronJob")}
+    frames = [spark.createDataFrame(runs[k], "namespace string, name string, annotations map<string,string>") for k in runs]
+    found = apply_outcomes(
+        spark.createDataFrame(plan, "namespace string, name string, phase string, rule string, action string, next_phase string"),
+        spark.createDataFrame(streams, "namespace string, name string, backend string, suspended boolean, current_hash string"),
+        *frames,
+    ).collect()
+    outcomes = {"none": "create", "same": "keep", "other": "recreate", "lost": "error"}
+    assert len(found) == 12
+    for row in found:
+        step, run = row["name"].split()
+        kind = "CronJob" if step == "cron" else "BatchJobBackend"
+        reached = {"new": "Running", "cron": "Scheduled", "redo": "Backfilling"}[step] if run != "lost" else "Pending"
+        assert (row["run_kind"], row["outcome"], row["reached_phase"]) == (kind, outcomes[run], reached)
+        assert row["unsuspends"] == (run == "none" and step != "cron")
