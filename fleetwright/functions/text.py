@@ -38,8 +38,8 @@ def spelled_number(token: Column) -> Column:
 
     Whole numbers of 64 bits stay; others are 64-bit floating-point numbers with the fewest digits that give
     the same number, with an exponent below 1e-6 and from 1e21 on. Zero has no sign. The digits are
-    the runtime's; for about one in 2,000 random numbers of 16 or 17 digits, and for the very smallest, the last
-    one is not the closest.
+    the runtime's; of 4,000 random numbers tried the last digit of one was not the closest, nor is that of the
+    smallest number there is.
     """
 
     def formed(value: Column) -> Column:
