@@ -28,15 +28,33 @@ SELECT *, COALESCE(json_extract_string(j, '$.spec.execution.layoutVersion'), '')
 FROM (SELECT namespace, name, json_valid(doc) AS ok, CASE WHEN json_valid(doc) THEN doc ELSE '{}' END AS j
       FROM raw_definition) d""",
 )
+
+
+def _no_text(path: str) -> str:
+    """Whether a reference has a known field that is neither text nor null."""
+    fields = ("apiVersion", "fieldPath", "kind", "name", "namespace", "resourceVersion", "uid")
+    return "(" + " OR ".join(f"COALESCE(json_type(j, '{path}.{f}') NOT IN ('VARCHAR', 'NULL'), FALSE)" for f in fields) + ")"
+
+
+_EXECUTION = "$.spec.execution"
+_STREAMING = f"{_EXECUTION}.streamingBackend"
 JUDGED = (
     "judged",
-    """
+    f"""
 SELECT *, CASE WHEN NOT ok THEN 'document is not JSON'
   WHEN json_type(j, '$.spec') <> 'OBJECT' THEN 'layout is not readable'
   WHEN layout NOT IN ('', 'v1', 'v2') THEN 'layout is unknown'
+  WHEN layout <> '' AND json_type(j, '{_EXECUTION}.suspended') NOT IN ('BOOLEAN', 'NULL') THEN 'execution is not readable'
+  WHEN layout <> '' AND ({_no_text(f'{_STREAMING}.changeCapture.jobTemplateRef')}
+    OR {_no_text(f'{_STREAMING}.batch.jobTemplateRef')}
+    OR layout = 'v1' AND {_no_text(f'{_EXECUTION}.backfillJobTemplateRef')}
+    OR layout = 'v2' AND {_no_text(f'{_STREAMING}.changeCapture.backfillJobTemplateRef')}) THEN 'execution is not readable'
   WHEN layout = '' AND json_type(j, '$.spec.suspended') IS NULL THEN 'suspended is missing'
+  WHEN layout = '' AND json_type(j, '$.spec.suspended') <> 'BOOLEAN' THEN 'suspended is not a boolean'
   WHEN layout = '' AND json_type(j, '$.spec.jobTemplateRef') IS NULL THEN 'job template is missing'
+  WHEN layout = '' AND {_no_text('$.spec.jobTemplateRef')} THEN 'job template is not readable'
   WHEN layout = '' AND json_type(j, '$.spec.backfillJobTemplateRef') IS NULL THEN 'backfill template is missing'
+  WHEN layout = '' AND {_no_text('$.spec.backfillJobTemplateRef')} THEN 'backfill template is not readable'
   WHEN layout = 'v1' AND json_type(j, '$.spec.execution.backfillJobTemplateRef') IS NULL
     THEN 'backfill template is missing'
   WHEN layout = 'v2' AND capture
@@ -65,7 +83,7 @@ NORMALIZED = (
     f"""
 SELECT namespace, name, layout AS layout_version, json_extract_string(j, '$.kind') AS kind,
   COALESCE(json_extract_string(j, '$.status.phase'), '') AS phase,
-  COALESCE(CAST(json_extract_string(j, CASE WHEN layout = '' THEN '$.spec.suspended'
+  COALESCE(TRY_CAST(json_extract_string(j, CASE WHEN layout = '' THEN '$.spec.suspended'
     ELSE '$.spec.execution.suspended' END) AS BOOLEAN), FALSE) AS suspended,
   CASE WHEN layout = '' THEN 'BatchJobBackend' WHEN batch THEN 'CronJob' WHEN capture THEN 'BatchJobBackend'
     ELSE '' END AS backend,

@@ -55,6 +55,18 @@ VALUE_KINDS = {
     "schedule_is": SCHEDULE,
 }
 
+# Template references, and their fields; each field is text where it is there at all.
+REFERENCES = {
+    "run_old_wrong": RUN_TEMPLATE_OLD,
+    "backfill_old_wrong": BACKFILL_TEMPLATE_OLD,
+    "capture_template_wrong": CAPTURE_TEMPLATE,
+    "batch_template_wrong": BATCH_TEMPLATE,
+    "backfill_v1_wrong": BACKFILL_TEMPLATE_V1,
+    "backfill_v2_wrong": BACKFILL_TEMPLATE_V2,
+}
+# The fields of an object reference.
+REFERENCE_FIELDS = ["kind", "namespace", "name", "uid", "apiVersion", "resourceVersion", "fieldPath"]
+
 
 # Why a document is rejected, in order; the first condition that holds wins. An absent field
 # has a null kind, so that comparing it is never true; VOID is a JSON null.
@@ -69,7 +81,8 @@ REJECTIONS = [
         "layout <> '' AND (suspended_new_is NOT IN ('BOOLEAN', 'VOID') OR streaming_is NOT IN ('OBJECT', 'VOID')"
         " OR capture_is NOT IN ('OBJECT', 'VOID') OR capture_template_is NOT IN ('OBJECT', 'VOID')"
         " OR batch_is NOT IN ('OBJECT', 'VOID') OR batch_template_is NOT IN ('OBJECT', 'VOID')"
-        " OR schedule_is NOT IN ('STRING', 'VOID'))",
+        " OR schedule_is NOT IN ('STRING', 'VOID') OR capture_template_wrong OR batch_template_wrong"
+        " OR layout = 'v1' AND backfill_v1_wrong OR layout = 'v2' AND backfill_v2_wrong)",
         "execution is not readable",
     ),
     ("status_is NOT IN ('OBJECT', 'VOID') OR phase_is <> 'STRING'", "phase is not readable"),
@@ -78,8 +91,10 @@ REJECTIONS = [
     ("hash_is <> 'STRING'", "configuration hash is not readable"),
     ("layout = '' AND run_old_is IS NULL", "job template is missing"),
     ("layout = '' AND run_old_is <> 'OBJECT'", "job template is not an object"),
+    ("layout = '' AND run_old_wrong", "job template is not readable"),
     ("layout = '' AND backfill_old_is IS NULL", "backfill template is missing"),
     ("layout = '' AND backfill_old_is <> 'OBJECT'", "backfill template is not an object"),
+    ("layout = '' AND backfill_old_wrong", "backfill template is not readable"),
     ("layout = 'v1' AND backfill_v1_is NOT IN ('OBJECT', 'VOID')", "backfill template is not an object"),
     ("layout = 'v1' AND backfill_v1_is IS DISTINCT FROM 'OBJECT'", "backfill template is missing"),
     (
@@ -113,6 +128,13 @@ def _object_kind(path: str) -> str:
     return f"CASE WHEN {is_object} THEN 'OBJECT' ELSE {_kind(path)} END"
 
 
+def _wrong_reference(path: str) -> str:
+    """Whether an object reference has a field that is no text; fields it does not know do not matter."""
+    known = ", ".join(f"'{field}'" for field in REFERENCE_FIELDS)
+    entries = f"map_entries(map_filter(try_variant_get(_doc, '{path}', 'map<string,variant>'), (k, v) -> k IN ({known})))"
+    return f"coalesce(exists({entries}, e -> schema_of_variant(e.value) NOT IN ('STRING', 'VOID')), false)"
+
+
 def _reason() -> Column:
     cases = " ".join(f"WHEN {condition} THEN '{reason}'" for condition, reason in REJECTIONS)
     return F.expr(f"CASE {cases} END")
@@ -127,7 +149,8 @@ def parsed_definitions(documents: DataFrame) -> DataFrame:
     """
     objects = [F.expr(_object_kind(path)).alias(name) for name, path in OBJECT_KINDS.items()]
     values = [F.expr(_kind(path)).alias(name) for name, path in VALUE_KINDS.items()]
-    fields = F.struct(F.col("_doc").alias("doc"), _text(LAYOUT, "_doc").alias("layout"), *objects, *values)
+    references = [F.expr(_wrong_reference(path)).alias(name) for name, path in REFERENCES.items()]
+    fields = F.struct(F.col("_doc").alias("doc"), _text(LAYOUT, "_doc").alias("layout"), *objects, *values, *references)
     return (
         documents.select(*KEY, F.try_parse_json("doc").alias("_doc"))
         .select(*KEY, F.inline(F.array(fields)))

@@ -129,11 +129,14 @@ SELECT *, '{' ||
   END || '}' AS spec
 FROM (
 SELECT c.c_custkey, c.c_nationkey, d.namespace, d.name, d.kind, d.phase, c.c_custkey % 3 AS layout,
-  CASE WHEN d.suspended THEN 'true' ELSE 'false' END AS suspended,
+  CASE WHEN c.c_custkey % 43 = 42 THEN '"yes"' WHEN d.suspended THEN 'true' ELSE 'false' END AS suspended,
+  CASE WHEN c.c_custkey % 29 = 28 THEN '{"name":5}' ELSE
   '{"name":"tmpl-' || CAST(c.c_custkey AS STRING) || '","namespace":"ns-' || CAST(c.c_custkey % 25 AS STRING) || '"}'
-    AS stream_ref,
+    END AS stream_ref,
+  CASE WHEN c.c_custkey % 37 = 36 THEN '{"name":"tmpl","namespace":7}' ELSE
   '{"name":"tmpl-' || CAST(c.c_custkey + 1 AS STRING) || '","namespace":"ns-'
-    || CAST((c.c_custkey + 1) % 25 AS STRING) || '"}' AS backfill_ref
+    || CAST((c.c_custkey + 1) % 25 AS STRING)
+    || CASE WHEN c.c_custkey % 41 = 40 THEN '","other":5,"uid":null}' ELSE '"}' END END AS backfill_ref
 FROM customer c JOIN stream_def d ON d.c_custkey = c.c_custkey) parts) docs""",
     "numbered_definition": """
 SELECT c_custkey, 'ns-' || CAST(c_nationkey AS STRING) AS namespace, 'stream-' || CAST(c_custkey AS STRING) AS name,

@@ -49,6 +49,10 @@ BAD = {
         {"spec": changed(V1, "execution.suspended", "yes")},
         {"spec": changed(V2, "execution.streamingBackend", [])},
         {"spec": changed(CRON, "execution.streamingBackend.batch.schedule", 5)},
+        {"spec": changed(CRON, "execution.streamingBackend.batch.jobTemplateRef", {"name": 5})},
+        {"spec": changed(V1, "execution.streamingBackend.changeCapture.jobTemplateRef.namespace", 7)},
+        {"spec": changed(V1, "execution.backfillJobTemplateRef.kind", True)},
+        {"spec": changed(V2, "execution.streamingBackend.changeCapture.backfillJobTemplateRef.uid", [])},
     ],
     "phase is not readable": [{"spec": OLD, "status": {"phase": 3}}, {"spec": V1, "status": "Running"}],
     "suspended is missing": [{"spec": changed(OLD, "suspended", drop=True)}, {}, {"spec": {}}, {"spec": None}],
@@ -56,6 +60,14 @@ BAD = {
     "configuration hash is not readable": [{"spec": OLD, "status": {"configurationHash": {}}}],
     "job template is missing": [{"spec": changed(OLD, "jobTemplateRef", drop=True)}],
     "job template is not an object": [{"spec": changed(OLD, "jobTemplateRef", "t")}],
+    "job template is not readable": [
+        {"spec": changed(OLD, "jobTemplateRef.name", 5)}, {"spec": changed(OLD, "jobTemplateRef.namespace", 7)},
+        {"spec": changed(OLD, "jobTemplateRef.apiVersion", {})},
+    ],
+    "backfill template is not readable": [
+        {"spec": changed(OLD, "backfillJobTemplateRef.name", False)},
+        {"spec": changed(OLD, "backfillJobTemplateRef.fieldPath", 1.5)},
+    ],
     "backfill template is missing": [
         {"spec": changed(OLD, "backfillJobTemplateRef", drop=True)},
         {"spec": changed(V1, "execution.backfillJobTemplateRef", drop=True)},
@@ -109,6 +121,21 @@ def test_null_parents_count_as_absent(spark):
     assert rows == {("", "", True)}
 
 
+def test_null_and_unknown_reference_fields_are_readable(spark):
+    elsewhere = changed(V1, "execution.streamingBackend.changeCapture.backfillJobTemplateRef", {"name": 5})
+    docs = {
+        "null": {"spec": changed(OLD, "jobTemplateRef.namespace", None)},
+        "unknown": {"spec": changed(OLD, "jobTemplateRef.weight", 5)},
+        "no fields": {"spec": changed(OLD, "backfillJobTemplateRef", {})},
+        "of another layout": {"spec": elsewhere},
+    }
+    frame = documents(spark, docs)
+    assert definitions_quarantine(frame).count() == 0
+    rows = {r["name"]: r for r in definitions_normalized(frame).collect()}
+    assert (rows["null"].run_template_namespace, rows["null"].run_template_name) == ("", "t")
+    assert rows["no fields"].backfill_template_name == ""
+
+
 def test_layouts_come_to_one_schema(good):
     rows = {r["name"]: r for r in definitions_normalized(good).collect()}
     assert len(rows) == 8
