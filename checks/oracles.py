@@ -463,12 +463,24 @@ oracle("metric_export_rows", "class_state",
 oracle("class_registry", "class_feed",
        """SELECT kind, phase, seq FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY ts DESC, seq DESC) AS n
 FROM class_feed) f WHERE n = 1 AND verb = 'ADD'""")
-oracle("heartbeat_counts", "class_feed",
-       """SELECT f.kind, t.at AS reported_at, 1 AS value
+BEATS = """SELECT f.kind, t.at AS reported_at, 1 AS value
 FROM (SELECT unnest(generate_series(date_trunc('second', min(ts)) + INTERVAL 35 SECOND, date_trunc('second', max(ts)),
   INTERVAL 30 SECOND)) AS at FROM class_feed) t
 JOIN (SELECT kind, ts, verb, lead(ts) OVER (PARTITION BY kind ORDER BY ts, seq) AS until FROM class_feed) f
-  ON f.ts <= t.at AND (f.until IS NULL OR f.until > t.at) WHERE f.verb = 'ADD'""")
+  ON f.ts <= t.at AND (f.until IS NULL OR f.until > t.at) WHERE f.verb = 'ADD'"""
+oracle("heartbeat_counts", "class_feed", BEATS)
+oracle("heartbeat_intervals", "class_feed",
+       f"""SELECT kind, min(n) AS first_tick, max(n) AS last_tick, min(reported_at) AS first_at, max(reported_at) AS last_at
+FROM (SELECT *, n - row_number() OVER (PARTITION BY kind ORDER BY n) AS island FROM (
+  SELECT kind, reported_at, (epoch_us(reported_at) - epoch_us((SELECT date_trunc('second', min(ts)) FROM class_feed)) - 5000000)
+    // 30000000 AS n FROM ({BEATS}) beats) numbered) islands
+GROUP BY kind, island""")
+oracle("heartbeats_at", "watch_event class_feed",
+       f"""SELECT seq, ts, kind, reported_at FROM (
+  SELECT seq, ts, 'Kind' || CAST(seq % 7 AS VARCHAR) || 'Stream' AS kind,
+    time_bucket(INTERVAL 30 SECOND, ts, (SELECT date_trunc('second', min(ts)) + INTERVAL 5 SECOND FROM class_feed)) AS tick
+  FROM watch_event) asked
+LEFT JOIN (SELECT kind, reported_at, reported_at AS tick FROM ({BEATS}) b) beats USING (kind, tick)""")
 for name in ("heartbeat_windows", "streaming_heartbeats"):
     oracle(name, "class_feed",
            """SELECT kind, w AS window_start, w + INTERVAL 30 SECOND AS window_end, count(*) AS beats FROM (

@@ -362,6 +362,26 @@ def heartbeat_counts(spark, folder):
     return classes.heartbeat_counts(Fleet(spark, folder).class_feed)
 
 
+def _intervals(feed):
+    ticks = classes.Ticks(*classes.feed_range(feed))
+    return classes.heartbeat_intervals(feed, ticks), ticks
+
+
+@query
+def heartbeat_intervals(spark, folder):
+    spans, ticks = _intervals(Fleet(spark, folder).class_feed)
+    return spans.select("*", *(ticks.at(F.col(f"{end}_tick")).alias(f"{end}_at") for end in ("first", "last")))
+
+
+@query
+def heartbeats_at(spark, folder):
+    """Whether the class of each watched event was last reported as live."""
+    fleet = Fleet(spark, folder)
+    spans, ticks = _intervals(fleet.class_feed)
+    asked = fleet.watch_event.select("seq", "ts", F.expr("concat('Kind', cast(seq % 7 AS STRING), 'Stream')").alias("kind"))
+    return classes.heartbeats_at(spans, ticks, asked)
+
+
 @query
 def heartbeat_windows(spark, folder):
     return classes.heartbeat_windows(Fleet(spark, folder).class_feed)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from fleetwright.functions.neighbours import with_next, with_previous
 from fleetwright.functions.text import snake_case
 from fleetwright.operators.definitions import KEY
 from fleetwright.vocabulary import TAG_PREFIX
@@ -87,42 +89,96 @@ def feed_range(feed: DataFrame) -> tuple[str, str]:
     return tuple(ends.first())
 
 
-def heartbeat_counts(
-    feed: DataFrame, start: str | None = None, until: str | None = None, interval_seconds: int = 30, delay_seconds: int = 5
-) -> DataFrame:
-    """One count of 1 per live class and report tick in (start, until], by default the feed's own range.
+class Ticks(NamedTuple):
+    """Report ticks in (start, until]: start + delay + n * interval, n >= 1."""
+
+    start: str
+    until: str
+    interval_seconds: int = 30
+    delay_seconds: int = 5
+
+    def since(self, moment: Column, kind: str) -> Column:
+        """Seconds from the zeroth tick, as ``long`` or ``double``."""
+        origin = F.lit(self.start).cast("timestamp").cast("long") + self.delay_seconds
+        return moment.cast("timestamp").cast(kind) - origin
+
+    def last(self) -> Column:
+        return F.floor(self.since(F.lit(self.until), "long") / self.interval_seconds)
+
+    def at(self, tick: Column) -> Column:
+        origin = F.lit(self.start).cast("timestamp").cast("long") + self.delay_seconds
+        return F.timestamp_seconds(origin + tick * self.interval_seconds).cast("timestamp_ntz")
 
-    Ticks fall at start + delay + n * interval, n >= 1. Only the last word per class before
-    each tick matters, so the feed is first reduced (map-side) to that; the window below it
-    then sees at most one row per class and tick.
+
+def heartbeat_intervals(feed: DataFrame, ticks: Ticks, slice_ticks: int = 2880) -> DataFrame:
+    """(kind, first_tick, last_tick): the stretches of ticks at which a class is live.
+
+    Only the last word per class before each tick matters, so the feed is first reduced (map-side) to that, then
+    to the words that change something. Both looks at a neighbouring word are cut into slices of ticks, so a class
+    with many words is no single task. Classes without a name are one class; no words give no intervals.
     """
-    if start is None or until is None:
-        first, last = feed_range(feed)
-        start, until = start or first, until or last
-    origin = F.lit(start).cast("timestamp").cast("long") + delay_seconds
-    final = F.floor((F.lit(until).cast("timestamp").cast("long") - origin) / interval_seconds)
-    age = F.col("ts").cast("timestamp").cast("double") - origin
-    tick = F.greatest(F.ceil(age / interval_seconds), F.lit(1))
+    tick = F.greatest(F.ceil(ticks.since(F.col("ts"), "double") / ticks.interval_seconds), F.lit(1))
     words = (
-        feed.select("kind", tick.alias("tick"), "verb", "ts", "seq")
+        feed.select("kind", tick.alias("tick"), (F.col("verb") == "ADD").alias("live"), "ts", "seq")
         .groupBy("kind", "tick")
-        .agg(F.max_by("verb", F.struct("ts", "seq")).alias("verb"))
-        .filter(F.col("tick") <= final)
+        .agg(F.max_by("live", F.struct("ts", "seq")).alias("live"))
+        .filter(F.col("tick") <= ticks.last())
     )
-    following = F.lead("tick").over(W.partitionBy("kind").orderBy("tick"))
-    last = F.coalesce(F.col("following") - 1, final)
-    return (
-        words.withColumn("following", following)
-        .filter("verb = 'ADD'")
-        .select("kind", F.explode(F.sequence(F.col("tick"), last)).alias("tick"))
-        .select(
-            "kind",
-            F.timestamp_seconds(origin + F.col("tick") * interval_seconds)
-            .cast("timestamp_ntz")
-            .alias("reported_at"),
-            F.lit(1).alias("value"),
-        )
+    of_ticks = F.floor(F.col("tick") / slice_ticks)
+    before = with_previous(words, ["kind"], ["tick"], of_ticks, ["live"])
+    turns = before.filter(F.col("live") != F.coalesce("previous.live", F.lit(False))).select("kind", "tick", "live")
+    spans = with_next(turns, ["kind"], ["tick"], of_ticks, ["tick"]).filter("live")
+    return spans.select(
+        "kind", F.col("tick").alias("first_tick"), F.coalesce(F.col("next.tick") - 1, ticks.last()).alias("last_tick")
+    )
+
+
+def heartbeats_between(intervals: DataFrame, ticks: Ticks, first: Column, last: Column, block_ticks: int = 1024) -> DataFrame:
+    """One count of 1 per live class and tick in [first, last].
+
+    Intervals are cut into blocks, and these dealt out, before they become rows: a class that is live for long is
+    no single task.
+    """
+    low, high = F.greatest("first_tick", first), F.least("last_tick", last)
+    inside = intervals.select("kind", low.alias("low"), high.alias("high")).filter("low <= high")
+    blocks = inside.select(
+        "*", F.explode(F.sequence(F.floor(F.col("low") / block_ticks), F.floor(F.col("high") / block_ticks))).alias("block")
+    ).repartition("kind", "block", "low")
+    ends = F.greatest("low", F.col("block") * block_ticks), F.least("high", (F.col("block") + 1) * block_ticks - 1)
+    return blocks.select("kind", F.explode(F.sequence(*ends)).alias("tick")).select(
+        "kind", ticks.at(F.col("tick")).alias("reported_at"), F.lit(1).alias("value")
+    )
+
+
+def heartbeats_at(intervals: DataFrame, ticks: Ticks, asked: DataFrame, block_ticks: int = 128) -> DataFrame:
+    """``asked`` (kind, ts, others) with ``reported_at``: the tick at or before ``ts`` if its class is live there, else null.
+
+    Both sides are joined by class and block of ticks. A block holds at most half as many intervals as ticks, so a
+    class that comes and goes, or is asked for often, makes no pairs beyond that.
+    """
+    tick = F.floor(ticks.since(F.col("ts"), "double") / ticks.interval_seconds)
+    points = asked.withColumn("_tick", tick).withColumn("_block", F.floor(F.col("_tick") / block_ticks))
+    pieces = intervals.select(
+        F.col("kind").alias("_kind"),
+        F.explode(F.sequence(F.floor(F.col("first_tick") / block_ticks), F.floor(F.col("last_tick") / block_ticks))).alias("_of"),
+        F.col("first_tick").alias("_first"),
+        F.col("last_tick").alias("_last"),
     )
+    same = points["kind"].eqNullSafe(pieces["_kind"]) & (points["_block"] == pieces["_of"])
+    held = points.join(pieces, same & F.col("_tick").between(F.col("_first"), F.col("_last")), "left")
+    reported = F.when(F.col("_first").isNotNull(), ticks.at(F.col("_tick")))
+    return held.select(*(F.col(f"`{c}`") for c in asked.columns), reported.alias("reported_at"))
+
+
+def heartbeat_counts(
+    feed: DataFrame, start: str | None = None, until: str | None = None, interval_seconds: int = 30, delay_seconds: int = 5
+) -> DataFrame:
+    """One count of 1 per live class and report tick in (start, until], by default the feed's own range."""
+    if start is None or until is None:
+        first, last = feed_range(feed)
+        start, until = start or first, until or last
+    ticks = Ticks(start, until, interval_seconds, delay_seconds)
+    return heartbeats_between(heartbeat_intervals(feed, ticks), ticks, F.lit(1), ticks.last())
 
 
 def heartbeat_windows(

@@ -1,8 +1,10 @@
 """Classes, heartbeats and small operators on hand-made rows."""
 
 import datetime as dt
+from random import Random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fleetwright.operators import classes, feeds, listings, requests, runs
 from fleetwright.plans.class_lifecycle import class_lifecycle_plan
@@ -60,6 +62,61 @@ def test_heartbeats_follow_the_registry(spark):
     assert seen == {("A", 35), ("A", 125), ("A", 155), ("B", 65), ("B", 95), ("B", 125), ("B", 155)}
 
 
+def brute_force_ticks(words, n, interval=30, delay=5):
+    """Live ticks 1..n per class, by walking the words (kind, second, seq, verb)."""
+    seen = {}
+    for kind in {w[0] for w in words}:
+        mine = sorted((w[1], w[2], w[3]) for w in words if w[0] == kind)
+        for tick in range(1, n + 1):
+            before = [w for w in mine if w[0] <= delay + tick * interval]
+            if before and before[-1][2] == "ADD":
+                seen.setdefault(kind, []).append(tick)
+    return seen
+
+
+@pytest.mark.parametrize("slice_ticks, block_ticks", [(1, 1), (7, 4), (5000, 1024)])
+def test_intervals_of_a_hot_class_equal_a_walk(spark, slice_ticks, block_ticks):
+    random, n = Random(slice_ticks), 400
+    words = [("hot", random.randrange(0, 12_000), i, random.choice(["ADD", "REMOVE"])) for i in range(900)]
+    words += [(f"k{i % 9}", random.randrange(0, 12_000), 900 + i, random.choice(["ADD", "REMOVE"])) for i in range(100)]
+    words += [(None, 50, 2000, "ADD"), ("early", 0, 2001, "ADD"), ("gone", 10, 2002, "REMOVE"), ("late", 99_999, 2003, "ADD")]
+    rows = spark.createDataFrame(words, "kind string, s int, seq long, verb string").selectExpr(
+        "kind", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, s) AS ts", "seq", "verb"
+    )
+    ticks = classes.Ticks("2024-01-01 00:00:00", "2024-01-01 03:20:05")
+    spans = classes.heartbeat_intervals(rows, ticks, slice_ticks)
+    expected = brute_force_ticks(words, n)
+    found = {}
+    for r in sorted(spans.collect(), key=lambda r: r.first_tick):
+        own = found.setdefault(r.kind, [])
+        assert not own or own[-1] + 1 < r.first_tick, "neighbouring intervals are one"
+        own.extend(range(r.first_tick, r.last_tick + 1))
+    assert found == expected
+    start = dt.datetime(2024, 1, 1, 0, 0, 5)
+    beats = classes.heartbeats_between(spans, ticks, F.lit(100), F.lit(130), block_ticks).collect()
+    assert sorted((str(r.kind), (r.reported_at - start).total_seconds() / 30) for r in beats) == sorted(
+        (str(k), t) for k, live in expected.items() for t in live if 100 <= t <= 130
+    )
+    asked = rows.withColumn("_first_word", F.col("verb")).withColumn("a.b", F.lit(1))
+    at = classes.heartbeats_at(spans, ticks, asked, block_ticks)
+    assert at.columns == [*asked.columns, "reported_at"]
+    got = {r.seq: r.reported_at for r in at.collect()}
+    assert len(got) == len(words)
+    for kind, second, seq, _ in words:
+        tick = (second - 5) // 30
+        live = tick in expected.get(kind, [])
+        assert got[seq] == (start + dt.timedelta(seconds=30 * tick) if live else None)
+
+
+def test_intervals_of_no_words(spark):
+    rows = feed(spark, ("A", "00:10", "ADD")).filter("false")
+    ticks = classes.Ticks("2024-01-01 00:00:00", "2024-01-01 01:00:00")
+    assert classes.heartbeat_intervals(rows, ticks).count() == 0
+    assert classes.heartbeat_counts(rows).count() == 0
+    asked = feed(spark, ("A", "00:40", "ADD"))
+    assert classes.heartbeats_at(classes.heartbeat_intervals(rows, ticks), ticks, asked).first().reported_at is None
+
+
 @pytest.mark.parametrize(
     "kind, verb, completed, failed, passes",
     [
