@@ -12,8 +12,9 @@ token count; a length with fewer than ``FEWEST`` texts takes in the nearest leng
 moved along the kind's slope. So every text has a bound for every measure. A text outside a band is rejected. Too few tokens of an unusual kind matter, not
 unusual luck: byte share has only an upper band, entropy only a lower one.
 
-Words are encoded once per worker and remembered, up to a fixed number. Bands take one small
-row per (language, length); they are joined with the measures, not with the texts.
+A text's script is the one that most of its letters have, by code-point ranges. Words are encoded once per
+worker and remembered, up to a fixed number. Bands take one small row per (language, length); they are written and
+joined with the measures, not with the texts, and Spark sends them along only where their size allows.
 
 Cases: null and empty texts have zero words, fail the base rules and have null measures; a
 null language falls back to the script; in a table with fewer than ``FEWEST`` good texts these
@@ -47,6 +48,23 @@ NARROWEST = 0.05
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
+# Where the letters of a script begin, by code point; what follows a script up to the next entry is its own.
+SCRIPT_STARTS = [
+    (0x0000, ""), (0x0041, "latin"), (0x005B, ""), (0x0061, "latin"), (0x007B, ""), (0x00C0, "latin"), (0x02B0, ""),
+    (0x0370, "greek"), (0x0400, "cyrillic"), (0x0530, "armenian"), (0x0590, "hebrew"), (0x0600, "arabic"),
+    (0x0700, "syriac"), (0x0750, "arabic"), (0x0780, ""), (0x0900, "devanagari"), (0x0980, "bengali"),
+    (0x0A00, "gurmukhi"), (0x0A80, "gujarati"), (0x0B00, "oriya"), (0x0B80, "tamil"), (0x0C00, "telugu"),
+    (0x0C80, "kannada"), (0x0D00, "malayalam"), (0x0D80, "sinhala"), (0x0E00, "thai"), (0x0E80, "lao"),
+    (0x0F00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"), (0x1100, "hangul"), (0x1200, "ethiopic"),
+    (0x13A0, ""), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, ""), (0x1E00, "latin"), (0x1F00, "greek"),
+    (0x2000, ""), (0x3040, "kana"), (0x3100, ""), (0x3130, "hangul"), (0x3190, ""), (0x3400, "han"), (0x4DC0, ""),
+    (0x4E00, "han"), (0xA000, ""), (0xAC00, "hangul"), (0xD7B0, ""), (0xF900, "han"), (0xFB00, ""), (0xFB50, "arabic"),
+    (0xFE00, ""), (0xFE70, "arabic"), (0xFF00, ""), (0x20000, "han"), (0x32000, ""),
+]
+SCRIPTS = sorted({name for _, name in SCRIPT_STARTS})
+_STARTS = np.array([start for start, _ in SCRIPT_STARTS])
+_SCRIPT_OF = np.array([SCRIPTS.index(name) for _, name in SCRIPT_STARTS])
+
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 MEASURES = ["piece_chars", "byte_chars", "fallback_share", "entropy"]
 
@@ -192,16 +210,23 @@ def measured(docs: DataFrame, pieces: str | None = None, byte_level: str | None
 
 
 def _scripts(piece: Slice) -> list[str]:
-    """Latin, two-byte, three-byte or four-byte script: the lead bytes that most characters have."""
+    """The script that most letters of each text have, by code points; empty without a letter."""
     data, bounds = piece.data, piece.bounds
-    kinds = [
-        _sums((data >= 0x41) & (data <= 0x7A) | (data >= 0xC3) & (data <= 0xC9), bounds),
-        _sums((data >= 0xCA) & (data <= 0xDF), bounds),
-        _sums((data >= 0xE0) & (data <= 0xEF), bounds),
-        _sums(data >= 0xF0, bounds),
-    ]
-    names = ["latin", "two-byte", "three-byte", "four-byte"]
-    return [names[k] for k in np.argmax(np.stack(kinds), axis=0)]
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    lead = data[at].astype(np.int32)
+    following = np.concatenate([data, np.zeros(3, np.uint8)]).astype(np.int32) & 0x3F
+    points = lead.copy()
+    two, three, four = (lead >= 0xC0) & (lead < 0xE0), (lead >= 0xE0) & (lead < 0xF0), lead >= 0xF0
+    a, b, c = (following[at + k] for k in (1, 2, 3))
+    points[two] = (lead[two] & 0x1F) << 6 | a[two]
+    points[three] = (lead[three] & 0x0F) << 12 | a[three] << 6 | b[three]
+    points[four] = (lead[four] & 0x07) << 18 | a[four] << 12 | b[four] << 6 | c[four]
+    script = _SCRIPT_OF[np.searchsorted(_STARTS, points, "right") - 1]
+    owner = _owners(np.searchsorted(at, bounds))
+    rows, none = len(bounds) - 1, SCRIPTS.index("")
+    counts = np.bincount(owner * len(SCRIPTS) + script, minlength=rows * len(SCRIPTS)).reshape(rows, len(SCRIPTS))
+    counts[:, none] = 0
+    return [SCRIPTS[k] for k in np.where(counts.any(axis=1), counts.argmax(axis=1), none)]
 
 
 def judged(rows: DataFrame, width: float = WIDTH) -> DataFrame:
@@ -224,15 +249,17 @@ def judged(rows: DataFrame, width: float = WIDTH) -> DataFrame:
     by_kind = settled(by_kind.filter((F.col("n_kind") >= FEWEST) | (F.col("kind") == "all")), "fertility-bands")
     # The first of a text's kinds that has enough texts, by the few combinations that occur.
     chosen = good.select("kinds").distinct().select("kinds", F.posexplode("kinds").alias("level", "kind"))
-    chosen = chosen.join(F.broadcast(by_kind.select("kind")), "kind").groupBy("kinds").agg(F.min_by("kind", "level").alias("kind"))
+    chosen = chosen.join(by_kind.select("kind"), "kind").groupBy("kinds").agg(F.min_by("kind", "level").alias("kind"))
     chosen = settled(chosen, "fertility-kinds")
-    pools = _pools(each.join(F.broadcast(chosen.select("kind").distinct()), "kind", "left_semi"))
+    # Written, so that Spark sees their sizes: as many rows as there are kinds, however many values ``lang`` has.
+    pools = settled(_pools(each.join(chosen.select("kind").distinct(), "kind", "left_semi")), "fertility-pools")
     adjusted = F.col("entropy") + F.col("slope") * (F.col("target") - F.col("length"))
     by_length = (
-        each.join(F.broadcast(pools), ["kind", "length"])
+        each.join(pools, ["kind", "length"])
         .groupBy("kind", F.col("target").alias("length"))
         .agg(*band("entropy", adjusted))
     )
+    by_length = settled(by_length, "fertility-lengths-bands")
 
     def within(measure: str, low: bool = True, high: bool = True):
         test = F.lit(True)
@@ -246,9 +273,9 @@ def judged(rows: DataFrame, width: float = WIDTH) -> DataFrame:
         within("piece_chars") & within("byte_chars") & within("fallback_share", low=False) & within("entropy", high=False)
     )
     joined = (
-        rows.join(F.broadcast(chosen), "kinds", "left")
-        .join(F.broadcast(by_kind), "kind", "left")
-        .join(F.broadcast(by_length), ["kind", "length"], "left")
+        rows.join(chosen, "kinds", "left")
+        .join(by_kind, "kind", "left")
+        .join(by_length, ["kind", "length"], "left")
     )
     return joined.select(
         "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"), *MEASURES

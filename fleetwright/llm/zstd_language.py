@@ -7,12 +7,14 @@ that the dictionary and not the text's own past decides, once per language. The
 share by which the best size undercuts the second; below ``MARGIN`` the choice is marked as
 rejected (``accepted`` is false), but still given.
 
-The sample takes, per language, the documents with hash below a bound set by the language's
-count, about ``PER_LANGUAGE`` of them; words are counted in Spark. So what reaches the driver
-is at most ``WORDS`` words per language, whatever the input.
+A value of ``lang`` is learned from a share of ``LEAST_SHARE`` of the learning documents up, whatever
+their number, so there are at most ``1 / LEAST_SHARE`` languages, and stray values are none. The sample takes,
+per language, the documents with hash below a bound set by the language's count, about
+``PER_LANGUAGE`` of them; words are counted in Spark. So what reaches the driver is at most
+``WORDS`` words per language, whatever the input.
 
 Cases: null text and text without a letter are ``und`` with score 0 and not accepted; ties go
-to the language with more documents, then by name; without any learned language all is
+to the language with more documents, then by name; without any learned language (each value too rare) all is
 ``und``; repeated rows are treated alike; null doc_id counts as not held out; other columns
 are ignored.
 """
@@ -29,6 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fleetwright.llm.shared import settled
+
+LEAST_SHARE = 0.002
 PER_LANGUAGE = 1_000
 WORDS = 12_000
 PIECE = 2_000
@@ -40,12 +45,16 @@ _LETTER = re.compile(r"[^\W\d_]")
 _PIECES = re.compile(rf"(?s).{{1,{PIECE}}}(?:\s|$)|.{{1,{PIECE}}}")
 
 
-def learned(docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS) -> dict[str, bytes]:
+def learned(
+    docs: DataFrame, per_language: int = PER_LANGUAGE, words: int = WORDS, least_share: float = LEAST_SHARE
+) -> dict[str, bytes]:
     """Dictionary content by language, the most frequent language first."""
     known = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "lang", "text")
-    counts = known.groupBy("lang").count()
+    every = settled(known.groupBy("lang").count(), "languages")
+    least = least_share * (every.agg(F.sum("count")).first()[0] or 0)
+    counts = every.filter(F.col("count") >= least)
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    # One row per language: sent along, so that texts are not moved.
+    # One row per language, at most 1 / least_share: sent along, so that texts are not moved.
     sample = known.join(F.broadcast(counts), "lang").filter(draw < per_language / F.col("count"))
     tokens = sample.select("lang", F.explode(F.split(F.lower("text"), r"[\s\p{Punct}]+")).alias("word"))
     frequent = tokens.filter("word <> ''").groupBy("lang", "word").agg(F.count("*").alias("n"))

@@ -2,7 +2,9 @@
 
 import math
 import re
+import unicodedata
 from collections import Counter
+from random import Random
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +85,18 @@ def test_language_odd_rows(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in zstd_language.identified(odd_docs, {}).collect()} == {"und"}
 
 
+def test_stray_languages_are_not_learned(spark):
+    rows = [(i, f"the green house stands by the water {i}", "en") for i in range(6000)]
+    rows += [(10_000 + i, f"das alte Haus steht am Wasser {i}", "de") for i in range(3000)]
+    rows += [(20_000 + i, f"stray words {i}", f"x-{i}") for i in range(5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    dictionaries = zstd_language.learned(docs)
+    assert list(dictionaries) == ["en", "de"]
+    assert set(zstd_language.learned(docs.filter("doc_id >= 24900"))) == {f"x-{i}" for i in range(4900, 5000)}
+    found = zstd_language.identified(docs, dictionaries).groupBy("lang_pred").count().collect()
+    assert {r["lang_pred"] for r in found} == {"en", "de"} and sum(r["count"] for r in found) == 14_000
+
+
 def base_counts(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -110,6 +124,46 @@ def test_fertility_counts_and_measures(spark, folder, rows):
         assert math.isclose(found[doc_id]["fallback_share"], sum(map(library.is_byte, tokens)) / len(tokens))
 
 
+def script_by_names(text):
+    """The script that most letters have, by their Unicode names."""
+    names = {"CJK": "han", "HIRAGANA": "kana", "KATAKANA": "kana"}
+    seen = Counter()
+    for c in text or "":
+        if unicodedata.category(c)[0] in "LM":
+            first = unicodedata.name(c, "?").split()[0]
+            seen[names.get(first, first.lower())] += 1
+    return seen.most_common(1)[0][0] if seen else ""
+
+
+SENTENCES = [
+    "The green house", "\u00c9t\u00e9 \u00e0 la mer", "\u0417\u0435\u043b\u0451\u043d\u044b\u0439 \u0434\u043e\u043c",
+    "\u03a0\u03c1\u03ac\u03c3\u03b9\u03bd\u03bf", "\u05d1\u05d9\u05ea \u05d9\u05e8\u05d5\u05e7",
+    "\u0628\u064a\u062a \u0623\u062e\u0636\u0631", "\u0939\u0930\u093e \u0918\u0930", "\u0e1a\u0e49\u0e32\u0e19",
+    "\u7eff\u8272\u7684\u623f\u5b50", "\u3072\u3089\u304c\u306a", "\ucd08\ub85d\uc0c9 \uc9d1", "\U00020000\U00020001", "12 + 34",
+    "", "\U0001f600 !", "a \u4e2d\u6587\u5b57", "\u4e2d bc d",
+]
+
+
+def test_scripts_are_told_apart_by_code_points(spark):
+    rows = [(i, text, None) for i, text in enumerate(SENTENCES)]
+    found = fertility.measured(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert {r["doc_id"]: r["script"] for r in found} == {i: script_by_names(text) for i, text, _ in rows}
+
+
+def test_bands_by_script_without_languages(spark):
+    """Texts of four scripts whose language is unknown stay: each is measured against its own script."""
+    random = Random(5)
+    letters = {"latin": "abcdefghij", "cyrillic": "\u0430\u0431\u0432\u0433\u0434\u0435\u0436", "thai": "\u0e01\u0e02\u0e04\u0e07",
+               "han": "\u4e00\u4e2d\u56fd\u4eba\u5927"}
+    rows = []
+    for k, own in enumerate(letters.values()):
+        words = ["".join(random.choices(own, k=random.randint(2, 8))) for _ in range(400)]
+        rows += [(1000 * k + i, " ".join(random.choices(words, k=80)), None) for i in range(60)]
+    found = fertility.rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    kept = Counter(r["doc_id"] // 1000 for r in found if r["kept"])
+    assert all(kept[k] >= 57 for k in range(4))
+
+
 def test_fertility_follows_quality(spark):
     found = QUERIES["op4_tokenizer_fertility"](spark, LARGE).toPandas().set_index("doc_id")
     labels = spark.read.parquet(f"{LARGE}/labels.parquet").toPandas().set_index("doc_id")
