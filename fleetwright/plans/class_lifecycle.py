@@ -24,6 +24,8 @@ EVENTS = {
         "Stream controller exited with error, StreamClass moved to Failed state",
     ),
 }
+# The error text, around the class and its phase.
+STEP_FAILED = ("failed to reconcile StreamClass FSM for ", ". Current state: ")
 STEP_OF_PHASE = {NEW: "created", PENDING: "ready", FAILED: "recovered", READY: "reconciled"}
 
 
@@ -71,8 +73,7 @@ def class_lifecycle_plan(classes: DataFrame) -> DataFrame:
     }
     error = F.when(
         F.col("step") == "error",
-        F.concat(F.lit("failed to reconcile StreamClass FSM for "), F.col("class_name"),
-                 F.lit(". Current state: "), F.col("phase")),
+        F.concat(F.lit(STEP_FAILED[0]), F.col("class_name"), F.lit(STEP_FAILED[1]), F.col("phase")),
     )
     return (
         classes.withColumn("step", step)

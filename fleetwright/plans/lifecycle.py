@@ -115,6 +115,11 @@ RULES = [
 ]
 
 
+# Error texts, around the stream, its phase and its backend, and the event that shows them.
+STEP_FAILED = ("failed to reconcile Stream FSM for ", ". Current state: phase=")
+NO_TRANSITION = ("failed to transit backend for stream ", ": unknown backend ", " for stream ")
+NOTHING_TO_APPLY = "no backend to apply for stream "
+ERROR_EVENT = ("Warning", "StreamSuspended", "Failed to reconcile the stream: ")
 UNMATCHED = Rule("unknown phase", "", "error", "", None, False)
 
 
@@ -162,17 +167,15 @@ def decide(state: DataFrame) -> DataFrame:
     error = (
         F.when(
             F.col("rule") == UNMATCHED.name,
-            F.concat(F.lit("failed to reconcile Stream FSM for "), where,
-                     F.lit(". Current state: phase="), F.col("phase")),
+            F.concat(F.lit(STEP_FAILED[0]), where, F.lit(STEP_FAILED[1]), F.col("phase")),
         )
         .when(
             F.col("rule_action") == "error",
-            F.concat(F.lit("failed to transit backend for stream "), where,
-                     F.lit(": unknown backend "), F.col("backend"), F.lit(" for stream "), where),
+            F.concat(F.lit(NO_TRANSITION[0]), where, F.lit(NO_TRANSITION[1]), F.col("backend"), F.lit(NO_TRANSITION[2]), where),
         )
         .when(
             idle & (F.col("rule_action") == "apply") & F.col("rule_event_reason").isNull(),
-            F.concat(F.lit("no backend to apply for stream "), where),
+            F.concat(F.lit(NOTHING_TO_APPLY), where),
         )
     )
     failed = F.col("error").isNotNull()
@@ -192,9 +195,9 @@ def decide(state: DataFrame) -> DataFrame:
             "rule",
             F.when(failed, "error").when(F.col("idle"), "none").otherwise(F.col("rule_action")).alias("action"),
             "next_phase",
-            event("event_type", F.lit("Warning")),
-            event("event_reason", F.lit("StreamSuspended")),
-            event("event_message", F.concat(F.lit("Failed to reconcile the stream: "), F.col("error"))),
+            event("event_type", F.lit(ERROR_EVENT[0])),
+            event("event_reason", F.lit(ERROR_EVENT[1])),
+            event("event_message", F.concat(F.lit(ERROR_EVENT[2]), F.col("error"))),
             F.when(F.col("rule") == "backfilling, job completed", F.col("request_name")).alias(
                 "completed_request"
             ),
