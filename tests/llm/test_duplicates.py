@@ -203,3 +203,56 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert kept.columns == odd_docs.columns and kept.count() == 7
     assert decontamination.contaminated(no_docs, bench).count() == 0
     assert decontamination.contaminated(odd_docs, bench.filter("false")).count() == 0
+
+
+def test_short_edited_items_against_whole_alignments(spark):
+    """Copies with every fifth word or so replaced are found as aligning whole documents with all items finds them."""
+    rng = random.Random(4)
+    vocabulary = [f"{w}{k}" for w in WORDS for k in range(20)]
+    items = [[rng.choice(vocabulary) for _ in range(rng.choice((10, 15, 25)))] for _ in range(60)]
+    documents = []
+    for k, item in enumerate(items):
+        edited = [w if rng.random() > 0.2 else "changed" for w in item]
+        around = [[rng.choice(vocabulary) for _ in range(rng.randint(0, 80))] for _ in range(2)]
+        documents.append((k, around[0] + edited + around[1]))
+    docs = spark.createDataFrame([(d, " ".join(t)) for d, t in documents], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    number = {w: k for k, w in enumerate([*vocabulary, "changed"])}
+    wanted = {}
+    for d, text in documents:
+        for i, item in enumerate(items):
+            words, parts = (np.array([number[w] for w in x], np.int64) for x in (text, item))
+            score, start, end = decontamination.align(words, parts)
+            if score >= decontamination.MIN_SCORE * 2 * len(item):
+                wanted[d, i] = (score / (2 * len(item)), start, end)
+    rows = decontamination.contaminated(docs, bench).collect()
+    found = {(r["doc_id"], r["item_id"]): (r["score"], r["start_word"], r["end_word"]) for r in rows}
+    assert len(rows) == len(found) and all(wanted[k] == v for k, v in found.items())
+    assert len(found) >= 0.95 * len(wanted) >= 50
+
+
+def test_items_of_few_words_long_items_and_copies(spark):
+    long_item = " ".join(f"w{k}" for k in range(700))
+    bench = spark.createDataFrame(
+        [(1, "red green blue"), (2, "one two three four"), (3, long_item), (4, long_item), (5, "no seed"), (6, "a a a a a a a a a a a a a a")],
+        "item_id long, text string",
+    )
+    docs = spark.createDataFrame(
+        [(1, "so Red, green blue!"), (2, "red green grey"), (3, "one two three fore"), (4, "x " * 900 + long_item), (5, "no seed")]
+        + [(k, "y " + long_item + " one two three four") for k in range(10, 40)]
+        + [(50, "a " * 3000)],
+        "doc_id long, text string",
+    )
+    found = {(r["doc_id"], r["item_id"]): r for r in decontamination.contaminated(docs, bench).collect()}
+    copies = {(d, i) for d in range(10, 40) for i in (2, 3, 4)}
+    assert set(found) == {(1, 1), (4, 3), (4, 4), (50, 6)} | copies
+    assert found[4, 3]["start_word"] == 900 and found[50, 6]["start_word"] == 0
+    assert all(found[k]["score"] == 1 for k in copies)
+
+
+def test_bloom_filter_lets_all_its_values_pass(spark):
+    values = np.random.default_rng(5).integers(-(1 << 63), (1 << 63) - 1, 30_000)
+    known = decontamination.bloom_filter(spark.createDataFrame([(int(v),) for v in values[:20_000]], "gram long"))
+    passed = decontamination._marked(values.view(np.uint64), known)
+    assert list(passed[:20_000]) == list(range(20_000)) and len(passed) < 20_020
+    assert not len(decontamination._marked(values.view(np.uint64), decontamination.bloom_filter(spark.range(0).toDF("gram"))))
