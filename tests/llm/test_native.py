@@ -2,7 +2,9 @@
 
 import hashlib
 import math
+import random
 import re
+import string
 from collections import Counter
 
 import pytest
@@ -302,3 +304,32 @@ def test_pipeline_without_documents(spark, no_docs):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{place}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{place}/benchmark.parquet")
     assert corpus_pipeline.run(spark, place).count() == 0
+
+
+def test_random_strings_are_found_in_every_class(spark):
+    random.seed(12)
+    signs = {
+        "digits": string.digits,
+        "hex": "0123456789abcdef",
+        "small": string.ascii_lowercase,
+        "capital": string.ascii_uppercase,
+        "letters": string.ascii_letters,
+        "small and digits": string.ascii_lowercase + string.digits,
+        "base64": string.ascii_letters + string.digits + "+/",
+    }
+    kinds = [(name, n) for name in signs for n in (20, 32) for _ in range(400)]
+    texts = [f"it is {''.join(random.choices(signs[name], k=n))} here" for name, n in kinds]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    found = dict(secrets.scanned(docs).select("doc_id", "n_entropy").collect())
+    for kind in dict.fromkeys(kinds):
+        own = [found[k] for k, other in enumerate(kinds) if other == kind]
+        assert sum(n > 0 for n in own) >= 0.87 * len(own), kind  # 0.9, less what 400 draws may miss
+    words = "AbstractSingletonProxyFactoryBean internationalization_of_things 2024-01-15_12-30-45 antidisestablishmentarianism"
+    [row] = secrets.scanned(spark.createDataFrame([(1, words)], "doc_id long, text string")).collect()
+    assert row["n_entropy"] <= 1
+
+
+def test_window_of_another_width(spark):
+    docs = spark.createDataFrame([(1, "q8Zr1LxT0vKp3YwB7nMd")], "doc_id long, text string")
+    [narrow], [wide] = (secrets.with_spans(docs, window=w).select("_entropy").collect() for w in (20, 21))
+    assert len(narrow["_entropy"]) == 1 and not wide["_entropy"]
