@@ -3,7 +3,9 @@
 Detected: email and IP addresses, phone, card, social-security and account numbers, and
 persons named with a title. A person's name is taken word by word, so that a later "Mr Smith" or
 "Mr John" stays the same person as "Mr John Smith"; whether a word is a given or a family name, which
-only decides the ending of its surrogate, is settled once by all its mentions. Each entity (kind, normalised value) draws a keyed
+only decides the ending of its surrogate, is settled once by all its mentions. Where a text names a
+person with a title, that name's words are replaced in all of this text, if spelled with a capital, with or
+without a title before them (so are words that only look like the name). Each entity (kind, normalised value) draws a keyed
 digest that picks its surrogate: letters for letters and digits for digits in the same shape
 (top-level domains, leading digits and country codes stay, card numbers get a valid check
 digit), IP addresses for IP addresses, and names spelled from syllables of the same script
@@ -33,7 +35,9 @@ TITLES = {
     "m": r"Mr|Mister|Herr|Señor|Sr|Monsieur|господин|г-н|κύριος",
     "f": r"Mrs|Ms|Miss|Frau|Señora|Sra|Mme|Madame|госпожа|г-жа|κυρία",
 }
-_NAME = r"\p{Lu}[\p{L}'’-]*"
+#: A capital and letters, parts behind an apostrophe or hyphen too, but no genitive.
+_NAME = r"\p{Lu}\p{L}*(?:['’-](?![sS](?!\p{L}))\p{L}+)*"
+_TOKEN = r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*|[^\p{L}\p{N}]+"
 _TITLE = rf"(?:{TITLES['m']}|{TITLES['f']})\.?"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 
@@ -208,10 +212,40 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             return done.select("kind", "norm", "value")
 
 
+def _capitals(raw: Column, value: Column) -> Column:
+    capital = F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1 << 20))
+    return F.when(raw == F.upper(raw), F.upper(value)).when(raw == F.lower(raw), value).otherwise(capital)
+
+
+def _without_genitive(token: Column) -> Column:
+    return F.regexp_replace(token, "['’][sS]$", "")
+
+
+def _tokens(piece: Column) -> Column:
+    return F.regexp_extract_all(piece, F.lit(_TOKEN), F.lit(0))
+
+
+def _is_name(token: Column, names: Column) -> Column:
+    known = F.map_contains_key(names, F.lower(token)) | F.map_contains_key(names, F.lower(_without_genitive(token)))
+    return token.rlike(r"^\p{Lu}") & known
+
+
+def _renamed(piece: Column, names: Column) -> Column:
+    """A stretch between mentions with its capitalised words replaced by ``names`` (lower-cased word to surrogate)."""
+
+    def word(token: Column) -> Column:
+        stem = _without_genitive(token)
+        rest = F.substring(token, F.length(stem) + 1, F.lit(1 << 20))
+        whole, first = (F.element_at(names, F.lower(x)) for x in (token, stem))
+        new = F.coalesce(_capitals(token, whole), F.concat(_capitals(stem, first), rest))
+        return F.when(_is_name(token, names), new).otherwise(token)
+
+    return F.array_join(F.transform(_tokens(piece), word), "")
+
+
 def _rendered(kind: Column, raw: Column, value: Column) -> Column:
     """The surrogate in the spelling of the mention: same signs, spaces and capitals."""
-    capital = F.concat(F.upper(F.substring(value, 1, 1)), F.substring(value, 2, 1 << 20))
-    name = F.when(raw == F.upper(raw), F.upper(value)).when(raw == F.lower(raw), value).otherwise(capital)
+    name = _capitals(raw, value)
     signs = F.regexp_replace(value, "[^A-Za-z0-9]", "")
     # Each letter or digit of the mention gives way to the next one of the surrogate; what a wider one has more goes
     # before an address and behind a number.
@@ -254,14 +288,27 @@ def replaced(docs: DataFrame, key: str, count: str = "n_replaced") -> DataFrame:
     spelled = parts.withColumn("space", _space(F.col("kind"))).join(table, ["space", "norm"], "left").withColumn(
         "new", _rendered(F.col("kind"), F.col("raw"), F.col("value"))
     )
-    whole = spelled.groupBy("_key", "mention").agg(F.array_sort(F.collect_list(F.struct("k", "new"))).alias("parts"))
-    whole = whole.select("_key", F.struct("mention", F.array_join(F.col("parts.new"), "").alias("new")).alias("pair"))
-    maps = whole.groupBy("_key").agg(F.map_from_entries(F.collect_list("pair")).alias("_map"))
-    pieces = F.split("text", ANY, -1)
+    whole = spelled.groupBy("_key", "mention").agg(
+        F.array_sort(F.collect_list(F.struct("k", "new"))).alias("parts"),
+        F.collect_list(F.when(F.col("kind").startswith("name:"), F.struct("norm", "value"))).alias("names"),
+    )
+    whole = whole.select("_key", F.struct("mention", F.array_join(F.col("parts.new"), "").alias("new")).alias("pair"), "names")
+    maps = whole.groupBy("_key").agg(
+        F.map_from_entries(F.collect_list("pair")).alias("_map"),
+        F.map_from_entries(F.array_distinct(F.flatten(F.collect_list("names")))).alias("_names"),
+    )
+    names = F.col("_names")
+    gaps = F.split("text", ANY, -1)
+    # Most texts name nobody; their words are not looked at.
+    pieces = F.when(F.size(names) > 0, F.transform(gaps, lambda p: _renamed(p, names))).otherwise(gaps)
+    untitled = F.when(
+        F.size(names) > 0,
+        F.aggregate(gaps, F.lit(0), lambda n, p: n + F.size(F.filter(_tokens(p), lambda t: _is_name(t, names)))),
+    ).otherwise(0)
     text = F.array_join(
         F.zip_with(pieces, found, lambda p, m: F.concat(p, F.coalesce(F.element_at(F.col("_map"), m), F.lit("")))), ""
     )
     others = [c for c in docs.columns if c != count]
     changed = docs.filter(holds).withColumn("_key", digest).join(maps, "_key")
-    changed = changed.select(*(text.alias(c) if c == "text" else c for c in others), F.size(found).cast("long").alias(count))
+    changed = changed.select(*(text.alias(c) if c == "text" else c for c in others), (F.size(found) + untitled).cast("long").alias(count))
     return docs.filter(~holds).select(*others, F.lit(0).cast("long").alias(count)).unionByName(changed)

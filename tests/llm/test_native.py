@@ -279,7 +279,7 @@ def test_pipeline_stages(spark):
 
 
 def test_registered_names(spark):
-    assert sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) and len(QUERIES) == 10
+    assert sorted(QUERIES, key=lambda n: int(re.match(r"op(\d+)_", n)[1])) and len(QUERIES) == 13
     assert set(ORACLES) <= set(QUERIES)
 
 
@@ -333,3 +333,25 @@ def test_window_of_another_width(spark):
     docs = spark.createDataFrame([(1, "q8Zr1LxT0vKp3YwB7nMd")], "doc_id long, text string")
     [narrow], [wide] = (secrets.with_spans(docs, window=w).select("_entropy").collect() for w in (20, 21))
     assert len(narrow["_entropy"]) == 1 and not wide["_entropy"]
+
+
+def test_names_without_a_title_follow_their_text(spark):
+    texts = [
+        "Mr John Smith came. Later Smith left, and JOHN said Smith's hat (and Smith’s coat) is not a smithy.",
+        "Smith is a blacksmith here; John too.",
+        "Then Mr Smith's dog met Mrs O'Brien; O'Brien ran. Smithson and McSmith did not.",
+        "господин Иванов пришёл, Иванов ушёл",
+    ]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in surrogates.replaced(docs, key="k").collect()}
+    john, smith = re.fullmatch(r"Mr (\w+) (\w+) came\. .*", rows[0]["text"]).groups()
+    assert {john, smith}.isdisjoint({"John", "Smith"}) and john != smith
+    assert rows[0]["text"] == (
+        f"Mr {john} {smith} came. Later {smith} left, and {john.upper()} said {smith}'s hat (and {smith}’s coat) is not a smithy."
+    )
+    assert rows[0]["n_replaced"] == 5
+    assert rows[1]["text"] == texts[1] and rows[1]["n_replaced"] == 0
+    obrien = re.search(r"Mrs (\S+);", rows[2]["text"])[1]
+    assert rows[2]["text"] == f"Then Mr {smith}'s dog met Mrs {obrien}; {obrien} ran. Smithson and McSmith did not."
+    assert obrien != "O'Brien" and rows[2]["n_replaced"] == 3
+    assert "Иванов" not in rows[3]["text"] and rows[3]["n_replaced"] == 2
