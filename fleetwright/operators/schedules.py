@@ -5,7 +5,8 @@ starts no earlier than it ends, and so on. Row by row this is one long chain per
 gets a pointer to the run that would start next after it, by a search that is cut into time slices, and
 the chains are followed by doubling: after k rounds all runs within 2^k steps of a chain's start are
 marked. Pointers are joined by run, so a stream that holds most runs is no hot key, and the number
-of rounds grows with the logarithm of the longest chain.
+of rounds grows with the logarithm of the longest chain. A run that is not marked and that no pointer leads to
+is on no chain; each round drops the pointers of such runs, so that later rounds shrink.
 """
 
 from __future__ import annotations
@@ -39,13 +40,14 @@ def next_allowed(planned: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     asking = runs.filter("ends_at IS NOT NULL").select(*KEY, asked.alias("place"), F.col("run_id").alias("asks"))
     both = starts.unionByName(asking).withColumn("slice", time_slice("place.at", slice_seconds))
     start_here = F.when(F.col("asks").isNull(), F.col("place.run_id"))
-    # At one place the start comes first, so that a run does not find itself.
-    order = W.partitionBy(*KEY, "slice").orderBy("place", F.col("asks").asc_nulls_first())
-    found = F.first(start_here, ignorenulls=True).over(order.rowsBetween(1, W.unboundedFollowing))
+    # Read backwards, so that one pass carries the start that was seen last; a frame that ends with the slice would
+    # be read anew from every row. At one place the start comes first, so that a run does not find itself.
+    order = W.partitionBy(*KEY, "slice").orderBy(F.desc("place"), F.col("asks").desc_nulls_last())
+    found = F.last(start_here, ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, -1))
     within = both.select(*KEY, "slice", "asks", found.alias("next_id")).filter("asks IS NOT NULL")
     firsts = both.groupBy(*KEY, "slice").agg(F.min(F.when(F.col("asks").isNull(), F.col("place"))).alias("first"))
-    later = W.partitionBy(*KEY).orderBy("slice").rowsBetween(1, W.unboundedFollowing)
-    later = firsts.select(*KEY, "slice", F.first("first.run_id", ignorenulls=True).over(later).alias("later_id"))
+    later = W.partitionBy(*KEY).orderBy(F.desc("slice")).rowsBetween(W.unboundedPreceding, -1)
+    later = firsts.select(*KEY, "slice", F.last("first.run_id", ignorenulls=True).over(later).alias("later_id"))
     # Only what finds no start in its own slice looks at the later slices.
     inside = within.filter("next_id IS NOT NULL").select("asks", "next_id")
     beyond = within.filter("next_id IS NULL").join(later, [*KEY, "slice"]).select("asks", F.col("later_id").alias("next_id"))
@@ -58,6 +60,8 @@ def runs_allowed(planned: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     pointers = written(next_allowed(runs, slice_seconds).filter("next_id IS NOT NULL"), "run-pointers")
     marked = written(first_per_key(runs.select(*KEY, "starts_at", "run_id"), KEY, ["starts_at", "run_id"]).select("run_id"), "runs-marked")
     while not pointers.isEmpty():
+        ahead = pointers.select(F.col("next_id").alias("run_id"))
+        pointers = pointers.join(ahead.unionByName(marked).distinct(), "run_id", "left_semi")
         reached = marked.join(pointers, "run_id").select(F.col("next_id").alias("run_id"))
         marked = written(marked.unionByName(reached).distinct(), "runs-marked")
         onward = pointers.select(F.col("run_id").alias("next_id"), F.col("next_id").alias("_onward"))

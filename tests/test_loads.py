@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fleetwright.operators import backfills, gaps
 from fleetwright.operators.loads import handoff_by_stream, latest_run, scheduled_batch
-from fleetwright.operators.schedules import runs_allowed
+from fleetwright.operators.schedules import next_allowed, runs_allowed
 from fleetwright.session import new_folder
 
 DAY = datetime(2024, 1, 1)
@@ -129,6 +129,14 @@ def test_no_task_holds_all_runs_of_a_stream(spark):
     assert runs_allowed(planned).filter("allowed").count() == 1_000
 
 
+def test_next_run_is_found_in_one_pass(spark):
+    planned = spark.createDataFrame([("n", "a", k, DAY + timedelta(hours=k), DAY + timedelta(hours=k + 3)) for k in range(40)], PLANNED)
+    found = next_allowed(planned)
+    assert rows(found, "run_id", "next_id") == sorted(((k, k + 3 if k < 37 else None) for k in range(40)), key=lambda r: r[0])
+    # A frame that ends with its partition is read anew from every row.
+    assert "unboundedfollowing" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_planted_gaps_are_found(spark, source):
     held = source.filter("event_id % 400 <> 7").withColumn("value", F.when(F.col("event_id") == 100, -1.0).otherwise(F.col("value")))
     target = held.repartition(7).select(*reversed(source.columns))
