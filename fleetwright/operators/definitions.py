@@ -145,14 +145,17 @@ def parsed_definitions(documents: DataFrame) -> DataFrame:
 
     The parsed document and the kinds come out of one ``inline``, so that each document is
     parsed once: a plain projection would be merged into every later filter and parse again
-    there. Values are read afterwards, only where they are used.
+    there. Values are read afterwards, only where they are used. To read a document costs far more than to
+    send it, and documents may come from few files or out of a small join, so they are dealt out evenly first.
     """
     objects = [F.expr(_object_kind(path)).alias(name) for name, path in OBJECT_KINDS.items()]
     values = [F.expr(_kind(path)).alias(name) for name, path in VALUE_KINDS.items()]
     references = [F.expr(_wrong_reference(path)).alias(name) for name, path in REFERENCES.items()]
     fields = F.struct(F.col("_doc").alias("doc"), _text(LAYOUT, "_doc").alias("layout"), *objects, *values, *references)
     return (
-        documents.select(*KEY, F.try_parse_json("doc").alias("_doc"))
+        documents.select(*KEY, "doc")
+        .hint("rebalance")
+        .select(*KEY, F.try_parse_json("doc").alias("_doc"))
         .select(*KEY, F.inline(F.array(fields)))
         .withColumn("reason", _reason())
     )

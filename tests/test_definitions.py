@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetwright.functions.text import spelled_number
+from fleetwright.operators.classes import secret_ref_fields
 from fleetwright.operators.definitions import (
     definitions_normalized,
     definitions_quarantine,
@@ -212,3 +213,24 @@ def test_checksum_of_a_spec_with_numbers(spark):
         assert row["spec_json"].count(f'"n":[{spelled},{{"m":{spelled}}}]') == 1
         plain = json.dumps({**OLD, **strings}, sort_keys=True, separators=(",", ":")).replace("<", "\\u003c").replace(">", "\\u003e")
         assert row["spec_json"].replace(f'"n":[{spelled},{{"m":{spelled}}}],', "") == plain
+
+
+@pytest.fixture(scope="module")
+def one_part(spark):
+    """Documents of 2 KB that hardly compress, all in one partition; every fourth one lacks its backfill template."""
+    noise = "array_join(transform(sequence(1, 30), k -> sha2(concat(id, '-', k), 256)), '')"
+    backfill = """if(id % 4 = 0, '', ',"backfillJobTemplateRef":{"name":"b"}')"""
+    doc = f"""concat('{{"spec":{{"suspended":true,"jobTemplateRef":{{"name":"t"}}', {backfill}, ',"note":"', {noise}, '"}}}}')"""
+    return spark.range(0, 4_000, 1, 1).selectExpr("'ns' AS namespace", "concat('s', id) AS name", f"{doc} AS doc")
+
+
+def parts_and_rows(frame):
+    parts = frame.groupBy(F.spark_partition_id()).count().collect()
+    return len(parts), sum(r["count"] for r in parts)
+
+
+def test_secrets_of_one_partition_are_read_by_many_tasks(spark, one_part):
+    classes = spark.createDataFrame([("c", ["jobTemplateRef"])], "stream_class string, secret_refs array<string>")
+    streams = definitions_normalized(one_part).select("namespace", "name", F.lit("c").alias("stream_class"), "spec_json")
+    parts, found = parts_and_rows(secret_ref_fields(F.broadcast(classes), streams).filter("secret_name = 't'"))
+    assert parts > 1 and found == 3_000
