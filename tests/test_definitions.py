@@ -234,3 +234,8 @@ def test_secrets_of_one_partition_are_read_by_many_tasks(spark, one_part):
     streams = definitions_normalized(one_part).select("namespace", "name", F.lit("c").alias("stream_class"), "spec_json")
     parts, found = parts_and_rows(secret_ref_fields(F.broadcast(classes), streams).filter("secret_name = 't'"))
     assert parts > 1 and found == 3_000
+
+
+def test_valid_documents_of_one_partition_are_read_by_many_tasks(one_part):
+    parts, found = parts_and_rows(definitions_normalized(one_part))
+    assert parts > 1 and found == 3_000
