@@ -239,3 +239,8 @@ def test_secrets_of_one_partition_are_read_by_many_tasks(spark, one_part):
 def test_valid_documents_of_one_partition_are_read_by_many_tasks(one_part):
     parts, found = parts_and_rows(definitions_normalized(one_part))
     assert parts > 1 and found == 3_000
+
+
+def test_rejected_documents_of_one_partition_are_read_by_many_tasks(one_part):
+    parts, found = parts_and_rows(definitions_quarantine(one_part))
+    assert parts > 1 and found == 1_000
