@@ -1,7 +1,7 @@
 """Stream definitions: dynamic JSON documents brought to one schema.
 
-A document is parsed once, into a variant; every field is then read from it with its
-type, so a missing field and a field of the wrong type stay apart.
+A document is parsed once, into a variant, and read once, into the objects it may consist of, whose
+other fields stay variants; so a missing field and a field of the wrong type stay apart.
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from fleetwright.vocabulary import BATCH_JOB, CRON_JOB, NO_BACKEND
 KEY = ["namespace", "name"]
 
 # Where the layouts keep their fields.
+DOCUMENT_KIND = "$.kind"
+PHASE = "$.status.phase"
+APPLIED_HASH = "$.status.configurationHash"
 SUSPENDED_OLD = "$.spec.suspended"
 RUN_TEMPLATE_OLD = "$.spec.jobTemplateRef"
 BACKFILL_TEMPLATE_OLD = "$.spec.backfillJobTemplateRef"
@@ -48,8 +51,8 @@ OBJECT_KINDS = {
 }
 VALUE_KINDS = {
     "layout_is": LAYOUT,
-    "phase_is": "$.status.phase",
-    "hash_is": "$.status.configurationHash",
+    "phase_is": PHASE,
+    "hash_is": APPLIED_HASH,
     "suspended_old_is": SUSPENDED_OLD,
     "suspended_new_is": SUSPENDED,
     "schedule_is": SCHEDULE,
@@ -108,55 +111,79 @@ REJECTIONS = [
 ]
 
 
-def _text(path: str, document: str = "doc") -> Column:
+def _shape() -> str:
+    """Type of a document as far as it is read: its objects as structs, their other fields as variants."""
+    paths = [DOCUMENT_KIND, *VALUE_KINDS.values()]
+    paths += [f"{path}.{field}" for path in REFERENCES.values() for field in REFERENCE_FIELDS]
+    shape: dict = {}
+    for path in paths:
+        node = shape
+        for field in path.split(".")[1:]:
+            node = node.setdefault(field, {})
+
+    def typed(node: dict) -> str:
+        return f"struct<{', '.join(f'{name}: {typed(below)}' for name, below in node.items())}>" if node else "variant"
+
+    return typed(shape)
+
+
+def _part(path: str) -> str:
+    """What stands at a path: a struct or, at the ends of ``_shape``, a variant; null if there is none."""
+    return "parts" + path[1:]
+
+
+def _text(path: str) -> Column:
     """Text at a path, empty if there is none."""
-    return F.expr(f"coalesce(try_variant_get({document}, '{path}', 'string'), '')")
+    return F.expr(f"coalesce(try_variant_get({_part(path)}, '$', 'string'), '')")
 
 
 def _flag(path: str) -> Column:
-    return F.expr(f"coalesce(try_variant_get(doc, '{path}', 'boolean'), false)")
+    return F.expr(f"coalesce(try_variant_get({_part(path)}, '$', 'boolean'), false)")
 
 
-def _kind(path: str) -> str:
+def _kind(value: str) -> str:
     """STRING, BOOLEAN, OBJECT, ...; VOID for a JSON null; null when the field is absent."""
-    return f"substring_index(schema_of_variant(try_variant_get(_doc, '{path}', 'variant')), '<', 1)"
+    return f"substring_index(schema_of_variant({value}), '<', 1)"
 
 
 def _object_kind(path: str) -> str:
-    """As ``_kind``, without spelling out the schema of a large object."""
-    is_object = f"try_variant_get(_doc, '{path}', 'map<string,variant>') IS NOT NULL"
-    return f"CASE WHEN {is_object} THEN 'OBJECT' ELSE {_kind(path)} END"
+    """As ``_kind``; the document is asked again only for what is no object though its parent is one."""
+    other = f"{_part(path.rpartition('.')[0])} IS NOT NULL THEN {_kind(f"try_variant_get(doc, '{path}', 'variant')")}"
+    return f"CASE WHEN {_part(path)} IS NOT NULL THEN 'OBJECT' WHEN {other} END"
 
 
 def _wrong_reference(path: str) -> str:
     """Whether an object reference has a field that is no text; fields it does not know do not matter."""
-    known = ", ".join(f"'{field}'" for field in REFERENCE_FIELDS)
-    entries = f"map_entries(map_filter(try_variant_get(_doc, '{path}', 'map<string,variant>'), (k, v) -> k IN ({known})))"
-    return f"coalesce(exists({entries}, e -> schema_of_variant(e.value) NOT IN ('STRING', 'VOID')), false)"
+    fields = ", ".join(f"{_part(path)}.{field}" for field in REFERENCE_FIELDS)
+    wrong = f"exists(array({fields}), field -> schema_of_variant(field) NOT IN ('STRING', 'VOID'))"
+    return f"{_part(path)} IS NOT NULL AND coalesce({wrong}, false)"
 
 
 def _reason() -> Column:
+    """Evaluated within ``transform``: as generated code the cases are too long a method for the JVM to compile."""
     cases = " ".join(f"WHEN {condition} THEN '{reason}'" for condition, reason in REJECTIONS)
-    return F.expr(f"CASE {cases} END")
+    return F.expr(f"get(transform(array(0), _ -> CASE {cases} END), 0)")
 
 
 def parsed_definitions(documents: DataFrame) -> DataFrame:
-    """Parsed documents (``namespace``, ``name``, ``doc``) with field kinds and a ``reason``.
+    """Parsed documents (``namespace``, ``name``, ``doc``) with their ``parts``, field kinds and a ``reason``.
 
-    The parsed document and the kinds come out of one ``inline``, so that each document is
-    parsed once: a plain projection would be merged into every later filter and parse again
-    there. Values are read afterwards, only where they are used. To read a document costs far more than to
-    send it, and documents may come from few files or out of a small join, so they are dealt out evenly first.
+    The document, its parts and the kinds come out of ``inline``, so that each document is
+    parsed and read once: a plain projection would be merged into every later filter and done again
+    there. All parts come out of one cast, since each walk from the root compares names field by field. To read
+    a document costs far more than to send it, and documents may come from few files or out of a small join, so
+    they are dealt out evenly first.
     """
     objects = [F.expr(_object_kind(path)).alias(name) for name, path in OBJECT_KINDS.items()]
-    values = [F.expr(_kind(path)).alias(name) for name, path in VALUE_KINDS.items()]
+    values = [F.expr(_kind(_part(path))).alias(name) for name, path in VALUE_KINDS.items()]
     references = [F.expr(_wrong_reference(path)).alias(name) for name, path in REFERENCES.items()]
-    fields = F.struct(F.col("_doc").alias("doc"), _text(LAYOUT, "_doc").alias("layout"), *objects, *values, *references)
+    parts = F.struct(F.col("_doc").alias("doc"), F.try_variant_get("_doc", "$", _shape()).alias("parts"))
     return (
         documents.select(*KEY, "doc")
         .hint("rebalance")
         .select(*KEY, F.try_parse_json("doc").alias("_doc"))
-        .select(*KEY, F.inline(F.array(fields)))
+        .select(*KEY, F.inline(F.array(parts)))
+        .select(*KEY, "doc", "parts", F.inline(F.array(F.struct(_text(LAYOUT).alias("layout"), *objects, *values, *references))))
         .withColumn("reason", _reason())
     )
 
@@ -202,8 +229,8 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
         .select(
             *KEY,
             layout.alias("layout_version"),
-            _text("$.kind").alias("kind"),
-            _text("$.status.phase").alias("phase"),
+            _text(DOCUMENT_KIND).alias("kind"),
+            _text(PHASE).alias("phase"),
             F.when(old, _flag(SUSPENDED_OLD)).otherwise(_flag(SUSPENDED)).alias("suspended"),
             backend.alias("backend"),
             F.when(backend == CRON_JOB, _text(SCHEDULE)).alias("schedule"),
@@ -214,7 +241,7 @@ def definitions_normalized(documents: DataFrame) -> DataFrame:
             *reference(
                 "backfill", {"": BACKFILL_TEMPLATE_OLD, "v1": BACKFILL_TEMPLATE_V1, "v2": BACKFILL_TEMPLATE_V2}
             ),
-            _text("$.status.configurationHash").alias("applied_hash"),
+            _text(APPLIED_HASH).alias("applied_hash"),
             spec.alias("spec_json"),
         )
         .withColumn("current_hash", configuration_checksum(F.col("spec_json")))

@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -244,3 +245,23 @@ def test_valid_documents_of_one_partition_are_read_by_many_tasks(one_part):
 def test_rejected_documents_of_one_partition_are_read_by_many_tasks(one_part):
     parts, found = parts_and_rows(definitions_quarantine(one_part))
     assert parts > 1 and found == 1_000
+
+
+def walks_from_the_root(frame):
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"try_variant_get\(_doc#", plan))
+
+
+def test_parts_of_valid_documents_come_out_of_one_walk(one_part):
+    assert walks_from_the_root(definitions_normalized(one_part)) == 1
+
+
+def test_kinds_of_parts_that_are_no_objects(spark):
+    docs = {str(i): d for i, d in enumerate([[], [{"spec": OLD}], 5, "text", None])}
+    docs |= {f"spec {json.dumps(d)}": {"spec": d} for d in ([], [OLD], 5, True)}
+    docs |= {f"status {json.dumps(d)}": {"spec": OLD, "status": d} for d in ([], [{}], 5, "text")}
+    frame = documents(spark, docs).unionByName(spark.createDataFrame([("ns", "no text", None)], "namespace string, name string, doc string"))
+    expected = {str(i): "suspended is missing" for i in range(5)} | {"3": "document is not JSON", "no text": "document is not JSON"}
+    expected |= {n: "layout is not readable" for n in docs if n.startswith("spec")}
+    expected |= {n: "phase is not readable" for n in docs if n.startswith("status")}
+    assert {r["name"]: r.reason for r in definitions_quarantine(frame).collect()} == expected
