@@ -256,6 +256,10 @@ def test_parts_of_valid_documents_come_out_of_one_walk(one_part):
     assert walks_from_the_root(definitions_normalized(one_part)) == 1
 
 
+def test_parts_of_rejected_documents_come_out_of_one_walk(one_part):
+    assert walks_from_the_root(definitions_quarantine(one_part)) == 1
+
+
 def test_kinds_of_parts_that_are_no_objects(spark):
     docs = {str(i): d for i, d in enumerate([[], [{"spec": OLD}], 5, "text", None])}
     docs |= {f"spec {json.dumps(d)}": {"spec": d} for d in ([], [OLD], 5, True)}
