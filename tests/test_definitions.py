@@ -260,6 +260,17 @@ def test_parts_of_rejected_documents_come_out_of_one_walk(one_part):
     assert walks_from_the_root(definitions_quarantine(one_part)) == 1
 
 
+def test_reason_of_rejected_documents_is_worked_out_once(one_part):
+    plan = definitions_quarantine(one_part)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("document is not JSON") == 1
+
+
+def test_documents_of_few_bytes_come_to_as_many_parts_as_the_session_shuffles_to(spark):
+    docs = spark.range(0, 400, 1, 1).selectExpr("'ns' AS namespace", "concat('s', id) AS name", "'[]' AS doc")
+    parts, found = parts_and_rows(definitions_quarantine(docs))
+    assert parts == int(spark.conf.get("spark.sql.shuffle.partitions")) and found == 400
+
+
 def test_kinds_of_parts_that_are_no_objects(spark):
     docs = {str(i): d for i, d in enumerate([[], [{"spec": OLD}], 5, "text", None])}
     docs |= {f"spec {json.dumps(d)}": {"spec": d} for d in ([], [OLD], 5, True)}
